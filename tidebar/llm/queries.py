@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import language, mixing, pii, secrets, tiff, tokenfile, warc
+from . import decontaminate, jaccard, language, mixing, pii, secrets, tiff, tokencount, tokenfile, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_source_mix": mixing.op2_source_mix,
+    "op3_spaced_seeds": decontaminate.op3_spaced_seeds,
+    "op4_partenum_join": jaccard.op4_partenum_join,
+    "op5_viterbi_counts": tokencount.op5_viterbi_counts,
     "op6_pii_skip_chain": pii.op6_pii_skip_chain,
     "op7_token_frames": tokenfile.op7_token_frames,
     "op8_warc_revisits": warc.op8_warc_revisits,
