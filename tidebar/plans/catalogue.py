@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import indicator_queries
+from . import indicator_queries, study_queries
 
-MODULES = [indicator_queries]
+MODULES = [indicator_queries, study_queries]
 
 
 def queries() -> dict:
