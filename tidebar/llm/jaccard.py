@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import struct
 from bisect import bisect_right
 from itertools import combinations
-from math import ceil, exp, sqrt
+from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from .common import checkpointed, mix, small_batches, staged, table, text_shingl
 
 #: Buckets up to this many sets compare all their pairs; larger ones compare with a pivot first.
 SMALL = 12
+#: Cells of a sketch; words of the filter that finds the texts to compare; sets of a bucket that meet in one group.
+CELLS, FILTER_WORDS, BLOCK = 128, 1 << 18, 2048
 _SEEDS = 6
 
 
@@ -152,14 +156,77 @@ def signature_rows(docs: DataFrame, k: int, threshold: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "sig long, sid long")
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) of set ids whose whole sets are similar, from one text of each set."""
-    small_batches(docs.sparkSession, 250)
-    ra = reps.select(F.col("sid").alias("a"), F.col("key").alias("ka"), F.col("n").alias("na"))
-    rb = reps.select(F.col("sid").alias("b"), F.col("key").alias("kb"), F.col("n").alias("nb"))
-    p = pairs.join(ra, "a").join(rb, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold)
-    text = keyed(docs).select("key", "text")
-    p = p.join(text.withColumnsRenamed({"key": "kb", "text": "tb"}), "kb").join(text.withColumnsRenamed({"key": "ka", "text": "ta"}), "ka")
+def _sketch(h: np.ndarray) -> bytes:
+    """How many elements fall into each of CELLS cells, 255 at most. The sum of two sketches' differences is never more
+    than the number of elements in which the sets differ, so a sketch can rule a pair out but never a link."""
+    return np.minimum(np.bincount((h & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
+def _filter_bits(sids: DataFrame) -> np.ndarray:
+    """A Bloom filter of FILTER_WORDS 64-bit words over sid, summed by Spark; its size does not follow the data."""
+    bit = lambda k: F.pmod(F.xxhash64("sid", F.lit(k)), F.lit(FILTER_WORDS * 64))
+    bits = sids.select(F.explode(F.array(bit(1), bit(2))).alias("b")).select(F.floor(F.col("b") / 64).cast("long").alias("w"), F.expr("shiftleft(1L, int(b % 64))").alias("m"))
+    out = np.zeros(FILTER_WORDS, np.int64)
+    for r in bits.groupBy("w").agg(F.bit_or("m").alias("m")).toLocalIterator():
+        out[r.w] = r.m
+    return out
+
+
+def involved(docs: DataFrame, sets: DataFrame, sids: DataFrame, k: int) -> DataFrame:
+    """(sid, n, sketch, text) of the sets in sids, one text each, kept for the comparisons.
+
+    A filter of fixed size first passes over the rows of sets, so that only texts that may be wanted are shuffled; the
+    join that follows is exact."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    bits = spark.sparkContext.broadcast(_filter_bits(sids))
+    size = FILTER_WORDS * 64
+
+    def run(batches):
+        seen: set[int] = set()
+        for b in batches:
+            out = []
+            for text in b.column(0).to_pylist():
+                h = text_shingles(text, k)
+                if not len(h) or (sid := set_id(h)) in seen:
+                    continue
+                at = [_xxh(sid, i) % size for i in (1, 2)]
+                if all(int(bits.value[i >> 6]) >> (i & 63) & 1 for i in at):
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    seen.add(sid)
+                    out.append((sid, len(h), _sketch(h), text))
+            types = (pa.int64(), pa.int64(), pa.binary(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], ["sid", "n", "sketch", "text"])
+
+    found = docs.select("text").mapInArrow(run, "sid long, n long, sketch binary, text string")
+    found = found.join(sids, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("text").alias("text"))
+    return staged(found, "involved")
+
+
+def _xxh(value: int, seed: int) -> int:
+    """Spark's xxhash64(long, int): the second value hashed with the first's hash as its seed."""
+    first = xxhash.xxh64_intdigest(struct.pack("<q", value), 42)
+    low = xxhash.xxh64_intdigest(struct.pack("<i", seed), first)
+    return low - (1 << 64) if low >> 63 else low
+
+
+def verified(pairs: DataFrame, known: DataFrame, k: int, threshold: int) -> DataFrame:
+    """The pairs (a, b) of set ids whose whole sets are similar. Sizes and sketches rule out most pairs before any text moves."""
+    small_batches(known.sparkSession, 250)
+    brief = known.select("sid", "n", "sketch")
+    p = pairs.join(brief.toDF("a", "na", "ka"), "a").join(brief.toDF("b", "nb", "kb"), "b")
+
+    def near(batches):
+        for batch in batches:
+            a, b, na, nb = (batch.column(i).to_numpy() for i in range(4))
+            ka, kb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for i in (4, 5))
+            ok = _possible(np.abs(ka - kb).sum(axis=1), na, nb, threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
+
+    p = p.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(near, "a long, b long")
+    text = known.select("sid", "text")
+    p = p.join(text.toDF("b", "tb"), "b").join(text.toDF("a", "ta"), "a")
 
     def run(batches):
         kept: dict[int, np.ndarray] = {}
@@ -183,6 +250,12 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, thresho
     return p.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _possible(differ, na, nb, threshold: int):
+    """Whether sets of these sizes that differ in `differ` elements at least can still be similar."""
+    both = na + nb
+    return ((100 + threshold) * np.maximum(differ, np.abs(na - nb)) <= (100 - threshold) * both) & (differ < both)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the least node reachable over links (a, b), for nodes that have links.
 
@@ -218,51 +291,58 @@ def _shared(rows: DataFrame, name: str) -> DataFrame:
     return staged(rows.where("r1 <> r2").select("sig", "sid", "root", F.col("first.sid").alias("low"), F.col("first.root").alias("low_root"), "n"), name)
 
 
-def _refined(open_: DataFrame, reps: DataFrame, docs: DataFrame, k: int, threshold: int, level: int) -> DataFrame:
-    """(sig, sid, root): each bucket of open_ cut by its sets' signatures under another seed, which similar sets share as well."""
-    small_batches(docs.sparkSession, 250)
-    sids = open_.select("sid").distinct().join(reps, "sid").select("sid", "key")
-    texts = sids.join(keyed(docs).select("key", "text"), "key").select("sid", "text")
-
-    def run(batches):
-        rule = PartEnum(threshold)
-        for b in batches:
-            for sid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                h = text_shingles(text, k)
-                s = rule.signatures(np.sort(mix(h ^ np.uint64(level * 0x589965CC75374CC3 & (1 << 64) - 1))))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), sid, np.int64)), pa.array(s.view(np.int64))], ["sid", "deep"])
-
-    deep = texts.mapInArrow(run, "sid long, deep long").distinct()
-    return open_.join(deep, "sid").select(F.xxhash64("sig", "deep").alias("sig"), "sid", "root")
-
-
-def links(docs: DataFrame, sets: DataFrame, k: int, threshold: int, levels: int = 4, small: int = SMALL) -> DataFrame:
+def _open_pairs(rows: DataFrame, known: DataFrame, roots: DataFrame, threshold: int, most: int) -> DataFrame:
+    """(a, b) of sets that share a bucket of rows, lie in different components and pass their sketches; up to `most`
+    nearest partners of each set in a bucket, or all of them at 0.
+
+    A bucket is compared in blocks of BLOCK sets, each pair of blocks a group of its own, so no group grows with the data."""
+    rows = rows.select("sig", "sid").distinct().join(roots, F.col("sid") == F.col("node"), "left").select("sig", "sid", F.coalesce("root", "sid").alias("root"))
+    several = rows.groupBy("sig").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("n")).where("r1 <> r2")
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    rows = rows.join(several.select("sig", blocks.alias("blocks")), "sig").join(known.select("sid", F.col("n").alias("size"), "sketch"), "sid")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
+
+    def compare(t: pa.Table) -> pa.Table:
+        sid, root, n = (t.column(c).to_numpy() for c in ("sid", "root", "size"))
+        own = t.column("own").to_numpy()
+        sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+        left, right = np.flatnonzero(own == t.column("x")[0].as_py()), np.flatnonzero(own == t.column("y")[0].as_py())
+        a, b = [], []
+        for i in left:
+            far = np.abs(sk[right] - sk[i]).sum(axis=1)
+            ok = np.flatnonzero((root[right] != root[i]) & _possible(far, n[right], n[i], threshold))
+            if most and len(ok) > most:
+                ok = ok[np.lexsort((sid[right[ok]], far[ok]))[:most]]
+            a += [sid[i]] * len(ok)
+            b += sid[right[ok]].tolist()
+        lo, hi = np.minimum(a, b).astype(np.int64), np.maximum(a, b).astype(np.int64)
+        return pa.table({"a": pa.array(lo, pa.int64()), "b": pa.array(hi, pa.int64())})
+
+    return rows.select("sig", "x", "y", "own", "sid", "root", "size", "sketch").groupBy("sig", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+
+
+def links(docs: DataFrame, sets: DataFrame, k: int, threshold: int, small: int = SMALL) -> DataFrame:
     """(node, root) of the components of all similar pairs of sets.
 
-    A pair inside one component adds nothing. So buckets of more than `small` sets first compare each set with the
-    bucket's least one, and only those that this leaves in several components go on: cut by a further seed's signatures
-    into smaller buckets, level by level. What is still open after the last level compares every pair across components.
+    A pair inside one component adds nothing to them. Buckets of up to `small` sets compare all pairs; larger ones first
+    compare each set with the bucket's least one. Buckets that this leaves in several components then compare each set
+    with its nearest sets of other components, and last, every pair of sets still in different components.
     """
-    reps = staged(sets.where("sid IS NOT NULL").groupBy("sid").agg(F.min("key").alias("key"), F.min("n_shingles").alias("n")), "reps")
-    rows = signature_rows(docs, k, threshold).withColumn("root", F.col("sid"))
-    found = None
-    for level in range(1, levels + 1):
-        rows = _shared(rows, "buckets")
-        large = rows.where(F.col("n") > small)
-        pairs = _all_pairs(rows.where(F.col("n") <= small)).unionByName(large.where("root <> low_root").select(F.col("low").alias("a"), F.col("sid").alias("b")))
-        new = staged(verified(pairs.distinct(), reps, docs, k, threshold).distinct(), "links")
-        found = new if found is None else found.unionByName(new)
+    rows = _shared(signature_rows(docs, k, threshold).withColumn("root", F.col("sid")), "buckets")
+    known = involved(docs, sets, rows.select("sid").distinct(), k)
+    large = rows.where(F.col("n") > small)
+    pairs = _all_pairs(rows.where(F.col("n") <= small)).unionByName(large.where("root <> low_root").select(F.col("low").alias("a"), F.col("sid").alias("b")))
+    found = staged(verified(pairs.distinct(), known, k, threshold).distinct(), "links")
+    roots = components(found)
+    for most in (3, 0):
+        new = staged(verified(_open_pairs(large, known, roots, threshold, most), known, k, threshold).distinct(), "links")
+        if new.isEmpty() and most == 0:
+            break
+        found = found.unionByName(new)
         roots = components(found)
-        rows = large.select("sig", "sid").distinct().join(roots, F.col("sid") == F.col("node"), "left").select("sig", "sid", F.coalesce("root", "sid").alias("root"))
-        open_ = rows.groupBy("sig").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("sig")
-        rows = staged(rows.join(open_, "sig"), "open")
-        if rows.isEmpty():
-            return roots
-        if level < levels:
-            rows = _refined(rows, reps, docs, k, threshold, level)
-    x, y = rows.alias("x"), rows.alias("y")
-    pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") < F.col("y.root"))).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
-    return components(found.unionByName(verified(pairs.distinct(), reps, docs, k, threshold)))
+    return roots
 
 
 def classes(docs: DataFrame, k: int = 4, threshold: int = 85) -> DataFrame:
