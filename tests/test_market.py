@@ -252,3 +252,28 @@ def test_spread_buckets_are_not_ntile(spark):
     p = spark.createDataFrame([(f"S{i:02d}", 0, float(i), 1.0) for i in range(12)], "symbol string, ts long, f double, y double")
     assert [r.n for r in crosssection.spread(p, "f", "y").orderBy("bucket").collect()] == [3, 4, 5]
     assert pd.notna(crosssection.spearman(p.withColumn("y", F.col("f")), "f", "y").first().ic)
+
+
+def test_volume_profile_and_levels_cross_model(spark, twins):
+    pdf = twins.where("symbol = 'A'").toPandas().sort_values("ts")
+    edges = np.linspace(pdf.low.min(), pdf.high.max(), 61)
+    w = np.zeros(60)
+    for lo, hi, v in zip(pdf.low, pdf.high, pdf.volume):
+        o = np.clip(np.minimum(edges[1:], hi) - np.maximum(edges[:-1], lo), 0, None)
+        w += v * o / o.sum()
+    got = indicators.compute(twins.where("symbol = 'A'"), "volume_profile").first()
+    p = int(w.argmax())
+    assert got.poc == pytest.approx((edges[p] + edges[p + 1]) / 2)
+    i, j = int(np.abs(edges - got.val).argmin()), int(np.abs(edges - got.vah).argmin())
+    assert w[i:j].sum() >= 0.7 * w.sum() > max(w[i + 1 : j].sum(), w[i : j - 1].sum()) - max(w[i], w[j - 1])
+    sw = indicators.compute(twins.where("symbol = 'A'"), "swings").toPandas()
+    prices, clusters = sorted([*sw.swing_high.dropna(), *sw.swing_low.dropna()]), []
+    for x in prices:
+        if clusters and abs(x - clusters[-1][0]) / clusters[-1][0] <= 0.005:
+            clusters[-1].append(x)
+        else:
+            clusters.append([x])
+    want = sorted(clusters, key=lambda c: (-len(c), abs(np.mean(c) - pdf.close.iloc[-1])))[:6]
+    r = indicators.compute(twins.where("symbol = 'A'"), "support_resistance").first()
+    assert [r[f"level{i + 1}"] for i in range(6)] == pytest.approx([np.mean(c) for c in want])
+    assert len(indicators.REGISTRY) == 35

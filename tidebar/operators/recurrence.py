@@ -15,7 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .indicators import SOURCES, indicator, settings
+from ..functions import series
+from .indicators import SOURCES, add_hma, add_wma, indicator, settings
+from .indicators import source as price_column
 
 
 class Smooth:
@@ -166,12 +168,23 @@ def compute_all(df: DataFrame, wanted: list[tuple[str, dict]], named: Callable[[
     return streamed(df, parts)
 
 
-@recurrent("ma", "trend", "value", {"source": SOURCES, "kind": ("ema", "rma")}, length=20, kind="ema", source="close")
-def ma(length, kind, source):
+def _ma(length, kind="ema", source="close"):
     f, x = (ema if kind == "ema" else rma)(length), price(source)
     return lambda bar: (f(x(bar)),)
 
 
+MAKERS["ma"] = _ma
+
+
+@indicator("ma", "trend", "value", choices={"source": SOURCES, "kind": ("sma", "ema", "wma", "hma", "rma")}, length=20, kind="ema", source="close")
+def ma(df, length, kind, source):
+    """Moving averages: sma, wma and hma as windows, ema and rma in the recurrence pass."""
+    if kind in ("ema", "rma"):
+        return streamed(df, [(lambda: _ma(length, kind, source), ("value",))])
+    df = df.withColumn("_x", price_column(source))
+    return df.withColumn("value", series.sma("_x", length)) if kind == "sma" else (add_wma if kind == "wma" else add_hma)(df, "_x", length, "value")
+
+
 @recurrent("dema", "trend", "value", length=20)
 def dema(length):
     a, b = ema(length), ema(length)

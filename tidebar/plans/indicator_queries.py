@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import series as s
-from ..operators import candles, indicators, recurrence  # noqa: F401  recurrence registers its indicators
+from ..operators import candles, indicators, levels, recurrence  # noqa: F401  levels and recurrence register their indicators
 from ..sources.bars import bars_daily, bars_hourly
 from . import oracle as q
 
@@ -134,12 +134,12 @@ _LEVELS = {
     "fibonacci": ("(h + l + c) / 3", [f"p {sign} {k}::DOUBLE * (h - l)" for sign in "+-" for k in (0.382, 0.618, 1.0)]),
     "camarilla": ("(h + l + c) / 3", [f"c {sign} (h - l) * 1.1::DOUBLE / {k}" for sign in "+-" for k in (12, 6, 4)]),
 }
-for kind, (p, levels) in _LEVELS.items():
+for kind, (p, lines) in _LEVELS.items():
     by_key(
         f"pivots_{kind}",
         "pivots",
         q.query(
-            {"p": "p"} | dict(zip(("r1", "r2", "r3", "s1", "s2", "s3"), levels)),
+            {"p": "p"} | dict(zip(("r1", "r2", "r3", "s1", "s2", "s3"), lines)),
             "SELECT *, b.ts // 604800000 AS w FROM b",
             "SELECT x.symbol, x.ts, y.h, y.l, y.c FROM b JOIN s0 x ON x.symbol = b.symbol AND x.ts = b.ts LEFT JOIN (SELECT symbol, w, lag(h) OVER (PARTITION BY symbol ORDER BY w) AS h, lag(l) OVER (PARTITION BY symbol ORDER BY w) AS l, lag(c) OVER (PARTITION BY symbol ORDER BY w) AS c FROM (SELECT symbol, w, max(high) AS h, min(low) AS l, arg_max(close, ts) AS c FROM s0 GROUP BY symbol, w)) y ON y.symbol = x.symbol AND y.w = x.w",
             f"SELECT *, {p} AS p FROM b",
@@ -214,5 +214,22 @@ by_key(
     "squeeze",
     q.recurrence([q.TR, SQ, E("x", 20, q.rma_a(20), "a", "tr"), E("close", 20, q.ema_a(20), "e", "bars")], {"momentum": "sl.fit", "squeeze_on": "CASE WHEN sl.s IS NOT NULL AND a.y IS NOT NULL THEN CAST((sl.m + 2 * sl.s < e.y + 1.5 * a.y AND sl.m - 2 * sl.s > e.y - 1.5 * a.y) AS DOUBLE) END"}, q.left("sl", "a", "e")),
 )
+LEG = f"""sw AS (SELECT *, list(high) {AROUND} AS hs, list(low) {AROUND} AS ls FROM bars),
+sh AS (SELECT symbol, max(ts) AS ts, arg_max(high, ts) AS price FROM sw WHERE len(hs) = 11 AND high = list_max(hs) AND len(list_filter(hs, lambda v: v = high)) = 1 GROUP BY symbol),
+sl AS (SELECT symbol, max(ts) AS ts, arg_max(low, ts) AS price FROM sw WHERE len(ls) = 11 AND low = list_min(ls) AND len(list_filter(ls, lambda v: v = low)) = 1 GROUP BY symbol),
+leg AS (SELECT symbol, least(sh.ts, sl.ts) AS t, CASE WHEN sh.ts > sl.ts THEN sl.price ELSE sh.price END AS a, CASE WHEN sh.ts > sl.ts THEN sh.price ELSE sl.price END AS z FROM sh JOIN sl USING (symbol))"""
+by_key(
+    "fibonacci",
+    "fibonacci",
+    q.query(
+        {"start": "a", "end": "z"} | {levels._name("r", r): f"z - {r}::DOUBLE * (z - a)" for r in levels.RETRACEMENTS} | {levels._name("e", r): f"a + {r}::DOUBLE * (z - a)" for r in levels.EXTENSIONS},
+        "SELECT b.symbol, b.ts, leg.a, leg.z FROM b LEFT JOIN leg ON leg.symbol = b.symbol AND b.ts >= leg.t AND leg.a <> leg.z",
+        with_=f"{q.DAILY.strip()}, {LEG}",
+    ).replace('AS end', 'AS "end"').replace('AS start', 'AS "start"'),
+)
+for _kind in ("sma", "wma"):
+    by_key(f"ma_{_kind}", "ma", q.query({"value": q.full("avg", "high", 12) if _kind == "sma" else q.wma("high", 12)}), kind=_kind, length=12, source="high")
+for _key in ("volume_profile", "support_resistance"):
+    by_key(_key, _key)
 for _key in ("supertrend", "psar", "fisher", "candle_patterns"):
     by_key(_key, _key)
