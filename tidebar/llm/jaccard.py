@@ -17,7 +17,7 @@ from .common import checkpointed, mix, small_batches, staged, table, text_shingl
 
 #: Buckets up to this many sets compare all their pairs; larger ones compare with a pivot first.
 SMALL = 12
-#: Cells of a sketch; words of the filter that finds the texts to compare; sets of a bucket that meet in one group.
+#: Least cells of a sketch; words of the filter that finds the texts to compare; sets of a bucket that meet in one group.
 CELLS, FILTER_WORDS, BLOCK = 128, 1 << 18, 2048
 _SEEDS = 6
 
@@ -25,21 +25,28 @@ _SEEDS = 6
 class PartEnum:
     """Signatures of sets, such that sets with 100 * intersection >= threshold * union share one.
 
-    Sizes fall into overlapping bands; two similar sets share a band, whose largest size bounds how many elements they
-    differ in (k). In a band the hashed element domain is cut into first-level parts of `cells` second-level cells; with
-    more parts than k // (miss + 1), some part holds at most `miss` differences, so some subset of cells - miss of its
-    cells is alike in both sets. Each non-empty subset of each part gives a signature. A set with too many empty cells
-    for that argument also gives the signatures of a further seed, as often as it takes.
+    Sizes fall into overlapping bands, and two similar sets share a band. There the hashed element domain is cut into
+    first-level parts of `cells` second-level cells. A set that differs from a similar one of its size or larger in at
+    most d elements needs d // (miss + 1) + 1 good parts, ones with more than `miss` non-empty cells: one of them holds at
+    most `miss` differences, so some non-empty subset of cells - miss of its cells is alike in both sets. A set gives a
+    signature for each non-empty subset of each part, in order of the parts, until it has that many good ones. Of two
+    similar sets, what the one that stops first shares with the other lies before the other's end, so no pair is lost.
+    Sets that run out of parts also give the signatures of a further seed, as often as it takes.
     """
 
     def __init__(self, threshold: int = 85, cells: int = 2, miss: int = 1):
         self.t, self.cells, self.miss = threshold, cells, miss
         self.subsets = [np.array(s) for s in combinations(range(cells), cells - miss)]
-        self.low, self.high, self.plan = [1], [1], [(0, 0, 0)]
+        self.low, self.high, self.parts = [1], [1], [0]
 
     def _partner(self, n: int) -> int:
         return 100 * n // self.t  # the largest size that can be similar to size n
 
+    def need(self, n: int) -> int:
+        """Good parts that a set of n elements must show; 0 if it is similar to equal sets alone."""
+        d = (100 - self.t) * (n + self._partner(n)) // (100 + self.t)
+        return d // (self.miss + 1) + 1 if d else 0
+
     def _extend(self, n: int) -> None:
         while self.low[-1] <= n:
             top = self.high[-1]
@@ -48,17 +55,16 @@ class PartEnum:
                 low += 1
             low = max(low, self.low[-1]) + 1
             high = max(self._partner(self._partner(self._partner(low))), self._partner(low), low)
-            k = (100 - self.t) * 2 * high // (100 + self.t)
-            need, parts = k // (self.miss + 1) + 1, 1
-            while True:
-                empty = exp(-low / (parts * self.cells))
-                bad = 1 - sum(_choose(self.cells, i) * (1 - empty) ** i * empty ** (self.cells - i) for i in range(self.miss + 1, self.cells + 1))
-                if parts * (1 - bad) - 2 * sqrt(max(0.0, parts * bad * (1 - bad))) >= need or parts > 1.5 * need + 3:
-                    break
+            need, parts = self.need(high), 0
+            while need:
                 parts += 1
+                full = 1 - exp(-high / (parts * self.cells))
+                good = sum(_choose(self.cells, i) * full**i * (1 - full) ** (self.cells - i) for i in range(self.miss + 1, self.cells + 1))
+                if parts * good - 2 * sqrt(max(0.0, parts * good * (1 - good))) >= need or parts > 2 * need + 3:
+                    break
             self.low.append(low)
             self.high.append(high)
-            self.plan.append((k, need, parts))
+            self.parts.append(parts)
 
     def bands(self, n: int) -> list[int]:
         self._extend(n)
@@ -67,10 +73,10 @@ class PartEnum:
 
     def signatures(self, h: np.ndarray) -> np.ndarray:
         """Of a sorted array of distinct 64-bit hashes; sets that can only link with equal sets have none."""
-        out = []
+        out, need = [], self.need(len(h))
         for j in self.bands(len(h)):
-            k, need, parts = self.plan[j]
-            if k == 0:
+            parts = self.parts[j]
+            if not parts:
                 continue
             own = h
             for seed in range(_SEEDS):
@@ -84,11 +90,15 @@ class PartEnum:
                 full = np.zeros(parts * self.cells, bool)
                 full[cell[first]] = True
                 sums, full = sums.reshape(parts, -1), full.reshape(parts, -1)
-                place = np.arange(parts, dtype=np.uint64) * np.uint64(64)
+                good = np.cumsum(full.sum(axis=1) > self.miss)
+                enough = bool(good[-1] >= need)
+                end = int(np.searchsorted(good, need)) + 1 if enough else parts
+                sums, full = sums[:end], full[:end]
+                place = np.arange(end, dtype=np.uint64) * np.uint64(64)
                 for i, s in enumerate(self.subsets):
                     sig = mix(mix(sums[:, s].sum(axis=1, dtype=np.uint64)) + mix(place + np.uint64(i) + code))
                     out.append(sig[full[:, s].any(axis=1)])
-                if int((full.sum(axis=1) > self.miss).sum()) >= need:
+                if enough:
                     break
             else:
                 out.append(mix(np.array([j + 1], np.uint64) * np.uint64(0xE7037ED1A0B428DB)))
@@ -157,9 +167,25 @@ def signature_rows(docs: DataFrame, k: int, threshold: int) -> DataFrame:
 
 
 def _sketch(h: np.ndarray) -> bytes:
-    """How many elements fall into each of CELLS cells, 255 at most. The sum of two sketches' differences is never more
-    than the number of elements in which the sets differ, so a sketch can rule a pair out but never a link."""
-    return np.minimum(np.bincount((h & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+    """How many elements fall into each of its cells, 255 at most: CELLS cells, or about half as many as elements.
+
+    The sum of two sketches' differences is never more than the number of elements in which the sets differ, so a
+    sketch can rule a pair out but never a link. A finer sketch folds to a coarser one."""
+    cells = max(CELLS, 1 << (max(1, len(h) // 2)).bit_length() - 1)
+    return np.minimum(np.bincount((h & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+
+
+def _folded(sketch: bytes, cells: int) -> np.ndarray:
+    return np.frombuffer(sketch, np.uint8).reshape(-1, cells).sum(axis=0, dtype=np.int32)
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """The least number of elements in which the sets of two sketches differ. A cell that is full counts as no difference."""
+    if 255 in a or 255 in b:
+        a, b = (np.frombuffer(x, np.uint8) for x in (a, b))
+        return 0 if len(a) != len(b) else int(np.abs(a.astype(np.int32) - b).sum())
+    cells = min(len(a), len(b))
+    return int(np.abs(_folded(a, cells) - _folded(b, cells)).sum())
 
 
 def _filter_bits(sids: DataFrame) -> np.ndarray:
@@ -220,8 +246,8 @@ def verified(pairs: DataFrame, known: DataFrame, k: int, threshold: int) -> Data
     def near(batches):
         for batch in batches:
             a, b, na, nb = (batch.column(i).to_numpy() for i in range(4))
-            ka, kb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for i in (4, 5))
-            ok = _possible(np.abs(ka - kb).sum(axis=1), na, nb, threshold)
+            far = np.array([_apart(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())], np.int64)
+            ok = _possible(far, na, nb, threshold)
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
 
     p = p.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(near, "a long, b long")
@@ -292,8 +318,8 @@ def _shared(rows: DataFrame, name: str) -> DataFrame:
 
 
 def _open_pairs(rows: DataFrame, known: DataFrame, roots: DataFrame, threshold: int, most: int) -> DataFrame:
-    """(a, b) of sets that share a bucket of rows, lie in different components and pass their sketches; up to `most`
-    nearest partners of each set in a bucket, or all of them at 0.
+    """(a, b) of sets that share a bucket of rows, lie in different components and pass their sketches: the `most` nearest
+    partners of each set in a bucket, and (a, a) for a set with more of them; or all at 0.
 
     A bucket is compared in blocks of BLOCK sets, each pair of blocks a group of its own, so no group grows with the data."""
     rows = rows.select("sig", "sid").distinct().join(roots, F.col("sid") == F.col("node"), "left").select("sig", "sid", F.coalesce("root", "sid").alias("root"))
@@ -306,17 +332,25 @@ def _open_pairs(rows: DataFrame, known: DataFrame, roots: DataFrame, threshold:
 
     def compare(t: pa.Table) -> pa.Table:
         sid, root, n = (t.column(c).to_numpy() for c in ("sid", "root", "size"))
-        own = t.column("own").to_numpy()
-        sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+        own, fine = t.column("own").to_numpy(), t.column("sketch").to_pylist()
+        cells = min(map(len, fine))  # sizes of a bucket lie within a band, so little is folded
+        plain = np.array([255 not in x for x in fine])
+        sk = np.array([_folded(x, cells) for x in fine])
+        sk = sk.astype(np.uint8 if sk.max() < 256 else np.uint16)
         left, right = np.flatnonzero(own == t.column("x")[0].as_py()), np.flatnonzero(own == t.column("y")[0].as_py())
-        a, b = [], []
-        for i in left:
-            far = np.abs(sk[right] - sk[i]).sum(axis=1)
-            ok = np.flatnonzero((root[right] != root[i]) & _possible(far, n[right], n[i], threshold))
-            if most and len(ok) > most:
-                ok = ok[np.lexsort((sid[right[ok]], far[ok]))[:most]]
-            a += [sid[i]] * len(ok)
-            b += sid[right[ok]].tolist()
+        sides, a, b = [(left, right)] if t.column("x")[0] == t.column("y")[0] else [(left, right), (right, left)], [], []
+        for these, those in sides:
+            other, size, away, known_ = sk[those], n[those], root[those], plain[those]
+            for i in these:
+                far = (np.maximum(other, sk[i]) - np.minimum(other, sk[i])).sum(axis=1, dtype=np.int64)
+                far = np.where(known_ & plain[i], far, 0)
+                ok = np.flatnonzero((away != root[i]) & _possible(far, size, n[i], threshold))
+                if most and len(ok) > most:
+                    ok = ok[np.lexsort((sid[those[ok]], far[ok]))[:most]]
+                    a.append(sid[i])  # a pair with itself tells that some are left out
+                    b.append(sid[i])
+                a += [sid[i]] * len(ok)
+                b += sid[those[ok]].tolist()
         lo, hi = np.minimum(a, b).astype(np.int64), np.maximum(a, b).astype(np.int64)
         return pa.table({"a": pa.array(lo, pa.int64()), "b": pa.array(hi, pa.int64())})
 
@@ -328,7 +362,7 @@ def links(docs: DataFrame, sets: DataFrame, k: int, threshold: int, small: int =
 
     A pair inside one component adds nothing to them. Buckets of up to `small` sets compare all pairs; larger ones first
     compare each set with the bucket's least one. Buckets that this leaves in several components then compare each set
-    with its nearest sets of other components, and last, every pair of sets still in different components.
+    with its nearest sets of other components, and go on with more of them until no pair is left out.
     """
     rows = _shared(signature_rows(docs, k, threshold).withColumn("root", F.col("sid")), "buckets")
     known = involved(docs, sets, rows.select("sid").distinct(), k)
@@ -336,12 +370,13 @@ def links(docs: DataFrame, sets: DataFrame, k: int, threshold: int, small: int =
     pairs = _all_pairs(rows.where(F.col("n") <= small)).unionByName(large.where("root <> low_root").select(F.col("low").alias("a"), F.col("sid").alias("b")))
     found = staged(verified(pairs.distinct(), known, k, threshold).distinct(), "links")
     roots = components(found)
-    for most in (3, 0):
-        new = staged(verified(_open_pairs(large, known, roots, threshold, most), known, k, threshold).distinct(), "links")
-        if new.isEmpty() and most == 0:
+    for most in (16, 128, 0):
+        pairs = staged(_open_pairs(large, known, roots, threshold, most), "pairs")
+        new = staged(verified(pairs.where("a <> b"), known, k, threshold).distinct(), "links")
+        if not new.isEmpty():  # what is known already goes on as stars, so later rounds take few steps
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new))
+        if pairs.where("a = b").isEmpty():
             break
-        found = found.unionByName(new)
-        roots = components(found)
     return roots
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, table, word_count
 
-#: Weights of the sources in code-point order, repeated; the most epochs a source may give; hash buckets of a fractional epoch.
-WEIGHTS, MAX_EPOCHS, BUCKETS = (5, 2, 1), 3, 1 << 14
+#: Weights of the sources in code-point order, repeated; the most epochs a source may give; hash buckets of a fractional epoch
+#: and how many of them are summed together first.
+WEIGHTS, MAX_EPOCHS, BUCKETS, COARSE = (5, 2, 1), 3, 1 << 14, 1 << 7
 
 
 def water_fill(sources: DataFrame, weights=WEIGHTS, cap: float = MAX_EPOCHS) -> DataFrame:
@@ -53,8 +54,13 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, cap: float = MAX_EPOCHS, seed: in
     sources = sources.withColumn("whole", F.least(F.floor(epochs + 1e-12), F.lit(int(cap)))).withColumn("extra", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
     sources = checkpointed(sources)
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    up = Window.partitionBy("source").orderBy("_b")  # at most BUCKETS rows a source
-    ends = buckets.withColumn("upto", F.sum("n").over(up))
+    # Running sums in two steps: over COARSE groups of buckets a source, then inside each group.
+    buckets = buckets.withColumn("_c", F.floor(F.col("_b") / COARSE))
+    coarse = buckets.groupBy("source", "_c").agg(F.sum("n").alias("cn"))
+    before = F.sum("cn").over(Window.partitionBy("source").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1))
+    coarse = coarse.select(F.col("source").alias("cs"), F.col("_c").alias("cc"), F.coalesce(before, F.lit(0)).alias("before"))
+    ends = buckets.join(coarse, F.col("source").eqNullSafe(F.col("cs")) & (F.col("_c") == F.col("cc")))
+    ends = ends.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("source", "_c").orderBy("_b"))).select("source", "_b", "n", "upto")
     ends = ends.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).where(F.col("upto") <= F.col("extra"))
     ends = ends.groupBy("source").agg(F.max("_b").alias("last"), F.max("upto").alias("have"))
     ends = sources.join(ends, same(sources, ends), "left").select(sources["*"], F.coalesce("last", F.lit(-1)).alias("last"), F.coalesce("have", F.lit(0)).alias("have"))
