@@ -193,8 +193,8 @@ def _filter_bits(sids: DataFrame) -> np.ndarray:
     bit = lambda k: F.pmod(F.xxhash64("sid", F.lit(k)), F.lit(FILTER_WORDS * 64))
     bits = sids.select(F.explode(F.array(bit(1), bit(2))).alias("b")).select(F.floor(F.col("b") / 64).cast("long").alias("w"), F.expr("shiftleft(1L, int(b % 64))").alias("m"))
     out = np.zeros(FILTER_WORDS, np.int64)
-    for r in bits.groupBy("w").agg(F.bit_or("m").alias("m")).toLocalIterator():
-        out[r.w] = r.m
+    words = bits.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()  # one job; FILTER_WORDS rows of 16 bytes at most
+    out[words.column("w").to_numpy()] = words.column("m").to_numpy()
     return out
 
 
