@@ -56,6 +56,33 @@ def test_battery_tells_random_from_words(spark):
     assert sum(got[i] for i in range(30)) >= 27 and not any(got[i] for i in range(30, 33))
 
 
+def test_battery_sees_values_after_names_and_in_mixed_tokens(spark):
+    rng = np.random.default_rng(4)
+    key = lambda abc, n=40: "".join(rng.choice(list(abc), n))
+    b62, b64, url = (secrets.ENCODINGS[i][2] for i in (4, 5, 6))
+    forms = [("AWS_SECRET_ACCESS_KEY={}", b64), ("auth={}", b62), ("sig={}==", b64), ("a=1&client-id={}&b=2", url), ("/v1/my_files/{}", url), ("my_key-{}", b64)]
+    rows = []
+    for form, abc in forms * 10:
+        k = "9" + key(abc).replace("=", "") + "Z"
+        rows.append((form, k[:20] + "+" + k[21:] if form.startswith("my_key") else k))
+    d = spark.createDataFrame([(i, f"see {f.format(k)} here") for i, (f, k) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: [tuple(x) for x in r.random] for r in secrets.scan(d).collect()}
+    for n, (form, _) in enumerate(forms):
+        at = [i for i in range(n, len(rows), len(forms))]
+        held = [any(s <= t.index(k) and e >= t.index(k) + len(k) for s, _, e in got[i]) for i in at for f, k in [rows[i]] for t in [f"see {f.format(k)} here"]]
+        assert sum(held) >= 8, (form, held)
+
+
+def test_tokens_are_longest_runs_of_one_alphabet():
+    def runs(t):
+        return sorted(m[0] for p in secrets.TOKENS for m in re.finditer(p, t, re.A))
+
+    a, b = "a1" * 10, "B2" * 10
+    assert runs(f"{a}={b}==") == sorted([a + "=", b + "=="]) and runs(f"{a}===") == [a + "=="]
+    assert runs(f"{a}_{b} {a}/{b} {a} a_b-c x/{a[:18]}") == sorted([f"{a}_{b}", f"{a}/{b}", a, f"x/{a[:18]}"])
+    assert runs(f"{a}/{b}_x") == sorted([f"{a}/{b}", f"{b}_x"]) and runs("a" * 19) == []
+
+
 def test_discoveries():
     assert secrets.discoveries([(5, 0, 1000)], 0.01) == {}
     assert secrets.discoveries([(5, 0, 1000), (5, 60, 5)], 0.01) == {5: 60}

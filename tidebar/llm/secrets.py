@@ -16,8 +16,15 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "random")
 
-#: Tokens the battery looks at; its level; the false-discovery rate; bins of -ln p are a quarter wide.
-TOKEN, LEVEL, FDR, STEP, MOST = r"[A-Za-z0-9+/_=-]{20,}", 0.001, 0.01, 4, 400
+#: Tokens the battery looks at: the longest runs of one alphabet, where '=' only ends a run (so NAME=value falls apart).
+#: The first pattern takes runs with + or / and those of letters and digits alone, the second runs with _ or -; a run that
+#: lies within another is not taken, so runs overlap only where a text mixes both kinds of marks.
+TOKENS = (
+    r"(?<![0-9A-Za-z+/])(?=[0-9A-Za-z+/]{20})[0-9A-Za-z]*+[+/][0-9A-Za-z+/]*+={0,2}|(?<![0-9A-Za-z+/_-])[0-9A-Za-z]{20,}+(?![+/_-])={0,2}",
+    r"(?<![0-9A-Za-z_-])(?=[0-9A-Za-z_-]{20})[0-9A-Za-z]*+[_-][0-9A-Za-z_-]*+={0,2}",
+)
+#: The battery's level; the false-discovery rate; bins of -ln p are a quarter wide.
+LEVEL, FDR, STEP, MOST = 0.001, 0.01, 4, 400
 #: Inferred encodings, the first whose pattern a token meets: name, pattern, alphabet.
 _D, _L, _U = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = (
@@ -103,21 +110,27 @@ def battery(token: Column) -> Column:
 def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """doc_id, base and random spans of every whole text; code points, end exclusive; null text is empty.
 
-    A random span is a token apart from every base span, with a letter and a digit, that passes the battery and whose
+    A random span is a token (a longest run of one alphabet) apart from every base span, with a letter and a digit, that
+    passes the battery and whose
     -ln p under written language is a discovery by Benjamini-Hochberg among all such tokens of its length band (powers
     of two) in the table. The bands' cut-offs come from counts by band and bin, so the driver sees at most
     32 * MOST numbers. Repeated rows and equal doc_ids give a row each; an empty table gives none.
     """
     text = F.coalesce("text", F.lit(""))
     d = docs.select("doc_id", text.alias("t"))
-    d = d.select("doc_id", "t", *[F.regexp_extract_all("t", F.lit(p), F.lit(0)).alias(f"m{i}") for i, p in enumerate((ASSIGN, ACCESS, HEX, TOKEN))])
+    d = d.select("doc_id", "t", *[F.regexp_extract_all("t", F.lit(p), F.lit(0)).alias(f"m{i}") for i, p in enumerate((ASSIGN, ACCESS, HEX, *TOKENS))])
     long_enough = F.when(F.size("m0") > 0, F.transform(F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(1)), lambda v: F.length(v) >= 12)).otherwise(F.array().cast("array<boolean>"))
+
+    def tokens(m: str, pattern: str) -> Column:
+        none = F.array().cast("array<struct<span:struct<start:int,kind:int,end:int>,token:string>>")
+        return F.when(F.size(m) > 0, F.arrays_zip(_found(F.col("t"), F.col(m), pattern, 3).alias("span"), F.col(m).alias("token"))).otherwise(none)
+
     d = d.select(
         "doc_id",
         F.concat(_found(F.col("t"), F.col("m0"), ASSIGN, 0, long_enough), _found(F.col("t"), F.col("m1"), ACCESS, 1), _found(F.col("t"), F.col("m2"), HEX, 2)).alias("base"),
-        F.when(F.size("m3") > 0, F.arrays_zip(_found(F.col("t"), F.col("m3"), TOKEN, 3).alias("span"), F.col("m3").alias("token"))).otherwise(F.array().cast("array<struct<span:struct<start:int,kind:int,end:int>,token:string>>")).alias("tokens"),
+        F.concat(*[tokens(f"m{3 + i}", p) for i, p in enumerate(TOKENS)]).alias("tokens"),
     )
-    apart = F.filter("tokens", lambda x: x["token"].rlike("[A-Za-z]") & x["token"].rlike("[0-9]") & F.rtrim(x["token"], F.lit("=")).rlike("^([0-9A-Za-z+/]+|[0-9A-Za-z_-]+)$") & (F.length(F.rtrim(x["token"], F.lit("="))) >= 20) & ~F.exists(F.col("base"), lambda b: (b["start"] < x["span"]["end"]) & (x["span"]["start"] < b["end"])))
+    apart = F.filter("tokens", lambda x: x["token"].rlike("[A-Za-z]") & x["token"].rlike("[0-9]") & ~F.exists(F.col("base"), lambda b: (b["start"] < x["span"]["end"]) & (x["span"]["start"] < b["end"])))
     judged = F.transform(apart, lambda x: F.struct(x["span"].alias("span"), battery(x["token"]).alias("b")))
     d = d.select("doc_id", "base", judged.alias("judged"))
     shown = F.transform("judged", lambda x: F.struct(x["span"].alias("span"), (x["b"]["p_random"] >= LEVEL).alias("random"), F.floor(F.log2(x["b"]["n"].cast("double"))).cast("int").alias("band"), F.least(F.floor(x["b"]["nat"] * STEP), F.lit(MOST)).cast("int").alias("bin")))
