@@ -124,3 +124,24 @@ def test_skip_edges_carry_labels(spark):
     assert f"phone:{a}:{a + 13}" in got[1].split(",") and f"email:{b}:{b + 8}" in got[1].split(",")
     assert "12345678" not in text[b : b + 8] and got[2] == got[3] == got[4] == ""
     assert pii.find(d.limit(0), {}).count() == 0
+
+
+@pytest.mark.parametrize("base,other", [("+49 30 1234567", "49-30-1234567"), ("8.8.4.4", "8-8-4-4"), ("a@b.de", "a_b.de")])
+@pytest.mark.parametrize("first", [True, False])
+def test_labels_reach_a_hundred_repeats(base, other, first):
+    parts = [f"{base} here"] * first + [f"again {other} and" for _ in range(100)] + [f"{base} here"] * (not first)
+    text = ". ".join(parts)
+    spans = pii.base_spans(text)
+    assert len(spans) == 1
+    kind = spans[0][1]
+    leaning = {"u" + pii.shape(other): np.log([0.96, 0.01, 0.01, 0.01, 0.01])}
+    for model in ({}, leaning):
+        got = pii.infer(text, spans, model)
+        assert got == [(m.start(), kind, m.end()) for m in re.finditer(re.escape(other), text)]
+
+
+def test_skip_edges_grow_as_tokens_and_none_is_far_from_a_label():
+    n = 1000
+    edges = pii.skip_edges([list(range(n))], [0] * (n - 1) + [4])
+    assert len(edges) <= 2 * n and {i for e in edges if n - 1 in e for i in e} == set(range(n))
+    assert pii.skip_edges([[3]], [0] * 4) == [] and pii.skip_edges([[0, 1]], [4, 0]) == [(0, 1)]

@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 LABELS = ("email", "ip", "card", "phone")
-#: Coupling of a skip edge, rounds of message passing, posterior from which a span counts, least length of a repeated key.
-SKIP, ROUNDS, SURE, KEY = 6.0, 12, 0.9, 6
+#: Coupling of a skip edge, posterior from which a span counts, least length of a key that leaves out a token's marks.
+SKIP, SURE, KEY = 6.0, 0.9, 6
+#: Message passing ends when no message changes by more than CLOSE; at the latest after ROUNDS rounds and one for each
+#: token of the longest group of equal keys.
+ROUNDS, CLOSE = 100, 1e-4
 
 # The contract's patterns, anchored where that saves retries without changing any match.
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -84,13 +87,33 @@ def shape(token: str) -> str:
 
 
 def keys(token: str) -> list[str]:
-    """What makes distant tokens the same or similar: nine last digits of a number, or the letters and digits, or an address's name."""
+    """What makes distant tokens the same or similar: nine last digits of a number, or the letters and digits, or an
+    address's name. Where these are few (short IPs and addresses), the places of the marks between them count too."""
     digits = _DIGITS.sub("", token)
     if len(digits) >= 7 and not any(c.isalpha() for c in token):
         return ["#" + digits[-9:]]
     name, mark, _ = token.lower().partition("@")
-    core = [re.sub(r"[^a-z0-9]", "", token.lower())] + ([re.sub(r"[^a-z0-9]", "", name)] if mark else [])
-    return [k for k in dict.fromkeys(core) if len(k) >= KEY]
+    core = [re.findall(r"[a-z0-9]+", x) for x in ([token.lower(), name] if mark else [token.lower()])]
+    return list(dict.fromkeys("".join(c) if sum(map(len, c)) >= KEY else "=" + ".".join(c) for c in core if c))
+
+
+def skip_edges(groups, labels) -> list[tuple[int, int]]:
+    """Skip edges of groups of tokens (in order, by place): each token with the next, and every token with the group's
+    centres, which are the first token of each label (of 0, none is known). A group without a label has one centre, the
+    first token that a group with one holds too, else its first. So labels are two edges away at most, and edges grow as tokens."""
+    groups = [g for g in groups if len(g) > 1]
+    told = {i for g in groups if any(labels[i] for i in g) for i in g}
+    out = {}
+    for g in groups:
+        first: dict[int, int] = {}
+        for i in g:
+            if labels[i]:
+                first.setdefault(labels[i], i)
+        centres = list(first.values()) or [next((i for i in g if i in told), g[0])]
+        out.update(dict.fromkeys(zip(g, g[1:])))
+        # Two known labels tell each other nothing.
+        out.update(dict.fromkeys((min(c, i), max(c, i)) for c in centres for i in g if i != c and not (labels[c] and labels[i])))
+    return list(out)
 
 
 def learn(docs: DataFrame) -> dict:
@@ -121,7 +144,7 @@ def learn(docs: DataFrame) -> dict:
 
 def infer(text: str, base: list[tuple[int, int, int]], model: dict) -> list[tuple[int, int, int]]:
     """Spans (start, kind, end) that message passing adds to base: tokens linked to others by a skip edge whose posterior
-    for one label is SURE or more. Tokens with one key form a chain of skip edges, so edges grow as the tokens."""
+    for one label is SURE or more. Messages pass until they settle, so a label reaches every token of its key."""
     own = nodes(text, base)
     if not any(label for *_, label in own) or all(label for *_, label in own):
         return []
@@ -129,14 +152,14 @@ def infer(text: str, base: list[tuple[int, int, int]], model: dict) -> list[tupl
     for i, (s, e, _) in enumerate(own):
         for k in keys(text[s:e]):
             groups.setdefault(k, []).append(i)
-    skip = [(a, b) for g in groups.values() for a, b in zip(g, g[1:])]
+    skip = skip_edges(groups.values(), [label for *_, label in own])
     if not skip:
         return []
     n, flat = len(own), np.log(np.full(5, 0.2))
     unary = np.array([model.get("u" + shape(text[s:e]), flat) * 0.25 for s, e, _ in own])
     for i, (*_, label) in enumerate(own):
         if label:
-            unary[i] = -30.0
+            unary[i] = -1e6  # beyond what the messages of any number of tokens add up to
             unary[i, label] = 0.0
     chain = np.array([model.get(f"c{i}", flat) for i in range(5)]) * 0.25
     same = np.eye(5) * SKIP
@@ -146,13 +169,16 @@ def infer(text: str, base: list[tuple[int, int, int]], model: dict) -> list[tupl
     k = len(skip)
     back = np.concatenate([np.arange(n - 1, 2 * n - 2), np.arange(n - 1), np.arange(2 * n - 2 + k, 2 * n - 2 + 2 * k), np.arange(2 * n - 2, 2 * n - 2 + k)])
     msg = np.zeros((len(src), 5))
-    for _ in range(ROUNDS):
+    for _ in range(ROUNDS + max(map(len, groups.values()))):
         belief = unary.copy()
         np.add.at(belief, dst, msg)
         out = (belief[src] - msg[back])[:, :, None] + pot
         top = out.max(axis=1, keepdims=True)
         new = top[:, 0] + np.log(np.exp(out - top).sum(axis=1))
-        msg = 0.5 * msg + 0.5 * (new - new.max(axis=1, keepdims=True))
+        step = 0.5 * (new - new.max(axis=1, keepdims=True) - msg)
+        msg += step
+        if np.abs(step).max() < CLOSE:
+            break
     belief = unary.copy()
     np.add.at(belief, dst, msg)
     post = np.exp(belief - belief.max(axis=1, keepdims=True))
