@@ -1,7 +1,9 @@
 import zlib
 
+import numpy as np
 import pytest
 
+import corpus_pipeline
 from tidebar.llm import language, mixing
 
 SF = "/root/testdata/sf0.01"
@@ -31,6 +33,30 @@ def test_mixtures_and_edges(spark, docs_of):
     assert language.train(docs.limit(0))[0] == []
 
 
+def test_texts_in_no_language_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names, logp = language.train(docs)
+    junk = ["dwtgm lqucav ltalsf yxaaoyj fkaflm ggflhav oqezwd iss zxqvjk", "Orz+tviEstwvjPOqWtlOP72AqUDxXBzH1XJ9EGOFnK4AdaD2W5", "日本語の文章です。" * 3]
+    d = spark.createDataFrame(list(enumerate([*junk, "x", "The", "A."])), "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in language.identify(d, names, logp).collect()}
+    assert [got[i] for i in range(3)] == ["und"] * 3 and all(got[i] in names for i in range(3, 6))
+    assert language.identify(docs.where("lang IS NOT NULL AND text RLIKE '[A-Za-z]'"), names, logp).where("lang_pred = 'und'").count() == 0
+
+
+def test_pipeline_keeps_documents_where_no_language_is_learned(spark, docs_of):
+    docs = docs_of([(1, "a few words", None, "s", 0), (2, "12", None, "s", 0)])
+    assert corpus_pipeline.known_language(spark, docs, SF).count() == 2
+
+
+def test_rare_languages_are_learned(spark, docs_of):
+    docs = docs_of([(i, "the cat sat", "en", "s", 0) for i in range(2000)] + [(5000 + i, "el gato duerme", "es", "s", 0) for i in range(3)])
+    names, logp = language.train(docs, 50)
+    assert names == ["en", "es"]
+    grams = 0.5 * np.exp(-logp.min(axis=1)) - 0.5 * language.BINS
+    learned = grams / [language.ngram_counts(t).sum() for t in ("the cat sat", "el gato duerme")]
+    assert 20 < learned[0] < 100 and learned[1] == pytest.approx(3)
+
+
 def fill(sizes, weights, cap):
     total, target, open_ = sum(sizes), [0.0] * len(sizes), set(range(len(sizes)))
     while open_:

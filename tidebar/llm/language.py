@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table
 
-#: Feature bins: byte 1- to 3-grams hashed; the training sample's bound in documents; EM's iterations.
+#: Feature bins: byte 1- to 3-grams hashed; the training sample's bound in documents a language; EM's iterations.
 BINS, SAMPLE, ITERATIONS = 1 << 14, 6000, 30
+#: A text is in no language when the background is likelier than its languages, their price counted, by odds of 1,000 to 1
+#: (on the scale of `mixture`: twice the log, n-grams overlapping threefold), so that a letter or two decide nothing.
+ODDS = 3 * 2 * math.log(1000)
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
@@ -37,13 +40,13 @@ def ngram_counts(text: str) -> np.ndarray:
 def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """(languages, log-probabilities by language and bin) of docs with text and lang.
 
-    The fit takes a bounded sample: the documents whose hash of doc_id falls below sample / all labelled documents.
-    The counts are summed by Spark before they reach the driver: languages x BINS numbers at most.
+    The fit takes a bounded sample of each language, however rare it is: the documents whose hash of doc_id falls below
+    sample / all documents of the language. The counts are summed by Spark before they reach the driver: languages x BINS numbers at most.
     """
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    total = labelled.count()
-    if total > sample:
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 30)) < int((1 << 30) * sample / total))
+    totals = labelled.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_total"))
+    labelled = labelled.join(F.broadcast(totals), F.col("lang") == F.col("_lang"))
+    labelled = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 30)) < F.lit((1 << 30) * sample) / F.col("_total"))
     small_batches(docs.sparkSession)
 
     def count(batches):
@@ -110,27 +113,53 @@ def mixture(counts: np.ndarray, logp: np.ndarray) -> np.ndarray:
     return out
 
 
+def background(logp: np.ndarray) -> np.ndarray:
+    """Log-probabilities by bin of text in no language: half of it bytes that follow each other independently, as often
+    as in the languages together, half of it n-grams of any bytes at all."""
+    byte = np.array([32, *range(97, 123), *range(128, 256)], np.uint32)
+    own = byte * np.uint32(61) % np.uint32(BINS)
+    one = np.exp(logp[:, own]).mean(axis=0)
+    one /= one.sum()
+    out, g, p = np.bincount(own, one, BINS), byte, one
+    for _ in range(2):
+        g = (g[:, None] * np.uint32(256) + byte).ravel()
+        p = (p[:, None] * one).ravel()
+        out += np.bincount((g * np.uint32(2654435761)) >> np.uint32(32 - 14), p, BINS)
+    return np.log(0.5 * out / out.sum() + 0.5 / BINS)
+
+
+def gain(counts: np.ndarray, logp: np.ndarray, weights: np.ndarray, none: np.ndarray) -> float:
+    """Twice the log-likelihood of the languages' mixture over that of the background."""
+    at, live = np.flatnonzero(counts), np.flatnonzero(weights)
+    return 2 * float(counts[at] @ (np.log(weights[live] @ np.exp(logp[np.ix_(live, at)])) - none[at]))
+
+
 def identify(docs: DataFrame, languages: list[str], logp: np.ndarray) -> DataFrame:
     """docs with lang_pred (largest proportion; the first language by name on a tie), score (that proportion) and lang_mix.
 
-    Null text, text without a letter, or a model without languages: `und`, score 0, no mix. Every text is read whole,
+    Null text, text without a letter, text that the background fits better than the mixture (by ODDS), or a model without
+    languages: `und`, score 0, no mix. Every text is read whole,
     every input column stays (lang_pred, score and lang_mix are replaced), repeated rows give repeated results.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.drop("lang_pred", "score", "lang_mix")
-    model = spark.sparkContext.broadcast((languages, logp))
+    model = spark.sparkContext.broadcast((languages, logp, background(logp) if languages else None))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def predict(batches):
-        names, lp = model.value
+        names, lp, none = model.value
         for b in batches:
             found = []
             for text in b.column(b.schema.get_field_index("text")).to_pylist():
                 if not names or text is None or not _LETTER.search(text):
                     found.append(("und", 0.0, ""))
                     continue
-                w = mixture(ngram_counts(text), lp)
+                c = ngram_counts(text)
+                w = mixture(c, lp)
+                if gain(c, lp, w, none) - 3 * math.log(c.sum()) * np.count_nonzero(w) < -ODDS:
+                    found.append(("und", 0.0, ""))
+                    continue
                 k = int(w.argmax())
                 found.append((names[k], float(min(1.0, w[k])), ",".join(f"{names[i]}:{w[i]:.2f}" for i in np.flatnonzero(w >= 0.005))))
             cols = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.string()))]
