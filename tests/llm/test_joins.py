@@ -173,6 +173,26 @@ def test_leaks_equal_brute_force(spark):
     assert decontaminate.judged(d.limit(0), q).count() == 0 and decontaminate.judged(d, q.limit(0)).where("contaminated").count() == 0
 
 
+def test_masks_meet_every_accepted_stretch():
+    for n in range(decontaminate.SPAN, decontaminate.STRETCH + 1):
+        masks = [m for m, (least, most) in zip(decontaminate.MASKS, decontaminate.SERVES) if n >= least and n <= (most or n)]
+        fits = [{i + p for p in m} for m in masks for i in range(n - max(m))]
+        for wrong in combinations(range(n), next(e for e in range(n, -1, -1) if (n - e) / n >= decontaminate.SHARE)):
+            assert any(f.isdisjoint(wrong) for f in fits), (n, wrong)
+
+
+def test_every_edit_of_short_items_and_exact_items_below_the_span(spark):
+    item = [f"w{i}" for i in range(10)]
+    edits = [" ".join("zz" if i in e else w for i, w in enumerate(item)) for e in combinations(range(10), 2)]
+    items = spark.createDataFrame([(1, " ".join(item)), (2, "one two three four five"), (3, "alone"), (4, ""), (5, None)], "item_id long, text string")
+    docs = list(enumerate(edits)) + [(100, "so One, two three four five!"), (101, "one two three four six"), (102, "alone"), (103, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r["items"], r.best_share) for r in decontaminate.judged(d, items, short=True).collect()}
+    assert all(got[i] == ([1], 0.8) for i in range(len(edits)))
+    assert [got[i] for i in (100, 101, 102, 103)] == [([2], 1.0), ([], 0.0), ([3], 1.0), ([], 0.0)]
+    assert [r.doc_id for r in decontaminate.clean(d, items, short=True).orderBy("doc_id").collect()] == [101, 103]
+
+
 def test_shuffled_and_broadcast_agree(spark, monkeypatch):
     a = sorted(map(tuple, decontaminate.op3_spaced_seeds(spark, "/root/testdata/sf0.001").select("doc_id", "items").collect()))
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Places of a mask that count; the others may hold any word. Each mask reads five words.
-MASKS = ((0, 1, 2, 3, 5), (0, 1, 3, 4, 6))
+#: Places of a mask that count; the others may hold any word. By enumeration, whatever words differ: the first two meet
+#: every stretch of 15 words or more that SHARE accepts, all three every one of SPAN or more (a test enumerates them).
+MASKS = ((0, 1, 2, 4, 5), (0, 1, 2, 3, 4), (0, 1, 2, 3))
+#: Fewest and most words of the items that a mask serves; words of the shortest item that masks serve.
+SERVES = ((7, None), (7, None), (7, 14))
 SPAN = 7
 #: A stretch of this many words of an item (all of a shorter item) with this share of equal words is a leak.
 STRETCH, SHARE = 20, 0.8
@@ -29,48 +32,81 @@ def word_codes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seed_hashes(codes: Column) -> Column:
-    """One hash for each mask and place: mask 0 at every place, then mask 1, and so on; empty below SPAN words."""
-    last = F.size(codes) - SPAN
+def _places(size: Column, mask) -> Column:
+    return F.greatest(size - max(mask), F.lit(0))
 
-    def under(k: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.lit(k), *[F.get(codes, i + p) for p in MASKS[k]]))
 
-    each = [under(k) for k in range(len(MASKS))]
-    return F.when(last >= 0, F.concat(*each)).otherwise(F.array().cast("array<bigint>"))
+def seed_hashes(codes: Column, masks=MASKS) -> Column:
+    """One hash for each mask and place where it fits: the first mask at every place, then the next, and so on."""
 
+    def under(mask) -> Column:
+        name = F.lit(",".join(map(str, mask)))
+        places = F.sequence(F.lit(0), _places(F.size(codes), mask) - 1)
+        own = F.transform(places, lambda i: F.xxhash64(name, *[F.get(codes, i + p) for p in mask]))
+        return F.when(F.size(codes) > max(mask), own).otherwise(F.array().cast("array<bigint>"))
 
-def _seeded(df: DataFrame, *keep: str) -> DataFrame:
-    """(keep, h, at) of a frame with the column codes: seed hashes and the places they begin at."""
-    d = df.select(*keep, "codes").withColumn("span", F.size("codes") - (SPAN - 1)).withColumn("hs", _once(F.col("codes"), seed_hashes))
+    return F.concat(*[under(m) for m in masks])
+
+
+def _seeded(df: DataFrame, *keep: str, masks=MASKS) -> DataFrame:
+    """(keep, mask, h, at) of a frame with the column codes: seed hashes, their masks' numbers and the places they begin at."""
+    d = df.select(*keep, "codes").withColumn("size", F.size("codes")).withColumn("hs", _once(F.col("codes"), lambda c: seed_hashes(c, masks)))
     # The outer form keeps the optimizer from filtering on a second evaluation of hs; its null hashes join nothing.
-    return d.select(*keep, "span", F.posexplode_outer("hs").alias("i", "h")).select(*keep, "h", (F.col("i") % F.col("span")).alias("at"))
+    d = d.select(*keep, "size", F.posexplode_outer("hs").alias("i", "h"))
+    begin, mask, at = F.lit(0), F.lit(0), F.col("i")
+    for k, m in enumerate(masks[:-1], 1):
+        begin = begin + _places(F.col("size"), m)
+        mask, at = F.when(F.col("i") >= begin, k).otherwise(mask), F.when(F.col("i") >= begin, F.col("i") - begin).otherwise(at)
+    return d.select(*keep, mask.alias("mask"), "h", at.alias("at"))
 
 
 def benchmark_codes(items: DataFrame) -> DataFrame:
-    """(item_id, codes) of the items long enough to be hashed; items below SPAN words are too common to be leaks."""
+    """(item_id, codes) of the items long enough for the masks."""
     return items.select(F.col("item_id").cast("long"), word_codes(F.col("text")).alias("codes")).where(F.size("codes") >= SPAN)
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+def _exact(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(key, item_id, share 1.0) of the documents that hold the whole word sequence of an item below SPAN words."""
+    short = items.select(F.col("item_id").cast("long"), word_codes(F.col("text")).alias("codes")).withColumn("n", F.size("codes")).where((F.col("n") > 0) & (F.col("n") < SPAN))
+    none = docs.select("key", F.lit(0).cast("long").alias("item_id"), F.lit(1.0).alias("share")).limit(0)
+    runs = {r.n: tuple(range(r.n)) for r in short.select("n").distinct().collect()}
+    for n, run in sorted(runs.items()):
+        own = short.where(F.col("n") == n).select("item_id", _once(F.col("codes"), lambda c: seed_hashes(c, (run,)))[0].alias("h"))
+        few = own.count() <= BROADCAST_ROWS
+        at = _seeded(docs.select("key", word_codes(F.col("text")).alias("codes")), "key", masks=(run,)).select("key", "h")
+        none = none.unionByName(at.join(F.broadcast(own) if few else own, "h").select("key", "item_id", F.lit(1.0).alias("share")).distinct())
+    return none
+
+
+def leaks(docs: DataFrame, items: DataFrame, short: bool = False) -> DataFrame:
     """(key, item_id, share) for each document row (by its key) and item it holds a stretch of.
 
     Hashes of every place of every whole text meet the items' hashes (broadcast while few, else shuffled); the hits of
-    a document, at most a few a place, are brought together by diagonal, and along each the words are compared.
+    a document, at most a few a place, are brought together by diagonal, and along each the words are compared. With
+    short, items below SPAN words are looked up too, exactly.
     """
     tests = benchmark_codes(items)
-    seeds = _seeded(tests, "item_id").withColumnRenamed("at", "item_at")
+    least = tests.agg(F.min(F.size("codes"))).first()[0] or SPAN
+    # Masks that serve no item of the benchmark are left out of the documents' hashes.
+    served = [(m, most) for m, (_, most) in zip(MASKS, SERVES) if most is None or least <= most]
+    masks = tuple(m for m, _ in served)
+    seeds = _seeded(tests.withColumn("n", F.size("codes")), "item_id", "n", masks=masks)
+    for k, (_, most) in enumerate(served):
+        if most is not None:
+            seeds = seeds.where((F.col("mask") != k) | (F.col("n") <= most))
+    seeds = seeds.select("item_id", "h", F.col("at").alias("item_at"))
     # The benchmark's hashes are counted first: only a proven small side is broadcast.
     few = seeds.count() <= BROADCAST_ROWS
     coded = docs.select("key", word_codes(F.col("text")).alias("codes"))
-    hits = _seeded(coded, "key").join(F.broadcast(seeds) if few else seeds, "h")
+    hits = _seeded(coded, "key", masks=masks).join(F.broadcast(seeds) if few else seeds, "h")
     hits = hits.select("key", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
     hits = hits.join(F.broadcast(tests) if few else tests, "item_id").withColumnRenamed("codes", "item")
     # One row a hit; the text's words are coded again only in documents with hits.
     at = hits.join(docs.select("key", "text"), "key")
     best = _once(F.struct(word_codes(F.col("text")).alias("codes"), F.col("item").alias("item"), F.col("diagonal").alias("d")), _best_stretch)
     found = at.select("key", "item_id", best.alias("share")).groupBy("key", "item_id").agg(F.max("share").alias("share"))
-    return found.where(F.col("share") >= SHARE)
+    found = found.where(F.col("share") >= SHARE)
+    return found.unionByName(_exact(docs, items)) if short else found
 
 
 def _best_stretch(x: Column) -> Column:
@@ -92,24 +128,24 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("key", F.xxhash64("doc_id", "text"))
 
 
-def judged(docs: DataFrame, items: DataFrame) -> DataFrame:
+def judged(docs: DataFrame, items: DataFrame, short: bool = False) -> DataFrame:
     """(doc_id, contaminated, n_items, items, best_share) of every row of docs.
 
     Null or empty texts and empty benchmarks give clean rows, null items are skipped, repeated rows repeat.
     """
     d = keyed(docs.select("doc_id", "text"))
-    found = leaks(d, items).groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("share").alias("best_share"))
+    found = leaks(d, items, short).groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("share").alias("best_share"))
     out = d.select("doc_id", "key").join(found, "key", "left")
     n = F.coalesce(F.size("items"), F.lit(0)).cast("long")
     return out.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.when(F.col("items").isNull(), F.lit(0)).otherwise(n).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), F.coalesce("best_share", F.lit(0.0)).alias("best_share"))
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, short: bool = False) -> DataFrame:
     """The rows of docs without a leak, with all their columns."""
     d = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    found = leaks(d.select(F.col("_key").alias("key"), "text"), items).select(F.col("key").alias("_key")).distinct()
+    found = leaks(d.select(F.col("_key").alias("key"), "text"), items, short).select(F.col("key").alias("_key")).distinct()
     return d.join(found, "_key", "left_anti").select(*docs.columns)
 
 
 def op3_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short=True)
