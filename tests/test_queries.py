@@ -36,3 +36,15 @@ def same(got: pd.DataFrame, want: pd.DataFrame, name: str) -> None:
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     same(df.toPandas(), duck.execute(entry.oracle_sql()[name]).df(), name)
+
+
+def test_drained_streams_lie_in_files(spark, tmp_path):
+    from tidebar.plans.engine_queries import _drain
+
+    for i in range(3):
+        spark.range(10 * i, 10 * i + 10, 1, 1).write.parquet(f"{tmp_path}/in/{i}")
+    ids = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = _drain(ids, "ids", "append")
+    assert got.inputFiles() and sorted(r.id for r in got.collect()) == list(range(30))
+    counted = _drain(ids.groupBy((ids.id % 2).alias("odd")).count(), "counted", "complete")
+    assert counted.inputFiles() and sorted(map(tuple, counted.collect())) == [(0, 15), (1, 15)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -93,11 +94,23 @@ def _topk(spark, d):
 
 
 def _drain(stream, name: str, mode: str):
-    """The result of a stream over files that are all there, written as a table of this session."""
-    name = f"{name}_{uuid.uuid4().hex[:8]}"
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """The result of a stream over files that are all there, written as Parquet in the shared folder and read back.
+
+    A batch run again replaces what it wrote; in complete mode the last batch is the whole result."""
+    spark = stream.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tidebar-")
+    if "://" not in base and not base.startswith("file:"):
+        base = "file://" + base
+    path, done = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}", []
+
+    def keep(batch, i):
+        batch.write.mode("overwrite").parquet(f"{path}/rows/{i}")
+        done.append(i)
+
+    run = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return stream.sparkSession.table(name)
+    parts = sorted(set(done))
+    return spark.read.schema(stream.schema).parquet(*[f"{path}/rows/{i}" for i in (parts[-1:] if mode == "complete" else parts)]) if parts else spark.createDataFrame([], stream.schema)
 
 
 def _stream_ticks(spark, d):
