@@ -66,9 +66,11 @@ def family():
 @pytest.mark.parametrize("k,t", [(4, 85), (5, 80)])
 @pytest.mark.parametrize("small", [12, 1])
 def test_classes_equal_brute_force(spark, family, k, t, small, monkeypatch):
-    keep = jaccard.links
-    monkeypatch.setattr(jaccard, "links", lambda d, s, k, t: keep(d, s, k, t, small=small))
-    monkeypatch.setattr(jaccard, "BLOCK", 5 if small == 1 else jaccard.BLOCK)
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    if small == 1:  # everything goes through the block comparison, in blocks and column groups of a few
+        monkeypatch.setattr(jaccard, "BLOCK", 5)
+        monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 300)
+        monkeypatch.setattr(jaccard, "COLUMNS", 7)
     d = spark.createDataFrame(family, "doc_id long, text string").selectExpr("doc_id", "text", "1 AS key", "'x' AS sid")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(d, k, t).collect()), key=str)
     assert got == brute(family, k, t)
@@ -102,14 +104,6 @@ def test_similar_sets_share_a_signature(cells, miss, t):
             assert len(np.intersect1d(rule.signatures(a), rule.signatures(b)))
 
 
-def test_filter_positions_are_sparks(spark):
-    from pyspark.sql import functions as F
-
-    d = spark.createDataFrame([(0,), (-5,), (2**62,)], "sid long")
-    for r in d.select("sid", F.xxhash64("sid", F.lit(1)).alias("x"), F.xxhash64("sid", F.lit(2)).alias("y")).collect():
-        assert (jaccard._xxh(r.sid, 1), jaccard._xxh(r.sid, 2)) == (r.x, r.y)
-
-
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(7, 7)]

@@ -43,10 +43,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds what an Arrow batch of whole texts can hold."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+def sliced(batches, rows: int = 1000, size: int = 8 << 20):
+    """The record batches cut into ones of at most `rows` rows and, as far as whole rows allow, about `size` bytes."""
+    for b in batches:
+        step = max(1, min(rows, b.num_rows * size // max(b.nbytes, 1)))
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)
 
 
 def word_count(col):

@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-import struct
 from bisect import bisect_right
 from itertools import combinations
 from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mix, small_batches, staged, table, text_shingles
+from .common import checkpointed, mix, sliced, staged, table, text_shingles
 
 #: Buckets up to this many sets compare all their pairs; larger ones compare with a pivot first.
 SMALL = 12
-#: Least cells of a sketch; words of the filter that finds the texts to compare; sets of a bucket that meet in one group.
-CELLS, FILTER_WORDS, BLOCK = 128, 1 << 18, 2048
-_SEEDS = 6
+#: Least cells of a sketch; words of the filter that finds the texts to compare.
+CELLS, FILTER_WORDS = 128, 1 << 18
+#: Most sets, and about the most shingles, of one side of a block comparison; shared shingles that it counts at a time.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 2048, 1 << 20, 4096
+#: Steps of size that a band spans (neighbours overlap in one of them); seeds tried before a set gives a signature of its band alone.
+BAND, _SEEDS = 5, 6
 
 
 class PartEnum:
@@ -34,7 +35,7 @@ class PartEnum:
     Sets that run out of parts also give the signatures of a further seed, as often as it takes.
     """
 
-    def __init__(self, threshold: int = 85, cells: int = 2, miss: int = 1):
+    def __init__(self, threshold: int = 85, cells: int = 3, miss: int = 1):
         self.t, self.cells, self.miss = threshold, cells, miss
         self.subsets = [np.array(s) for s in combinations(range(cells), cells - miss)]
         self.low, self.high, self.parts = [1], [1], [0]
@@ -54,7 +55,9 @@ class PartEnum:
             while self._partner(low + 1) <= top:
                 low += 1
             low = max(low, self.low[-1]) + 1
-            high = max(self._partner(self._partner(self._partner(low))), self._partner(low), low)
+            high = low
+            for _ in range(BAND):
+                high = max(self._partner(high), high)
             need, parts = self.need(high), 0
             while need:
                 parts += 1
@@ -122,48 +125,30 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, key, n_shingles, sid) of every row; sid names its set of k-word shingles and is null for an empty set."""
-    small_batches(docs.sparkSession)
+def expanded(docs: DataFrame, k: int, threshold: int) -> DataFrame:
+    """(at, sid, n) by one pass over the texts. With n: a row of docs, at is its key, sid names its set of n shingles of
+    k words (null if empty). Without n: at is a signature of set sid, given once a task however many copies it holds."""
 
     def run(batches):
-        for b in batches:
-            n, sid = [], []
-            for text in b.column(2).to_pylist():
+        rule, seen = PartEnum(threshold), set()
+        for b in sliced(batches):
+            n, sid, sigs, sids = [], [], [], []
+            for text in b.column(1).to_pylist():
                 h = text_shingles(text, k)
                 n.append(len(h))
                 sid.append(set_id(h) if len(h) else None)
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64())], ["doc_id", "key", "n_shingles", "sid"])
-
-    return keyed(docs).mapInArrow(run, "doc_id long, key long, n_shingles long, sid long")
-
-
-def signature_rows(docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """(sig, sid): the signatures of each distinct set, given once a task however many copies the task holds."""
-    small_batches(docs.sparkSession)
+                if len(h) and sid[-1] not in seen:
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    seen.add(sid[-1])
+                    sigs.append(rule.signatures(h).view(np.int64))
+                    sids.append(np.full(len(sigs[-1]), sid[-1], np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sid, pa.int64()), pa.array(n, pa.int64())], ["at", "sid", "n"])
+            if sigs:
+                at, own = np.concatenate(sigs), np.concatenate(sids)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own), pa.nulls(len(at), pa.int64())], ["at", "sid", "n"])
 
-    def run(batches):
-        rule, seen = PartEnum(threshold), set()
-        for b in batches:
-            sigs, sids, n = [], [], 0
-            for text in b.column(0).to_pylist():
-                h = text_shingles(text, k)
-                if not len(h) or (sid := set_id(h)) in seen:
-                    continue
-                if len(seen) > 500_000:
-                    seen.clear()
-                seen.add(sid)
-                s = rule.signatures(h)
-                sigs.append(s.view(np.int64))
-                sids.append(np.full(len(s), sid, np.int64))
-                n += len(s)
-                if n > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(sids))], ["sig", "sid"])
-                    sigs, sids, n = [], [], 0
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(sids))], ["sig", "sid"])
-
-    return docs.select("text").mapInArrow(run, "sig long, sid long")
+    return docs.select("key", "text").mapInArrow(run, "at long, sid long, n long")
 
 
 def _sketch(h: np.ndarray) -> bytes:
@@ -188,10 +173,13 @@ def _apart(a: bytes, b: bytes) -> int:
     return int(np.abs(_folded(a, cells) - _folded(b, cells)).sum())
 
 
-def _filter_bits(sids: DataFrame) -> np.ndarray:
-    """A Bloom filter of FILTER_WORDS 64-bit words over sid, summed by Spark; its size does not follow the data."""
-    bit = lambda k: F.pmod(F.xxhash64("sid", F.lit(k)), F.lit(FILTER_WORDS * 64))
-    bits = sids.select(F.explode(F.array(bit(1), bit(2))).alias("b")).select(F.floor(F.col("b") / 64).cast("long").alias("w"), F.expr("shiftleft(1L, int(b % 64))").alias("m"))
+def _places(key) -> list:
+    return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(FILTER_WORDS * 64)) for i in (1, 2)]
+
+
+def _filter_bits(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of FILTER_WORDS 64-bit words over key, summed by Spark; its size does not follow the data."""
+    bits = keys.select(F.explode(F.array(*_places("key"))).alias("b")).select(F.floor(F.col("b") / 64).cast("long").alias("w"), F.expr("shiftleft(1L, int(b % 64))").alias("m"))
     out = np.zeros(FILTER_WORDS, np.int64)
     words = bits.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()  # one job; FILTER_WORDS rows of 16 bytes at most
     out[words.column("w").to_numpy()] = words.column("m").to_numpy()
@@ -201,45 +189,37 @@ def _filter_bits(sids: DataFrame) -> np.ndarray:
 def involved(docs: DataFrame, sets: DataFrame, sids: DataFrame, k: int) -> DataFrame:
     """(sid, n, sketch, text) of the sets in sids, one text each, kept for the comparisons.
 
-    A filter of fixed size first passes over the rows of sets, so that only texts that may be wanted are shuffled; the
-    join that follows is exact."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    bits = spark.sparkContext.broadcast(_filter_bits(sids))
-    size = FILTER_WORDS * 64
+    A filter of fixed size over the keys of one row a set first passes over docs, so that only texts that may be wanted
+    are cut into shingles and shuffled; the join that follows is exact."""
+    one = checkpointed(sets.join(sids, "sid").groupBy("sid").agg(F.min(F.struct("key", "n")).alias("m")).select("sid", F.col("m.key").alias("key"), F.col("m.n").alias("n")))
+    bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(one))
 
     def run(batches):
         seen: set[int] = set()
         for b in batches:
-            out = []
-            for text in b.column(0).to_pylist():
-                h = text_shingles(text, k)
-                if not len(h) or (sid := set_id(h)) in seen:
-                    continue
-                at = [_xxh(sid, i) % size for i in (1, 2)]
-                if all(int(bits.value[i >> 6]) >> (i & 63) & 1 for i in at):
+            maybe = np.ones(b.num_rows, bool)
+            for i in (2, 3):
+                at = b.column(i).to_numpy()
+                maybe &= (bits.value[at >> 6] >> (at & 63) & 1).astype(bool)
+            for part in sliced([b.filter(pa.array(maybe))]):
+                out = []
+                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    if key in seen or not len(h := text_shingles(text, k)):
+                        continue
                     if len(seen) > 500_000:
                         seen.clear()
-                    seen.add(sid)
-                    out.append((sid, len(h), _sketch(h), text))
-            types = (pa.int64(), pa.int64(), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], ["sid", "n", "sketch", "text"])
-
-    found = docs.select("text").mapInArrow(run, "sid long, n long, sketch binary, text string")
-    found = found.join(sids, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("text").alias("text"))
-    return staged(found, "involved")
-
+                    seen.add(key)
+                    out.append((key, _sketch(h), text))
+                types = (pa.int64(), pa.binary(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], ["key", "sketch", "text"])
 
-def _xxh(value: int, seed: int) -> int:
-    """Spark's xxhash64(long, int): the second value hashed with the first's hash as its seed."""
-    first = xxhash.xxh64_intdigest(struct.pack("<q", value), 42)
-    low = xxhash.xxh64_intdigest(struct.pack("<i", seed), first)
-    return low - (1 << 64) if low >> 63 else low
+    found = docs.select("key", "text", *_places("key")).mapInArrow(run, "key long, sketch binary, text string")
+    found = found.groupBy("key").agg(F.first("sketch").alias("sketch"), F.first("text").alias("text")).join(one, "key")
+    return staged(found.select("sid", "n", "sketch", "text"), "involved")
 
 
 def verified(pairs: DataFrame, known: DataFrame, k: int, threshold: int) -> DataFrame:
     """The pairs (a, b) of set ids whose whole sets are similar. Sizes and sketches rule out most pairs before any text moves."""
-    small_batches(known.sparkSession, 250)
     brief = known.select("sid", "n", "sketch")
     p = pairs.join(brief.toDF("a", "na", "ka"), "a").join(brief.toDF("b", "nb", "kb"), "b")
 
@@ -264,7 +244,7 @@ def verified(pairs: DataFrame, known: DataFrame, k: int, threshold: int) -> Data
                 kept[sid] = text_shingles(text, k)
             return kept[sid]
 
-        for batch in batches:
+        for batch in sliced(batches, 250):
             out = []
             for a, b, ta, tb in zip(*[c.to_pylist() for c in batch.columns]):
                 x, y = of(a, ta), of(b, tb)
@@ -304,80 +284,109 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _all_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b): the pairs of each small bucket's sets that are not yet in one component."""
-    sets = rows.groupBy("sig").agg(F.array_sort(F.collect_set(F.struct("sid", "root"))).alias("s"))
-    pair = F.flatten(F.transform("s", lambda x, i: F.transform(F.filter(F.slice("s", i + 2, F.greatest(F.size("s") - i - 1, F.lit(0))), lambda y: y["root"] != x["root"]), lambda y: F.struct(x["sid"].alias("a"), y["sid"].alias("b")))))
+    """(a, b): the pairs of each small bucket's sets."""
+    sets = rows.groupBy("sig").agg(F.array_sort(F.collect_set("sid")).alias("s"))
+    pair = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     return sets.select(F.explode_outer(pair).alias("p")).where("p IS NOT NULL").select("p.a", "p.b")
 
 
-def _shared(rows: DataFrame, name: str) -> DataFrame:
-    """rows (sig, sid, root) of buckets with several components, with the bucket's least set (low, low_root) and size n; kept."""
-    w = Window.partitionBy("sig")
-    rows = rows.withColumns({"first": F.min(F.struct("sid", "root")).over(w), "r1": F.min("root").over(w), "r2": F.max("root").over(w), "n": F.count("*").over(w)})
-    return staged(rows.where("r1 <> r2").select("sig", "sid", "root", F.col("first.sid").alias("low"), F.col("first.root").alias("low_root"), "n"), name)
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows (sig, sid) of the buckets that lie in several components, with root, the component of sid."""
+    rows = rows.select("sig", "sid").distinct().join(roots, F.col("sid") == F.col("node"), "left").select("sig", "sid", F.coalesce("root", "sid").alias("root"))
+    several = rows.groupBy("sig").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min("sid").alias("low")).where("r1 <> r2")
+    return rows.join(several.select("sig", "low"), "sig")
 
 
-def _open_pairs(rows: DataFrame, known: DataFrame, roots: DataFrame, threshold: int, most: int) -> DataFrame:
-    """(a, b) of sets that share a bucket of rows, lie in different components and pass their sketches: the `most` nearest
-    partners of each set in a bucket, and (a, a) for a set with more of them; or all at 0.
+def _shareable(sets: DataFrame, k: int, threshold: int) -> DataFrame:
+    """Those of sets (sid, root, n, text) that can still link with a set of another component.
 
-    A bucket is compared in blocks of BLOCK sets, each pair of blocks a group of its own, so no group grows with the data."""
-    rows = rows.select("sig", "sid").distinct().join(roots, F.col("sid") == F.col("node"), "left").select("sig", "sid", F.coalesce("root", "sid").alias("root"))
-    several = rows.groupBy("sig").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("n")).where("r1 <> r2")
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    rows = rows.join(several.select("sig", blocks.alias("blocks")), "sig").join(known.select("sid", F.col("n").alias("size"), "sketch"), "sid")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
+    Shingles held by one component alone are no common ones, so a set of n shingles, u of them such, has at most n - u in
+    common with a set elsewhere; a link takes threshold % of n."""
+
+    def run(batches):
+        for b in sliced(batches, 250):
+            hs = [text_shingles(t, k) for t in b.column(2).to_pylist()]
+            size = [len(h) for h in hs]
+            own, root = (np.repeat(b.column(i).to_numpy(), size) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(own), pa.array(root)], ["h", "sid", "root"])
+
+    h = sets.select("sid", "root", "text").mapInArrow(run, "h long, sid long, root long")
+    w = F.struct(F.min("root").alias("r1"), F.max("root").alias("r2"))
+    common = h.groupBy("h").agg(w.alias("r")).where("r.r1 <> r.r2").select(F.col("h"))
+    known = h.join(common, "h").groupBy("sid").agg(F.count("*").alias("c"))
+    return sets.join(known, "sid").where(F.col("c") * 100 >= F.col("n") * threshold).drop("c")
+
+
+def _block_links(sets: DataFrame, k: int, threshold: int) -> DataFrame:
+    """(a, b): links between sets (cloud, sid, root, n, text) of different components of a cloud, enough of them to connect
+    whatever links connect, and no more than one a set and block.
+
+    Sets outside a cloud's largest component meet all of the cloud; those inside it need not meet each other. Both sides
+    come in blocks of bounded size, and a pair of blocks counts all its common shingles by products of 0/1 matrices."""
+    parts = sets.groupBy("cloud", "root").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    shape = parts.groupBy("cloud").agg(F.max(F.struct("m", "root", "s")).alias("top"), F.sum("m").alias("m"), F.sum("s").alias("s"))
+    blocks = lambda m, s: F.greatest(F.ceil(m / F.lit(BLOCK)), F.ceil(s / F.lit(BLOCK_SHINGLES)), F.lit(1)).cast("int")
+    shape = shape.select("cloud", F.col("top.root").alias("top"), blocks(F.col("m"), F.col("s")).alias("wide"), blocks(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s")).alias("deep"))
+    d = sets.join(shape, "cloud").withColumn("own", F.xxhash64("sid"))
+    base = d.withColumns({"x": F.explode(F.sequence(F.lit(0), F.col("deep") - 1)), "y": F.pmod("own", F.col("wide")).cast("int"), "probe": F.lit(False)})
+    probe = d.where("root <> top").withColumns({"x": F.pmod("own", F.col("deep")).cast("int"), "y": F.explode(F.sequence(F.lit(0), F.col("wide") - 1)), "probe": F.lit(True)})
 
     def compare(t: pa.Table) -> pa.Table:
-        sid, root, n = (t.column(c).to_numpy() for c in ("sid", "root", "size"))
-        own, fine = t.column("own").to_numpy(), t.column("sketch").to_pylist()
-        cells = min(map(len, fine))  # sizes of a bucket lie within a band, so little is folded
-        plain = np.array([255 not in x for x in fine])
-        sk = np.array([_folded(x, cells) for x in fine])
-        sk = sk.astype(np.uint8 if sk.max() < 256 else np.uint16)
-        left, right = np.flatnonzero(own == t.column("x")[0].as_py()), np.flatnonzero(own == t.column("y")[0].as_py())
-        sides, a, b = [(left, right)] if t.column("x")[0] == t.column("y")[0] else [(left, right), (right, left)], [], []
-        for these, those in sides:
-            other, size, away, known_ = sk[those], n[those], root[those], plain[those]
-            for i in these:
-                far = (np.maximum(other, sk[i]) - np.minimum(other, sk[i])).sum(axis=1, dtype=np.int64)
-                far = np.where(known_ & plain[i], far, 0)
-                ok = np.flatnonzero((away != root[i]) & _possible(far, size, n[i], threshold))
-                if most and len(ok) > most:
-                    ok = ok[np.lexsort((sid[those[ok]], far[ok]))[:most]]
-                    a.append(sid[i])  # a pair with itself tells that some are left out
-                    b.append(sid[i])
-                a += [sid[i]] * len(ok)
-                b += sid[those[ok]].tolist()
-        lo, hi = np.minimum(a, b).astype(np.int64), np.maximum(a, b).astype(np.int64)
-        return pa.table({"a": pa.array(lo, pa.int64()), "b": pa.array(hi, pa.int64())})
-
-    return rows.select("sig", "x", "y", "own", "sid", "root", "size", "sketch").groupBy("sig", "x", "y").applyInArrow(compare, "a long, b long").distinct()
-
-
-def links(docs: DataFrame, sets: DataFrame, k: int, threshold: int, small: int = SMALL) -> DataFrame:
-    """(node, root) of the components of all similar pairs of sets.
-
-    A pair inside one component adds nothing to them. Buckets of up to `small` sets compare all pairs; larger ones first
-    compare each set with the bucket's least one. Buckets that this leaves in several components then compare each set
-    with its nearest sets of other components, and go on with more of them until no pair is left out.
+        names, place = np.unique(t.column("sid").to_numpy(), return_inverse=True)
+        first = np.unique(place, return_index=True)[1]
+        text = t.column("text")
+        hs = [text_shingles(text[int(i)].as_py(), k) for i in first]
+        root, n = t.column("root").to_numpy()[first], np.array([len(h) for h in hs])
+        probe_ = t.column("probe").to_numpy(zero_copy_only=False)
+        left, right = np.unique(place[probe_]), np.unique(place[~probe_])
+        row = np.repeat(np.arange(len(hs)), n)
+        _, col, often = np.unique(np.concatenate(hs), return_inverse=True, return_counts=True)
+        row, col = row[often[col] > 1], (np.cumsum(often > 1) - 1)[col[often[col] > 1]]
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        common = np.zeros((len(left), len(right)), np.float32)
+        for begin in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+            lo, hi = np.searchsorted(col, (begin, begin + COLUMNS))
+            m = np.zeros((len(hs), COLUMNS), np.float32)
+            m[row[lo:hi], col[lo:hi] - begin] = 1
+            common += m[left] @ m[right].T
+        label, a, b = root.copy(), [], []
+        for i, c in zip(left, common.astype(np.int64)):
+            ok = right[100 * c >= threshold * (n[i] + n[right] - c)]
+            for j in ok[np.unique(label[ok], return_index=True)[1]]:
+                if label[i] != label[j]:
+                    a.append(names[i])
+                    b.append(names[j])
+                    label[label == label[j]] = label[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    cols = ["cloud", "x", "y", "probe", "sid", "root", "text"]
+    return base.select(*cols).unionByName(probe.select(*cols)).groupBy("cloud", "x", "y").applyInArrow(compare, "a long, b long")
+
+
+def links(rows: DataFrame, docs: DataFrame, sets: DataFrame, k: int, threshold: int) -> DataFrame:
+    """(node, root) of the components of all similar pairs of sets, from rows (sig, sid, low, many) of shared signatures.
+
+    A pair inside one component adds nothing to them. Buckets of up to SMALL sets compare all pairs; larger ones first
+    compare each set with the bucket's least one. Sets of large buckets that this leaves in several components, and that
+    hold enough shingles of other components to link with them, are then compared in blocks, cloud by cloud: the sets
+    that such buckets hold together.
     """
-    rows = _shared(signature_rows(docs, k, threshold).withColumn("root", F.col("sid")), "buckets")
     known = involved(docs, sets, rows.select("sid").distinct(), k)
-    large = rows.where(F.col("n") > small)
-    pairs = _all_pairs(rows.where(F.col("n") <= small)).unionByName(large.where("root <> low_root").select(F.col("low").alias("a"), F.col("sid").alias("b")))
-    found = staged(verified(pairs.distinct(), known, k, threshold).distinct(), "links")
-    roots = components(found)
-    for most in (16, 128, 0):
-        pairs = staged(_open_pairs(large, known, roots, threshold, most), "pairs")
-        new = staged(verified(pairs.where("a <> b"), known, k, threshold).distinct(), "links")
-        if not new.isEmpty():  # what is known already goes on as stars, so later rounds take few steps
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new))
-        if pairs.where("a = b").isEmpty():
-            break
-    return roots
+    large = rows.where(F.col("many") > SMALL)
+    pairs = _all_pairs(rows.where(F.col("many") <= SMALL)).unionByName(large.where("sid <> low").select(F.col("low").alias("a"), F.col("sid").alias("b")))
+    roots = components(verified(pairs.distinct(), known, k, threshold))
+    left = _rooted(large, roots)
+    some = left.select("sid", "root").distinct().join(known.select("sid", "n", "text"), "sid")
+    some = staged(_shareable(some, k, threshold), "open")
+    left = _rooted(large.join(some.select("sid"), "sid"), roots)
+    clouds = components(left.select(F.col("low").alias("a"), F.col("sid").alias("b")))
+    new = _block_links(some.join(clouds.select(F.col("node").alias("sid"), F.col("root").alias("cloud")), "sid"), k, threshold)
+    new = checkpointed(new)
+    if new.isEmpty():
+        return roots
+    # What is known already goes on as stars, so these steps are few.
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new))
 
 
 def classes(docs: DataFrame, k: int = 4, threshold: int = 85) -> DataFrame:
@@ -388,12 +397,17 @@ def classes(docs: DataFrame, k: int = 4, threshold: int = 85) -> DataFrame:
     component whatever their doc_id; a null doc_id is never the least unless there is no other. Other columns of docs
     are not read; an empty table gives no rows.
     """
-    sets = checkpointed(shingle_sets(docs, k))
-    roots = links(docs, sets, k, threshold)
-    s = sets.join(roots, F.col("sid") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "sid"))
+    docs = keyed(docs)
+    w = Window.partitionBy("at")
+    sig = lambda f: f(F.when(F.col("n").isNull(), F.col("sid"))).over(w)
+    rows = expanded(docs, k, threshold).withColumns({"low": sig(F.min), "high": sig(F.max), "many": sig(F.count)})
+    rows = staged(rows.where("n IS NOT NULL OR low <> high").select("at", "sid", "n", "low", "many"), "signatures")
+    sets = rows.where("n IS NOT NULL").groupBy(F.col("at").alias("key")).agg(F.first("sid").alias("sid"), F.first("n").alias("n"))
+    roots = links(rows.where("n IS NULL").select(F.col("at").alias("sig"), "sid", "low", "many"), docs, sets, k, threshold)
+    s = docs.select("doc_id", "key").join(sets, "key").join(roots, F.col("sid") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "sid"))
     least = s.where("comp IS NOT NULL").groupBy(F.col("comp").alias("c")).agg(F.min("doc_id").alias("least"))
     s = s.join(least, F.col("comp") == F.col("c"), "left")
-    return s.select("doc_id", "key", "n_shingles", "comp", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return s.select("doc_id", "key", F.col("n").alias("n_shingles"), "comp", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def representatives(docs: DataFrame, k: int, threshold: int) -> DataFrame:
@@ -404,4 +418,5 @@ def representatives(docs: DataFrame, k: int, threshold: int) -> DataFrame:
 
 
 def op4_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document, by 4-word shingles at 85 %; odd rows as in `classes`."""
     return classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import sliced, table
 
 #: Feature bins: byte 1- to 3-grams hashed; the training sample's bound in documents a language; EM's iterations.
 BINS, SAMPLE, ITERATIONS = 1 << 14, 6000, 30
@@ -47,11 +47,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
     totals = labelled.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_total"))
     labelled = labelled.join(F.broadcast(totals), F.col("lang") == F.col("_lang"))
     labelled = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 30)) < F.lit((1 << 30) * sample) / F.col("_total"))
-    small_batches(docs.sparkSession)
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in sliced(batches):
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 sums[lang] = sums.get(lang, 0) + ngram_counts(text)
         for lang, c in sums.items():
@@ -142,14 +141,13 @@ def identify(docs: DataFrame, languages: list[str], logp: np.ndarray) -> DataFra
     every input column stays (lang_pred, score and lang_mix are replaced), repeated rows give repeated results.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.drop("lang_pred", "score", "lang_mix")
     model = spark.sparkContext.broadcast((languages, logp, background(logp) if languages else None))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def predict(batches):
         names, lp, none = model.value
-        for b in batches:
+        for b in sliced(batches):
             found = []
             for text in b.column(b.schema.get_field_index("text")).to_pylist():
                 if not names or text is None or not _LETTER.search(text):

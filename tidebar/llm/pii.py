@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import sliced, table
 
 LABELS = ("email", "ip", "card", "phone")
 #: Coupling of a skip edge, posterior from which a span counts, least length of a key that leaves out a token's marks.
@@ -120,11 +120,10 @@ def learn(docs: DataFrame) -> dict:
     """Log-potentials counted over every document: label by token shape, and label after label within a document.
 
     Base spans label their tokens, all others are `none`. Spark sums the counts; the driver sees a few hundred shapes."""
-    small_batches(docs.sparkSession)
 
     def count(batches):
         sums: dict[tuple[str, int], int] = {}
-        for b in batches:
+        for b in sliced(batches):
             for text in b.column(0).to_pylist():
                 if not text or not _HINT.search(text):
                     continue
@@ -195,11 +194,10 @@ def find(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every whole text; null text is empty.
 
     Repeated rows and equal doc_ids give a row each, an empty table none, other columns are not read."""
-    small_batches(docs.sparkSession)
     names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             got = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 text = text or ""

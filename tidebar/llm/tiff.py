@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import sliced, table
 
 # TIFF 6.0 tags and compression numbers.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS_PER_STRIP, COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
@@ -179,10 +179,9 @@ def decode_pages(media: DataFrame) -> DataFrame:
 
     Null media give no row; a file that cannot be read, or can be read in part, gives its good pages and then a row with
     error and no pixels. Repeated rows repeat; other columns are not read."""
-    small_batches(media.sparkSession, 256)
 
     def read(batches):
-        for b in batches:
+        for b in sliced(batches, 256):
             for doc_id, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 got, page = [], -1
                 try:
@@ -215,10 +214,9 @@ def feature(samples: np.ndarray) -> str:
 
 def op9_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as a TIFF, read back page by page; the digest columns come from the pages' samples."""
-    small_batches(spark)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             got = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 n, _, stored = store_text(text)

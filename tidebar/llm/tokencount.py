@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import sliced, table
 
 SPACE = "▁"  # stands for a space at the start of a word
 
@@ -88,12 +88,11 @@ def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]]) -> DataFr
     once a task. Null or blank texts have no tokens; repeated rows repeat; an empty vocabulary makes every word one
     unknown piece."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def run(batches):
         counter = None
-        for b in batches:
+        for b in sliced(batches):
             counter = counter or Counter1(shared.value)
             got = [counter.text(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([round(g[1], 6) for g in got], pa.float64())], ["doc_id", "n_tokens", "score"])

@@ -12,6 +12,7 @@ import io
 import struct
 import uuid
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shared_dir, small_batches, table
+from .common import checkpointed, shared_dir, sliced, table
 
 # Fixed values of the zstandard seekable format.
 SKIP_IDS, SKIP_SEEK, SEEK_MAGIC = 0x184D2A51, 0x184D2A5E, 0x8F92EAB1
@@ -150,12 +151,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1)
     path, n_docs, n_tokens) count, so retried or speculative tasks leave no double documents. Null text is empty:
     its document holds end_id alone. An empty table gives an empty manifest. Other columns are not read.
     """
-    small_batches(docs.sparkSession)
     last = np.array([end_id], "<u4").tobytes()
 
     def write(batches):
         enc, w, tokens, no = None, None, 0, TaskContext.get().partitionId()
-        for b in batches:
+        for b in sliced(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if w is None:
                     enc = encoder(tokenizer)
@@ -207,9 +207,10 @@ def read_tokens(manifest: DataFrame, wanted: list[int] | None = None) -> DataFra
             for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 r = open_file(path)
                 starts = base + np.concatenate([[0], np.cumsum(r.plain // 4)])
-                got = [(d, int(starts[i]), int(r.plain[i] // 4), zlib.crc32(r.frame(i))) for i, d in enumerate(r.doc_ids) if pick is None or d in pick]
+                found = ((d, int(starts[i]), int(r.plain[i] // 4), zlib.crc32(r.frame(i))) for i, d in enumerate(r.doc_ids) if pick is None or d in pick)
+                while got := list(islice(found, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in range(4)], ["doc_id", "start", "n_tokens", "ids_crc32"])
                 r.file.close()
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in range(4)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number, so that tiny rows are not coalesced

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shared_dir, small_batches, table
+from .common import checkpointed, shared_dir, sliced, table
 
 #: Payloads below this many bytes are always stored.
 LEAST = 1000
@@ -74,11 +74,10 @@ def resolve(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 def write_warc(resolved: DataFrame, folder: str) -> DataFrame:
     """Writes an archive per partition; the manifest (path, n) names the files that count, also after retries."""
-    small_batches(resolved.sparkSession)
 
     def write(batches):
         out, n = None, 0
-        for b in batches:
+        for b in sliced(batches):
             for page_id, url, html, digest, size, refers in zip(*[c.to_pylist() for c in b.columns]):
                 if out is None:
                     uri = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
