@@ -18,7 +18,7 @@ SMALL = 12
 #: Least cells of a sketch; words of the filter that finds the texts to compare.
 CELLS, FILTER_WORDS = 128, 1 << 18
 #: Most sets, and about the most shingles, of one side of a block comparison; shared shingles that it counts at a time.
-BLOCK, BLOCK_SHINGLES, COLUMNS = 2048, 1 << 20, 4096
+BLOCK, BLOCK_SHINGLES, COLUMNS, SALT = 2048, 1 << 20, 4096, 32
 #: Steps of size that a band spans (neighbours overlap in one of them); seeds tried before a set gives a signature of its band alone.
 BAND, _SEEDS = 5, 6
 
@@ -327,7 +327,9 @@ def _block_links(sets: DataFrame, k: int, threshold: int) -> DataFrame:
     shape = parts.groupBy("cloud").agg(F.max(F.struct("m", "root", "s")).alias("top"), F.sum("m").alias("m"), F.sum("s").alias("s"))
     blocks = lambda m, s: F.greatest(F.ceil(m / F.lit(BLOCK)), F.ceil(s / F.lit(BLOCK_SHINGLES)), F.lit(1)).cast("int")
     shape = shape.select("cloud", F.col("top.root").alias("top"), blocks(F.col("m"), F.col("s")).alias("wide"), blocks(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s")).alias("deep"))
-    d = sets.join(shape, "cloud").withColumn("own", F.xxhash64("sid"))
+    # A cloud may hold a large share of the sets, so its figures meet them in SALT parts.
+    shape = shape.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    d = sets.withColumn("own", F.xxhash64("sid")).withColumn("part", F.pmod(F.shiftright("own", 32), F.lit(SALT)).cast("int")).join(shape, ["cloud", "part"])
     base = d.withColumns({"x": F.explode(F.sequence(F.lit(0), F.col("deep") - 1)), "y": F.pmod("own", F.col("wide")).cast("int"), "probe": F.lit(False)})
     probe = d.where("root <> top").withColumns({"x": F.pmod("own", F.col("deep")).cast("int"), "y": F.explode(F.sequence(F.lit(0), F.col("wide") - 1)), "probe": F.lit(True)})
 
