@@ -1,3 +1,5 @@
+import random
+
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer, models
@@ -74,3 +76,18 @@ def test_pipeline_stages(spark):
 def test_stages_take_empty_tables(spark, stage):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert corpus_pipeline.STAGES[stage][1](spark, empty, SF).count() == 0
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_keep_columns_of_any_name(spark, stage):
+    """Columns named like the stages' own, repeated rows, nulls and a very long text: all columns come back as they were."""
+    names = ["key", "_key", "row", "score", "lang_pred", "lang_mix", "sid", "times", "n", "more", "at", "h", "_total", "size", "a.b"]
+    rng = random.Random(3)
+    rows = [(i, " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(9)), "en" if i % 2 else "de", f"s{i % 3}", 1) for i in range(30)]
+    rows += [rows[3], rows[3], (None, None, None, None, None), (50, "", "en", "s1", 0), (51, "word " * 60_000, "en", "s0", 0)]
+    docs = spark.createDataFrame([(*r, *[7] * len(names)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names))
+    got = corpus_pipeline.STAGES[stage][1](spark, docs, SF)
+    assert got.columns == docs.columns
+    out = got.collect()
+    assert out and all(list(r)[5:] == [7] * len(names) for r in out)
+    assert {r.doc_id for r in out} <= {r[0] for r in rows}

@@ -18,11 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder URI under spark.checkpoint.dir; a temporary folder serves only where that is unset (tests)."""
+    """A fresh folder URI under spark.checkpoint.dir; where that is unset, a temporary folder on a local master, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidebar-")
         spark.sparkContext.setCheckpointDir(base)
     if "://" not in base and not base.startswith("file:"):
@@ -51,6 +53,11 @@ def sliced(batches, rows: int = 1000, size: int = 8 << 20):
             yield b.slice(i, step)
 
 
+def packed(docs: DataFrame, **named) -> DataFrame:
+    """docs as one struct column `row` beside named expressions over it, so that no column of docs can clash with them."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[x.alias(n) for n, x in named.items()])
+
+
 def word_count(col):
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
 

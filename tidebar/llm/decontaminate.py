@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import packed, table
 
 #: Places of a mask that count; the others may hold any word. By enumeration, whatever words differ: the first two meet
 #: every stretch of 15 words or more that SHARE accepts, all three every one of SPAN or more (a test enumerates them).
@@ -125,7 +125,7 @@ def _best_stretch(x: Column) -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("key", F.xxhash64("doc_id", "text"))
+    return docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
 
 
 def judged(docs: DataFrame, items: DataFrame, short: bool = False) -> DataFrame:
@@ -133,7 +133,7 @@ def judged(docs: DataFrame, items: DataFrame, short: bool = False) -> DataFrame:
 
     Null or empty texts and empty benchmarks give clean rows, null items are skipped, repeated rows repeat.
     """
-    d = keyed(docs.select("doc_id", "text"))
+    d = keyed(docs)
     found = leaks(d, items, short).groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("share").alias("best_share"))
     out = d.select("doc_id", "key").join(found, "key", "left")
     n = F.coalesce(F.size("items"), F.lit(0)).cast("long")
@@ -142,9 +142,9 @@ def judged(docs: DataFrame, items: DataFrame, short: bool = False) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, short: bool = False) -> DataFrame:
     """The rows of docs without a leak, with all their columns."""
-    d = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    found = leaks(d.select(F.col("_key").alias("key"), "text"), items, short).select(F.col("key").alias("_key")).distinct()
-    return d.join(found, "_key", "left_anti").select(*docs.columns)
+    d = packed(docs, key=F.xxhash64("doc_id", "text"))
+    found = leaks(keyed(docs), items, short).select("key").distinct()
+    return d.join(found, "key", "left_anti").select("row.*")
 
 
 def op3_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:

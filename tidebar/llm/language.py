@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import sliced, table
+from .common import packed, sliced, table
 
 #: Feature bins: byte 1- to 3-grams hashed; the training sample's bound in documents a language; EM's iterations.
 BINS, SAMPLE, ITERATIONS = 1 << 14, 6000, 30
 #: A text is in no language when the background is likelier than its languages, their price counted, by odds of 1,000 to 1
 #: (on the scale of `mixture`: twice the log, n-grams overlapping threefold), so that a letter or two decide nothing.
 ODDS = 3 * 2 * math.log(1000)
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
 _FOLD[[*range(0, 65), *range(91, 97), *range(123, 128)]] = 32
@@ -43,7 +45,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
     The fit takes a bounded sample of each language, however rare it is: the documents whose hash of doc_id falls below
     sample / all documents of the language. The counts are summed by Spark before they reach the driver: languages x BINS numbers at most.
     """
-    labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    labelled = docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
     totals = labelled.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_total"))
     labelled = labelled.join(F.broadcast(totals), F.col("lang") == F.col("_lang"))
     labelled = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 30)) < F.lit((1 << 30) * sample) / F.col("_total"))
@@ -133,37 +135,44 @@ def gain(counts: np.ndarray, logp: np.ndarray, weights: np.ndarray, none: np.nda
     return 2 * float(counts[at] @ (np.log(weights[live] @ np.exp(logp[np.ix_(live, at)])) - none[at]))
 
 
-def identify(docs: DataFrame, languages: list[str], logp: np.ndarray) -> DataFrame:
-    """docs with lang_pred (largest proportion; the first language by name on a tie), score (that proportion) and lang_mix.
+def identified(docs: DataFrame, languages: list[str], logp: np.ndarray, reject: bool = False) -> DataFrame:
+    """(row, lang_pred, score, lang_mix) of every row of docs: row holds its columns whatever their names; lang_pred is the
+    language of largest proportion (the first by name on a tie), score that proportion.
 
-    Null text, text without a letter, text that the background fits better than the mixture (by ODDS), or a model without
-    languages: `und`, score 0, no mix. Every text is read whole,
-    every input column stays (lang_pred, score and lang_mix are replaced), repeated rows give repeated results.
+    Null text, text without a letter or a model without languages: `und`, score 0, no mix. With reject, so is text that
+    the background fits better than the mixture (by ODDS). Every text is read whole, repeated rows give repeated results,
+    an empty table none.
     """
-    spark = docs.sparkSession
-    docs = docs.drop("lang_pred", "score", "lang_mix")
-    model = spark.sparkContext.broadcast((languages, logp, background(logp) if languages else None))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    model = docs.sparkSession.sparkContext.broadcast((languages, logp, background(logp) if languages else None))
+    d = packed(docs)
 
     def predict(batches):
         names, lp, none = model.value
         for b in sliced(batches):
             found = []
-            for text in b.column(b.schema.get_field_index("text")).to_pylist():
+            for text in pc.struct_field(b.column(0), "text").to_pylist():
                 if not names or text is None or not _LETTER.search(text):
                     found.append(("und", 0.0, ""))
                     continue
                 c = ngram_counts(text)
                 w = mixture(c, lp)
-                if gain(c, lp, w, none) - 3 * math.log(c.sum()) * np.count_nonzero(w) < -ODDS:
+                if reject and gain(c, lp, w, none) - 3 * math.log(c.sum()) * np.count_nonzero(w) < -ODDS:
                     found.append(("und", 0.0, ""))
                     continue
                 k = int(w.argmax())
                 found.append((names[k], float(min(1.0, w[k])), ",".join(f"{names[i]}:{w[i]:.2f}" for i in np.flatnonzero(w >= 0.005))))
             cols = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, "lang_pred", "score", "lang_mix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["row", "lang_pred", "score", "lang_mix"])
 
-    return docs.mapInArrow(predict, f"{fields}, lang_pred string, score double, lang_mix string")
+    schema = T.StructType([d.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_mix", T.StringType())])
+    return d.mapInArrow(predict, schema)
+
+
+def identify(docs: DataFrame, languages: list[str], logp: np.ndarray, reject: bool = False) -> DataFrame:
+    """docs with lang_pred, score and lang_mix of `identified`; columns of docs by these names are replaced."""
+    found = identified(docs, languages, logp, reject)
+    keep = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "lang_mix")]
+    return found.select(*keep, "lang_pred", "score", "lang_mix")
 
 
 def held_out():
@@ -172,6 +181,7 @@ def held_out():
 
 
 def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, lang_mix) of every document; only null or letterless text is `und` here."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     languages, logp = train(docs.where(~held_out()))
     found = identify(docs.select("doc_id", "text"), languages, logp)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table, word_count
+from .common import checkpointed, packed, table, word_count
 
-#: Weights of the sources in code-point order, repeated; the most epochs a source may give; hash buckets of a fractional epoch
-#: and how many of them are summed together first.
-WEIGHTS, MAX_EPOCHS, BUCKETS, COARSE = (5, 2, 1), 3, 1 << 14, 1 << 7
+#: Weights of the sources in code-point order, repeated; the most epochs a source may give; hash buckets of a fractional
+#: epoch; parts that a source's rows are dealt to when they meet its figures; prefixes that fill it.
+WEIGHTS, MAX_EPOCHS, BUCKETS, SALT, PASSES = (5, 2, 1), 3, 1 << 14, 32, 4
 
 
 def water_fill(sources: DataFrame, weights=WEIGHTS, cap: float = MAX_EPOCHS) -> DataFrame:
@@ -39,58 +41,110 @@ def water_fill(sources: DataFrame, weights=WEIGHTS, cap: float = MAX_EPOCHS) ->
     return s.select("source", "source_size", F.when(F.col("limit") <= F.col("level") * F.col("weight"), F.col("limit")).otherwise(F.col("level") * F.col("weight")).alias("target"))
 
 
+def _with_source(rows: DataFrame, figures: DataFrame) -> DataFrame:
+    """rows with the figures of their source, null included; a hot source is spread over SALT parts."""
+    f = figures.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))).withColumnRenamed("source", "_source")
+    r = rows.withColumn("_r", F.pmod(F.shiftright("h", 20), F.lit(SALT)).cast("int"))
+    return r.join(f, (F.col("_r") == F.col("_s")) & F.col("source").eqNullSafe(F.col("_source"))).drop("_r", "_s", "_source")
+
+
+def _prefix(rows: DataFrame, rooms: DataFrame) -> DataFrame:
+    """rows (source, h, b, key, size, n) with take: of the seeded order of each source's copies (n of a row) the longest
+    prefix of at most `room` words, as copies of each row; 0 <= take <= n.
+
+    The bucket where a prefix ends is the first whose running sum passes the room, whatever buckets are empty; running
+    sums go over BUCKETS numbers a source and, row by row, over that one bucket alone."""
+    words = F.col("n") * F.col("size")
+    sums = rows.groupBy("source", "b").agg(F.sum(words).alias("w"))
+    sums = sums.withColumn("upto", F.sum("w").over(Window.partitionBy("source").orderBy("b")))
+    ends = sums.join(rooms.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).where("upto > room")
+    ends = ends.groupBy("source").agg(F.min("b").alias("edge"), F.min_by(F.col("upto") - F.col("w"), "b").alias("have"))
+    ends = rooms.join(ends.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").select("source", "room", F.coalesce("edge", F.lit(BUCKETS)).alias("edge"), F.coalesce("have", F.lit(0)).alias("have"))
+    d = _with_source(rows, checkpointed(ends))
+    inside = Window.partitionBy("source").orderBy("h", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("room") - F.col("have") - F.coalesce(F.sum(words).over(inside), F.lit(0))
+    some = F.greatest(F.lit(0), F.least(F.col("n"), F.floor(left / F.col("size")))).cast("long")
+    within = d.where("b = edge").withColumn("take", some)
+    rest = d.where("b <> edge").withColumn("take", F.when(F.col("b") < F.col("edge"), F.col("n")).otherwise(F.lit(0)).cast("long"))
+    return within.unionByName(rest).select(*rows.columns, "take")
+
+
+def _filled(rows: DataFrame, rooms: DataFrame) -> DataFrame:
+    """(key, more): how many copies of which rows fill each source's room: the prefix of the seeded order; PASSES times or
+    until none fits, of what is left the prefix of the rows that still fit; then the one row that comes nearest, if
+    nearer than none."""
+    left, taken = rows.where("size > 0"), []
+    for turn in range(PASSES):
+        if turn:
+            left = checkpointed(_with_source(left, rooms).where("size <= room").drop("room"))
+            if left.isEmpty():
+                break
+        got = checkpointed(_prefix(left, rooms))
+        taken.append(got.select("key", "take").where("take > 0"))
+        spent = got.groupBy(F.col("source").alias("_source")).agg(F.sum(F.col("take") * F.col("size")).alias("spent"))
+        rooms = checkpointed(rooms.join(spent, F.col("source").eqNullSafe(F.col("_source")), "left").select("source", (F.col("room") - F.coalesce("spent", F.lit(0))).alias("room")))
+        left = got.where("take < n").withColumn("n", F.col("n") - F.col("take")).drop("take")
+    every = reduce(DataFrame.unionByName, taken).groupBy("key").agg(F.sum("take").alias("take"))
+    free = rows.where("size > 0").join(every, "key", "left").where("n > coalesce(take, 0)").drop("take")
+    away = F.abs(F.col("size") - F.col("room"))
+    last = _with_source(free, rooms).where(away < F.col("room")).groupBy("source").agg(F.min_by("key", F.struct(away, "h", "key")).alias("key")).select("key", F.lit(1).cast("long").alias("take"))
+    return every.unionByName(last).groupBy("key").agg(F.sum("take").alias("more"))
+
+
+def mix_counts(docs: DataFrame, weights=WEIGHTS, cap: float = MAX_EPOCHS, seed: int = 0) -> DataFrame:
+    """Per distinct row of docs (key, doc_id, source, size): n, how many rows it stands for; source_size; target; whole, how
+    often the mix takes each of them; more, how many of them it takes once more.
+
+    A source with target / source_size = whole + part gives every row `whole` times, and part * source_size words once
+    more: see `_filled`; a source of one row takes it or not, whichever is nearer. No task sees a source.
+    Rows without words are taken `whole` times; no row beyond the cap.
+    """
+    h = F.xxhash64("key", F.lit(seed))
+    rows = docs.groupBy("key", "doc_id", "source", "size").agg(F.count("*").alias("n"))
+    rows = checkpointed(rows.withColumns({"h": h, "b": F.pmod(h, F.lit(BUCKETS)).cast("int")}))
+    sources = water_fill(rows.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, cap)
+    epochs = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
+    sources = sources.withColumn("whole", F.least(F.floor(epochs + 1e-12), F.lit(int(cap))))
+    room = F.when(F.col("whole") < cap, F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))).otherwise(F.lit(0.0))
+    sources = checkpointed(sources.withColumn("room", room))
+    more = _filled(rows, sources.select("source", "room"))
+    return _with_source(rows, sources.drop("room", "weight")).join(more, "key", "left").select("key", "doc_id", "source", "size", "n", "source_size", "target", "whole", F.coalesce("more", F.lit(0)).alias("more"))
+
+
 def mix_plan(docs: DataFrame, weights=WEIGHTS, cap: float = MAX_EPOCHS, seed: int = 0) -> DataFrame:
     """Per row of docs (key, doc_id, source, size): source_size, target and times, how often the mix takes the row.
 
-    key tells rows apart (equal keys are repeated rows). A source with target / source_size = whole + part gives every
-    row `whole` times, and of the seeded order of its rows the longest prefix of at most part * source_size words once
-    more. Prefixes are found over sums by hash bucket, and row by row only inside the one bucket where they end, so no
-    task sees a source. Null sources are a source of their own, last; sizes of 0 take nothing. An empty table gives none.
+    key tells rows apart (equal keys are repeated rows, each counted). Null sources are a source of their own, last. An
+    empty table gives none.
     """
-    docs = docs.withColumn("_h", F.xxhash64("key", F.lit(seed))).withColumn("_b", F.pmod("_h", F.lit(BUCKETS)).cast("int"))
-    buckets = docs.groupBy("source", "_b").agg(F.sum("size").alias("n"))
-    sources = water_fill(buckets.groupBy("source").agg(F.sum("n").alias("source_size")), weights, cap)
-    epochs = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
-    sources = sources.withColumn("whole", F.least(F.floor(epochs + 1e-12), F.lit(int(cap)))).withColumn("extra", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
-    sources = checkpointed(sources)
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    # Running sums in two steps: over COARSE groups of buckets a source, then inside each group.
-    buckets = buckets.withColumn("_c", F.floor(F.col("_b") / COARSE))
-    coarse = buckets.groupBy("source", "_c").agg(F.sum("n").alias("cn"))
-    before = F.sum("cn").over(Window.partitionBy("source").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1))
-    coarse = coarse.select(F.col("source").alias("cs"), F.col("_c").alias("cc"), F.coalesce(before, F.lit(0)).alias("before"))
-    ends = buckets.join(coarse, F.col("source").eqNullSafe(F.col("cs")) & (F.col("_c") == F.col("cc")))
-    ends = ends.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("source", "_c").orderBy("_b"))).select("source", "_b", "n", "upto")
-    ends = ends.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).where(F.col("upto") <= F.col("extra"))
-    ends = ends.groupBy("source").agg(F.max("_b").alias("last"), F.max("upto").alias("have"))
-    ends = sources.join(ends, same(sources, ends), "left").select(sources["*"], F.coalesce("last", F.lit(-1)).alias("last"), F.coalesce("have", F.lit(0)).alias("have"))
-    # sources join on a salted key: whatever the number of sources, a hot one is spread over SALT parts.
-    salt = 32
-    ends = checkpointed(ends).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))).withColumnRenamed("source", "s")
-    d = docs.withColumn("_s", F.pmod("_h", F.lit(salt * BUCKETS)).cast("int") % salt)
-    d = d.join(ends, (d["_s"] == ends["_s"]) & d["source"].eqNullSafe(ends["s"])).drop(ends["_s"])
-    edge = F.col("_b") == F.col("last") + 1
-    inside = Window.partitionBy("source", F.when(edge, F.lit(0)).otherwise(F.col("_h"))).orderBy("_h", "key", "size").rowsBetween(Window.unboundedPreceding, 0)
-    within = d.where(edge).withColumn("_run", F.sum("size").over(inside) + F.col("have"))
-    taken = within.select("key", "doc_id", "source", "size", "source_size", "target", (F.col("whole") + (F.col("_run") <= F.col("extra")).cast("long")).alias("times"))
-    rest = d.where(~edge).select("key", "doc_id", "source", "size", "source_size", "target", (F.col("whole") + (F.col("_b") <= F.col("last")).cast("long")).alias("times"))
-    return taken.unionByName(rest)
+    c = mix_counts(docs, weights, cap, seed).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return c.select("key", "doc_id", "source", "size", "source_size", "target", (F.col("whole") + (F.col("i") <= F.col("more")).cast("long")).alias("times"))
+
+
+def _key():
+    return F.xxhash64("doc_id", "text", "source")
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, source, size): one row per row of docs, the words of its whole text counted once and kept."""
-    return checkpointed(docs.select(F.xxhash64("doc_id", "text", "source").alias("key"), "doc_id", "source", word_count(F.col("text")).alias("size")))
+    """(key, doc_id, source, size) of every row of docs, the words of its whole text counted (null: 0)."""
+    return docs.select(_key().alias("key"), "doc_id", "source", word_count(F.col("text")).alias("size"))
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, times) of every document; odd rows as in `mix_counts` and `mix_plan`."""
     plan = mix_plan(sized(table(spark, sf_dir, "documents")))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), "times")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """docs with every row repeated as often as the mix takes it; rows taken 0 times go."""
-    cols = docs.columns
-    plan = mix_plan(sized(docs)).groupBy("key").agg(F.max("times").alias("_times"))
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text", "source"))
-    out = keyed.join(plan, keyed["_key"] == plan["key"]).where(F.col("_times") > 0)
-    return out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*cols)
+    """docs with every row repeated as often as the mix takes it; rows taken 0 times go.
+
+    Columns of docs may have any names. Rows that repeat doc_id, text and source share what is left of an epoch: if it
+    takes only some of them once more, one of them stands for those copies."""
+    plan = mix_counts(sized(docs)).select("key", "n", F.col("whole").cast("int").alias("whole"), F.col("more").cast("int").alias("more")).where("whole > 0 OR more > 0")
+    d = packed(docs, key=_key()).join(plan, "key")
+    even = d.where("more = 0 OR more = n").withColumn("times", F.col("whole") + (F.col("more") > 0).cast("int"))
+    some = d.where("more > 0 AND more < n")
+    extra = some.groupBy("key").agg(F.first("row").alias("row"), F.first("more").alias("times"))
+    every = even.select("row", "times").unionByName(some.select("row", F.col("whole").alias("times"))).unionByName(extra.select("row", "times"))
+    return every.where("times > 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
