@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebar.functions import series as s
-from tidebar.operators import analog, backtest, candles, events, forecast, indicators, ledger, recurrence, signals
+from tidebar.operators import analog, backtest, candles, events, forecast, indicators, ledger, levels, recurrence, signals  # noqa: F401  levels registers its indicators
 from tidebar.sources.bars import CANDLE, read_csv, to_ms
 from tidebar.streaming import bars as streams
 
@@ -77,10 +77,12 @@ def test_signals_do_not_look_ahead(twins):
 def test_short_and_empty_inputs(spark, twins):
     two = twins.where("ts < 2 * 86400000 AND symbol = 'A'")
     for key, spec in indicators.REGISTRY.items():
-        if key in ("obv", "ad", "vwap", "psar", "linreg_channel", "candle_patterns"):
+        if key in ("obv", "ad", "vwap", "psar", "linreg_channel", "candle_patterns", "volume_profile"):
             continue
         assert all(v is None for row in values(indicators.compute(two, key), *spec.outputs) for v in row), key
         assert indicators.compute(two.limit(0), key).count() == 0
+    profile = lambda n: values(indicators.compute(twins.where(f"ts < {n} * 86400000 AND symbol = 'A'"), "volume_profile"), "poc")
+    assert profile(1) == [(None,)] and all(v[0] is not None for v in profile(2))  # answers from two bars on
 
 
 def test_settings():
@@ -199,7 +201,16 @@ def test_forecast_measures(spark):
 
 def test_dtw_and_shapes(spark, twins):
     a, b = np.array([0, 0, 1, 2, 1, 0, 0, 0.0]), np.array([0, 0, 0, 1, 2, 1, 0, 0.0])
-    assert analog._dtw(a, a, 0.15) == 0.0 and analog._dtw(a, b, 0.15) < np.sqrt(((a - b) ** 2).mean())
+    assert analog._dtw(a[None], a[None], 0.15)[0] == 0.0 and analog._dtw(a[None], b[None], 0.15)[0] < np.sqrt(((a - b) ** 2).mean())
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(5, 12)), rng.normal(size=(5, 12))
+    for k, got in enumerate(analog._dtw(x, y, 0.2)):
+        cost = np.full((13, 13), np.inf)
+        cost[0, 0] = 0
+        for i in range(1, 13):
+            for j in range(max(1, i - 2), min(12, i + 2) + 1):
+                cost[i, j] = (x[k, i - 1] - y[k, j - 1]) ** 2 + min(cost[i - 1, j], cost[i, j - 1], cost[i - 1, j - 1])
+        assert got == pytest.approx(np.sqrt(cost[12, 12] / 12))
     flat = spark.createDataFrame([([7.0, 7.0, 7.0],)], "v array<double>").select(analog.znorm(F.col("v")).alias("z")).first().z
     assert flat == [0.0, 0.0, 0.0]
     got = analog.search(twins.where("symbol = 'A'"), 24, 10, 60, 8).collect()
@@ -208,13 +219,13 @@ def test_dtw_and_shapes(spark, twins):
 
 
 def test_tick_folding():
-    bar, rows = None, []
-    for ts, price, v in ((0, 100, 1), (10, 105, 2), (20, 95, 3)):
-        bar, rows = streams.fold_tick(bar, ts, price, v, 60_000)
-    assert rows == [(0, 100, 105, 95, 95, 6, False)]
-    bar, rows = streams.fold_tick(bar, 60_001, 97, 1, 60_000)
-    assert [r[0] for r in rows] == [0, 60_000] and rows[0][-1] is True
-    assert streams.fold_tick(bar, 5, 1, 1, 60_000) == (bar, [])
+    ticks = lambda *rows: pd.DataFrame(rows, columns=["ts", "price", "volume"])
+    fold = lambda bar, *rows: (lambda b, out: (b, [tuple(r) for r in out.itertuples(index=False)]))(*streams.fold_ticks(bar, ticks(*rows), 60_000))
+    bar, rows = fold(None, (0, 100.0, 1.0), (10, 105.0, 2.0), (20, 95.0, 3.0))
+    assert rows == [(0, 100, 100, 100, 100, 1, False), (0, 100, 105, 100, 105, 3, False), (0, 100, 105, 95, 95, 6, False)]
+    bar, rows = fold(bar, (60_001, 97.0, 1.0), (7, 1.0, 1.0), (60_002, 99.0, 2.0), (180_000, 5.0, 1.0))
+    assert rows == [(0, 100, 105, 95, 95, 6, True), (60_000, 97, 97, 97, 97, 1, False), (60_000, 97, 99, 97, 99, 3, False), (60_000, 97, 99, 97, 99, 3, True), (180_000, 5, 5, 5, 5, 1, False)]
+    assert fold(bar, (5, 1.0, 1.0)) == (bar, [])
 
 
 def test_alert_fires_once(spark, tmp_path):
@@ -233,6 +244,14 @@ def test_position_plans(spark):
     a, b, c = ledger.plan_from_band(d).collect()
     assert a.stop == pytest.approx(95) and [(round(t.price, 6), t.portion) for t in a.targets] == [(106.0, 0.5), (112.0, 0.5)] and a.risk_pct == pytest.approx(5)
     assert [(round(t.price, 6), t.portion) for t in b.targets] == [(112.0, 1.0)] and c.stop is None
+    same = spark.createDataFrame([(100.0, -5.0, 6.0, 6.0), (100.0, -5.0, 6.0, None)], "entry double, low double, high double, expected double")
+    one, two = ledger.plan_from_band(same).collect()
+    assert [(t.price, t.portion) for t in one.targets] == [(106.0, 0.5), (106.0, 0.5)] and [(t.price, t.portion) for t in two.targets] == [(106.0, 1.0)]
+    atr = spark.createDataFrame([(100.0, 0.02), (100.0, 0.0), (100.0, None)], "entry double, atr_pct double")
+    x, y, z = ledger.plan_from_atr(atr).collect()
+    assert (x.stop, [(t.price, t.portion) for t in x.targets], x.risk_pct) == (97.0, [(103.0, 0.5), (106.0, 0.5)], 3.0) and y.stop is None and z.targets is None
+    pos = spark.createDataFrame([(100.0, [(105.0, 1), (110.0, 1), (120.0, None)], 110.0), (100.0, [(105.0, None)], 105.0)], "entry double, targets array<struct<price:double,hit_at:long>>, hit double")
+    assert sorted(r.x for r in pos.select(ledger.trail_to(F.col("entry"), F.col("targets"), F.col("hit")).alias("x")).collect()) == [100.0, 105.0]
 
 
 def test_one_shuffle_for_many_windows(twins):
@@ -250,7 +269,7 @@ def test_spread_buckets_are_not_ntile(spark):
     from tidebar.operators import crosssection
 
     p = spark.createDataFrame([(f"S{i:02d}", 0, float(i), 1.0) for i in range(12)], "symbol string, ts long, f double, y double")
-    assert [r.n for r in crosssection.spread(p, "f", "y").orderBy("bucket").collect()] == [3, 4, 5]
+    assert [r.n for r in crosssection.spread(p, {"f": 1.0}, "y").orderBy("bucket").collect()] == [3, 4, 5]
     assert pd.notna(crosssection.spearman(p.withColumn("y", F.col("f")), "f", "y").first().ic)
 
 
@@ -277,3 +296,73 @@ def test_volume_profile_and_levels_cross_model(spark, twins):
     r = indicators.compute(twins.where("symbol = 'A'"), "support_resistance").first()
     assert [r[f"level{i + 1}"] for i in range(6)] == pytest.approx([np.mean(c) for c in want])
     assert len(indicators.REGISTRY) == 35
+
+
+def test_places_and_quantiles(spark):
+    from tidebar.functions.places import places, quantiles
+
+    rng = np.random.default_rng(2)
+    rows = [(g, float(v)) for g, n in (("a", 300), ("b", 7), ("c", 1)) for v in rng.integers(0, 40, n)] + [("a", 5.0)] * 400 + [("b", None)]
+    d = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    known = pd.DataFrame(rows, columns=["g", "v"]).dropna()
+    for r in quantiles(d, ["g"], "v", [0.0, 0.1, 0.5, 0.97, 1.0]).collect():
+        assert r.quantile == pytest.approx(known[known.g == r.g].v.quantile(r.q))
+    assert [r.quantile for r in quantiles(d, [], "v", [0.25]).collect()] == [pytest.approx(known.v.quantile(0.25))]
+    p = places(d.where("v IS NOT NULL"), ["g"], ["v"]).orderBy("g", "place").collect()
+    assert [r.v for r in p] == sorted(known[known.g == "a"].v) + sorted(known[known.g == "b"].v) + sorted(known[known.g == "c"].v)
+    assert all(r.total == len(known[known.g == r.g]) for r in p) and quantiles(d.limit(0), ["g"], "v", [0.5]).count() == 0
+
+
+def test_detector_golden(spark):
+    """Hand-made bars of 100 with a known event each: gap severity, breaks that rest, a calm before a volatility jump."""
+    n = 200
+    rows = [("A", i * DAY, 100.0, 100.5 + 0.001 * (i % 7), 99.5 - 0.001 * (i % 5), 100.0 + 0.01 * (i % 3), 10.0 + i % 4, True) for i in range(n)]
+    rows[170] = ("A", 170 * DAY, 102.0, 103.0, 101.5, 102.0, 10.0, True)  # gap of about 2 % and a new high
+    rows[175] = ("A", 175 * DAY, 100.0, 104.0, 99.5, 100.0, 10.0, True)  # a higher high within the rest: not counted
+    rows[180] = ("A", 180 * DAY, 100.0, 100.5, 99.6, 100.0, 60.0, True)
+    got = {(r.ts // DAY, r.kind): r.severity for r in events.detect(spark.createDataFrame(rows, CANDLE)).collect()}
+    assert got[(170, "gap")] == pytest.approx((102.0 / rows[169][5] - 1) / 0.05) and got[(170, "new_high")] == 0.5
+    assert (175, "new_high") not in got and got[(180, "volume")] == pytest.approx(min(1, 60 / np.mean([r[6] for r in rows[161:181]]) / 6))
+    assert got[(170, "spike")] == pytest.approx((102.0 / rows[169][5] - 1) / 0.15)
+    assert events.detect(spark.createDataFrame(rows[:64], CANDLE)).count() == 0
+
+
+def test_labels_pay_the_close_of_the_hit_bar(spark):
+    from tidebar.operators import ranges
+
+    bars = [("A", i, 100.0, 101.0, 99.5, c, 1.0, True, 2.0) for i, c in enumerate((100.0, 100.5, 103.0, 100.0, 97.5, 100.0))]
+    bars[2] = ("A", 2, 100.0, 104.5, 99.5, 103.0, 1.0, True, 2.0)
+    d = spark.createDataFrame(bars, "symbol string, ts long, open double, high double, low double, close double, volume double, closed boolean, w double")
+    first = values(ranges.triple_barrier(d, "w", 3), "label", "hit_bars", "ret")[0]
+    assert first == (1.0, 2.0, pytest.approx(0.03))
+    none = values(ranges.triple_barrier(d.withColumn("w", F.lit(0.0)), "w", 3), "label")
+    assert all(x == (None,) for x in none)
+
+
+def test_calendar_golden(spark):
+    from tidebar.operators import context
+
+    ts = int(pd.Timestamp("2024-11-15T12:00:00Z").timestamp() * 1000)
+    r = context.calendar(spark.createDataFrame([("A", ts)], "symbol string, ts long")).first()
+    assert r.month_cos == pytest.approx(np.cos(2 * np.pi * 11 / 12)) and r.quarter_sin == pytest.approx(0.0, abs=1e-12)
+    assert r.quarter_progress == pytest.approx(45.5 / 92) and r.month_progress == pytest.approx(14 / 29) and (r.asia, r.europe, r.us) == (0.0, 1.0, 0.0)
+
+
+def test_measures_without_trades_and_short_symbols(spark):
+    rows = [("A", i, 10.0, 10.0, 10.0, 10.0 + 0.1 * i, 1.0, True, 0) for i in range(40)] + [("B", i, 10.0, 10.0, 10.0, 10.0, 1.0, True, 1) for i in range(6)]
+    d = spark.createDataFrame(rows, "symbol string, ts long, open double, high double, low double, close double, volume double, closed boolean, decision int")
+    a, b = backtest.metrics(backtest.positions(d, "decision", warmup=10), warmup=10).orderBy("symbol").collect()
+    assert (a.trades, a.win_rate, a.avg_win, a.payoff, a.profit_factor, a.sharpe) == (0, 0.0, 0.0, None, None, None)
+    assert a.buy_hold == pytest.approx(13.9 / 11.0 - 1) and (b.trades, b.total_return, b.buy_hold) == (0, 0.0, 0.0)
+
+
+def test_situation_axes(spark, twins):
+    from tidebar.operators import context
+
+    assert len(context.AXES) == 28 and sum(context.weights().values()) == pytest.approx(6.9)
+    got = context.situation(twins).where("symbol = 'A'").orderBy("ts").toPandas()
+    assert got[context.AXES].iloc[-1].notna().all() and got[context.AXES].abs().max().max() <= 1.0 + 1e-9
+    short = context.situation(twins.where("ts < 29L * 86400000"))
+    assert all(v is None for r in short.collect() for v in list(r)[2:])
+    last = context.describe(twins).where("symbol = 'A'").first()
+    assert set(last.axes) == set(context.AXES) and last.volatility in (0.0, 1.0, 2.0)

@@ -29,18 +29,20 @@ def windows(bars: DataFrame, length: int, horizon: int) -> DataFrame:
     return df.select("symbol", "ts", "bar", "bars", znorm(F.col("_c")).alias("shape"), path.alias("path"))
 
 
-def _dtw(a: np.ndarray, b: np.ndarray, band: float) -> float:
-    """Root of the least squared cost of a warping path within the band, over the longer length."""
-    n, m = len(a), len(b)
+def _dtw(a: np.ndarray, b: np.ndarray, band: float) -> np.ndarray:
+    """Of each row of a and b, the root of the least squared cost of a warping path within the band, over the longer length.
+
+    The cells of the band are gone through once; each step works on all rows."""
+    n, m = a.shape[1], b.shape[1]
     width = max(1, round(band * max(n, m)), abs(n - m))
-    prev = np.full(m + 1, np.inf)
+    prev = np.full((m + 1, len(a)), np.inf)
     prev[0] = 0.0
     for i in range(1, n + 1):
-        cur = np.full(m + 1, np.inf)
+        cur = np.full_like(prev, np.inf)
         for j in range(max(1, i - width), min(m, i + width) + 1):
-            cur[j] = (a[i - 1] - b[j - 1]) ** 2 + min(prev[j], cur[j - 1], prev[j - 1])
+            cur[j] = (a[:, i - 1] - b[:, j - 1]) ** 2 + np.minimum(np.minimum(prev[j], cur[j - 1]), prev[j - 1])
         prev = cur
-    return float(np.sqrt(prev[m] / max(n, m)))
+    return np.sqrt(prev[m] / max(n, m))
 
 
 def search(bars: DataFrame, length: int = 48, horizon: int = 20, preselect: int = 400, top: int = 20, band: float = 0.15, exclude_recent: int = 0) -> DataFrame:
@@ -57,7 +59,8 @@ def search(bars: DataFrame, length: int = 48, horizon: int = 20, preselect: int
 
     def warp(batches):
         for b in batches:
-            d = [_dtw(np.asarray(x), np.asarray(y), band) for x, y in zip(b.column("shape").to_pylist(), b.column("q").to_pylist())]
+            shape, q = (b.column(c).flatten().to_numpy().reshape(-1, length) for c in ("shape", "q"))
+            d = _dtw(shape, q, band)
             keep = ["query", "symbol", "ts", "bar", "rms", "path"]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(d, pa.float64())], [*keep, "distance"])
 

@@ -19,16 +19,25 @@ def market_series(bars: DataFrame) -> DataFrame:
     return r.groupBy("ts").agg(F.percentile("ret", F.lit(0.5)).alias("market_ret"), F.count("*").alias("breadth"))
 
 
+BETA, SPANS = 120, (5, 20)
+
+
 def market_features(bars: DataFrame) -> DataFrame:
-    """market_ret_5, market_ret_20, rel_strength_5, rel_strength_20 and beta (120 bars, 60 at least) against the market series."""
+    """market_ret_5, market_ret_20, rel_strength_5, rel_strength_20, beta (120 bars, 60 at least) and market_vol (place of
+    the market's deviation over 120 bars among 240) against the market series.
+
+    All null for a symbol of fewer than 145 bars or with fewer than 120 bars that the market has a return for."""
     m = market_series(bars)
-    df = log_return(bars).join(m, "ts", "left").withColumn("market_ret", F.coalesce("market_ret", F.lit(0.0)))
-    for n in (5, 20):
+    df = log_return(bars).join(m, "ts", "left")
+    for n in SPANS:
         df = df.withColumn(f"_m{n}", s.rolling_sum("market_ret", n)).withColumn(f"_r{n}", s.rolling_sum("ret", n))
-    cov, var = F.covar_samp("ret", "market_ret").over(s.rows(120)), F.var_samp("market_ret").over(s.rows(120))
-    beta = F.when(F.count("ret").over(s.rows(120)) >= 60, ratio(cov, var))
-    out = {f"market_ret_{n}": F.tanh(F.col(f"_m{n}") / 0.05) for n in (5, 20)} | {f"rel_strength_{n}": F.tanh((F.col(f"_r{n}") - F.col(f"_m{n}")) / 0.05) for n in (5, 20)} | {"beta": F.tanh(beta - 1)}
-    return df.withColumns(out).select(*bars.columns, *out)
+    w, whole = s.rows(BETA), Window.partitionBy("symbol")
+    both = F.when(F.col("ret").isNotNull() & F.col("market_ret").isNotNull(), 1)
+    beta = F.when(F.count(both).over(w) >= BETA // 2, ratio(F.covar_samp("ret", "market_ret").over(w), F.var_samp("market_ret").over(w)))
+    df = df.withColumn("_mv", F.when(F.count("market_ret").over(w) >= BETA // 2, F.stddev_pop("market_ret").over(w)))
+    enough = (F.count("*").over(whole) >= BETA + max(SPANS) + 5) & (F.count("market_ret").over(whole) >= BETA)
+    out = {f"market_ret_{n}": F.tanh(F.col(f"_m{n}") / 0.05) for n in SPANS} | {f"rel_strength_{n}": F.tanh((F.col(f"_r{n}") - F.col(f"_m{n}")) / 0.03) for n in SPANS} | {"beta": F.tanh(beta - 1), "market_vol": s.rolling_rank("_mv", 2 * BETA, BETA) * 2 - 1}
+    return df.withColumns({k: F.when(enough, x) for k, x in out.items()}).select(*bars.columns, *out)
 
 
 def spearman(panel: DataFrame, factor: str, label: str, least: int = 5) -> DataFrame:
@@ -41,14 +50,27 @@ def spearman(panel: DataFrame, factor: str, label: str, least: int = 5) -> DataF
     return out.withColumn("ic", F.when(F.col("n") >= least, F.col("ic")))
 
 
-def measure(panel: DataFrame, factor: str, label: str, folds: int = 5) -> DataFrame:
-    """One row: ic (mean of fold means over equal spans of time), t, folds, usable (|ic| >= 0.01 and one sign in all folds)."""
+#: Least mean rank correlation of a usable factor, times it must be known at in all and in a fold, and folds.
+LEAST_IC, LEAST_TIMES, LEAST_IN_FOLD, LEAST_FOLDS = 0.01, 40, 10, 3
+
+
+def measure(panel: DataFrame, factor: str, label: str, horizon_ms: int, folds: int = 4) -> DataFrame:
+    """One row: ic, t, folds, coverage, usable, of a factor's rank correlations over purged folds of time.
+
+    ic is the mean of the fold means, t that of ic over the spread of all times. Usable: |ic| of 0.01 and one sign in all
+    of three folds or more. Below 40 times all is 0; below three folds ic is the mean over all times."""
+    from .forecast import time_folds
+
     ic = spearman(panel, factor, label).where("ic IS NOT NULL")
-    span = ic.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    ic = ic.join(F.broadcast(span)).withColumn("fold", F.least(F.floor((F.col("ts") - F.col("a")) * folds / (F.col("b") - F.col("a") + 1)), F.lit(folds - 1)))
-    per = ic.groupBy("fold").agg(F.avg("ic").alias("m"))
-    out = per.agg(F.avg("m").alias("ic"), ratio(F.avg("m") * F.sqrt(F.count("*").cast("double")), F.stddev_samp("m")).alias("t"), F.count("*").alias("folds"), (F.abs(F.sum(F.signum("m"))) == F.count("*")).alias("_same"))
-    return out.select("ic", "t", "folds", ((F.abs("ic") >= 0.01) & F.col("_same")).alias("usable"))
+    per = time_folds(ic, folds, horizon_ms).groupBy("fold").agg(F.count_if(F.col("part") == "train").alias("_a"), F.count_if(F.col("part") == "test").alias("_b"), F.avg(F.when(F.col("part") == "test", F.col("ic"))).alias("m"))
+    per = per.where(f"_a >= 200 AND _b >= 60 AND _b >= {LEAST_IN_FOLD}")
+    per = per.agg(F.avg("m").alias("m"), F.count("*").alias("folds"), F.coalesce(F.abs(F.sum(F.signum("m"))) == F.count("*"), F.lit(False)).alias("_same"))
+    whole = ic.agg(F.count("*").alias("n"), F.avg("ic").alias("_all"), F.stddev_samp("ic").alias("_sd"))
+    out = whole.join(F.broadcast(per))  # one row each
+    few, fold = F.col("n") < LEAST_TIMES, F.col("folds") >= LEAST_FOLDS
+    t = F.coalesce(ratio(F.col("m") * F.sqrt(F.col("n").cast("double")), F.col("_sd")), F.lit(0.0))
+    mean = F.when(few, 0.0).when(fold, F.col("m")).otherwise(F.col("_all"))
+    return out.select(mean.alias("ic"), F.when(~few & fold, t).otherwise(0.0).alias("t"), F.when(few, F.lit(0)).otherwise(F.col("folds")).cast("long").alias("folds"), F.col("n").alias("coverage"), F.coalesce(~few & fold & (F.abs("m") >= LEAST_IC) & F.col("_same"), F.lit(False)).alias("usable"))
 
 
 def score(panel: DataFrame, factors: dict[str, float]) -> DataFrame:
@@ -61,10 +83,20 @@ def score(panel: DataFrame, factors: dict[str, float]) -> DataFrame:
     return df.withColumn("score", sum((F.col(f"_z_{f}") for f in factors), F.lit(0.0)) / len(factors)).select(*panel.columns, "score")
 
 
-def spread(panel: DataFrame, factor: str, label: str, buckets: int = 3) -> DataFrame:
-    """(bucket, n, mean): label means by bucket of the factor's place at each ts, the first to come first on ties by symbol."""
-    p = panel.where(F.col(factor).isNotNull() & F.col(label).isNotNull())
-    order, at = Window.partitionBy("ts").orderBy(factor, "symbol"), Window.partitionBy("ts")
+def composite(panel: DataFrame, factors: dict[str, float]) -> DataFrame:
+    """panel with score: the mean of sign * cross-sectional z (sample deviation) over the factors that have one at ts."""
+    at = Window.partitionBy("ts")
+    z = {f"_z_{f}": ratio(F.col(f) - F.avg(f).over(at), F.stddev_samp(f).over(at)) * sign for f, sign in factors.items()}
+    df = panel.withColumns(z)
+    total = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in z), F.lit(0.0))
+    used = sum((F.col(c).isNotNull().cast("int") for c in z), F.lit(0))
+    return df.withColumn("score", ratio(total, used)).select(*panel.columns, "score")
+
+
+def spread(panel: DataFrame, factors: dict[str, float], label: str, buckets: int = 3) -> DataFrame:
+    """(bucket, n, mean): label means by bucket of the composite score's place at each ts, the first to come first on ties by symbol."""
+    p = composite(panel.where(F.col(label).isNotNull()), factors).where("score IS NOT NULL")
+    order, at = Window.partitionBy("ts").orderBy("score", "symbol"), Window.partitionBy("ts")
     place = F.row_number().over(order) / F.count("*").over(at)
     p = p.withColumn("bucket", F.least(F.floor(place * buckets), F.lit(buckets - 1)))
     return p.groupBy("bucket").agg(F.count("*").alias("n"), F.avg(label).alias("mean"))

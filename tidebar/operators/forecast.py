@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import series as s
+from ..functions.places import places, quantiles
 from ..functions.series import ratio
 
 #: Normal quantiles of the bands.
@@ -57,12 +58,11 @@ def time_folds(panel: DataFrame, folds: int, horizon_ms: int) -> DataFrame:
     return p.withColumn("part", part).where("part IS NOT NULL").drop("a", "b")
 
 
-def baselines(panel: DataFrame, y: str, folds: int, horizon_ms: int, quantiles=(0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
+def baselines(panel: DataFrame, y: str, folds: int, horizon_ms: int, levels=(0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
     """(fold, q, n, loss): pinball loss on each fold's test part of the unconditional quantile of its training part."""
     f = time_folds(panel.where(F.col(y).isNotNull()), folds, horizon_ms)
-    cut = f.where("part = 'train'").groupBy("fold").agg(F.percentile(y, F.array(*[F.lit(q) for q in quantiles])).alias("cuts"))
-    test = f.where("part = 'test'").join(F.broadcast(cut), "fold").select("fold", F.col(y).alias("y"), F.posexplode("cuts").alias("k", "cut"))
-    test = test.withColumn("q", F.get(F.array(*[F.lit(q) for q in quantiles]), F.col("k")))
+    cut = quantiles(f.where("part = 'train'"), ["fold"], y, list(levels))  # a row a fold and level
+    test = f.where("part = 'test'").select("fold", F.col(y).alias("y")).join(F.broadcast(cut.withColumnRenamed("quantile", "cut")), "fold")
     d = F.col("y") - F.col("cut")
     return test.groupBy("fold", "q").agg(F.count("*").alias("n"), F.avg(F.greatest(F.col("q") * d, (F.col("q") - 1) * d)).alias("loss"))
 
@@ -73,12 +73,12 @@ def conformal_margin(rows: DataFrame, y: str, low: str, high: str, target: float
     misses = rows.select(miss.alias("m")).where("m IS NOT NULL")
     size = misses.count()
     level = min(0.999, target * (1 + 1 / size)) if size else target
-    return misses.agg(F.greatest(F.lit(0.0), F.percentile("m", F.lit(level))).alias("margin"))
+    return quantiles(misses, [], "m", [level]).agg(F.max(F.greatest(F.lit(0.0), F.col("quantile"))).alias("margin"))
 
 
 def weighted_quantile(rows: DataFrame, by: list[str], value: str, weight: str, q: float) -> DataFrame:
     """by and quantile: values in order at (cumulative weight - weight / 2) / total, interpolated and clamped at the ends."""
-    w = Window.partitionBy(*by).orderBy(value)
+    w = Window.partitionBy(*by).orderBy(value, weight)  # ties by weight, so that any order of rows gives the same
     total = F.sum(weight).over(Window.partitionBy(*by))
     place = ratio(F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 0.5 * F.col(weight), total)
     p = rows.withColumn("_p", place)
@@ -119,7 +119,7 @@ def pbo(results: DataFrame, splits: int = 10) -> DataFrame:
     results: (t, candidate, value). Sums by block leave blocks x candidates rows, whatever the number of times."""
     if splits < 4 or splits % 2:
         raise ValueError("splits must be even, 4 at least")
-    order = results.select("t").distinct().withColumn("_i", F.row_number().over(Window.orderBy("t")) - 1)
+    order = places(results.select("t").distinct(), [], ["t"]).withColumnRenamed("place", "_i")
     n = order.count()
     size, more = divmod(n, splits)
     cut = more * (size + 1)
@@ -136,9 +136,19 @@ def pbo(results: DataFrame, splits: int = 10) -> DataFrame:
     return m.where("best = 1").agg(F.avg((share < 0.5).cast("double")).alias("pbo"))
 
 
+def survives(observed: float, trials: int, null_std: float, cushion: float = 1.0) -> bool:
+    """Whether a result stands out from the best of as many trials without skill, that times the cushion."""
+    return observed > cushion * expected_max(trials, null_std)
+
+
+def effective_n(rows: int, horizon: int) -> int:
+    """Independent rows among overlapping labels of `horizon` bars."""
+    return max(1, rows // max(1, horizon)) if rows > 0 else 0
+
+
 def block_shuffle(frame: DataFrame, columns: list[str], block: int, seed: int) -> DataFrame:
     """frame with the listed columns moved together by one seeded order of contiguous blocks; the others stay."""
-    base = frame.withColumn("_i", F.row_number().over(Window.orderBy("ts")) - 1)
-    moved = base.select("_i", *columns).withColumn("_b", F.floor(F.col("_i") / block))
-    moved = moved.withColumn("_j", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "_b"), "_b", "_i")) - 1)
+    base = places(frame, [], ["ts"]).withColumnRenamed("place", "_i")
+    moved = base.select("_i", *columns).withColumn("_b", F.floor(F.col("_i") / block)).withColumn("_h", F.xxhash64(F.lit(seed), "_b"))
+    moved = places(moved, [], ["_h", "_b", "_i"]).withColumnRenamed("place", "_j")
     return base.drop(*columns).join(moved.select(F.col("_j").alias("_i"), *columns), "_i").drop("_i").select(*frame.columns)

@@ -157,7 +157,7 @@ def bbands(df, length, mult):
     df = df.withColumns({"middle": s.sma("close", length), "_sd": s.stdev("close", length)})
     df = df.withColumns({"upper": F.col("middle") + mult * F.col("_sd"), "lower": F.col("middle") - mult * F.col("_sd")})
     width = F.col("upper") - F.col("lower")
-    return df.withColumns({"percent_b": ratio(C() - F.col("lower"), width), "bandwidth": 100 * ratio(width, F.col("middle"))})
+    return df.withColumns({"percent_b": ratio(C() - F.col("lower"), width), "bandwidth": ratio(width, F.col("middle"))})
 
 
 @indicator("donchian", "volatility", "upper middle lower", length=20)

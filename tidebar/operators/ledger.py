@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import series as s
+from ..functions.places import places
 from ..functions.series import ratio
 
 
@@ -18,11 +19,11 @@ def pick(forecasts: DataFrame, k: int = 3) -> DataFrame:
 
 
 def confidence(moves: DataFrame, move: str = "move") -> DataFrame:
-    """moves with confidence: low, mid or high by the thirds of |move| at each ts; mid below three values."""
+    """moves with confidence: low (below the first third of |move| at ts), high (above the second) or mid; mid below three values."""
     at = Window.partitionBy("ts")
     x = F.abs(move)
     df = moves.withColumns({"_lo": F.percentile(x, F.lit(1 / 3)).over(at), "_hi": F.percentile(x, F.lit(2 / 3)).over(at), "_n": F.count(move).over(at)})
-    label = F.when((F.col("_n") < 3) | F.col(move).isNull(), "mid").when(x <= F.col("_lo"), "low").when(x >= F.col("_hi"), "high").otherwise("mid")
+    label = F.when((F.col("_n") < 3) | F.col(move).isNull(), "mid").when(x < F.col("_lo"), "low").when(x > F.col("_hi"), "high").otherwise("mid")
     return df.withColumn("confidence", label).drop("_lo", "_hi", "_n")
 
 
@@ -46,16 +47,39 @@ def followup(fired: DataFrame, bars: DataFrame, steps=(1, 3, 7)) -> DataFrame:
     return got.withColumns({f"change_{n}": ratio(F.col(f"_x.c{n}"), F.col("price")) - 1 for n in steps}).drop("_x")
 
 
-def plan_from_band(entries: DataFrame) -> DataFrame:
-    """entries (entry, low, high, expected in percent) with stop, targets and risk_pct; no plan without a lower band or a target."""
+#: Share sold at a first target; multiples of ATR for the stop and both targets; least edge of a target over the entry.
+FIRST_PORTION, ATR_STOP, ATR_FIRST, ATR_SECOND, MIN_EDGE = 0.5, 1.5, 1.5, 3.0, 0.002
+
+
+def _plan(entries: DataFrame, stop: Column, first: Column, second: Column, given: Column) -> DataFrame:
+    """entries with stop, targets (price, portion) and risk_pct; null where no stop below the entry or no target is given."""
     e = F.col("entry")
-    stop = e * (1 + F.col("low") / 100)
-    far = lambda x: F.when(e * (1 + x / 100) > e * 1.002, e * (1 + x / 100))
-    targets = F.filter(F.array_distinct(F.array(far(F.col("expected")), far(F.col("high")))), lambda x: x.isNotNull())
-    df = entries.withColumn("_t", targets)
-    ok = (F.col("low") < 0) & (F.size("_t") > 0)
-    split = F.transform("_t", lambda x: F.struct(x.alias("price"), (1 / F.size("_t")).alias("portion")))
-    return df.withColumns({"stop": F.when(ok, stop), "targets": F.when(ok, split), "risk_pct": F.when(ok, (1 - stop / e) * 100)}).drop("_t")
+    far = lambda x, part: F.when(x > e * (1 + MIN_EDGE), F.struct(F.round(x, 8).alias("price"), F.lit(part).alias("portion")))
+    some = F.filter(F.array(far(first, FIRST_PORTION), far(second, 1 - FIRST_PORTION)), lambda x: x.isNotNull())
+    alone = F.transform("_t", lambda x: F.struct(x["price"].alias("price"), F.lit(1.0).alias("portion")))
+    df = entries.withColumns({"_t": some, "_s": F.when(given, stop)})
+    ok = (F.col("_s") < e) & (F.size("_t") > 0)
+    out = {"stop": F.round("_s", 8), "targets": F.when(F.size("_t") == 1, alone).otherwise(F.col("_t")), "risk_pct": F.round((1 - F.col("_s") / e) * 100, 2)}
+    return df.withColumns({k: F.when(ok, x) for k, x in out.items()}).drop("_t", "_s")
+
+
+def plan_from_band(entries: DataFrame) -> DataFrame:
+    """entries (entry, low, high, expected in percent) with a plan: stop at the lower end of the band, half out at the expected
+    price, half at the upper end. No plan without a lower end below the entry or a target; targets of one price both stay."""
+    at = lambda c: F.col("entry") * (1 + F.coalesce(F.col(c), F.lit(0.0)) / 100)
+    return _plan(entries, at("low"), at("expected"), at("high"), F.col("low") < 0)
+
+
+def plan_from_atr(entries: DataFrame) -> DataFrame:
+    """entries (entry, atr_pct, ATR over price) with a plan of 1.5 ATR down, 1.5 and 3 up; none without a positive ATR."""
+    at = lambda n: F.col("entry") * (1 + n * F.col("atr_pct"))
+    return _plan(entries, at(-ATR_STOP), at(ATR_FIRST), at(ATR_SECOND), F.col("atr_pct") > 0)
+
+
+def trail_to(entry: Column, targets: Column, hit: Column) -> Column:
+    """Where the stop goes when a target at price `hit` is met unsold: the entry, or the highest target met below it."""
+    met = F.filter(targets, lambda t: t["hit_at"].isNotNull() & (t["price"] < hit))
+    return F.greatest(entry, F.array_max(F.transform(met, lambda t: t["price"])))
 
 
 def record(positions: DataFrame) -> DataFrame:
@@ -67,10 +91,8 @@ def record(positions: DataFrame) -> DataFrame:
 
 def splits(verdicts: DataFrame, condition: str, hit: str, least: int = 30) -> DataFrame:
     """(bucket, n, rate, delta): hit rate by thirds of a condition (first to come first on ties), against the whole."""
-    v = verdicts.where(F.col(condition).isNotNull())
-    w = Window.orderBy(condition, "symbol", "ts")
-    n = v.count()
-    rank = F.row_number().over(w)
-    bucket = F.when(rank <= 1 + (n - 1) / 3, 0).when(rank <= 1 + 2 * (n - 1) / 3, 1).otherwise(2)
-    per = v.withColumn("bucket", bucket).groupBy("bucket").agg(F.count("*").alias("n"), F.avg(hit).alias("rate")).where(F.col("n") >= least)
-    return per.join(F.broadcast(v.agg(F.avg(hit).alias("_all")))).select("bucket", "n", "rate", (F.col("rate") - F.col("_all")).alias("delta"))
+    v = places(verdicts.where(F.col(condition).isNotNull()).select("symbol", "ts", F.col(condition).alias("_c"), F.col(hit).alias("_hit")), [], ["_c", "symbol", "ts"])
+    cut = lambda k: k * (F.col("total") - 1) / 3
+    bucket = F.when(F.col("place") <= cut(1), 0).when(F.col("place") <= cut(2), 1).otherwise(2)
+    per = v.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.avg("_hit").alias("rate")).where(F.col("n") >= least)
+    return per.join(F.broadcast(v.agg(F.avg("_hit").alias("_all")))).select("bucket", "n", "rate", (F.col("rate") - F.col("_all")).alias("delta"))

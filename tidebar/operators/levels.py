@@ -21,10 +21,10 @@ def volume_profile(df, bins, lookback, area):
     """Centre of the price bin of most volume and the edges of the bins around it that hold `area` of the volume.
 
     A bar's volume lies evenly on its range; bars without range or volume add nothing. Ties go to the lower bin, and
-    the area grows upwards on a tie."""
+    the area grows upwards on a tie. Null below two bars."""
     back = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))
     used = df.withColumn("_k", back).where(F.col("_k") <= lookback) if lookback else df
-    span = used.groupBy("symbol").agg(F.min("low").alias("a"), F.max("high").alias("b")).where("b > a")
+    span = used.groupBy("symbol").agg(F.min("low").alias("a"), F.max("high").alias("b"), F.count("*").alias("k")).where("b > a AND k > 1")
     width = (F.col("b") - F.col("a")) / bins
     at = lambda x: F.least(F.greatest(F.floor((x - F.col("a")) / width), F.lit(0)), F.lit(bins - 1)).cast("int")
     part = used.where("high > low AND volume > 0").join(span, "symbol").withColumn("bin", F.explode(F.sequence(at(F.col("low")), at(F.col("high")))))

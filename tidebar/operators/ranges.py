@@ -36,10 +36,10 @@ def range_volatility(bars: DataFrame, n: int = 20) -> DataFrame:
 
 
 def micro(bars: DataFrame) -> DataFrame:
-    """clv, signed_volume, pressure and wick_bias of each bar."""
-    df = bars.withColumns({"clv": clv(), "_v20": s.sma("volume", 20)})
+    """clv, signed_volume (against the mean of 20 bars, 5 at least), pressure (its mean over 10 bars, 3 at least) and wick_bias."""
+    df = bars.withColumns({"clv": clv(), "_v20": F.when(F.count("volume").over(s.rows(20)) >= 5, F.avg("volume").over(s.rows(20)))})
     df = df.withColumn("signed_volume", F.tanh(F.col("clv") * ratio(F.col("volume"), F.col("_v20"))))
-    recent = F.when(F.count("clv").over(s.rows(10)) >= 3, F.avg("clv").over(s.rows(10)))
+    recent = F.when(F.count("signed_volume").over(s.rows(10)) >= 3, F.avg("signed_volume").over(s.rows(10)))
     wicks = ratio((F.least("open", "close") - F.col("low")) - (F.col("high") - F.greatest("open", "close")), F.col("high") - F.col("low"))
     return df.withColumns({"pressure": F.tanh(3 * recent), "wick_bias": F.coalesce(wicks, F.lit(0.0))}).drop("_v20")
 
@@ -51,18 +51,18 @@ def forward_return(bars: DataFrame, h: int) -> DataFrame:
 
 def triple_barrier(bars: DataFrame, scale: str, h: int = 10, take: float = 2.0, stop: float = 1.0) -> DataFrame:
     """label 1, -1 or 0, hit_bars and ret: which of close + take * scale and close - stop * scale is met first within h
-    bars. A bar that meets both counts as stopped; without either, the close after h bars. Null for the last h bars."""
+    bars. A bar that meets both counts as stopped; without either, h bars pass. ret is that of the close of the bar that
+    was hit. Null for the last h bars and without a positive scale."""
     ahead = past().rowsBetween(1, h)
     up, down = F.col("close") + take * F.col(scale), F.col("close") - stop * F.col(scale)
-    df = bars.withColumns({"_h": F.collect_list("high").over(ahead), "_l": F.collect_list("low").over(ahead), "_end": s.lead("close", h), "_up": up, "_dn": down})
+    df = bars.withColumns({"_h": F.collect_list("high").over(ahead), "_c": F.collect_list("close").over(ahead), "_l": F.collect_list("low").over(ahead), "_end": s.lead("close", h), "_up": up, "_dn": down})
 
     def first(values, hit):
         return F.array_min(F.filter(F.transform(values, lambda v, i: F.when(hit(v), i + 1)), lambda i: i.isNotNull()))
 
     df = df.withColumns({"_tu": F.coalesce(first("_h", lambda v: v >= F.col("_up")), F.lit(h + 1)), "_td": F.coalesce(first("_l", lambda v: v <= F.col("_dn")), F.lit(h + 1))})
-    known = F.col("_end").isNotNull() & F.col(scale).isNotNull()
+    known = F.col("_end").isNotNull() & (F.col(scale) > 0)
     stopped, taken = (F.col("_td") <= F.col("_tu")) & (F.col("_td") <= h), (F.col("_tu") < F.col("_td")) & (F.col("_tu") <= h)
-    exit_ = F.when(stopped, F.col("_dn")).when(taken, F.col("_up")).otherwise(F.col("_end"))
     label = F.when(stopped, -1.0).when(taken, 1.0).otherwise(0.0)
-    bars_ = F.when(stopped, F.col("_td")).when(taken, F.col("_tu")).otherwise(F.lit(h)).cast("double")
-    return df.withColumns({"label": F.when(known, label), "hit_bars": F.when(known, bars_), "ret": F.when(known, ratio(exit_, F.col("close")) - 1)}).select(*bars.columns, "label", "hit_bars", "ret")
+    bars_ = F.when(stopped, F.col("_td")).when(taken, F.col("_tu")).otherwise(F.lit(h))
+    return df.withColumns({"label": F.when(known, label), "hit_bars": F.when(known, bars_).cast("double"), "ret": F.when(known, ratio(F.get("_c", bars_ - 1), F.col("close")) - 1)}).select(*bars.columns, "label", "hit_bars", "ret")

@@ -46,16 +46,15 @@ def recent(x: Column, n: int) -> Column:
 
 
 def prepared(bars: DataFrame) -> DataFrame:
-    """bars with every input of the rules, as columns that begin with _: windows, then one recurrence pass, then crossings."""
-    df = ind.compute(bars, "ichimoku").withColumnsRenamed({x: f"_{x}" for x in ("tenkan", "kijun", "span_a", "span_b")}).drop("chikou", "span_a_lead", "span_b_lead")
-    for key, outs in (("bbands", {"percent_b": "_pb"}), ("stoch", {"k": "_k", "d": "_d"}), ("cmf", {"cmf": "_cmf"}), ("swings", {"swing_high": "_sh", "swing_low": "_sl"})):
-        base = df.columns
-        df = ind.compute(df, key).select(*base, *[F.col(a).alias(b) for a, b in outs.items()])
-    df = ind.add_patterns(df).select(*df.columns, *[f"pat_{k}" for k in ind.PATTERNS])
+    """bars with every input of the rules, as columns that begin with _: one recurrence pass, then windows and crossings on one sort."""
     keep = {("macd", "macd"): "_macd", ("macd", "signal"): "_macds", ("macd", "hist"): "_hist", ("rsi", "rsi"): "_rsi", ("supertrend", "direction"): "_st", ("squeeze", "momentum"): "_mom", ("squeeze", "squeeze_on"): "_on", ("adx", "adx"): "_adx", ("adx", "plus_di"): "_pdi", ("adx", "minus_di"): "_mdi", ("fisher", "fisher"): "_fi", ("fisher", "trigger"): "_tr"}
     wanted = [(k, {}) for k in ("macd", "rsi", "supertrend", "squeeze", "adx", "fisher")] + [("ma", {"length": 20}), ("ma", {"length": 60})]
     lengths = iter(("_e20", "_e60"))
-    df = compute_all(df, wanted, lambda key, out: next(lengths) if key == "ma" else keep.get((key, out), f"_x_{key}_{out}"))
+    df = compute_all(bars, wanted, lambda key, out: next(lengths) if key == "ma" else keep.get((key, out), f"_x_{key}_{out}"))
+    for key, outs in (("ichimoku", {x: f"_{x}" for x in ("tenkan", "kijun", "span_a", "span_b")}), ("bbands", {"percent_b": "_pb"}), ("stoch", {"k": "_k", "d": "_d"}), ("cmf", {"cmf": "_cmf"}), ("swings", {"swing_high": "_sh", "swing_low": "_sl"})):
+        base = df.columns
+        df = ind.compute(df, key).select(*base, *[F.col(a).alias(b) for a, b in outs.items()])
+    df = ind.add_patterns(df).select(*df.columns, *[f"pat_{k}" for k in ind.PATTERNS])
     cross = {"tk": ("_tenkan", "_kijun"), "ma": ("_e20", "_e60"), "mc": ("_macd", "_macds"), "fc": ("_fi", "_tr"), "kd": ("_k", "_d")}
     df = df.withColumns({f"_{n}_{d}": s.crossed_up(*(p if d == "up" else p[::-1])) for n, p in cross.items() for d in ("up", "dn")})
     df = df.withColumns({f"_{n}_{d}": recent(c(f"{n}_{d}"), 3 if n in ("tk", "ma") else 2) for n in cross for d in ("up", "dn")})

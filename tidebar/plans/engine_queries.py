@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import series as s
 from ..operators import analog, backtest, forecast, ledger, ranges, signals
-from ..sources.bars import UNITS, bars_daily, bars_hourly, hourly_ticks
+from ..sources.bars import UNITS, bars_daily, bars_hourly
+from ..sources.shared import shared_dir
 from ..streaming import bars as streams
 from . import oracle as q
 from .indicator_queries import OHLCV, rounded
@@ -37,7 +35,7 @@ add(
     lambda spark, d: flat(forecast.project(bars_daily(spark, d), 10), ["symbol"], ["step", "mid", *BANDS], 4),
     rows(["symbol"], {"step": "step", "mid": "c * exp(mu * 0.3::DOUBLE * step)", **_z}, f"{LAST}, gg AS (SELECT symbol, arg_max(close, ts) AS c, avg(ret) AS mu, stddev_samp(ret) AS sd FROM ll WHERE k <= 200 GROUP BY symbol HAVING count(*) >= 30 AND stddev_samp(ret) > 0), ss AS (SELECT *, unnest(range(1, 11)) AS step FROM gg)||ss").replace(", 6) + 0.0", ", 4) + 0.0"),
 )
-add("monte_carlo", lambda spark, d: flat(forecast.monte_carlo(bars_daily(spark, d), 5, 500), ["symbol"], ["step", "p5", "p50", "p95", "prob_up", "mean"], 4))
+add("monte_carlo", lambda spark, d: flat(forecast.monte_carlo(bars_daily(spark, d), 20), ["symbol"], ["step", "p5", "p50", "p95", "prob_up", "mean"], 4))
 
 
 def _panel(spark, d):
@@ -59,7 +57,17 @@ add(
     lambda spark, d: flat(forecast.conformal_margin(_panel(spark, d).withColumns({"lo": F.lit(-0.02), "hi": F.lit(0.02)}), "fwd", "lo", "hi"), [], ["margin"]),
     rows([], {"margin": "greatest(0.0::DOUBLE, quantile_disc(m, 0.0) * 0 + (SELECT v[CAST(floor(p) AS INT) + 1] + (p - floor(p)) * (v[least(CAST(floor(p) AS INT) + 2, len(v))] - v[CAST(floor(p) AS INT) + 1]) FROM (SELECT list(m ORDER BY m) AS v, (count(*) - 1) * least(0.999::DOUBLE, 0.8::DOUBLE * (1 + 1.0::DOUBLE / count(*))) AS p FROM mi)))"}, f"{FOLDS}, mi AS (SELECT greatest(-0.02::DOUBLE - fwd, fwd - 0.02::DOUBLE) AS m FROM pv)||mi"),
 )
-add("weighted_quantile", lambda spark, d: flat(forecast.weighted_quantile(bars_daily(spark, d), ["symbol"], "close", "volume", 0.25), ["symbol"], ["quantile"], 4))
+add(
+    "weighted_quantile",
+    lambda spark, d: flat(forecast.weighted_quantile(bars_daily(spark, d), ["symbol"], "close", "volume", 0.25), ["symbol"], ["quantile"], 4),
+    rows(
+        ["symbol"],
+        {"quantile": "quantile"},
+        """wv AS (SELECT symbol, close AS v, volume AS w FROM bars), wp AS (SELECT *, (sum(w) OVER (PARTITION BY symbol ORDER BY v, w ROWS UNBOUNDED PRECEDING) - 0.5::DOUBLE * w) / sum(w) OVER (PARTITION BY symbol) AS p FROM wv),
+            wb AS (SELECT symbol, max(p) FILTER (WHERE p <= 0.25) AS p0, arg_max(v, p) FILTER (WHERE p <= 0.25) AS v0, min(p) FILTER (WHERE p > 0.25) AS p1, arg_min(v, p) FILTER (WHERE p > 0.25) AS v1 FROM wp GROUP BY symbol),
+            wq AS (SELECT symbol, CASE WHEN p0 IS NULL THEN v1 WHEN p1 IS NULL THEN v0 ELSE v0 + (0.25::DOUBLE - p0) * (v1 - v0) / (p1 - p0) END AS quantile FROM wb)||wq""",
+    ).replace(", 6) + 0.0", ", 4) + 0.0"),
+)
 
 
 def _grid(spark, d):
@@ -67,9 +75,23 @@ def _grid(spark, d):
     return p.where("fwd IS NOT NULL").select(F.col("ts").alias("t"), F.col("symbol").alias("candidate"), F.col("fwd").alias("value"))
 
 
-add("pbo", lambda spark, d: flat(forecast.pbo(_grid(spark, d), 8), [], ["pbo"]))
-add("analog_search", lambda spark, d: flat(analog.search(bars_daily(spark, d), 24, 10, 60, 10), ["symbol", "ts"], ["bar", "rms", "distance"], 4))
-add("analog_project", lambda spark, d: flat(analog.project(analog.search(bars_daily(spark, d), 24, 10, 60, 10)), ["symbol"], ["step", "prob_up", "q10", "q50", "q90"], 4))
+add(
+    "pbo",
+    lambda spark, d: flat(forecast.pbo(_grid(spark, d), 8), [], ["pbo"]),
+    rows(
+        [],
+        {"pbo": "avg(CAST(low / (k + 1.0::DOUBLE) < 0.5 AS DOUBLE))"},
+        f"""gr AS (SELECT ts AS t, symbol AS c, fwd AS v FROM (SELECT *, ln({q.lead('close')} / close) AS fwd FROM bars) WHERE fwd IS NOT NULL),
+            od AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () // 8 AS size, count(*) OVER () % 8 AS more FROM (SELECT DISTINCT t FROM gr)),
+            bl AS (SELECT t, CAST(CASE WHEN i < more * (size + 1) THEN i // (size + 1) ELSE more + (i - more * (size + 1)) // size END AS INT) AS b FROM od),
+            bs AS (SELECT b, c, sum(v) AS s, count(v) AS n FROM gr JOIN bl USING (t) GROUP BY b, c),
+            hv AS (SELECT x AS split FROM (SELECT unnest(range(0, 256)) AS x) WHERE bit_count(x) = 4),
+            pm AS (SELECT split, c, sum(s) FILTER (WHERE (split >> b) & 1 = 1) / sum(n) FILTER (WHERE (split >> b) & 1 = 1) AS front, sum(s) FILTER (WHERE (split >> b) & 1 = 0) / sum(n) FILTER (WHERE (split >> b) & 1 = 0) AS back FROM bs, hv GROUP BY split, c),
+            pr AS (SELECT *, count(*) OVER (PARTITION BY split) AS k, row_number() OVER (PARTITION BY split ORDER BY front DESC, c) AS best, count(*) OVER (PARTITION BY split ORDER BY back) AS low FROM pm), pb AS (SELECT * FROM pr WHERE best = 1)||pb""",
+    ),
+)
+add("analog_search", lambda spark, d: flat(analog.search(bars_daily(spark, d)), ["symbol", "ts"], ["bar", "rms", "distance"], 4))
+add("analog_project", lambda spark, d: flat(analog.project(analog.search(bars_daily(spark, d))), ["symbol"], ["step", "prob_up", "q10", "q50", "q90"], 4))
 add(
     "analog_euclid_topk",
     lambda spark, d: flat(_topk(spark, d), ["symbol", "ts"], ["rms"], 5),
@@ -98,10 +120,7 @@ def _drain(stream, name: str, mode: str):
 
     A batch run again replaces what it wrote; in complete mode the last batch is the whole result."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tidebar-")
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + base
-    path, done = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}", []
+    path, done = shared_dir(spark, name), []
 
     def keep(batch, i):
         batch.write.mode("overwrite").parquet(f"{path}/rows/{i}")
@@ -123,7 +142,20 @@ def _stream_ticks(spark, d):
 
 
 add("stream_bars_tumbling", lambda spark, d: rounded(_drain(streams.tumbling(_stream_ticks(spark, d), UNITS["h"]), "tumbling", "complete"), *OHLCV), q.query(OHLCV, base="hours", with_=q.HOURLY))
-add("stream_exact_updates", lambda spark, d: _drain(streams.exact(_stream_ticks(spark, d).select("symbol", "ts", "price", "volume"), UNITS["h"]), "exact", "append").groupBy("symbol", "closed").agg(F.count("*").alias("n")))
+add(
+    "stream_exact_updates",
+    lambda spark, d: flat(_drain(streams.exact(_stream_ticks(spark, d).select("symbol", "ts", "price", "volume", F.col("seq.event_id").alias("seq")), UNITS["h"]), "exact", "append").withColumn("closed", F.col("closed").cast("double")), ["symbol", "ts"], [*OHLCV, "closed"]),
+    rows(
+        ["symbol", "ts"],
+        {**OHLCV, "closed": "closed"},
+        f"""et AS (SELECT event_type AS symbol, CAST(epoch_ms(ts) - epoch_ms(ts) % 3600000 AS BIGINT) AS ts, 1.0::DOUBLE + value AS price, event_id AS seq FROM events),
+            ea AS (SELECT * FROM (SELECT *, max(ts) OVER (PARTITION BY symbol ORDER BY seq) AS newest FROM et) WHERE ts = newest),
+            eu AS (SELECT symbol, ts, first_value(price) OVER w AS open, max(price) OVER w AS high, min(price) OVER w AS low, price AS close, CAST(row_number() OVER w AS DOUBLE) AS volume, row_number() OVER (PARTITION BY symbol, ts ORDER BY seq DESC) AS back, max(ts) OVER (PARTITION BY symbol) AS final
+                   FROM ea WINDOW w AS (PARTITION BY symbol, ts ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+            ex AS (SELECT symbol, ts, open, high, low, close, volume, 0 AS closed FROM eu UNION ALL SELECT symbol, ts, open, high, low, close, volume, 1 FROM eu WHERE back = 1 AND ts < final)||ex""",
+        q.HOURLY,
+    ),
+)
 
 
 def _forecasts(spark, d):
@@ -136,7 +168,7 @@ add("pick_topk", lambda spark, d: ledger.pick(_forecasts(spark, d)).select("ts",
 add(
     "confidence_tertiles",
     lambda spark, d: ledger.confidence(_forecasts(spark, d), "expected").select("ts", "symbol", "confidence"),
-    f"WITH {q.DAILY.strip()}, {EXP}, cf AS (SELECT *, quantile_cont(abs(expected), 1.0::DOUBLE / 3) OVER (PARTITION BY ts) AS lo, quantile_cont(abs(expected), 2.0::DOUBLE / 3) OVER (PARTITION BY ts) AS hi, count(expected) OVER (PARTITION BY ts) AS n FROM ex) SELECT ts, symbol, CASE WHEN n < 3 OR expected IS NULL THEN 'mid' WHEN abs(expected) <= lo THEN 'low' WHEN abs(expected) >= hi THEN 'high' ELSE 'mid' END AS confidence FROM cf",
+    f"WITH {q.DAILY.strip()}, {EXP}, cf AS (SELECT *, quantile_cont(abs(expected), 1.0::DOUBLE / 3) OVER (PARTITION BY ts) AS lo, quantile_cont(abs(expected), 2.0::DOUBLE / 3) OVER (PARTITION BY ts) AS hi, count(expected) OVER (PARTITION BY ts) AS n FROM ex) SELECT ts, symbol, CASE WHEN n < 3 OR expected IS NULL THEN 'mid' WHEN abs(expected) < lo THEN 'low' WHEN abs(expected) > hi THEN 'high' ELSE 'mid' END AS confidence FROM cf",
 )
 add(
     "score_recommendation",
@@ -146,11 +178,11 @@ add(
 
 
 def _fired(spark, d):
-    return bars_hourly(spark, d).where(F.pmod("ts", F.lit(7 * UNITS["h"])) == 0).select("symbol", (F.col("ts") + 60_000).alias("ts"), F.col("high").alias("price"))
+    return bars_hourly(spark, d).select("symbol", (F.col("ts") + 60_000).alias("ts"), F.col("high").alias("price"))
 
 
 add(
     "alert_followup",
     lambda spark, d: flat(ledger.followup(_fired(spark, d), bars_hourly(spark, d)), ["symbol", "ts"], ["change_1", "change_3", "change_7"]),
-    rows(["symbol", "ts"], {f"change_{n}": f"c{n} / high - 1" for n in (1, 3, 7)}, f"fu AS (SELECT symbol, CAST(ts + 60000 AS BIGINT) AS ts, ts AS bar, high, {', '.join(f'{q.lead('close', n)} AS c{n}' for n in (1, 3, 7))} FROM hours), ff AS (SELECT * FROM fu WHERE bar % {7 * UNITS['h']} = 0)||ff", q.HOURLY),
+    rows(["symbol", "ts"], {f"change_{n}": f"c{n} / high - 1" for n in (1, 3, 7)}, f"fu AS (SELECT symbol, CAST(ts + 60000 AS BIGINT) AS ts, ts AS bar, high, {', '.join(f'{q.lead('close', n)} AS c{n}' for n in (1, 3, 7))} FROM hours)||fu", q.HOURLY),
 )

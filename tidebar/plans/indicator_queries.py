@@ -107,7 +107,7 @@ by_key("ao", "ao", q.query({"ao": f"({q.full('avg', 'm', 5)}) - ({q.full('avg',
 by_key(
     "bbands",
     "bbands",
-    q.query({"upper": "m + 2 * d", "middle": "m", "lower": "m - 2 * d", "percent_b": q.ratio("close - (m - 2 * d)", "4 * d"), "bandwidth": f"100 * {q.ratio('4 * d', 'm')}"}, f"SELECT *, {q.full('avg', 'close', 20)} AS m, {q.full('stddev_pop', 'close', 20)} AS d FROM b"),
+    q.query({"upper": "m + 2 * d", "middle": "m", "lower": "m - 2 * d", "percent_b": q.ratio("close - (m - 2 * d)", "4 * d"), "bandwidth": q.ratio("4 * d", "m")}, f"SELECT *, {q.full('avg', 'close', 20)} AS m, {q.full('stddev_pop', 'close', 20)} AS d FROM b"),
 )
 by_key("donchian", "donchian", q.query({"upper": q.full("max", "high", 20), "middle": mid(20), "lower": q.full("min", "low", 20)}))
 by_key("stdev", "stdev", q.query({"stdev": q.full("stddev_pop", "close", 20)}))
@@ -164,15 +164,8 @@ by_key("ma_rma", "ma", q.recurrence([E("close", 14, q.rma_a(14), "e", "bars")],
 EE = [E("close", 20, q.ema_a(20), "e1", "bars"), E("y", 20, q.ema_a(20), "e2", "e1"), E("y", 20, q.ema_a(20), "e3", "e2")]
 by_key("dema", "dema", q.recurrence(EE[:2], {"value": "2 * e1.y - e2.y"}, q.left("e1", "e2")))
 by_key("tema", "tema", q.recurrence(EE, {"value": "3 * e1.y - 3 * e2.y + e3.y"}, q.left("e1", "e2", "e3")))
-by_key(
-    "macd",
-    "macd",
-    q.recurrence(
-        [E("close", 12, q.ema_a(12), "f", "bars"), E("close", 26, q.ema_a(26), "g", "bars"), "m AS (SELECT f.symbol, f.ts, f.y - g.y AS x FROM f JOIN g ON g.symbol = f.symbol AND g.ts = f.ts)", E("x", 9, q.ema_a(9), "n", "m")],
-        {"macd": "m.x", "signal": "n.y", "hist": "m.x - n.y"},
-        q.left("m", "n"),
-    ),
-)
+MACD = [E("close", 12, q.ema_a(12), "f", "bars"), E("close", 26, q.ema_a(26), "g", "bars"), "m AS (SELECT f.symbol, f.ts, f.y - g.y AS x FROM f JOIN g ON g.symbol = f.symbol AND g.ts = f.ts)", E("x", 9, q.ema_a(9), "nn_", "m")]
+by_key("macd", "macd", q.recurrence(MACD, {"macd": "m.x", "signal": "nn_.y", "hist": "m.x - nn_.y"}, q.left("m", "nn_")))
 by_key("atr", "atr", q.recurrence([q.TR, E("x", 14, q.rma_a(14), "a", "tr")], {"atr": "a.y"}, q.left("a")))
 by_key("keltner", "keltner", q.recurrence([q.TR, E("x", 10, q.rma_a(10), "a", "tr"), E("close", 20, q.ema_a(20), "e", "bars")], {"upper": "e.y + 2 * a.y", "middle": "e.y", "lower": "e.y - 2 * a.y"}, q.left("a", "e")))
 STEP = f"d AS (SELECT symbol, ts, close - {q.lag('close')} AS d FROM bars), gl AS (SELECT *, greatest(d, 0.0::DOUBLE) AS g, greatest(-d, 0.0::DOUBLE) AS l FROM d WHERE d IS NOT NULL)"
@@ -194,16 +187,16 @@ by_key(
         q.left("tt", "t5"),
     ),
 )
+DI = [
+    E("x", 14, q.rma_a(14), "a", "tr"), E("p", 14, q.rma_a(14), "pp", "dp"), E("n", 14, q.rma_a(14), "nn", "dp"),
+    "di AS (SELECT a.symbol, a.ts, 100 * pp.y / nullif(a.y, 0.0::DOUBLE) AS p, 100 * nn.y / nullif(a.y, 0.0::DOUBLE) AS n FROM a JOIN pp ON pp.symbol = a.symbol AND pp.ts = a.ts JOIN nn ON nn.symbol = a.symbol AND nn.ts = a.ts), dx AS (SELECT symbol, ts, 100 * abs(p - n) / nullif(p + n, 0.0::DOUBLE) AS x FROM di)",
+]
 DM = f"dm AS (SELECT symbol, ts, coalesce(high - {q.lag('high')}, 0.0::DOUBLE) AS u, coalesce({q.lag('low')} - low, 0.0::DOUBLE) AS v FROM bars), dp AS (SELECT symbol, ts, CASE WHEN u > v AND u > 0 THEN u ELSE 0.0::DOUBLE END AS p, CASE WHEN v > u AND v > 0 THEN v ELSE 0.0::DOUBLE END AS n FROM dm)"
 by_key(
     "adx",
     "adx",
     q.recurrence(
-        [
-            q.TR, DM, E("x", 14, q.rma_a(14), "a", "tr"), E("p", 14, q.rma_a(14), "pp", "dp"), E("n", 14, q.rma_a(14), "nn", "dp"),
-            "di AS (SELECT a.symbol, a.ts, 100 * pp.y / nullif(a.y, 0.0::DOUBLE) AS p, 100 * nn.y / nullif(a.y, 0.0::DOUBLE) AS n FROM a JOIN pp ON pp.symbol = a.symbol AND pp.ts = a.ts JOIN nn ON nn.symbol = a.symbol AND nn.ts = a.ts), dx AS (SELECT symbol, ts, 100 * abs(p - n) / nullif(p + n, 0.0::DOUBLE) AS x FROM di)",
-            E("x", 14, q.rma_a(14), "ax", "dx"),
-        ],
+        [q.TR, DM, *DI, E("x", 14, q.rma_a(14), "ax", "dx")],
         {"adx": "ax.y", "plus_di": "di.p", "minus_di": "di.n"},
         q.left("ax", "di"),
     ),
@@ -231,5 +224,34 @@ for _kind in ("sma", "wma"):
     by_key(f"ma_{_kind}", "ma", q.query({"value": q.full("avg", "high", 12) if _kind == "sma" else q.wma("high", 12)}), kind=_kind, length=12, source="high")
 for _key in ("volume_profile", "support_resistance"):
     by_key(_key, _key)
-for _key in ("supertrend", "psar", "fisher", "candle_patterns"):
-    by_key(_key, _key)
+by_key("candle_patterns", "candle_patterns")
+FISHER = f"""f0 AS (SELECT symbol, ts, (high + low) / 2 AS v FROM bars), f1 AS (SELECT symbol, ts, {q.ratio('v - (' + q.full('min', 'v', 9) + ')', '(' + q.full('max', 'v', 9) + ') - (' + q.full('min', 'v', 9) + ')')} AS raw FROM f0),
+f2 AS (SELECT symbol, ts, raw, row_number() OVER ({q.P}) AS k FROM f1 WHERE raw IS NOT NULL),
+f3(symbol, k, y, f) AS (
+  SELECT symbol, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE FROM f2 WHERE k = 1
+  UNION ALL
+  SELECT symbol, k, y, 0.5::DOUBLE * ln((1 + y) / (1 - y)) + 0.5::DOUBLE * f FROM (SELECT v.symbol, v.k, r.f, least(0.999::DOUBLE, greatest(-0.999::DOUBLE, 0.33::DOUBLE * 2 * (v.raw - 0.5::DOUBLE) + 0.67::DOUBLE * r.y)) AS y FROM f3 r JOIN f2 v ON v.symbol = r.symbol AND v.k = r.k + 1)),
+fi AS (SELECT b.symbol, b.ts, f3.f, lag(f3.f) OVER (PARTITION BY b.symbol ORDER BY b.ts) AS g FROM bars b LEFT JOIN f2 ON f2.symbol = b.symbol AND f2.ts = b.ts LEFT JOIN f3 ON f3.symbol = f2.symbol AND f3.k = f2.k)"""
+by_key("fisher", "fisher", q.recurrence([FISHER], {"fisher": "fi.f", "trigger": "fi.g"}, q.left("fi")))
+# State: both bands, the side, and the close that the next bar looks back on.
+TREND = f"""{q.TR}, {E('x', 10, q.rma_a(10), 'a', 'tr')},
+st0 AS (SELECT b.symbol, b.ts, b.close AS c, (high + low) / 2 + 3 * a.y AS up, (high + low) / 2 - 3 * a.y AS dn, row_number() OVER (PARTITION BY b.symbol ORDER BY b.ts) AS k FROM bars b JOIN a ON a.symbol = b.symbol AND a.ts = b.ts WHERE a.y IS NOT NULL),
+st1(symbol, k, u, d, way, c) AS (
+  SELECT symbol, 1::BIGINT, up, dn, 1.0::DOUBLE, c FROM st0 WHERE k = 1
+  UNION ALL
+  SELECT v.symbol, v.k, CASE WHEN v.up < r.u OR r.c > r.u THEN v.up ELSE r.u END, CASE WHEN v.dn > r.d OR r.c < r.d THEN v.dn ELSE r.d END, CASE WHEN v.c > r.u THEN 1.0::DOUBLE WHEN v.c < r.d THEN -1.0::DOUBLE ELSE r.way END, v.c
+  FROM st1 r JOIN st0 v ON v.symbol = r.symbol AND v.k = r.k + 1),
+sv AS (SELECT st0.symbol, st0.ts, CASE WHEN way = 1 THEN d ELSE u END AS v, way FROM st0 JOIN st1 ON st1.symbol = st0.symbol AND st1.k = st0.k)"""
+by_key("supertrend", "supertrend", q.recurrence([TREND], {"value": "sv.v", "direction": "sv.way"}, q.left("sv")))
+PSAR = f"""p0 AS (SELECT symbol, ts, high, low, {q.lag('high')} AS h1, {q.lag('low')} AS l1, {q.lag('high', 2)} AS h2, {q.lag('low', 2)} AS l2, row_number() OVER ({q.P}) AS k FROM bars),
+p1(symbol, k, up, sar, far, af) AS (
+  SELECT symbol, 1::BIGINT, high >= h1, CASE WHEN high >= h1 THEN l1 ELSE h1 END, CASE WHEN high >= h1 THEN high ELSE low END, 0.02::DOUBLE FROM p0 WHERE k = 2
+  UNION ALL
+  SELECT symbol, k, CASE WHEN broken THEN NOT up ELSE up END, CASE WHEN broken THEN far ELSE s END,
+         CASE WHEN broken THEN CASE WHEN up THEN low ELSE high END WHEN up AND high > far THEN high WHEN NOT up AND low < far THEN low ELSE far END,
+         CASE WHEN broken THEN 0.02::DOUBLE WHEN (up AND high > far) OR (NOT up AND low < far) THEN least(af + 0.02::DOUBLE, 0.2::DOUBLE) ELSE af END
+  FROM (SELECT *, CASE WHEN up THEN low < s ELSE high > s END AS broken
+        FROM (SELECT v.symbol, v.k, v.high, v.low, r.up, r.far, r.af, CASE WHEN r.up THEN least(r.sar + r.af * (r.far - r.sar), v.l1, v.l2) ELSE greatest(r.sar + r.af * (r.far - r.sar), v.h1, v.h2) END AS s
+              FROM p1 r JOIN p0 v ON v.symbol = r.symbol AND v.k = r.k + 1))),
+pv AS (SELECT p0.symbol, p0.ts, p1.sar AS v FROM p0 JOIN p1 ON p1.symbol = p0.symbol AND p1.k = p0.k WHERE p0.k > 1)"""
+by_key("psar", "psar", q.recurrence([PSAR], {"value": "pv.v"}, q.left("pv")))

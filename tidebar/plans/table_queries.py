@@ -38,7 +38,7 @@ e AS (SELECT f AS d, 'month-start' AS title FROM m UNION ALL SELECT last_day(f),
 UNION ALL SELECT last_day(f), 'quarter-end' FROM m WHERE month(f) % 3 = 0 UNION ALL SELECT CAST(last_day(f) - CAST((isodow(last_day(f)) - 5 + 7) % 7 AS INT) AS DATE), 'quarter-expiry' FROM m WHERE month(f) % 3 = 0)
 SELECT CAST(epoch_ms(CAST(d AS TIMESTAMP)) AS BIGINT) AS ts, 'calendar' AS kind, title FROM e WHERE d BETWEEN DATE '2023-01-15' AND DATE '2024-12-20'""")
 add("macro_changes", lambda spark, d: flat(catalogue.changes(bars_daily(spark, d).select("symbol", "ts", F.col("close").alias("value")), 60.0), ["symbol", "ts"], ["change", "severity"], 4), rows(["symbol", "ts"], {"change": "c", "severity": "least(1.0::DOUBLE, abs(c) / 240.0::DOUBLE)"}, f"ch AS (SELECT symbol, ts, close - {q.lag('close')} AS c FROM bars), cf AS (SELECT * FROM ch WHERE abs(c) >= 60)||cf").replace(", 6) + 0.0", ", 4) + 0.0"))
-add("search_symbols", lambda spark, d: catalogue.match(spark.read.parquet(f"{d}/part.parquet").select(F.col("p_name").alias("symbol"), F.col("p_partkey").alias("place")), "part-7").select("symbol", "place", F.col("grade").cast("long").alias("grade")), "SELECT symbol, place, grade FROM (SELECT p_name AS symbol, p_partkey AS place, CAST(CASE WHEN upper(p_name) = 'PART-7' OR list_contains(regexp_split_to_array(upper(p_name), '[-/]'), 'PART-7') THEN 0 WHEN starts_with(upper(p_name), 'PART-7') THEN 1 WHEN contains(upper(p_name), 'PART-7') THEN 2 END AS BIGINT) AS grade FROM part) WHERE grade IS NOT NULL ORDER BY grade, place LIMIT 30")
+add("search_symbols", lambda spark, d: catalogue.match(spark.read.parquet(f"{d}/part.parquet").select(F.col("p_name").alias("symbol"), F.col("p_partkey").alias("place")), "ring").select("symbol", "place", F.col("grade").cast("long").alias("grade")), "SELECT symbol, place, grade FROM (SELECT p_name AS symbol, p_partkey AS place, CAST(CASE WHEN upper(p_name) = 'RING' OR list_contains(regexp_split_to_array(upper(p_name), '[-/]'), 'RING') THEN 0 WHEN starts_with(upper(p_name), 'RING') THEN 1 WHEN contains(upper(p_name), 'RING') THEN 2 END AS BIGINT) AS grade FROM part) WHERE grade IS NOT NULL ORDER BY grade, place LIMIT 30")
 
 
 def _origins(spark, d):

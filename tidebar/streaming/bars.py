@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TICK = "symbol string, ts long, price double, volume double"
+TICK = "symbol string, ts long, price double, volume double, seq long"
 BAR = "symbol string, ts long, open double, high double, low double, close double, volume double, closed boolean"
 
 
@@ -20,32 +20,37 @@ def tumbling(ticks: DataFrame, step_ms: int, late: str = "1 hour") -> DataFrame:
     return g.select("symbol", F.unix_millis("w.start").alias("ts"), "open", "high", "low", "close", "volume", F.lit(True).alias("closed"))
 
 
-def fold_tick(bar: tuple | None, ts: int, price: float, volume: float, step: int) -> tuple[tuple | None, list[tuple]]:
-    """(forming bar, bars to emit) after one tick: it updates the forming bar, or closes it and opens the next; an older one is dropped."""
-    at = ts - ts % step
-    if bar is None or at > bar[0]:
-        new = (at, price, price, price, price, volume)
-        return new, ([(*bar, True)] if bar else []) + [(*new, False)]
-    if at < bar[0]:
-        return bar, []
-    _, o, h, low, _, v = bar
-    new = (at, o, max(h, price), min(low, price), price, v + volume)
-    return new, [(*new, False)]
+def fold_ticks(bar: tuple | None, ticks: pd.DataFrame, step: int) -> tuple[tuple | None, pd.DataFrame]:
+    """(forming bar, bars to emit) after ticks (ts, price, volume) in order of arrival: each updates the forming bar, or
+    closes it and opens the next; ticks of an older bar are dropped."""
+    names = ["ts", "open", "high", "low", "close", "volume"]
+    at = ticks["ts"] - ticks["ts"] % step
+    newest = at.cummax() if bar is None else at.cummax().clip(lower=bar[0])
+    t = ticks.assign(at=at)[at == newest]
+    if t.empty:
+        return bar, pd.DataFrame(columns=[*names, "closed"])
+    rows = pd.DataFrame({"ts": t["at"], "open": t["price"], "high": t["price"], "low": t["price"], "close": t["price"], "volume": t["volume"]})
+    if bar is not None:  # the forming bar goes ahead of its own ticks
+        rows = pd.concat([pd.DataFrame([bar], columns=names), rows], ignore_index=True)
+    g = rows.groupby("ts", sort=False)
+    rows = rows.assign(open=g["open"].transform("first"), high=g["high"].cummax(), low=g["low"].cummin(), volume=g["volume"].cumsum()).reset_index(drop=True)
+    last = (rows["ts"] != rows["ts"].shift(-1)) & (rows.index < len(rows) - 1)
+    out = rows.assign(closed=False, _o=rows.index)
+    out = pd.concat([out[1 if bar is not None else 0 :], rows[last].assign(closed=True, _o=rows.index[last] + 0.5)]).sort_values("_o")
+    return tuple(rows.iloc[-1][names].tolist()), out[[*names, "closed"]]
 
 
 def exact(ticks: DataFrame, step_ms: int) -> DataFrame:
-    """Every update of every symbol's forming bar, in arrival order; the only state is the forming bar."""
+    """Every update of every symbol's forming bar, in order of arrival (`seq`, within a batch of the stream); the only state
+    is the forming bar. A symbol's ticks of one batch come together, so the source's batch size bounds them."""
 
     def step(key, batches, state):
-        bar = state.get if state.exists else None
-        out = []
-        for pdf in batches:
-            for ts, price, volume in zip(pdf["ts"], pdf["price"], pdf["volume"]):
-                bar, rows = fold_tick(bar, int(ts), float(price), float(volume), step_ms)
-                out += [(key[0], *r) for r in rows]
+        t = pd.concat(list(batches)).sort_values("seq", kind="stable")
+        bar, out = fold_ticks(state.get if state.exists else None, t, step_ms)
         if bar is not None:
-            state.update(bar)
-        yield pd.DataFrame(out, columns=["symbol", "ts", "open", "high", "low", "close", "volume", "closed"])
+            state.update((int(bar[0]), *(float(x) for x in bar[1:])))
+        out.insert(0, "symbol", key[0])
+        yield out.astype({"ts": "int64", "closed": bool})
 
     kept = "ts long, open double, high double, low double, close double, volume double"
     return ticks.groupBy("symbol").applyInPandasWithState(step, BAR, kept, "append", "NoTimeout")
