@@ -78,6 +78,28 @@ def test_stages_take_empty_tables(spark, stage):
     assert corpus_pipeline.STAGES[stage][1](spark, empty, SF).count() == 0
 
 
+def test_count_and_token_queries_against_the_library(spark):
+    """Both queries, every row, against the libraries run text by text."""
+    import zlib
+
+    import numpy as np
+
+    from tidebar.llm import tokenfile
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    vocabulary = tokencount.unigrams(public_tokenizers.path("piece_bpe_32k.model"))
+    lib = library(vocabulary)
+    got = {r.doc_id: r.n_tokens for r in tokencount.op5_viterbi_counts(spark, SF).collect()}
+    assert got == {r.doc_id: sum(len(lib.tokenize(tokencount.SPACE + w)) for w in (r.text or "").split()) for r in docs}
+    tok, at = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0
+    rows = {r.doc_id: r for r in tokenfile.op7_token_frames(spark, SF).collect()}
+    assert len(rows) == len(docs)
+    for r in docs:
+        ids = np.array([*tok.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
+        assert (rows[r.doc_id].start, rows[r.doc_id].n_tokens, rows[r.doc_id].ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
 @pytest.mark.parametrize("stage", range(4))
 def test_stages_keep_columns_of_any_name(spark, stage):
     """Columns named like the stages' own, repeated rows, nulls and a very long text: all columns come back as they were."""

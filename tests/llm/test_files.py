@@ -112,7 +112,9 @@ def test_lzw_and_tiles():
     rng = np.random.default_rng(2)
     for size in (1, 255, 300, 1500, 20000):
         data = bytes(rng.integers(97, 102, size, np.uint8))
-        assert tiff.unlzw(lzw(data), size) == data
+        assert tiff.unlzw(lzw(data), size) == data and tiff.lzw(data) == lzw(data)
+    wide = bytes(rng.integers(0, 256, 30000, np.uint8))
+    assert tiff.unlzw(tiff.lzw(wide), 30000) == wide and tiff.unlzw(tiff.lzw(b""), 10) == b""
     img = rng.integers(0, 256, (20, 24), np.uint8)
     blocks = [np.pad(img[y : y + 16, x : x + 16], ((0, max(0, y - 4)), (0, max(0, x - 8)))) for y in (0, 16) for x in (0, 16)]
     raw = [lzw(b.tobytes()) for b in blocks]
@@ -143,3 +145,37 @@ def test_tiff_query_and_edges(spark):
     assert sum(r.doc_id == 4 for r in rows) == 8 and {r.page for r in rows if r.doc_id == 4} == {0, 1, 2, 3}
     assert any(r.error for r in rows if r.doc_id == 2) and any(r.error for r in rows if r.doc_id == 5)
     assert tiff.decode_pages(d.limit(0)).count() == 0
+
+
+def test_every_layout_round_trips():
+    rng = np.random.default_rng(3)
+    for h, w in ((1, 64), (16, 64), (100, 64), (33, 17)):
+        imgs = [rng.integers(0, 256, (h, w), np.uint8) // d for d in (1, 90)]
+        for layout in set(tiff.LAYOUTS):
+            back = [p[:, :, 0] for _, p in tiff.pages(tiff.write(imgs, layouts=[layout] * 2))]
+            assert all((a == b).all() for a, b in zip(imgs, back)), (layout, h, w)
+
+
+def test_hostile_files_are_error_rows(spark):
+    def of(w, h, bits=8, how=1, extra=()):
+        tags = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, 1, bits), (259, 3, 1, how), (273, 4, 1, 8), (277, 3, 1, 1), (278, 4, 1, max(h, 1)), (279, 4, 1, 4), *extra]
+        return b"II*\0" + struct.pack("<I", 12) + b"abcd" + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + bytes(4)
+
+    files = [of(0, 2), of(2, 0), of(2**31, 2**31), of(70000, 70000, how=8), of(2, 2, how=9), of(2, 2, how=5), of(2, 2, extra=[(322, 4, 1, 0), (323, 4, 1, 0), (324, 4, 1, 8), (325, 4, 1, 4)]), b"II*\0" + bytes(4), b"II*\0\x08\0\0\0\xff\xff", b"MM\0*" + b"\xff" * 20, b""]
+    d = spark.createDataFrame([(i, bytearray(f)) for i, f in enumerate([*files, of(2, 2)])], "doc_id long, media binary").selectExpr("*", "1 AS page", "'x' AS error")
+    rows = {r.doc_id: r for r in tiff.decode_pages(d).collect()}
+    assert len(rows) == len(files) + 1 and all(rows[i].error and rows[i].pixels is None for i in range(len(files)))
+    assert bytes(rows[len(files)].pixels) == b"abcd" and rows[len(files)].error is None
+
+
+def test_tokenizer_files_of_another_kind_are_encoded_whole(tmp_path):
+    import json
+
+    said = json.load(open(TOK))
+    said["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = "[^ ]+ ?"
+    (tmp_path / "other.json").write_text(json.dumps(said))
+    other = tokenfile.Encoder(str(tmp_path / "other.json"))
+    text = "Some words, it's 2 of them <|ENDOFTEXT|> é"
+    assert not other.fast and tokenfile.Encoder(TOK).fast
+    for e in (other, tokenfile.Encoder(TOK)):
+        assert np.frombuffer(e.encode(text), "<u4").tolist() == e.tok.encode(text, add_special_tokens=False).ids

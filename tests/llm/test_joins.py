@@ -129,11 +129,14 @@ def codes(text):
 
 
 def brute_leaks(text, item):
-    """Best share of equal words in a stretch, over the diagonals on which some mask matches."""
+    """Best share of equal words in a stretch, over every diagonal: no mask is asked."""
     d, q = codes(text), codes(item)
     if len(q) < 7:
         return 0.0
-    hits = {a - b for m in decontaminate.MASKS for a in range(len(d) - 6) for b in range(len(q) - 6) if all(d[a + p] == q[b + p] for p in m)}
+    at = {}
+    for i, w in enumerate(q):
+        at.setdefault(w, []).append(i)
+    hits = {a - b for a, w in enumerate(d) for b in at.get(w, ())}
     best, long = 0.0, min(len(q), 20)
     for g in hits:
         same = [0 <= i + g < len(d) and d[i + g] == w for i, w in enumerate(q)]

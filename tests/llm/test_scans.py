@@ -145,3 +145,32 @@ def test_skip_edges_grow_as_tokens_and_none_is_far_from_a_label():
     edges = pii.skip_edges([list(range(n))], [0] * (n - 1) + [4])
     assert len(edges) <= 2 * n and {i for e in edges if n - 1 in e for i in e} == set(range(n))
     assert pii.skip_edges([[3]], [0] * 4) == [] and pii.skip_edges([[0, 1]], [4, 0]) == [(0, 1)]
+
+
+def exact_marginals(unary, chain, skip):
+    import itertools
+
+    n, labels = unary.shape
+    p = np.zeros_like(unary)
+    for x in itertools.product(range(labels), repeat=n):
+        e = sum(unary[i, v] for i, v in enumerate(x)) + sum(chain[x[i], x[i + 1]] for i in range(n - 1)) + sum(pii.SKIP * (x[a] == x[b]) for a, b in skip)
+        for i, v in enumerate(x):
+            p[i, v] += np.exp(e)
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def test_marginals_against_all_labellings(monkeypatch):
+    rng = np.random.default_rng(8)
+    flat = np.zeros((5, 5))
+    for trial in range(6):
+        unary = rng.normal(size=(5, 5))
+        chain = rng.normal(size=(5, 5))
+        if trial == 3:
+            monkeypatch.setattr(pii, "EDGES", 3)
+        # Without loops the passing is exact: a chain alone, and skip edges alone.
+        assert pii.marginals(unary, chain, [], 500) == pytest.approx(exact_marginals(unary, chain, []), abs=2e-3)
+        star = [(0, 2), (0, 4), (1, 3)]
+        assert pii.marginals(unary, flat, star, 500) == pytest.approx(exact_marginals(unary, flat, star), abs=2e-3)
+        # With loops it is close, and names the same label where one is clear.
+        got, want = pii.marginals(unary, chain * 0.25, [(0, 3)], 500), exact_marginals(unary, chain * 0.25, [(0, 3)])
+        assert np.abs(got - want).max() < 0.15 and all(g.argmax() == w.argmax() for g, w in zip(got, want) if w.max() > 0.7)

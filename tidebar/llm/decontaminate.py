@@ -82,7 +82,7 @@ def leaks(docs: DataFrame, items: DataFrame, short: bool = False) -> DataFrame:
     """(key, item_id, share) for each document row (by its key) and item it holds a stretch of.
 
     Hashes of every place of every whole text meet the items' hashes (broadcast while few, else shuffled); the hits of
-    a document, at most a few a place, are brought together by diagonal, and along each the words are compared. With
+    a document, at most a few a place, are brought together by item, and along each diagonal the words are compared. With
     short, items below SPAN words are looked up too, exactly.
     """
     tests = benchmark_codes(items)
@@ -99,21 +99,22 @@ def leaks(docs: DataFrame, items: DataFrame, short: bool = False) -> DataFrame:
     few = seeds.count() <= BROADCAST_ROWS
     coded = docs.select("key", word_codes(F.col("text")).alias("codes"))
     hits = _seeded(coded, "key", masks=masks).join(F.broadcast(seeds) if few else seeds, "h")
-    hits = hits.select("key", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
+    # A row a document and item: the text's words are coded again once for it, whatever the number of its diagonals.
+    hits = hits.groupBy("key", "item_id").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("ds"))
     hits = hits.join(F.broadcast(tests) if few else tests, "item_id").withColumnRenamed("codes", "item")
-    # One row a hit; the text's words are coded again only in documents with hits.
     at = hits.join(docs.select("key", "text"), "key")
-    best = _once(F.struct(word_codes(F.col("text")).alias("codes"), F.col("item").alias("item"), F.col("diagonal").alias("d")), _best_stretch)
+    best = _once(F.struct(word_codes(F.col("text")).alias("codes"), F.col("item").alias("item"), F.col("ds").alias("ds")), lambda x: F.array_max(F.transform(x["ds"], lambda d: _best_stretch(x, d))))
+    # Repeated rows of docs have one key, so they come in once each: one of them tells for all.
     found = at.select("key", "item_id", best.alias("share")).groupBy("key", "item_id").agg(F.max("share").alias("share"))
     found = found.where(F.col("share") >= SHARE)
     return found.unionByName(_exact(docs, items)) if short else found
 
 
-def _best_stretch(x: Column) -> Column:
-    """The largest share of equal words in a stretch of the item laid along its diagonal d of the document."""
+def _best_stretch(x: Column, d: Column) -> Column:
+    """The largest share of equal words in a stretch of the item laid along diagonal d of the document."""
 
     def word(w, i):
-        place = i + x["d"]
+        place = i + d
         return F.coalesce((F.get(x["codes"], F.when(place >= 0, place)) == w).cast("int"), F.lit(0))
 
     def stretches(same):
@@ -148,4 +149,5 @@ def clean(docs: DataFrame, items: DataFrame, short: bool = False) -> DataFrame:
 
 
 def op3_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`judged` for every document against every benchmark item, the shortest included; odd rows as there."""
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short=True)

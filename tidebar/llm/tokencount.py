@@ -29,6 +29,10 @@ def unigrams(model_file: str) -> list[tuple[str, float]]:
     return [(p, -math.log(r + 1) - total) for r, p in enumerate(plain)]
 
 
+#: Longer words are segmented anew each time.
+LONG = 64
+
+
 class Counter1:
     """Pieces and score of a word, as the tokenizers library's Unigram model segments it.
 
@@ -74,9 +78,11 @@ class Counter1:
         for w, times in Counter(text.split()).items():
             got = self.kept.get(w)
             if got is None:
-                if len(self.kept) >= self.keep:
-                    self.kept.clear()
-                got = self.kept[w] = self.word(SPACE + w)
+                got = self.word(SPACE + w)
+                if len(w) <= LONG:  # so that the entries bound the bytes kept
+                    if len(self.kept) >= self.keep:
+                        self.kept.clear()
+                    self.kept[w] = got
             n += got[0] * times
             total += got[1] * times
         return n, total
@@ -101,6 +107,7 @@ def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]]) -> DataFr
 
 
 def op5_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`count_tokens` of every document by the pieces of piece_bpe_32k.model; odd rows as there."""
     import public_tokenizers
 
     return count_tokens(table(spark, sf_dir, "documents"), unigrams(public_tokenizers.path("piece_bpe_32k.model")))

@@ -9,6 +9,7 @@ a document by its place in the tables and decompresses that frame alone.
 from __future__ import annotations
 
 import io
+import json
 import struct
 import uuid
 import zlib
@@ -29,11 +30,27 @@ from .common import checkpointed, shared_dir, sliced, table
 SKIP_IDS, SKIP_SEEK, SEEK_MAGIC = 0x184D2A51, 0x184D2A5E, 0x8F92EAB1
 
 
+# What the tokenizer file for which words are encoded apart says of its normalizer and pre-tokenizer.
+FAST = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: Longer words are not kept, so that the caches' entries bound their bytes.
+LONG = 64
+
+
 class Encoder:
     """Ids of whole texts, equal to Tokenizer.encode(text, add_special_tokens=False).
 
-    Words between white space encode independently, so each distinct word is encoded by the library's model once and
-    kept in a bounded cache. Texts with any character for which that is not certain go to the library whole.
+    Where the file says what FAST says, words between white space encode independently, so each distinct word is encoded
+    by the library's model once and kept in a bounded cache; texts with any character for which that is not certain go to
+    the library whole, and so do all texts under any other file.
     """
 
     def __init__(self, path: str, keep: int = 400_000):
@@ -44,11 +61,18 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok, self.keep = Tokenizer.from_file(path), keep
-        self.model, self.bytes_of = self.tok.model, self.tok.pre_tokenizer
-        # Latin-1 letters, marks and digits with tab, newline and space; no special tokens.
-        self.odd = regex.compile(r"[^\t\n\r\x20-\x7e\xa1-\xff]|<\|")
-        # The fixed pre-token pattern of this tokenizer file.
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+        self.model = self.tok.model
+        said = json.loads(self.tok.to_str())
+        marks = [t["content"] for t in said["added_tokens"]]
+        model = said["model"]
+        self.fast = (
+            (said["normalizer"], said["pre_tokenizer"], said["post_processor"]) == (FAST["normalizer"], FAST["pre_tokenizer"], None)
+            and model["type"] == "BPE" and not model["dropout"] and not model["continuing_subword_prefix"]
+            and all(m.strip() and not any(c.isspace() for c in m) for m in marks)
+        )
+        # Latin-1 letters, marks and digits with tab, newline and space; none of the file's added tokens, in any case.
+        self.odd = regex.compile("|".join([r"[^\t\n\r\x20-\x7e\xa1-\xff]", *map(regex.escape, marks)]), regex.IGNORECASE)
+        self.split = regex.compile(FAST["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -64,17 +88,19 @@ class Encoder:
                     ids = np.array([t.id for t in self.model.tokenize(part)], "<u4").tobytes()
                 else:
                     ids = self.whole(part)
-                if len(self.parts) >= self.keep:
-                    self.parts.clear()
-                self.parts[part] = ids
+                if len(part) <= LONG:
+                    if len(self.parts) >= self.keep:
+                        self.parts.clear()
+                    self.parts[part] = ids
             out += ids
-        if len(self.words) >= self.keep:
-            self.words.clear()
-        self.words[word] = out
+        if len(word) <= LONG:
+            if len(self.words) >= self.keep:
+                self.words.clear()
+            self.words[word] = out
         return out
 
     def encode(self, text: str) -> bytes:
-        if self.odd.search(text):
+        if not self.fast or self.odd.search(text):
             return self.whole(text)
         get, word = self.words.get, self.word
         return b"".join([v if (v := get(w)) is not None else word(w) for w in text.split()])
@@ -218,6 +244,7 @@ def read_tokens(manifest: DataFrame, wanted: list[int] | None = None) -> DataFra
 
 
 def op7_token_frames(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, read back from the files; odd rows as in `write_tokens`."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents") if docs is None else docs

@@ -7,6 +7,7 @@ import hashlib
 import io
 import uuid
 import zlib
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -23,17 +24,21 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None) -> bytes:
-    """One gzip member: fresh WARC headers, the HTTP head, and the payload unless it revisits another record."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None, refers_url: str | None = None) -> bytes:
+    """One gzip member: fresh WARC headers, the HTTP head, and the payload unless it revisits another record.
+
+    A record is named by page_id and digest, so pages that share an id differ in name unless they are the same page."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     body = http + (payload if refers_to is None else b"")
-    name = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
-    head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", name), ("WARC-Date", DATE)]
+    name, line = (lambda page: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}:{digest}')}>"), (lambda url: "".join(url.splitlines()))
+    head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", name(page_id)), ("WARC-Date", DATE)]
     if url is not None:
-        head.append(("WARC-Target-URI", "".join(url.splitlines())))
+        head.append(("WARC-Target-URI", line(url)))
     head.append(("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()))
     if refers_to is not None:
-        head += [("WARC-Refers-To", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>"), ("WARC-Profile", PROFILE), ("X-Refers-To-Page", refers_to)]
+        head += [("WARC-Refers-To", name(refers_to)), ("WARC-Refers-To-Date", DATE), ("WARC-Profile", PROFILE), ("X-Refers-To-Page", refers_to)]
+        if refers_url is not None:
+            head.append(("WARC-Refers-To-Target-URI", line(refers_url)))
     if page_id is not None:
         head.append(("X-Page", page_id))
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(body))]
@@ -57,19 +62,20 @@ def records(file):
 
 
 def resolve(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """pages (page_id, url, html) with digest, size and refers_to.
+    """pages (page_id, url, html) with digest, size, refers_to and refers_url, that page's address.
 
     Headers alone are shuffled by payload digest to find the largest page_id of each digest that several pages of at
     least `least` bytes share (summed before the shuffle, so a hot digest is a row per task); the pages then join that
-    table of repeated digests, whose skewed keys Spark splits. Null html is empty. Rows that repeat the largest page_id
+    table of repeated digests, html along with them, whose skewed keys Spark splits. Null html is empty. Rows that repeat the largest page_id
     are all responses; null page_ids never are an original and revisit like others.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     p = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"), F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("size"))
-    shared = p.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n"))
-    shared = shared.where((F.col("n") > 1) & F.col("original").isNotNull()).select(F.col("digest").alias("d"), "original")
+    shared = p.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("original"), F.max_by("url", "page_id").alias("original_url"), F.count("*").alias("n"))
+    shared = shared.where((F.col("n") > 1) & F.col("original").isNotNull()).select(F.col("digest").alias("d"), "original", "original_url")
     out = p.join(shared, F.col("digest") == F.col("d"), "left")
-    return out.select("page_id", "url", "html", "digest", "size", F.when(~F.col("page_id").eqNullSafe(F.col("original")), F.col("original")).alias("refers_to"))
+    again = ~F.col("page_id").eqNullSafe(F.col("original"))
+    return out.select("page_id", "url", "html", "digest", "size", F.when(again, F.col("original")).alias("refers_to"), F.when(again, F.col("original_url")).alias("refers_url"))
 
 
 def write_warc(resolved: DataFrame, folder: str) -> DataFrame:
@@ -78,13 +84,13 @@ def write_warc(resolved: DataFrame, folder: str) -> DataFrame:
     def write(batches):
         out, n = None, 0
         for b in sliced(batches):
-            for page_id, url, html, digest, size, refers in zip(*[c.to_pylist() for c in b.columns]):
+            for page_id, url, html, digest, size, refers, refers_url in zip(*[c.to_pylist() for c in b.columns]):
                 if out is None:
                     uri = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
                     fs, path = pafs.FileSystem.from_uri(uri)
                     fs.create_dir(path.rpartition("/")[0], recursive=True)
                     out = fs.open_output_stream(path, compression=None, buffer_size=1 << 20)
-                out.write(record(page_id, url, html.encode("utf-8", "surrogatepass"), digest, size, refers))
+                out.write(record(page_id, url, html.encode("utf-8", "surrogatepass"), digest, size, refers, refers_url))
                 n += 1
         if out is not None:
             out.close()
@@ -97,23 +103,27 @@ def read_warc(manifest: DataFrame) -> DataFrame:
     """(page_id, record_id, record_type, digest, payload_bytes, refers_to) of every record; payload figures come from the
     stored payload of a response (checked against its digest) and are null for revisits."""
 
+    types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+    names = ["page_id", "record_id", "record_type", "digest", "payload_bytes", "refers_to", "refers_to_record"]
+
+    def one(uri, head, block):
+        digest, size = base64.b32decode(head["WARC-Payload-Digest"][5:]).hex(), None
+        if head["WARC-Type"] == "response":
+            payload = block.partition(b"\r\n\r\n")[2]
+            size = len(payload)
+            if hashlib.sha1(payload).hexdigest() != digest:
+                raise ValueError(f"{uri}: a payload does not match its digest")
+        page, ref = head.get("X-Page"), head.get("X-Refers-To-Page")
+        return page and int(page), head["WARC-Record-ID"], head["WARC-Type"], digest, size, ref and int(ref), head.get("WARC-Refers-To")
+
     def read(batches):
         for b in batches:
             for uri in b.column(0).to_pylist():
                 fs, path = pafs.FileSystem.from_uri(uri)
-                got = []
                 with fs.open_input_file(path) as f:
-                    for head, block in records(f):
-                        digest, size = base64.b32decode(head["WARC-Payload-Digest"][5:]).hex(), None
-                        if head["WARC-Type"] == "response":
-                            payload = block.partition(b"\r\n\r\n")[2]
-                            size = len(payload)
-                            if hashlib.sha1(payload).hexdigest() != digest:
-                                raise ValueError(f"{uri}: a payload does not match its digest")
-                        page, ref = head.get("X-Page"), head.get("X-Refers-To-Page")
-                        got.append((page and int(page), head["WARC-Record-ID"], head["WARC-Type"], digest, size, ref and int(ref), head.get("WARC-Refers-To")))
-                types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], t) for i, t in enumerate(types)], ["page_id", "record_id", "record_type", "digest", "payload_bytes", "refers_to", "refers_to_record"])
+                    found = (one(uri, head, block) for head, block in records(f))
+                    while got := list(islice(found, 10_000)):
+                        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], t) for i, t in enumerate(types)], names)
 
     tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return manifest.select("path").repartition(tasks).mapInArrow(read, "page_id long, record_id string, record_type string, digest string, payload_bytes long, refers_to long, refers_to_record string")
@@ -131,6 +141,7 @@ def resolved_records(read: DataFrame) -> DataFrame:
 
 
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every page, read back from the archives."""
     manifest = write_warc(resolve(table(spark, sf_dir, "pages")), shared_dir(spark, "warc"))
     return resolved_records(checkpointed(read_warc(manifest)))
 
