@@ -57,3 +57,10 @@ def validate(bars: DataFrame, step: int) -> DataFrame:
     }
     counts = b.groupBy("symbol").agg(*[F.count_if(F.coalesce(v, F.lit(False))).alias(k) for k, v in rules.items()])
     return counts.unpivot("symbol", list(rules), "rule", "violations").where("violations > 0")
+
+
+def overlay(local: DataFrame, remote: DataFrame) -> DataFrame:
+    """Bars of both, one a symbol and ts: the local one where both have it."""
+    both = local.select(*remote.columns, F.lit(1).alias("_place")).unionByName(remote.withColumn("_place", F.lit(0)))
+    row = F.max_by(F.struct(*[c for c in remote.columns if c not in ("symbol", "ts")]), "_place")
+    return both.groupBy("symbol", "ts").agg(row.alias("_x")).select("symbol", "ts", "_x.*").select(*remote.columns)

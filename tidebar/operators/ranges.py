@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import series as s
@@ -35,6 +35,34 @@ def range_volatility(bars: DataFrame, n: int = 20) -> DataFrame:
     return df.withColumns({name: F.when(x.isNotNull(), root(x)) for name, x in out.items()}).select(*bars.columns, *out)
 
 
+RANGE = ("parkinson_ratio", "gk_ratio", "rs_ratio", "yz_ratio", "overnight_share", "har_short", "har_long", "range_pressure")
+_EPS = 1e-12
+
+
+def range_features(bars: DataFrame, n: int = 20) -> DataFrame:
+    """The RANGE columns: range volatilities over that of closes, the share of overnight moves, the log ratios of a day's
+    variance to a week's and a week's to a month's (within 6), and the log of today's range over its mean.
+
+    Null until their windows are full (of 5 and 22 bars, half will do) and where a divisor does not vary."""
+    c = F.col
+    df = range_volatility(bars, n).withColumns({"_ret": _log("close", s.lag("close")), "_on": _log("open", s.lag("close")), "_hl": _log("high", "low")})
+    df = df.withColumn("_rv", F.greatest(_log("high", "close") * _log("high", "open") + _log("low", "close") * _log("low", "open"), F.lit(0.0)))
+    some = lambda k, least: F.when(F.count("_rv").over(s.rows(k)) >= least, F.avg("_rv").over(s.rows(k)))
+    above = lambda x: F.when(x > _EPS, x)
+    df = df.withColumns({"_base": above(s.full(F.stddev_samp("_ret"), "_ret", n)), "_vo": s.full(F.var_samp("_on"), "_on", n), "_week": some(5, 3), "_month": some(22, 11), "_mean": above(s.sma("_hl", n))})
+    clip = lambda x, lo, hi: F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo)), F.lit(hi)))
+    logs = lambda a, b: F.log(clip(ratio(a, F.when(b > 0, b)), math.exp(-6), math.exp(6)))
+    now = ratio(c("_hl"), c("_mean"))
+    out = dict(zip(RANGE, (ratio(c(x), c("_base")) for x in ("parkinson", "garman_klass", "rogers_satchell", "yang_zhang"))))
+    out |= {
+        "overnight_share": clip(ratio(c("_vo"), above(c("yang_zhang") * c("yang_zhang"))), 0.0, 1.0),
+        "har_short": logs(c("_rv"), c("_week")),
+        "har_long": logs(c("_week"), c("_month")),
+        "range_pressure": F.log(F.when(now > 0, now)),
+    }
+    return df.withColumns(out).select(*bars.columns, *RANGE)
+
+
 def micro(bars: DataFrame) -> DataFrame:
     """clv, signed_volume (against the mean of 20 bars, 5 at least), pressure (its mean over 10 bars, 3 at least) and wick_bias."""
     df = bars.withColumns({"clv": clv(), "_v20": F.when(F.count("volume").over(s.rows(20)) >= 5, F.avg("volume").over(s.rows(20)))})
@@ -66,3 +94,36 @@ def triple_barrier(bars: DataFrame, scale: str, h: int = 10, take: float = 2.0,
     label = F.when(stopped, -1.0).when(taken, 1.0).otherwise(0.0)
     bars_ = F.when(stopped, F.col("_td")).when(taken, F.col("_tu")).otherwise(F.lit(h))
     return df.withColumns({"label": F.when(known, label), "hit_bars": F.when(known, bars_).cast("double"), "ret": F.when(known, ratio(F.get("_c", bars_ - 1), F.col("close")) - 1)}).select(*bars.columns, "label", "hit_bars", "ret")
+
+
+EVENT = ("event_recency", "event_severity", "event_chart", "event_macro", "event_scheduled")
+
+
+def event_features(bars: DataFrame, events: DataFrame) -> DataFrame:
+    """The EVENT columns from events (symbol, ts, severity, chart, scheduled), each at the first bar at or after it.
+
+    Recency falls from 1 towards -1 by 20 bars since the last event, and is -1 before the first; the others are the
+    largest severity at a bar (of all events, chart events, others; 1 for scheduled ones) as an exponential mean over 20."""
+    from .events import asof
+    from .recurrence import streamed
+
+    at = asof(events.select("symbol", "ts", "severity", "chart", "scheduled"), bars.withColumn("_bar", F.col("ts")), "_bar", forward=True, out="bar").where("bar IS NOT NULL")
+    top = lambda x: F.coalesce(F.max(x), F.lit(0.0))
+    at = at.groupBy("symbol", F.col("bar").alias("ts")).agg(
+        F.max("severity").alias("_a"), top(F.when(F.col("chart"), F.col("severity"))).alias("_b"), top(F.when(~F.col("chart"), F.col("severity"))).alias("_c"), top(F.when(F.col("scheduled"), 1.0)).alias("_d")
+    )
+    df = bars.join(at, ["symbol", "ts"], "left").withColumn("_hit", F.col("_a").isNotNull()).fillna(0.0, ["_a", "_b", "_c", "_d"])
+
+    def make():
+        last: list = []
+
+        def f(row):
+            last[:] = row if not last else [y + (x - y) * 2 / 21 for x, y in zip(row, last)]
+            return tuple(last)
+
+        return f
+
+    df = streamed(df, [(make, EVENT[1:])], ("_a", "_b", "_c", "_d"))
+    df = df.withColumn("_i", F.row_number().over(past()))
+    since = F.col("_i") - F.last(F.when(F.col("_hit"), F.col("_i")), True).over(past().rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn(EVENT[0], F.coalesce(F.exp(-since / 20.0) * 2 - 1, F.lit(-1.0))).select(*bars.columns, *EVENT)

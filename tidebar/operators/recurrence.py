@@ -118,19 +118,19 @@ def price(name: str) -> Callable:
 BAR = ("open", "high", "low", "close", "volume")
 
 
-def streamed(df: DataFrame, parts: list[tuple[Callable, tuple[str, ...]]]) -> DataFrame:
-    """df with the outputs of each (make, outputs): make() gives a fresh function of a bar for every symbol."""
+def streamed(df: DataFrame, parts: list[tuple[Callable, tuple[str, ...]]], columns: tuple[str, ...] = BAR) -> DataFrame:
+    """df with the outputs of each (make, outputs): make() gives a fresh function of a row's columns for every symbol."""
     base = [c for c in df.columns if not any(c in outs for _, outs in parts)]
     outs = [o for _, names in parts for o in names]
-    at = [base.index(c) for c in BAR]
+    at = [base.index(c) for c in columns]
     key = base.index("symbol")
 
     def run(batches):
         symbol, fns = object(), []
         for b in batches:
-            columns = [b.column(i).to_pylist() for i in at]
+            values = [b.column(i).to_pylist() for i in at]
             got = [[] for _ in outs]
-            for name, *bar in zip(b.column(key).to_pylist(), *columns):
+            for name, *bar in zip(b.column(key).to_pylist(), *values):
                 if name != symbol:
                     symbol, fns = name, [make() for make, _ in parts]
                 i = 0

@@ -251,8 +251,8 @@ add(
     lambda spark, d: flat(crosssection.score(_panel(spark, d), {"factor": -1.0, "volume": 1.0}), ["symbol", "ts"], ["score"]),
     rows(
         ["symbol", "ts"],
-        {"score": "(-coalesce((ff - avg(ff) OVER (PARTITION BY ts)) / nullif(stddev_pop(ff) OVER (PARTITION BY ts), 0.0::DOUBLE), 0.0::DOUBLE) + coalesce((volume - avg(volume) OVER (PARTITION BY ts)) / nullif(stddev_pop(volume) OVER (PARTITION BY ts), 0.0::DOUBLE), 0.0::DOUBLE)) / 2"},
-        f"{PANEL}, fl AS (SELECT *, coalesce(factor, quantile_cont(factor, 0.5) OVER (PARTITION BY ts)) AS ff FROM pa)||fl",
+        {"score": "CASE WHEN nv >= 5 THEN (CASE WHEN nf >= 5 THEN -coalesce((ff - avg(ff) OVER (PARTITION BY ts)) / nullif(stddev_pop(ff) OVER (PARTITION BY ts), 0.0::DOUBLE), 0.0::DOUBLE) ELSE 0 END + coalesce((volume - avg(volume) OVER (PARTITION BY ts)) / nullif(stddev_pop(volume) OVER (PARTITION BY ts), 0.0::DOUBLE), 0.0::DOUBLE)) / CASE WHEN nf >= 5 THEN 2 ELSE 1 END END"},
+        f"{PANEL}, fl AS (SELECT *, coalesce(factor, quantile_cont(factor, 0.5) OVER (PARTITION BY ts)) AS ff, count(factor) OVER (PARTITION BY ts) AS nf, count(volume) OVER (PARTITION BY ts) AS nv FROM pa)||fl",
     ),
 )
 add(
