@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -45,6 +47,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nothing refers to any more: it does so once the driver's JVM has
+    collected them, which may otherwise take longer than the next large shuffle. Where the driver has no JVM of its own to
+    ask, nothing happens."""
+    gc.collect()
+    jvm = getattr(spark.sparkContext, "_jvm", None)
+    for _ in range(2 if jvm is not None else 0):  # what the first collection frees lets the second find the shuffles
+        jvm.System.gc()
+        time.sleep(0.5)
+
+
 def sliced(batches, rows: int = 1000, size: int = 8 << 20):
     """The record batches cut into ones of at most `rows` rows and, as far as whole rows allow, about `size` bytes."""
     for b in batches:

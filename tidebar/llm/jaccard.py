@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mix, sliced, staged, table, text_shingles
+from .common import checkpointed, mix, released, sliced, staged, table, text_shingles
 
 #: Buckets up to this many sets compare all their pairs; larger ones compare with a pivot first.
 SMALL = 12
@@ -374,21 +374,25 @@ def links(rows: DataFrame, docs: DataFrame, sets: DataFrame, k: int, threshold:
     hold enough shingles of other components to link with them, are then compared in blocks, cloud by cloud: the sets
     that such buckets hold together.
     """
+    spark = docs.sparkSession
     known = involved(docs, sets, rows.select("sid").distinct(), k)
+    released(spark)
     large = rows.where(F.col("many") > SMALL)
     pairs = _all_pairs(rows.where(F.col("many") <= SMALL)).unionByName(large.where("sid <> low").select(F.col("low").alias("a"), F.col("sid").alias("b")))
     roots = components(verified(pairs.distinct(), known, k, threshold))
+    released(spark)
     left = _rooted(large, roots)
     some = left.select("sid", "root").distinct().join(known.select("sid", "n", "text"), "sid")
     some = staged(_shareable(some, k, threshold), "open")
+    released(spark)
     left = _rooted(large.join(some.select("sid"), "sid"), roots)
     clouds = components(left.select(F.col("low").alias("a"), F.col("sid").alias("b")))
     new = _block_links(some.join(clouds.select(F.col("node").alias("sid"), F.col("root").alias("cloud")), "sid"), k, threshold)
     new = checkpointed(new)
-    if new.isEmpty():
-        return roots
-    # What is known already goes on as stars, so these steps are few.
-    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new))
+    if not new.isEmpty():  # what is known already goes on as stars, so these steps are few
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new))
+    released(spark)
+    return roots
 
 
 def classes(docs: DataFrame, k: int = 4, threshold: int = 85) -> DataFrame:
@@ -404,6 +408,7 @@ def classes(docs: DataFrame, k: int = 4, threshold: int = 85) -> DataFrame:
     sig = lambda f: f(F.when(F.col("n").isNull(), F.col("sid"))).over(w)
     rows = expanded(docs, k, threshold).withColumns({"low": sig(F.min), "high": sig(F.max), "many": sig(F.count)})
     rows = staged(rows.where("n IS NOT NULL OR low <> high").select("at", "sid", "n", "low", "many"), "signatures")
+    released(docs.sparkSession)
     sets = rows.where("n IS NOT NULL").groupBy(F.col("at").alias("key")).agg(F.first("sid").alias("sid"), F.first("n").alias("n"))
     roots = links(rows.where("n IS NULL").select(F.col("at").alias("sig"), "sid", "low", "many"), docs, sets, k, threshold)
     s = docs.select("doc_id", "key").join(sets, "key").join(roots, F.col("sid") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "sid"))
