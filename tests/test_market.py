@@ -218,6 +218,51 @@ def test_dtw_and_shapes(spark, twins):
     assert all(y - x >= 12 for x, y in zip(bars, bars[1:])) and max(bars) <= 350
 
 
+def test_analogs_against_brute_force(spark, twins):
+    from tidebar.operators import context
+
+    axes = context.situation(twins).toPandas().sort_values(["symbol", "ts"])
+    price = {k: g.sort_values("ts") for k, g in twins.toPandas().groupby("symbol")}
+    w = np.array(list(context.weights({"calendar": 0.0}).values()))
+    length, horizon, keep, top = 24, 10, 60, 6
+    z = lambda v: (v - v.mean()) / v.std() if v.std() > 0 else v * 0
+    peers = spark.createDataFrame([("A", "A"), ("A", "B")], "symbol string, source string")
+    close = price["A"].close.to_numpy()
+    mine, q = axes[axes.symbol == "A"][context.AXES].to_numpy()[-1], z(close[-length:])
+    found = []
+    for source, g in price.items():
+        c, ctx = g.close.to_numpy(), axes[axes.symbol == source][context.AXES].to_numpy().astype(float)
+        ends = [i for i in range(length - 1, len(c) - horizon)]
+        rms = {i: np.sqrt(((z(c[i - length + 1 : i + 1]) - q) ** 2).mean()) for i in ends}
+        for i in sorted(ends, key=lambda i: (rms[i], i))[:keep]:
+            ok = np.isfinite(ctx[i]) & np.isfinite(mine.astype(float))
+            if ok.sum() < 28 * 0.6:
+                continue
+            apart = np.sqrt((((ctx[i] - mine.astype(float))[ok] * w[ok]) ** 2).sum() / w[ok].sum())
+            warp = analog._dtw(z(c[i - length + 1 : i + 1])[None], q[None], 0.15)[0]
+            found.append((0.7 * warp + 0.3 * apart, source, i + 1))
+    want = []
+    for d, source, bar in sorted(found):
+        if len(want) < top and not any(s == source and abs(b - bar) < 12 for _, s, b in want):
+            want.append((d, source, bar))
+    rows = analog.search(twins, length, horizon, keep, top, context_weight=0.3, group_weights={"calendar": 0.0}, peers=peers).where("symbol = 'A'").orderBy("distance").collect()
+    assert [(r.source, r.bar) for r in rows] == [(s, b) for _, s, b in want] and [r.distance for r in rows] == pytest.approx([d for d, _, _ in want])
+    half = analog.search(twins.withColumn("m", F.col("ts") % 2 == 0).where("symbol = 'A'"), length, horizon, keep, top, mask="m")
+    assert half.count() > 0 and half.where("ts % 2 <> 0").count() == 0
+
+
+def test_bands_widen_where_matches_do_not_cover_each_other(spark):
+    ends = [0.5, -0.5, 0.001, 0.002, 0.003, 0.004]
+    m = spark.createDataFrame([("A", 1.0, [0.0, e]) for e in ends] + [("B", 1.0, [0.0, e]) for e in ends[:4]], "symbol string, distance double, path array<double>")
+    got = {r.symbol: r for r in analog.coverage(m).collect()}
+    assert got["A"].coverage == pytest.approx(4 / 6) and got["A"].widen == pytest.approx(0.8 / (4 / 6))
+    assert got["B"].coverage is None and got["B"].widen == 1.0
+    last = analog.project(m).where("symbol = 'A' AND step = 1").first()
+    v = np.sort(ends)
+    plain = {x: np.interp(x, (np.arange(6) + 0.5) / 6, v) for x in (0.1, 0.5, 0.9)}
+    assert last.q90 == pytest.approx(plain[0.5] + (plain[0.9] - plain[0.5]) * 1.2) and last.q10 == pytest.approx(plain[0.5] + (plain[0.1] - plain[0.5]) * 1.2)
+
+
 def test_tick_folding():
     ticks = lambda *rows: pd.DataFrame(rows, columns=["ts", "price", "volume"])
     fold = lambda bar, *rows: (lambda b, out: (b, [tuple(r) for r in out.itertuples(index=False)]))(*streams.fold_ticks(bar, ticks(*rows), 60_000))
@@ -366,3 +411,41 @@ def test_situation_axes(spark, twins):
     assert all(v is None for r in short.collect() for v in list(r)[2:])
     last = context.describe(twins).where("symbol = 'A'").first()
     assert set(last.axes) == set(context.AXES) and last.volatility in (0.0, 1.0, 2.0)
+
+
+def test_rank_against_pandas(spark):
+    from tidebar.operators import crosssection
+
+    rng = np.random.default_rng(6)
+    rows = [(f"S{i}", t, *map(float, rng.normal(size=3))) for i in range(9) for t in (0, 1)] + [("S9", 0, 1.0, None, None)]
+    rows = [(s, t, a, b if s < "S4" else None, c) for s, t, a, b, c in rows]
+    panel = spark.createDataFrame(rows, "symbol string, ts long, a double, b double, c double")
+    usable = spark.createDataFrame([("move", "a", -0.2, True), ("move", "b", 0.3, True), ("move", "c", 0.4, False), ("direction", "c", 0.1, True), ("direction", "a", 0.1, True)], "kind string, factor string, ic double, usable boolean")
+    got = {r.symbol: r for r in crosssection.rank(panel, usable, ["a", "b", "c"]).collect()}
+    last = pd.DataFrame(rows, columns=["symbol", "ts", "a", "b", "c"]).sort_values("ts").groupby("symbol").tail(1).set_index("symbol")
+    z = {f: (last[f].fillna(last[f].median()) - last[f].fillna(last[f].median()).mean()) / last[f].fillna(last[f].median()).std(ddof=0) for f in "ac"}
+    move, direction = -z["a"], (z["c"] + z["a"]) / 2  # b is known of four symbols only
+    for s, r in got.items():
+        assert r.move == pytest.approx(move[s]) and r.direction == pytest.approx(direction[s]) and [w.factor for w in r.why] == ["a"]
+    assert [s for s, _ in sorted(got.items(), key=lambda x: x[1].place)] == list(move.sort_values(ascending=False).index)
+    assert crosssection.rank(panel.where("symbol < 'S4'"), usable, ["a", "b", "c"]).count() == 0
+    assert crosssection.rank(panel, usable.where("NOT usable"), ["a", "b", "c"]).count() == 0
+
+
+def test_usable_factors(spark):
+    """A factor that orders the symbols as the label does at every time is usable; one without a constant sign is not."""
+    from tidebar.operators import crosssection
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for t in range(1000):
+        y = rng.normal(size=7)
+        rows += [(f"S{i}", t, float(y[i] + rng.normal()), float(y[i] * (1 if t < 500 else -1)), float(y[i])) for i in range(7)]
+    panel = spark.createDataFrame(rows, "symbol string, ts long, good double, turns double, y double")
+    got = {r.factor: r for r in crosssection.measure_all(panel, ["good", "turns"], {"direction": "y"}, 3).collect()}
+    assert got["good"].usable and got["good"].folds == 4 and got["good"].coverage == 1000 and got["good"].t > 10
+    assert not got["turns"].usable
+    few = crosssection.measure_all(panel.where("ts < 30"), ["good"], {"direction": "y"}, 3).first()
+    assert (few.ic, few.t, few.folds, few.coverage, few.usable) == (0.0, 0.0, 0, 30, False)
+    some = crosssection.measure_all(panel.where("ts < 300"), ["good"], {"direction": "y"}, 3).first()
+    assert some.folds < 3 and some.ic > 0.3 and not some.usable and crosssection.measure_all(panel.limit(0), ["good"], {"direction": "y"}, 3).first().coverage == 0

@@ -90,8 +90,8 @@ add(
             pr AS (SELECT *, count(*) OVER (PARTITION BY split) AS k, row_number() OVER (PARTITION BY split ORDER BY front DESC, c) AS best, count(*) OVER (PARTITION BY split ORDER BY back) AS low FROM pm), pb AS (SELECT * FROM pr WHERE best = 1)||pb""",
     ),
 )
-add("analog_search", lambda spark, d: flat(analog.search(bars_daily(spark, d)), ["symbol", "ts"], ["bar", "rms", "distance"], 4))
-add("analog_project", lambda spark, d: flat(analog.project(analog.search(bars_daily(spark, d))), ["symbol"], ["step", "prob_up", "q10", "q50", "q90"], 4))
+add("analog_search", lambda spark, d: flat(analog.search(bars_daily(spark, d)), ["symbol", "source", "ts"], ["bar", "rms", "shape", "context", "distance"], 4))
+add("analog_project", lambda spark, d: flat(analog.project(analog.search(bars_daily(spark, d))), ["symbol"], ["step", "prob_up", "q10", "q25", "q50", "q75", "q90", "coverage"], 4))
 add(
     "analog_euclid_topk",
     lambda spark, d: flat(_topk(spark, d), ["symbol", "ts"], ["rms"], 5),
