@@ -449,3 +449,18 @@ def test_usable_factors(spark):
     assert (few.ic, few.t, few.folds, few.coverage, few.usable) == (0.0, 0.0, 0, 30, False)
     some = crosssection.measure_all(panel.where("ts < 300"), ["good"], {"direction": "y"}, 3).first()
     assert some.folds < 3 and some.ic > 0.3 and not some.usable and crosssection.measure_all(panel.limit(0), ["good"], {"direction": "y"}, 3).first().coverage == 0
+
+
+def test_scenario_masks_loosen(spark, twins):
+    from tidebar.operators import scenario
+
+    a = twins.where("symbol = 'A'")
+    ev = a.where(f"ts = {100 * DAY}L").selectExpr("symbol", "ts - 5 AS ts")
+    on = lambda **k: scenario.mask(a, **k).where("mask").select(F.floor(F.col("ts") / DAY).alias("d"), "applied").orderBy("d").collect()
+    assert [(r.d, r.applied) for r in on(events=ev, least=3)] == [(100, "both"), (101, "both"), (102, "both")]
+    assert len(on(events=ev, least=4)) == a.count() and {r.applied for r in on(events=ev, least=4)} == {"none"}
+    assert len(on(events=ev.limit(0), least=3)) == a.count() and len(on()) == a.count()
+    high = on(volatility=2, least=5)
+    assert 0 < len(high) < a.count() and {r.applied for r in high} == {"both"}
+    mixed = on(events=ev, volatility=2, least=len(high))
+    assert [r.d for r in mixed] == [r.d for r in high] and {r.applied for r in mixed} == {"regime"} or {r.applied for r in mixed} == {"both"}

@@ -7,11 +7,11 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import series as s
-from ..operators import candles, context, crosssection, events, ranges
+from ..operators import candles, context, crosssection, events, ranges, scenario
 from ..sources.bars import UNITS, bar_closed, bars_daily, next_ts, session_end
 from ..sources.shared import kept
 from . import oracle as q
-from .study_queries import DETECT, RET, flat, rows
+from .study_queries import DETECT, FOUND, REGIME, RET, flat, rows
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -133,3 +133,22 @@ add(
     lambda spark, d: flat(candles.overlay(bars_daily(spark, d).where("volume > 40").withColumn("close", F.col("close") * 1.5), bars_daily(spark, d).where("volume < 60")), ["symbol", "ts"], ["open", "close", "volume"], 4),
     rows(["symbol", "ts"], {"open": "open", "close": "CASE WHEN volume > 40 THEN close * 1.5::DOUBLE ELSE close END", "volume": "volume"}, "bars").replace(", 6) + 0.0", ", 4) + 0.0"),
 )
+
+
+def _masked(spark, d):
+    """Around return spikes in high volatility and an upward trend."""
+    bars = kept(bars_daily(spark, d))
+    return scenario.mask(bars, events.detect(bars).where("kind = 'spike'"), 2, 1)
+
+
+add(
+    "scenario_mask",
+    lambda spark, d: _masked(spark, d),
+    f"""WITH RECURSIVE {q.DAILY.strip()}, {REGIME}, {FOUND},
+        ev AS (SELECT DISTINCT symbol, ts FROM found WHERE kind = 'spike'),
+        ma AS (SELECT rg.symbol, rg.ts, ev.ts IS NOT NULL AS hit, coalesce(vol = 2 AND trend = 1, false) AS regime FROM rg LEFT JOIN ev ON ev.symbol = rg.symbol AND ev.ts = rg.ts),
+        mb AS (SELECT symbol, ts, regime, bool_or(hit) {q.over(3)} OR NOT bool_or(hit) OVER (PARTITION BY symbol) AS event FROM ma),
+        mc AS (SELECT *, count(*) FILTER (WHERE event AND regime) OVER (PARTITION BY symbol) AS nb, count(*) FILTER (WHERE event) OVER (PARTITION BY symbol) AS ne, count(*) FILTER (WHERE regime) OVER (PARTITION BY symbol) AS nr FROM mb),
+        md AS (SELECT *, CASE WHEN nb >= 60 THEN 'both' WHEN ne >= 60 THEN 'event' WHEN nr >= 60 THEN 'regime' ELSE 'none' END AS applied FROM mc)
+        SELECT symbol, ts, event, regime, CASE applied WHEN 'both' THEN event AND regime WHEN 'event' THEN event WHEN 'regime' THEN regime ELSE true END AS mask, applied FROM md""",
+)

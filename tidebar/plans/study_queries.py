@@ -144,7 +144,8 @@ add(
     ),
 )
 add("forward_return", lambda spark, d: flat(ranges.forward_return(bars_daily(spark, d), 5), ["symbol", "ts"], ["fwd"]), rows(["symbol", "ts"], {"fwd": f"ln({q.lead('close', 5)} / close)"}, "bars"))
-ATR = f"{q.TR}, {q.seeded('x', 14, q.rma_a(14), 'atr', 'tr')}"
+WILDER = q.seeded("x", 14, q.rma_a(14), "atr", "tr")
+ATR = f"{q.TR}, {WILDER}"
 AHEAD = f"OVER ({q.P} ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING)"
 add(
     "triple_barrier",
@@ -267,7 +268,7 @@ add(
 PRE = f"OVER ({q.P} ROWS BETWEEN 250 PRECEDING AND 1 PRECEDING)"
 _rank = lambda x: _place(x, 60)
 _sev = lambda x: f"greatest(0.1::DOUBLE, least(1.0::DOUBLE, {x}))"
-DETECT = f"""{ATR}, c0 AS (SELECT b.*, a.y / nullif(close, 0.0::DOUBLE) AS ap FROM bars b LEFT JOIN atr a ON a.symbol = b.symbol AND a.ts = b.ts),
+FOUND = f"""{WILDER}, c0 AS (SELECT b.*, a.y / nullif(close, 0.0::DOUBLE) AS ap FROM bars b LEFT JOIN atr a ON a.symbol = b.symbol AND a.ts = b.ts),
 c1 AS (SELECT *, close / {q.lag('close')} - 1 AS chg, abs(open / {q.lag('close')} - 1) AS ag, CASE WHEN count(high) {PRE} >= 60 THEN max(high) {PRE} END AS top, CASE WHEN count(low) {PRE} >= 60 THEN min(low) {PRE} END AS bottom,
        CASE WHEN count(volume) {q.over(20)} >= 5 THEN avg(volume) {q.over(20)} END AS v20, CAST(row_number() OVER ({q.P}) AS BIGINT) AS i, count(*) OVER (PARTITION BY symbol) AS bars_ FROM c0),
 c2 AS (SELECT *, abs(ln(1 + chg)) AS ar, high > top AND {q.lag('high')} <= {q.lag('top')} AS up, low < bottom AND {q.lag('low')} >= {q.lag('bottom')} AS dn FROM c1),
@@ -285,6 +286,7 @@ found AS (
   UNION ALL SELECT symbol, ts, 'volatility', {_sev('ap / 0.05::DOUBLE')} FROM c5 WHERE rp >= 0.99 AND before < 0.9 AND bars_ >= 65
   UNION ALL SELECT symbol, ts, 'gap', {_sev('ag / 0.05::DOUBLE')} FROM c5 WHERE rg >= 0.99 AND ag >= 0.002 AND bars_ >= 65
   UNION ALL SELECT br.symbol, br.ts, br.kind, 0.5::DOUBLE FROM br JOIN ck ON ck.symbol = br.symbol AND ck.kind = br.kind AND ck.i = br.i)"""
+DETECT = f"{q.TR}, {FOUND}"
 add("detect_events", lambda spark, d: flat(events.detect(bars_daily(spark, d)), ["symbol", "ts", "kind"], ["severity"], 5), rows(["symbol", "ts", "kind"], {"severity": "severity"}, f"{DETECT}||found").replace(", 6) + 0.0", ", 5) + 0.0"))
 add("merge_same_bar", lambda spark, d: flat(events.merge(events.detect(bars_daily(spark, d))), ["symbol", "ts", "kinds"], ["severity"], 5), rows(["symbol", "ts", "kinds"], {"severity": "severity"}, f"{DETECT}, mg AS (SELECT symbol, ts, string_agg(kind, '+' ORDER BY severity DESC, kind) AS kinds, least(1.0::DOUBLE, greatest(0.1::DOUBLE, max(severity) + 0.1::DOUBLE * (count(*) - 1))) AS severity FROM found GROUP BY symbol, ts)||mg").replace(", 6) + 0.0", ", 5) + 0.0"))
 
