@@ -43,7 +43,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read back."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -17,6 +17,8 @@ from .common import checkpointed, mix, released, sliced, staged, table, text_shi
 SMALL = 12
 #: Least cells of a sketch; words of the filter that finds the texts to compare.
 CELLS, FILTER_WORDS = 128, 1 << 18
+#: Bits of the filter that finds shared shingles before they are shuffled, as a power of 2: 16 MB, whatever the data.
+SHARED_BITS = 27
 #: Most sets, and about the most shingles, of one side of a block comparison; shared shingles that it counts at a time.
 BLOCK, BLOCK_SHINGLES, COLUMNS, SALT = 2048, 1 << 20, 4096, 32
 #: Steps of size that a band spans (neighbours overlap in one of them); seeds tried before a set gives a signature of its band alone.
@@ -177,11 +179,11 @@ def _places(key) -> list:
     return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(FILTER_WORDS * 64)) for i in (1, 2)]
 
 
-def _filter_bits(keys: DataFrame) -> np.ndarray:
-    """A Bloom filter of FILTER_WORDS 64-bit words over key, summed by Spark; its size does not follow the data."""
-    bits = keys.select(F.explode(F.array(*_places("key"))).alias("b")).select(F.floor(F.col("b") / 64).cast("long").alias("w"), F.expr("shiftleft(1L, int(b % 64))").alias("m"))
-    out = np.zeros(FILTER_WORDS, np.int64)
-    words = bits.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()  # one job; FILTER_WORDS rows of 16 bytes at most
+def _filter_bits(keys: DataFrame, places: list, size: int) -> np.ndarray:
+    """A Bloom filter of `size` 64-bit words over the rows of keys, summed by Spark; its size does not follow the data."""
+    bits = keys.select(F.explode(F.array(*places)).alias("b")).select(F.floor(F.col("b") / 64).cast("long").alias("w"), F.expr("shiftleft(1L, int(b % 64))").alias("m"))
+    out = np.zeros(size, np.int64)
+    words = bits.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()  # one job; `size` rows of 16 bytes at most
     out[words.column("w").to_numpy()] = words.column("m").to_numpy()
     return out
 
@@ -192,7 +194,7 @@ def involved(docs: DataFrame, sets: DataFrame, sids: DataFrame, k: int) -> DataF
     A filter of fixed size over the keys of one row a set first passes over docs, so that only texts that may be wanted
     are cut into shingles and shuffled; the join that follows is exact."""
     one = checkpointed(sets.join(sids, "sid").groupBy("sid").agg(F.min(F.struct("key", "n")).alias("m")).select("sid", F.col("m.key").alias("key"), F.col("m.n").alias("n")))
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(one))
+    bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(one, _places("key"), FILTER_WORDS))
 
     def run(batches):
         seen: set[int] = set()
@@ -301,19 +303,29 @@ def _shareable(sets: DataFrame, k: int, threshold: int) -> DataFrame:
     """Those of sets (sid, root, n, text) that can still link with a set of another component.
 
     Shingles held by one component alone are no common ones, so a set of n shingles, u of them such, has at most n - u in
-    common with a set elsewhere; a link takes threshold % of n."""
+    common with a set elsewhere; a link takes threshold % of n. Shared shingles are found by a grouped minimum and maximum;
+    a filter of fixed size then keeps most others out of the join that counts them, which is exact."""
+    mask = (1 << SHARED_BITS) - 1
+
+    def shingles(bits=None):
+        def run(batches):
+            for b in sliced(batches, 250):
+                hs = [text_shingles(t, k) for t in b.column(2).to_pylist()]
+                if bits is not None:
+                    at = lambda x: (bits.value[x >> np.uint64(6)] >> (x & np.uint64(63)).astype(np.int64) & 1).astype(bool)
+                    hs = [h[at(h & np.uint64(mask)) & at(h >> np.uint64(32) & np.uint64(mask))] for h in hs]
+                size = [len(h) for h in hs]
+                own, root = (np.repeat(b.column(i).to_numpy(), size) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(own), pa.array(root)], ["h", "sid", "root"])
+
+        return sets.select("sid", "root", "text").mapInArrow(run, "h long, sid long, root long")
 
-    def run(batches):
-        for b in sliced(batches, 250):
-            hs = [text_shingles(t, k) for t in b.column(2).to_pylist()]
-            size = [len(h) for h in hs]
-            own, root = (np.repeat(b.column(i).to_numpy(), size) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(own), pa.array(root)], ["h", "sid", "root"])
-
-    h = sets.select("sid", "root", "text").mapInArrow(run, "h long, sid long, root long")
     w = F.struct(F.min("root").alias("r1"), F.max("root").alias("r2"))
-    common = h.groupBy("h").agg(w.alias("r")).where("r.r1 <> r.r2").select(F.col("h"))
-    known = h.join(common, "h").groupBy("sid").agg(F.count("*").alias("c"))
+    common = checkpointed(shingles().groupBy("h").agg(w.alias("r")).where("r.r1 <> r.r2").select("h"))
+    released(sets.sparkSession)
+    places = [F.col("h").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(mask))]
+    bits = sets.sparkSession.sparkContext.broadcast(_filter_bits(common, places, 1 << SHARED_BITS - 6))
+    known = shingles(bits).select("h", "sid").join(common, "h").groupBy("sid").agg(F.count("*").alias("c"))
     return sets.join(known, "sid").where(F.col("c") * 100 >= F.col("n") * threshold).drop("c")
 
 
