@@ -71,6 +71,28 @@ def packed(docs: DataFrame, **named) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[x.alias(n) for n, x in named.items()])
 
 
+def filter_places(key, bits: int) -> list:
+    """The two places of a key in a filter of 2 ** bits bits."""
+    return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(1 << bits)) for i in (1, 2)]
+
+
+def filter_bits(keys: DataFrame, places: list, bits: int) -> np.ndarray:
+    """A Bloom filter of 2 ** bits bits over the rows of keys, summed by Spark; its size does not follow the data."""
+    at = keys.select(F.explode(F.array(*places)).alias("b")).select(F.floor(F.col("b") / 64).cast("long").alias("w"), F.expr("shiftleft(1L, int(b % 64))").alias("m"))
+    out = np.zeros(1 << bits - 6, np.int64)
+    words = at.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()  # one job; as many rows of 16 bytes as the filter has words
+    out[words.column("w").to_numpy()] = words.column("m").to_numpy()
+    return out
+
+
+def maybe(bits: np.ndarray, *places: np.ndarray) -> np.ndarray:
+    """Whether a filter may hold the keys with these places."""
+    out = np.ones(len(places[0]), bool)
+    for at in places:
+        out &= (bits[at >> 6] >> (at & 63) & 1).astype(bool)
+    return out
+
+
 def word_count(col):
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -102,8 +124,8 @@ def _powers(n: int) -> np.ndarray:
     return _POW
 
 
-def word_hashes(data: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words in UTF-8 bytes, A-Z lower-cased, in order."""
+def word_hashes(data: np.ndarray, fold: bool = True) -> np.ndarray:
+    """64-bit hashes of the words in UTF-8 bytes, in order; with fold, A-Z are lower-cased first."""
     solid = ~_SPACE[data]
     if not solid.any():
         return np.empty(0, np.uint64)
@@ -111,7 +133,8 @@ def word_hashes(data: np.ndarray) -> np.ndarray:
     first[1:] &= ~solid[:-1]
     at = np.cumsum(solid) - 1
     begin = at[first]
-    own = _LOWER[data[solid]].astype(np.uint64) + np.uint64(1)
+    own = data[solid]
+    own = (_LOWER[own] if fold else own).astype(np.uint64) + np.uint64(1)
     size = np.diff(begin, append=len(own))
     place = np.arange(len(own)) - np.repeat(begin, size)
     return mix(np.add.reduceat(own * _powers(int(size.max()))[place], begin) + size.astype(np.uint64) * _M2)

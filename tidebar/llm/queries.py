@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, language, mixing, pii, secrets, tiff, tokencount, tokenfile, warc
+from . import decontaminate, jaccard, language, merkle, mixing, periodic, phrases, pii, secrets, tiff, tokencount, tokenfile, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_warc_revisits": warc.op8_warc_revisits,
     "op9_tiff_pages": tiff.op9_tiff_pages,
     "op10_language_mixture": language.op10_language_mixture,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_repeated_phrases": phrases.op12_repeated_phrases,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
 ORACLE = {"op8_warc_revisits": warc.ORACLE}
