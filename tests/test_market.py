@@ -419,17 +419,20 @@ def test_rank_against_pandas(spark):
     rng = np.random.default_rng(6)
     rows = [(f"S{i}", t, *map(float, rng.normal(size=3))) for i in range(9) for t in (0, 1)] + [("S9", 0, 1.0, None, None)]
     rows = [(s, t, a, b if s < "S4" else None, c) for s, t, a, b, c in rows]
-    panel = spark.createDataFrame(rows, "symbol string, ts long, a double, b double, c double")
-    usable = spark.createDataFrame([("move", "a", -0.2, True), ("move", "b", 0.3, True), ("move", "c", 0.4, False), ("direction", "c", 0.1, True), ("direction", "a", 0.1, True)], "kind string, factor string, ic double, usable boolean")
-    got = {r.symbol: r for r in crosssection.rank(panel, usable, ["a", "b", "c"]).collect()}
+    panel = spark.createDataFrame(rows, "symbol string, ts long, a__rel double, b__rel double, c__rel double").withColumn("plain", F.col("a__rel") * 9)
+    rel = [("move", "a", -0.2, True), ("move", "b", 0.3, True), ("move", "c", 0.4, False), ("direction", "c", 0.1, True), ("direction", "a", 0.1, True)]
+    usable = spark.createDataFrame([(k, f + "__rel", ic, ok) for k, f, ic, ok in rel] + [("move", "plain", 0.9, True), ("direction", "plain", 0.9, True)], "kind string, factor string, ic double, usable boolean")
+    names = ["a__rel", "b__rel", "c__rel", "plain"]
+    got = {r.symbol: r for r in crosssection.rank(panel, usable, names).collect()}
     last = pd.DataFrame(rows, columns=["symbol", "ts", "a", "b", "c"]).sort_values("ts").groupby("symbol").tail(1).set_index("symbol")
     z = {f: (last[f].fillna(last[f].median()) - last[f].fillna(last[f].median()).mean()) / last[f].fillna(last[f].median()).std(ddof=0) for f in "ac"}
     move, direction = -z["a"], (z["c"] + z["a"]) / 2  # b is known of four symbols only
     for s, r in got.items():
-        assert r.move == pytest.approx(move[s]) and r.direction == pytest.approx(direction[s]) and [w.factor for w in r.why] == ["a"]
+        assert r.move == pytest.approx(move[s]) and r.direction == pytest.approx(direction[s]) and [w.factor for w in r.why] == ["a__rel"]
     assert [s for s, _ in sorted(got.items(), key=lambda x: x[1].place)] == list(move.sort_values(ascending=False).index)
-    assert crosssection.rank(panel.where("symbol < 'S4'"), usable, ["a", "b", "c"]).count() == 0
-    assert crosssection.rank(panel, usable.where("NOT usable"), ["a", "b", "c"]).count() == 0
+    assert crosssection.rank(panel.where("symbol < 'S4'"), usable, names).count() == 0
+    assert crosssection.rank(panel, usable.where("NOT usable"), names).count() == 0
+    assert crosssection.rank(panel, usable.where("factor = 'plain'"), names).count() == 0
 
 
 def test_usable_factors(spark):
@@ -464,3 +467,50 @@ def test_scenario_masks_loosen(spark, twins):
     assert 0 < len(high) < a.count() and {r.applied for r in high} == {"both"}
     mixed = on(events=ev, volatility=2, least=len(high))
     assert [r.d for r in mixed] == [r.d for r in high] and {r.applied for r in mixed} == {"regime"} or {r.applied for r in mixed} == {"both"}
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata"])
+def test_time_is_utc_in_any_session_zone(spark, zone, tmp_path):
+    """Calendar, session ends, bars of tables without a zone, and CSV times do not move with the session's time zone."""
+    from tidebar.operators import context
+    from tidebar.plans import study_queries
+    from tidebar.sources.bars import session_end
+
+    (tmp_path / "A_1h.csv").write_text("date,open,high,low,close,volume\n2024-03-10 02:30:00,1,1,1,1,1\n2024-03-10T02:30:00Z,1,1,1,1,1\n2024-03-10T04:30:00+02:00,1,1,1,1,1\n2024-03-10,1,1,1,1,1\n1710000000,1,1,1,1,1\n")
+    times = [1704067200000, 1710037800000, 1711846800000, 1719791999999, 1735689540000]
+    d = spark.createDataFrame([("A", t) for t in times], "symbol string, ts long")
+
+    def seen():
+        cal = context.calendar(d).select(*study_queries.CAL).collect()
+        ends = d.select(session_end("ts", F.lit("kr")), session_end("ts", F.lit("us"))).collect()
+        bars = study_queries.bars_hourly(spark, "/root/testdata/sf0.001").orderBy("symbol", "ts").limit(50).collect()
+        daily = study_queries.bars_daily(spark, "/root/testdata/sf0.001").orderBy("symbol", "ts").limit(50).collect()
+        return cal, ends, bars, daily, read_csv(spark, f"{tmp_path}/A_1h.csv").select("ts").collect()
+
+    want = seen()
+    assert want[0][0][:4] == (0.0, 0.0, 1.0, 1.0) and want[0][1][0] == 2.5 and [r.ts for r in want[4]] == [1710037800000] * 3 + [1710028800000, 1710000000000]
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        assert seen() == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_no_volume_is_the_least_volume_ratio(spark):
+    from tidebar.operators import context
+
+    rows = [(*r[:6], 0.0 if i in (50, 59) else r[6], r[7]) for i, r in enumerate(candle_rows(60, "A"))]
+    got = {r.ts: r.volume_ratio for r in context.situation(spark.createDataFrame(rows, CANDLE)).collect()}
+    assert got[50 * DAY] == got[59 * DAY] == -1.0 and -1 < got[49 * DAY] < 1
+    still = context.situation(spark.createDataFrame([(*r[:6], 0.0, r[7]) for r in candle_rows(60, "A")], CANDLE)).select("volume_ratio").distinct().collect()
+    assert [r[0] for r in still] == [None]
+
+
+def test_guards_of_folds_and_pbo(spark):
+    panel = spark.createDataFrame([("A", i, float(i)) for i in range(600)], "symbol string, ts long, y double")
+    got = {(r.fold, r.part): r["count"] for r in forecast.time_folds(panel, 4, 5).groupBy("fold", "part").count().collect()}
+    assert sorted({f for f, _ in got}) == [2, 3, 4] and all(n >= (200 if p == "train" else 60) for (_, p), n in got.items())
+    assert forecast.time_folds(panel.where("ts < 300"), 4, 5).count() == 0
+    grid = spark.createDataFrame([(t, c, float((t * 7 + c * 13) % 11)) for t in range(80) for c in range(4)], "t long, candidate long, value double")
+    assert forecast.pbo(grid, 8).first().pbo is not None and forecast.pbo(grid.where("candidate < 3"), 8).first().pbo is None
+    assert forecast.pbo(grid.where("t < 7"), 8).first().pbo is None

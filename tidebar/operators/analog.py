@@ -60,13 +60,13 @@ def _apart(a: Column, b: Column, weights: list[float]) -> Column:
 
 
 def search(
-    bars: DataFrame, length: int = 48, horizon: int = 20, preselect: int = 400, top: int = 20, band: float = 0.15, exclude_recent: int = 0,
+    bars: DataFrame, length: int = 48, horizon: int = 24, preselect: int = 400, top: int = 20, band: float = 0.15, exclude_recent: int = 0,
     context_weight: float = 0.5, group_weights: dict[str, float] | None = None, peers: DataFrame | None = None, mask: str | None = None,
 ) -> DataFrame:
     """(query, symbol, source, ts, bar, rms, shape, context, distance, path): for each symbol's last window, its nearest past windows.
 
     Of each source the `preselect` nearest by root mean square go on; their distance is dynamic time warping and that of
-    the situation vectors, mixed by context_weight, and windows whose situation is mostly unknown are none. Of the rest, by
+    the situation vectors, mixed by context_weight; windows whose situation is mostly unknown are none at any weight. Of the rest, by
     rising distance, those less than half a window from a better one of the same source go. Candidates end `horizon` bars
     before the last one at least, and where the boolean column `mask` says so. Sources are the symbol itself, or those of
     peers (symbol, source). Symbols of fewer than length + 5 bars are not asked for."""
@@ -91,13 +91,10 @@ def search(
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(_dtw(shape, q, band), pa.float64())], [*keep, "warp"])
 
     scored = near.select(*keep, "shape", "q").mapInArrow(warp, "query long, symbol string, source string, ts long, bar int, rms double, path array<double>, warp double")
-    if context_weight:
-        mine = axes.select("symbol", F.col("ts").alias("query"), F.col("axes").alias("a"))
-        theirs = axes.select(F.col("symbol").alias("source"), "ts", F.col("axes").alias("b"))
-        scored = scored.join(mine, ["symbol", "query"]).join(theirs, ["source", "ts"]).withColumn("context", _apart(F.col("b"), F.col("a"), list(weights(group_weights).values()))).where("context IS NOT NULL")
-    else:
-        scored = scored.withColumn("context", F.lit(None).cast("double"))
-    scored = scored.withColumn("distance", (1 - context_weight) * F.col("warp") + F.coalesce(context_weight * F.col("context"), F.lit(0.0)))
+    mine = axes.select("symbol", F.col("ts").alias("query"), F.col("axes").alias("a"))
+    theirs = axes.select(F.col("symbol").alias("source"), "ts", F.col("axes").alias("b"))
+    scored = scored.join(mine, ["symbol", "query"]).join(theirs, ["source", "ts"]).withColumn("context", _apart(F.col("b"), F.col("a"), list(weights(group_weights).values()))).where("context IS NOT NULL")
+    scored = scored.withColumn("distance", (1 - context_weight) * F.col("warp") + context_weight * F.col("context"))
     # At most `preselect` rows a symbol and source come together here.
     row = F.struct("distance", "source", "bar", "ts", "rms", "warp", "context", "path")
     rows = scored.groupBy("query", "symbol").agg(F.array_sort(F.collect_list(row)).alias("o"))

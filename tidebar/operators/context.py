@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from ..functions import series as s
 from ..functions.series import ratio
+from ..sources.bars import UNITS
 
 
 def calendar(bars: DataFrame) -> DataFrame:
-    """Clock and calendar positions of each bar in UTC, their circles, and three overlapping session flags."""
-    t = F.timestamp_millis(F.col("ts"))
-    hour = F.hour(t) + F.minute(t) / 60.0
+    """Clock and calendar positions of each bar in UTC, whatever the session's time zone, their circles, and three
+    overlapping session flags."""
+    t = F.date_from_unix_date(F.floor(F.col("ts") / UNITS["d"]).cast("int"))
+    hour = F.floor(F.pmod("ts", F.lit(UNITS["d"])) / UNITS["m"]) / 60.0
     quarter = F.trunc(t, "quarter")
-    after = F.add_months(quarter, 3)
+    begin, after = (F.unix_date(x).cast("long") * UNITS["d"] for x in (quarter, F.add_months(quarter, 3)))
     df = bars.withColumns(
         {
             "hour": hour,
@@ -24,7 +26,7 @@ def calendar(bars: DataFrame) -> DataFrame:
             "month": F.month(t).cast("double"),
             "quarter": F.quarter(t).cast("double"),
             "month_progress": (F.dayofmonth(t) - 1) / (F.dayofmonth(F.last_day(t)) - 1).cast("double"),
-            "quarter_progress": (F.col("ts") - F.unix_millis(quarter.cast("timestamp"))) / (F.unix_millis(after.cast("timestamp")) - F.unix_millis(quarter.cast("timestamp"))),
+            "quarter_progress": (F.col("ts") - begin) / (after - begin),
             "year_progress": (F.dayofyear(t) - 1) / F.lit(365.0),
             "asia": ((hour >= 0) & (hour < 8)).cast("double"),
             "europe": ((hour >= 7) & (hour < 16)).cast("double"),
@@ -127,7 +129,7 @@ def situation(bars: DataFrame) -> DataFrame:
         "atr_pct": squash(c("_ap"), 0.02),
         "bandwidth": squash(c("_bw"), 0.08),
         "squeeze": c("_on") * 2 - 1,
-        "volume_ratio": squash(F.log(ratio(c("volume"), F.nullif(c("_v20"), F.lit(0.0)))), 0.7),
+        "volume_ratio": F.when((c("volume") == 0) & (c("_v20") > 0), -1.0).otherwise(squash(F.log(ratio(c("volume"), F.nullif(c("_v20"), F.lit(0.0)))), 0.7)),
         "cmf": clip(c("_cmf")),
         "vol_percentile": c("_vp") * 2 - 1,
         "trend_state": trend,

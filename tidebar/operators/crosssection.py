@@ -117,12 +117,12 @@ def score(panel: DataFrame, factors: dict[str, float], least: int = 5, reasons:
 
 
 def rank(panel: DataFrame, usable: DataFrame, factors: list[str], least: int = 5) -> DataFrame:
-    """(symbol, ts, place, move, direction, why): the last row of each symbol, scored at once by the factors that
-    measure_all found usable for either kind, best first by move (by direction where no factor serves move).
+    """(symbol, ts, place, move, direction, why): the last row of each symbol, scored at once by the relative factors (REL)
+    that measure_all found usable for either kind; plain ones move with the market and tell symbols apart by nothing else; best first by move (by direction where no factor serves move).
 
     Empty below `least` symbols or without a usable factor. The cross-section has a row a symbol."""
     last = panel.groupBy("symbol").agg(F.max_by(F.struct("ts", *factors), "ts").alias("x")).select("symbol", F.col("x.ts").alias("last"), *[f"x.`{f}`" for f in factors], F.lit(0).alias("ts"))
-    signs = {(r.kind, r.factor): 1.0 if r.ic > 0 else -1.0 for r in usable.where("usable").select("kind", "factor", "ic").collect()}  # two rows a factor at most
+    signs = {(r.kind, r.factor): 1.0 if r.ic > 0 else -1.0 for r in usable.where(F.col("usable") & F.col("factor").endswith(REL)).select("kind", "factor", "ic").collect()}  # two rows a factor at most
     out, kinds = last.withColumn("_n", F.count("*").over(Window.partitionBy("ts"))), []
     for kind in ("move", "direction"):
         own = {f: v for (k, f), v in signs.items() if k == kind}

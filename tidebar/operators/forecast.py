@@ -49,13 +49,21 @@ def pinball(y, quantile, q: float):
     return F.avg(F.greatest(q * (y - quantile), (q - 1) * (y - quantile)))
 
 
+#: Fewest training and test rows of a fold.
+LEAST_TRAIN, LEAST_TEST = 200, 60
+
+
 def time_folds(panel: DataFrame, folds: int, horizon_ms: int) -> DataFrame:
-    """panel rows once for each fold they serve: fold, part (train up to an edge, test from the edge plus the horizon to the next)."""
+    """panel rows once for each fold they serve: fold, part (train up to an edge, test from the edge plus the horizon to the next).
+
+    Folds with fewer than LEAST_TRAIN training or LEAST_TEST test rows are left out."""
     span = panel.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
     p = panel.join(F.broadcast(span)).withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(folds))))
     edge = lambda k: F.col("a") + (F.col("b") - F.col("a")) * k / (folds + 1.0)
     part = F.when(F.col("ts") <= edge(F.col("fold")), "train").when((F.col("ts") > edge(F.col("fold")) + horizon_ms) & (F.col("ts") <= edge(F.col("fold") + 1)), "test")
-    return p.withColumn("part", part).where("part IS NOT NULL").drop("a", "b")
+    p = p.withColumn("part", part).where("part IS NOT NULL").drop("a", "b")
+    enough = p.groupBy("fold").agg(F.count_if(F.col("part") == "train").alias("a"), F.count_if(F.col("part") == "test").alias("b")).where((F.col("a") >= LEAST_TRAIN) & (F.col("b") >= LEAST_TEST))
+    return p.join(F.broadcast(enough.select("fold")), "fold", "left_semi")  # a row a fold
 
 
 def baselines(panel: DataFrame, y: str, folds: int, horizon_ms: int, levels=(0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
@@ -116,7 +124,8 @@ def p_value(null: DataFrame, column: str, observed: float) -> DataFrame:
 def pbo(results: DataFrame, splits: int = 10) -> DataFrame:
     """(pbo): of all ways to take half the time blocks, the share in which the best candidate there ranks in the lower half of the rest.
 
-    results: (t, candidate, value). Sums by block leave blocks x candidates rows, whatever the number of times."""
+    results: (t, candidate, value). Sums by block leave blocks x candidates rows, whatever the number of times. Null below
+    four candidates, whose places tell nothing, and below one time a block."""
     if splits < 4 or splits % 2:
         raise ValueError("splits must be even, 4 at least")
     order = places(results.select("t").distinct(), [], ["t"]).withColumnRenamed("place", "_i")
@@ -133,7 +142,8 @@ def pbo(results: DataFrame, splits: int = 10) -> DataFrame:
     w = Window.partitionBy("split")
     m = m.withColumns({"k": F.count("*").over(w), "best": F.row_number().over(w.orderBy(F.desc("front"), "candidate")), "low": F.count("*").over(w.orderBy("back").rangeBetween(Window.unboundedPreceding, 0))})
     share = F.col("low") / (F.col("k") + 1)
-    return m.where("best = 1").agg(F.avg((share < 0.5).cast("double")).alias("pbo"))
+    enough = (F.max("k") >= 4) & F.lit(n >= splits)
+    return m.where("best = 1").agg(F.when(enough, F.avg((share < 0.5).cast("double"))).alias("pbo"))
 
 
 def survives(observed: float, trials: int, null_std: float, cushion: float = 1.0) -> bool:

@@ -45,7 +45,8 @@ def _panel(spark, d):
 QS = (0.1, 0.25, 0.5, 0.75, 0.9)
 FOLDS = f"""pv AS (SELECT symbol, ts, fwd FROM (SELECT *, ln({q.lead('close', 5)} / close) AS fwd FROM bars) WHERE fwd IS NOT NULL),
 sp AS (SELECT min(ts) AS a, max(ts) AS z FROM pv),
-fo AS (SELECT pv.*, f.fold, CASE WHEN ts <= a + (z - a) * f.fold / 5.0::DOUBLE THEN 'train' WHEN ts > a + (z - a) * f.fold / 5.0::DOUBLE + {5 * UNITS['d']} AND ts <= a + (z - a) * (f.fold + 1) / 5.0::DOUBLE THEN 'test' END AS part FROM pv, sp, (SELECT unnest([1, 2, 3, 4]) AS fold) f)"""
+fa AS (SELECT pv.*, f.fold, CASE WHEN ts <= a + (z - a) * f.fold / 5.0::DOUBLE THEN 'train' WHEN ts > a + (z - a) * f.fold / 5.0::DOUBLE + {5 * UNITS['d']} AND ts <= a + (z - a) * (f.fold + 1) / 5.0::DOUBLE THEN 'test' END AS part FROM pv, sp, (SELECT unnest([1, 2, 3, 4]) AS fold) f),
+fo AS (SELECT * FROM fa WHERE fold IN (SELECT fold FROM fa GROUP BY fold HAVING count(*) FILTER (WHERE part = 'train') >= 200 AND count(*) FILTER (WHERE part = 'test') >= 60))"""
 add("time_folds", lambda spark, d: flat(forecast.time_folds(_panel(spark, d), 4, 5 * UNITS["d"]).groupBy("fold", "part").agg(F.count("*").alias("n"), F.avg("fwd").alias("mean")), ["part"], ["fold", "n", "mean"]), rows(["part"], {"fold": "fold", "n": "n", "mean": "mean"}, f"{FOLDS}, cc AS (SELECT fold, part, count(*) AS n, avg(fwd) AS mean FROM fo WHERE part IS NOT NULL GROUP BY fold, part)||cc"))
 add(
     "pinball_baselines",

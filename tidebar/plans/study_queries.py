@@ -96,7 +96,7 @@ _axes = {
     "atr_pct": "tanh(ap / 0.02::DOUBLE)",
     "bandwidth": "tanh(4 * bs / nullif(bm, 0.0::DOUBLE) / 0.08::DOUBLE)",
     "squeeze": "onn * 2 - 1",
-    "volume_ratio": "tanh(ln(volume / nullif(v20, 0.0::DOUBLE)) / 0.7::DOUBLE)",
+    "volume_ratio": "CASE WHEN volume = 0 AND v20 > 0 THEN -1 WHEN volume > 0 THEN tanh(ln(volume / nullif(v20, 0.0::DOUBLE)) / 0.7::DOUBLE) END",
     "cmf": _clip("cmf"),
     "vol_percentile": "vp * 2 - 1",
     "trend_state": "trend",
