@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import series as s
-from ..operators import analog, backtest, forecast, ledger, ranges, signals
+from ..operators import analog, backtest, forecast, ledger, ranges, resampling, retrieval, signals
 from ..sources.bars import UNITS, bars_daily, bars_hourly
-from ..sources.shared import shared_dir
+from ..sources.shared import kept, shared_dir
 from ..streaming import bars as streams
 from . import oracle as q
 from .indicator_queries import OHLCV, rounded
@@ -187,3 +187,56 @@ add(
     lambda spark, d: flat(ledger.followup(_fired(spark, d), bars_hourly(spark, d)), ["symbol", "ts"], ["change_1", "change_3", "change_7"]),
     rows(["symbol", "ts"], {f"change_{n}": f"c{n} / high - 1" for n in (1, 3, 7)}, f"fu AS (SELECT symbol, CAST(ts + 60000 AS BIGINT) AS ts, ts AS bar, high, {', '.join(f'{q.lead('close', n)} AS c{n}' for n in (1, 3, 7))} FROM hours)||fu", q.HOURLY),
 )
+
+
+# Resampling and retrieval
+ROUNDS, BLOCK = 400, 20
+
+
+def _returns(spark, d):
+    r = F.log(F.col("close") / s.lag("close"))
+    return bars_daily(spark, d).select(F.col("symbol").alias("key"), F.col("ts").alias("t"), r.alias("x"))
+
+
+def _verdict(spark, d):
+    series = kept(_returns(spark, d))
+    return resampling.bootstrap_verdict(series, series.select("key").distinct().withColumn("block", F.lit(BLOCK).cast("long")), ROUNDS, 3)
+
+
+def _boot(seed: int) -> str:
+    """(key, r, m): the mean of every replicate, from running sums at both ends of the blocks it draws."""
+    end = "CASE WHEN place + len <= n THEN b.s - a.s ELSE a.total - a.s + b.s END"
+    return f"""(SELECT key, r, sum({end}) / any_value(n) AS m FROM (
+        SELECT key, n, r, ('0x' || substr(md5('{seed}:' || key || ':' || r || ':' || j), 1, 12))::BIGINT % n AS place, CASE WHEN j = k THEN n - (k - 1) * size ELSE size END AS len
+        FROM (SELECT *, unnest(range(1, k + 1)) AS j FROM (SELECT *, unnest(range(1, {ROUNDS + 1})) AS r FROM ow)) t) d
+        JOIN cs a USING (key, place) JOIN cs b ON b.key = d.key AND b.place = (d.place + d.len - 1) % d.n + 1 GROUP BY key, r)""".replace("SELECT key, r, sum", "SELECT d.key, d.r, sum").replace("any_value(n)", "any_value(d.n)").replace("place + len <= n", "d.place + d.len <= d.n").replace("GROUP BY key, r)", "GROUP BY d.key, d.r)")
+
+
+add(
+    "bootstrap_verdict",
+    lambda spark, d: flat(_verdict(spark, d), ["key"], ["n", "block", "mean", "p", "lo", "hi"]),
+    rows(
+        ["key"],
+        {"n": "n", "block": "size", "mean": "mean", "p": "p", "lo": "lo", "hi": "hi"},
+        f"""re AS (SELECT symbol AS key, ts, ln(close / {q.lag('close')}) AS x FROM bars),
+            nn AS (SELECT key, ts, x, row_number() OVER (PARTITION BY key ORDER BY ts) AS i FROM re WHERE x IS NOT NULL),
+            ow AS (SELECT key, count(*) AS n, avg(x) AS mean, greatest(1, least({BLOCK}, count(*) // 4)) AS size, CAST(ceil(count(*) / greatest(1, least({BLOCK}, count(*) // 4))) AS BIGINT) AS k FROM nn GROUP BY key HAVING count(*) >= 4),
+            cs AS (SELECT key, i AS place, sum(x) OVER (PARTITION BY key ORDER BY i) AS s, sum(x) OVER (PARTITION BY key) AS total FROM nn UNION ALL SELECT key, 0, 0, sum(x) FROM nn GROUP BY key),
+            b0 AS {_boot(3)}, b1 AS {_boot(4)},
+            ps AS (SELECT key, (count(*) FILTER (WHERE m - 2 * mean >= 0) + 1) / ({ROUNDS} + 1.0::DOUBLE) AS p FROM b0 JOIN ow USING (key) GROUP BY key),
+            iv AS (SELECT key, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM b1 GROUP BY key),
+            ve AS (SELECT * FROM ow JOIN ps USING (key) JOIN iv USING (key))||ve""",
+    ),
+)
+add("pick_block", lambda spark, d: resampling.pick_block(_returns(spark, d), ["key"], ["t"], "x"))
+
+
+def _null(spark, d):
+    """Whether the next day rises, under conditions of the day, in 200 worlds of moved blocks."""
+    ret = F.col("close") / s.lag("close", 5) - 1
+    b = bars_daily(spark, d).withColumns({"hit": (s.lead("close") > F.col("close")).cast("double"), "busy": F.col("volume") > 150, "up": F.col("close") > F.col("open"), "rising": ret > 0, "falling_far": ret < -0.05})
+    return resampling.null_best(b, ["ts", "symbol"], "hit", ["busy", "up", "rising", "falling_far"], BLOCK, 200)
+
+
+add("null_best", lambda spark, d: flat(_null(spark, d), ["round"], ["best"]))
+add("analog_features", lambda spark, d: flat(retrieval.analog_features(bars_daily(spark, d)), ["symbol", "ts"], list(retrieval.COLUMNS), 4))
