@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -40,22 +38,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Spark's setting by which the shuffle files of a query go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def released(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that nothing refers to any more: it does so once the driver's JVM has
-    collected them, which may otherwise take longer than the next large shuffle. Where the driver has no JVM of its own to
-    ask, nothing happens."""
-    gc.collect()
-    jvm = getattr(spark.sparkContext, "_jvm", None)
-    for _ in range(2 if jvm is not None else 0):  # what the first collection frees lets the second find the shuffles
-        jvm.System.gc()
-        time.sleep(0.5)
+    """df written once as Parquet in the shared folder and read back. What the write shuffled is not needed again, so Spark
+    is asked to drop it then."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def sliced(batches, rows: int = 1000, size: int = 8 << 20):

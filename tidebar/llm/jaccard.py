@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mix, released, sliced, staged, table, text_shingles
+from .common import checkpointed, filter_bits, filter_places, maybe, mix, sliced, staged, table, text_shingles
 
 #: Buckets up to this many sets compare all their pairs; larger ones compare with a pivot first.
 SMALL = 12
-#: Least cells of a sketch; words of the filter that finds the texts to compare.
-CELLS, FILTER_WORDS = 128, 1 << 18
+#: Least cells of a sketch; bits, as a power of 2, of the filter that finds the texts to compare: 2 MB, whatever the data.
+CELLS, FILTER_BITS = 128, 24
 #: Bits of the filter that finds shared shingles before they are shuffled, as a power of 2: 16 MB, whatever the data.
 SHARED_BITS = 27
 #: Most sets, and about the most shingles, of one side of a block comparison; shared shingles that it counts at a time.
@@ -175,35 +175,19 @@ def _apart(a: bytes, b: bytes) -> int:
     return int(np.abs(_folded(a, cells) - _folded(b, cells)).sum())
 
 
-def _places(key) -> list:
-    return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(FILTER_WORDS * 64)) for i in (1, 2)]
-
-
-def _filter_bits(keys: DataFrame, places: list, size: int) -> np.ndarray:
-    """A Bloom filter of `size` 64-bit words over the rows of keys, summed by Spark; its size does not follow the data."""
-    bits = keys.select(F.explode(F.array(*places)).alias("b")).select(F.floor(F.col("b") / 64).cast("long").alias("w"), F.expr("shiftleft(1L, int(b % 64))").alias("m"))
-    out = np.zeros(size, np.int64)
-    words = bits.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()  # one job; `size` rows of 16 bytes at most
-    out[words.column("w").to_numpy()] = words.column("m").to_numpy()
-    return out
-
-
 def involved(docs: DataFrame, sets: DataFrame, sids: DataFrame, k: int) -> DataFrame:
     """(sid, n, sketch, text) of the sets in sids, one text each, kept for the comparisons.
 
     A filter of fixed size over the keys of one row a set first passes over docs, so that only texts that may be wanted
     are cut into shingles and shuffled; the join that follows is exact."""
-    one = checkpointed(sets.join(sids, "sid").groupBy("sid").agg(F.min(F.struct("key", "n")).alias("m")).select("sid", F.col("m.key").alias("key"), F.col("m.n").alias("n")))
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(one, _places("key"), FILTER_WORDS))
+    one = staged(sets.join(sids, "sid").groupBy("sid").agg(F.min(F.struct("key", "n")).alias("m")).select("sid", F.col("m.key").alias("key"), F.col("m.n").alias("n")), "one")
+    bits = docs.sparkSession.sparkContext.broadcast(filter_bits(one, filter_places("key", FILTER_BITS), FILTER_BITS))
 
     def run(batches):
         seen: set[int] = set()
         for b in batches:
-            maybe = np.ones(b.num_rows, bool)
-            for i in (2, 3):
-                at = b.column(i).to_numpy()
-                maybe &= (bits.value[at >> 6] >> (at & 63) & 1).astype(bool)
-            for part in sliced([b.filter(pa.array(maybe))]):
+            wanted = maybe(bits.value, b.column(2).to_numpy(), b.column(3).to_numpy())
+            for part in sliced([b.filter(pa.array(wanted))]):
                 out = []
                 for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     if key in seen or not len(h := text_shingles(text, k)):
@@ -215,7 +199,7 @@ def involved(docs: DataFrame, sets: DataFrame, sids: DataFrame, k: int) -> DataF
                 types = (pa.int64(), pa.binary(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], ["key", "sketch", "text"])
 
-    found = docs.select("key", "text", *_places("key")).mapInArrow(run, "key long, sketch binary, text string")
+    found = docs.select("key", "text", *filter_places("key", FILTER_BITS)).mapInArrow(run, "key long, sketch binary, text string")
     found = found.groupBy("key").agg(F.first("sketch").alias("sketch"), F.first("text").alias("text")).join(one, "key")
     return staged(found.select("sid", "n", "sketch", "text"), "involved")
 
@@ -268,9 +252,9 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root): the least node reachable over links (a, b), for nodes that have links.
 
     Alternating large-star and small-star steps, each a grouped minimum and a join; a hub is a sum a task and a key that
-    the join can split. Every step is checkpointed.
+    the join can split. Every step is kept in the shared folder.
     """
-    e = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = staged(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = None
     while True:
         mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -312,8 +296,8 @@ def _shareable(sets: DataFrame, k: int, threshold: int) -> DataFrame:
             for b in sliced(batches, 250):
                 hs = [text_shingles(t, k) for t in b.column(2).to_pylist()]
                 if bits is not None:
-                    at = lambda x: (bits.value[x >> np.uint64(6)] >> (x & np.uint64(63)).astype(np.int64) & 1).astype(bool)
-                    hs = [h[at(h & np.uint64(mask)) & at(h >> np.uint64(32) & np.uint64(mask))] for h in hs]
+                    low = np.uint64(mask)
+                    hs = [h[maybe(bits.value, (h & low).astype(np.int64), (h >> np.uint64(32) & low).astype(np.int64))] for h in hs]
                 size = [len(h) for h in hs]
                 own, root = (np.repeat(b.column(i).to_numpy(), size) for i in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(own), pa.array(root)], ["h", "sid", "root"])
@@ -321,10 +305,9 @@ def _shareable(sets: DataFrame, k: int, threshold: int) -> DataFrame:
         return sets.select("sid", "root", "text").mapInArrow(run, "h long, sid long, root long")
 
     w = F.struct(F.min("root").alias("r1"), F.max("root").alias("r2"))
-    common = checkpointed(shingles().groupBy("h").agg(w.alias("r")).where("r.r1 <> r.r2").select("h"))
-    released(sets.sparkSession)
+    common = staged(shingles().groupBy("h").agg(w.alias("r")).where("r.r1 <> r.r2").select("h"), "common")
     places = [F.col("h").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(mask))]
-    bits = sets.sparkSession.sparkContext.broadcast(_filter_bits(common, places, 1 << SHARED_BITS - 6))
+    bits = sets.sparkSession.sparkContext.broadcast(filter_bits(common, places, SHARED_BITS))
     known = shingles(bits).select("h", "sid").join(common, "h").groupBy("sid").agg(F.count("*").alias("c"))
     return sets.join(known, "sid").where(F.col("c") * 100 >= F.col("n") * threshold).drop("c")
 
@@ -388,22 +371,18 @@ def links(rows: DataFrame, docs: DataFrame, sets: DataFrame, k: int, threshold:
     """
     spark = docs.sparkSession
     known = involved(docs, sets, rows.select("sid").distinct(), k)
-    released(spark)
     large = rows.where(F.col("many") > SMALL)
     pairs = _all_pairs(rows.where(F.col("many") <= SMALL)).unionByName(large.where("sid <> low").select(F.col("low").alias("a"), F.col("sid").alias("b")))
     roots = components(verified(pairs.distinct(), known, k, threshold))
-    released(spark)
     left = _rooted(large, roots)
     some = left.select("sid", "root").distinct().join(known.select("sid", "n", "text"), "sid")
     some = staged(_shareable(some, k, threshold), "open")
-    released(spark)
     left = _rooted(large.join(some.select("sid"), "sid"), roots)
     clouds = components(left.select(F.col("low").alias("a"), F.col("sid").alias("b")))
     new = _block_links(some.join(clouds.select(F.col("node").alias("sid"), F.col("root").alias("cloud")), "sid"), k, threshold)
-    new = checkpointed(new)
+    new = staged(new, "new")
     if not new.isEmpty():  # what is known already goes on as stars, so these steps are few
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new))
-    released(spark)
     return roots
 
 
@@ -420,7 +399,6 @@ def classes(docs: DataFrame, k: int = 4, threshold: int = 85) -> DataFrame:
     sig = lambda f: f(F.when(F.col("n").isNull(), F.col("sid"))).over(w)
     rows = expanded(docs, k, threshold).withColumns({"low": sig(F.min), "high": sig(F.max), "many": sig(F.count)})
     rows = staged(rows.where("n IS NOT NULL OR low <> high").select("at", "sid", "n", "low", "many"), "signatures")
-    released(docs.sparkSession)
     sets = rows.where("n IS NOT NULL").groupBy(F.col("at").alias("key")).agg(F.first("sid").alias("sid"), F.first("n").alias("n"))
     roots = links(rows.where("n IS NULL").select(F.col("at").alias("sig"), "sid", "low", "many"), docs, sets, k, threshold)
     s = docs.select("doc_id", "key").join(sets, "key").join(roots, F.col("sid") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "sid"))
