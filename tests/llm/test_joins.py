@@ -129,10 +129,10 @@ def codes(text):
 
 
 def brute_leaks(text, item):
-    """Best share of equal words in a stretch, over every diagonal: no mask is asked."""
+    """Best share of equal words in a stretch, over every diagonal: no mask is asked. Items below 7 words leak whole."""
     d, q = codes(text), codes(item)
     if len(q) < 7:
-        return 0.0
+        return float(bool(q) and any(d[i : i + len(q)] == q for i in range(len(d))))
     at = {}
     for i, w in enumerate(q):
         at.setdefault(w, []).append(i)
@@ -184,10 +184,10 @@ def test_every_edit_of_short_items_and_exact_items_below_the_span(spark):
     items = spark.createDataFrame([(1, " ".join(item)), (2, "one two three four five"), (3, "alone"), (4, ""), (5, None)], "item_id long, text string")
     docs = list(enumerate(edits)) + [(100, "so One, two three four five!"), (101, "one two three four six"), (102, "alone"), (103, None)]
     d = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.doc_id: (r["items"], r.best_share) for r in decontaminate.judged(d, items, short=True).collect()}
+    got = {r.doc_id: (r["items"], r.best_share) for r in decontaminate.judged(d, items).collect()}
     assert all(got[i] == ([1], 0.8) for i in range(len(edits)))
     assert [got[i] for i in (100, 101, 102, 103)] == [([2], 1.0), ([], 0.0), ([3], 1.0), ([], 0.0)]
-    assert [r.doc_id for r in decontaminate.clean(d, items, short=True).orderBy("doc_id").collect()] == [101, 103]
+    assert [r.doc_id for r in decontaminate.clean(d, items).orderBy("doc_id").collect()] == [101, 103]
 
 
 def test_shuffled_and_broadcast_agree(spark, monkeypatch):

@@ -68,22 +68,22 @@ def benchmark_codes(items: DataFrame) -> DataFrame:
 def _exact(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(key, item_id, share 1.0) of the documents that hold the whole word sequence of an item below SPAN words."""
     short = items.select(F.col("item_id").cast("long"), word_codes(F.col("text")).alias("codes")).withColumn("n", F.size("codes")).where((F.col("n") > 0) & (F.col("n") < SPAN))
-    none = docs.select("key", F.lit(0).cast("long").alias("item_id"), F.lit(1.0).alias("share")).limit(0)
-    runs = {r.n: tuple(range(r.n)) for r in short.select("n").distinct().collect()}
-    for n, run in sorted(runs.items()):
-        own = short.where(F.col("n") == n).select("item_id", _once(F.col("codes"), lambda c: seed_hashes(c, (run,)))[0].alias("h"))
-        few = own.count() <= BROADCAST_ROWS
-        at = _seeded(docs.select("key", word_codes(F.col("text")).alias("codes")), "key", masks=(run,)).select("key", "h")
-        none = none.unionByName(at.join(F.broadcast(own) if few else own, "h").select("key", "item_id", F.lit(1.0).alias("share")).distinct())
-    return none
+    sizes = sorted(r.n for r in short.select("n").distinct().collect())  # SPAN - 1 numbers at most
+    if not sizes:
+        return docs.select("key", F.lit(0).cast("long").alias("item_id"), F.lit(1.0).alias("share")).where("false")
+    runs = tuple(tuple(range(n)) for n in sizes)
+    own = _seeded(short, "item_id", "n", masks=runs).where(F.get(F.array(*map(F.lit, sizes)), F.col("mask")) == F.col("n")).select("item_id", "h")
+    few = own.count() <= BROADCAST_ROWS
+    at = _seeded(docs.select("key", word_codes(F.col("text")).alias("codes")), "key", masks=runs).select("key", "h")
+    return at.join(F.broadcast(own) if few else own, "h").select("key", "item_id", F.lit(1.0).alias("share")).distinct()
 
 
-def leaks(docs: DataFrame, items: DataFrame, short: bool = False) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(key, item_id, share) for each document row (by its key) and item it holds a stretch of.
 
     Hashes of every place of every whole text meet the items' hashes (broadcast while few, else shuffled); the hits of
-    a document, at most a few a place, are brought together by item, and along each diagonal the words are compared. With
-    short, items below SPAN words are looked up too, exactly.
+    a document, at most a few a place, are brought together by item, and along each diagonal the words are compared. Items below
+    SPAN words are looked up by their whole word sequence.
     """
     tests = benchmark_codes(items)
     least = tests.agg(F.min(F.size("codes"))).first()[0] or SPAN
@@ -107,7 +107,7 @@ def leaks(docs: DataFrame, items: DataFrame, short: bool = False) -> DataFrame:
     # Repeated rows of docs have one key, so they come in once each: one of them tells for all.
     found = at.select("key", "item_id", best.alias("share")).groupBy("key", "item_id").agg(F.max("share").alias("share"))
     found = found.where(F.col("share") >= SHARE)
-    return found.unionByName(_exact(docs, items)) if short else found
+    return found.unionByName(_exact(docs, items))
 
 
 def _best_stretch(x: Column, d: Column) -> Column:
@@ -129,25 +129,25 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
 
 
-def judged(docs: DataFrame, items: DataFrame, short: bool = False) -> DataFrame:
+def judged(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, contaminated, n_items, items, best_share) of every row of docs.
 
     Null or empty texts and empty benchmarks give clean rows, null items are skipped, repeated rows repeat.
     """
     d = keyed(docs)
-    found = leaks(d, items, short).groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("share").alias("best_share"))
+    found = leaks(d, items).groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("share").alias("best_share"))
     out = d.select("doc_id", "key").join(found, "key", "left")
     n = F.coalesce(F.size("items"), F.lit(0)).cast("long")
     return out.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.when(F.col("items").isNull(), F.lit(0)).otherwise(n).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), F.coalesce("best_share", F.lit(0.0)).alias("best_share"))
 
 
-def clean(docs: DataFrame, items: DataFrame, short: bool = False) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs without a leak, with all their columns."""
     d = packed(docs, key=F.xxhash64("doc_id", "text"))
-    found = leaks(keyed(docs), items, short).select("key").distinct()
+    found = leaks(keyed(docs), items).select("key").distinct()
     return d.join(found, "key", "left_anti").select("row.*")
 
 
 def op3_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`judged` for every document against every benchmark item, the shortest included; odd rows as there."""
-    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short=True)
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
