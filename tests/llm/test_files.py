@@ -17,7 +17,7 @@ TEXTS = ["", "Hello  World's don't\n\n12 x's ßÄé", "naïvé ﬁ Ⅻ", "a\x1c
 
 
 def test_cached_encoding_is_the_librarys():
-    e, t = tokenfile.Encoder(TOK), Tokenizer.from_file(TOK)
+    e, t = tokenfile.Encoder(open(TOK).read()), Tokenizer.from_file(TOK)
     for text in TEXTS * 2:
         assert np.frombuffer(e.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
@@ -174,8 +174,40 @@ def test_tokenizer_files_of_another_kind_are_encoded_whole(tmp_path):
     said = json.load(open(TOK))
     said["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = "[^ ]+ ?"
     (tmp_path / "other.json").write_text(json.dumps(said))
-    other = tokenfile.Encoder(str(tmp_path / "other.json"))
+    other = tokenfile.Encoder(open(str(tmp_path / "other.json").read()))
     text = "Some words, it's 2 of them <|ENDOFTEXT|> é"
-    assert not other.fast and tokenfile.Encoder(TOK).fast
-    for e in (other, tokenfile.Encoder(TOK)):
+    assert not other.fast and tokenfile.Encoder(open(TOK).read()).fast
+    for e in (other, tokenfile.Encoder(open(TOK).read())):
         assert np.frombuffer(e.encode(text), "<u4").tolist() == e.tok.encode(text, add_special_tokens=False).ids
+
+
+def test_tiff_bounds_of_a_file_and_unknown_predictors(spark):
+    """Directories that share one strip decode to no more than the file can stand for; predictor 3 is an error row."""
+    img = np.zeros((3000, 3000), np.uint8)
+    one = tiff.write([img], rows_per_strip=3000, predictor=1)
+    (at,) = struct.unpack_from("<I", one, 4)
+    folder = one[at:-4]
+    many = bytearray(one[:-4])
+    for _ in range(40):  # further directories over the same strip
+        many += struct.pack("<I", len(many) + 4) + folder
+    many += bytes(4)
+    float_ = bytearray(one)
+    place = float_.index(struct.pack("<HHI", tiff.PREDICTOR, 3, 1))
+    struct.pack_into("<I", float_, place + 8, 3)
+    d = spark.createDataFrame([(1, bytes(many)), (2, bytes(float_)), (3, one)], "doc_id long, media binary")
+    got = tiff.decode_pages(d).select("doc_id", "page", "width", "error").collect()
+    own = [r for r in got if r.doc_id == 1]
+    assert own[-1].error and all(r.width == 3000 for r in own[:-1]) and 1 <= len(own) - 1 <= tiff.RATIO * (len(many) + 64) // img.nbytes < 40
+    assert [(r.page, r.error) for r in got if r.doc_id == 2] == [(0, "predictor 3")]
+    assert [(r.page, r.width, r.error) for r in got if r.doc_id == 3] == [(0, 3000, None)]
+
+
+def test_tokenizer_goes_along_with_the_task(spark, tmp_path):
+    """The file is read where the job is planned; tasks get its text and need no path."""
+    path = tmp_path / "words.json"
+    path.write_text(open(TOK).read())
+    d = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
+    ordered = tokenfile.write_tokens(d, shared_dir(spark, "t"), str(path))
+    want = Tokenizer.from_file(TOK).encode("some words", add_special_tokens=False).ids
+    path.unlink()
+    assert sorted((r.doc_id, r.n_tokens) for r in tokenfile.read_tokens(ordered).collect()) == [(1, len(want) + 1), (2, 1)]

@@ -134,6 +134,13 @@ def test_mix_meets_targets_with_repeats_long_rows_and_few_rows(spark, docs_of):
         assert sorted((str(r.doc_id), r.source) for r in mixing.mixed(d).collect()) == want, name
 
 
+def test_languages_are_bounded(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    d = docs_of([(i, f"text number {i}", f"l{i % 9 if i % 2 else i % 2}", "s", 0) for i in range(90)])
+    names, logp = language.train(d)
+    assert len(names) == 3 and "l0" in names and logp.shape == (3, language.BINS)
+
+
 def test_a_source_of_one_long_row_is_taken_when_that_is_nearer(spark, docs_of):
     d = docs_of([(1, "w " * 900, None, "b", 0), (2, "w " * 1340, None, "a", 0)])
     got = {r.source: (r.times, r.target) for r in mixing.mix_plan(mixing.sized(d)).collect()}

@@ -16,6 +16,8 @@ from .common import packed, sliced, table
 
 #: Feature bins: byte 1- to 3-grams hashed; the training sample's bound in documents a language; EM's iterations.
 BINS, SAMPLE, ITERATIONS = 1 << 14, 6000, 30
+#: Languages that are learned: those of the most labelled documents, so that values of a spoilt column cost no memory.
+LANGUAGES = 400
 #: A text is in no language when the background is likelier than its languages, their price counted, by odds of 1,000 to 1
 #: (on the scale of `mixture`: twice the log, n-grams overlapping threefold), so that a letter or two decide nothing.
 ODDS = 3 * 2 * math.log(1000)
@@ -43,10 +45,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
     """(languages, log-probabilities by language and bin) of docs with text and lang.
 
     The fit takes a bounded sample of each language, however rare it is: the documents whose hash of doc_id falls below
-    sample / all documents of the language. The counts are summed by Spark before they reach the driver: languages x BINS numbers at most.
+    sample / all documents of the language. The counts are summed by Spark before they reach the driver: LANGUAGES x BINS numbers at most.
     """
     labelled = docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    totals = labelled.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_total"))
+    totals = labelled.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_total")).orderBy(F.desc("_total"), "_lang").limit(LANGUAGES)
     labelled = labelled.join(F.broadcast(totals), F.col("lang") == F.col("_lang"))
     labelled = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 30)) < F.lit((1 << 30) * sample) / F.col("_total"))
 

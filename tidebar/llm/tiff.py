@@ -18,7 +18,8 @@ WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS_PER_STRIP,
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 324, 325
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 _TYPES = {1: "B", 3: "H", 4: "I", 16: "Q"}
-#: Bytes that one image may decode to, and how many a stored byte may stand for: beyond, a page is an error, not memory.
+#: Bytes that one image may decode to, and how many a stored byte may stand for, in a page and in all pages of a file
+#: together: beyond, a page is an error, not memory.
 MOST, RATIO = 1 << 28, 1400
 
 
@@ -89,6 +90,7 @@ def pages(data: bytes):
     e = "<" if data[:2] == b"II" else ">"
     (at,) = struct.unpack_from(e + "I", data, 4)
     seen: set[int] = set()
+    room = RATIO * (len(data) + 64)
     if not at:
         raise BadTiff("no image directory")
     while at:
@@ -105,22 +107,26 @@ def pages(data: bytes):
                 if struct.calcsize(fmt) > 4:
                     (place,) = struct.unpack_from(e + "I", data, place)
                 tags[tag] = struct.unpack_from(fmt, data, place)
-        yield len(seen) - 1, _image(data, tags, e)
+        image = _image(data, tags, e, room)
+        room -= image.nbytes
+        yield len(seen) - 1, image
         (at,) = struct.unpack_from(e + "I", data, at + 2 + 12 * n)
 
 
-def _image(data: bytes, tags: dict, e: str) -> np.ndarray:
+def _image(data: bytes, tags: dict, e: str, room: int) -> np.ndarray:
     one = lambda tag, default: tags.get(tag, (default,))[0]
     w, h, s, bits = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(BITS, 1)
     if bits not in (8, 16) or one(284, 1) != 1:
         raise BadTiff(f"{bits} bits a sample or separate planes")
     if w < 1 or h < 1 or s < 1:
         raise BadTiff(f"an image of {w} x {h} x {s}")
+    if one(PREDICTOR, 1) not in (1, 2):
+        raise BadTiff(f"predictor {one(PREDICTOR, 1)}")
     kind = np.dtype(f"{e}u{bits // 8}")
     tiled = TILE_OFFSETS in tags
     bw, bh = (one(TILE_WIDTH, w), one(TILE_HEIGHT, h)) if tiled else (w, min(one(ROWS_PER_STRIP, h), h) or 1)
     offsets, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[OFFSETS], tags[COUNTS])
-    if bw < 1 or bh < 1 or w * h * s * kind.itemsize > min(MOST, RATIO * (sum(counts) + 64)) or bw * bh * s * kind.itemsize > MOST:
+    if bw < 1 or bh < 1 or w * h * s * kind.itemsize > min(MOST, RATIO * (sum(counts) + 64), room) or bw * bh * s * kind.itemsize > MOST:
         raise BadTiff(f"{w} x {h} x {s} samples in {sum(counts)} bytes")
     across = -(-w // bw)
     if len(offsets) < across * -(-h // bh) or len(counts) < len(offsets):
@@ -236,21 +242,25 @@ def decode_pages(media: DataFrame) -> DataFrame:
     """(doc_id, page, width, height, samples, pixels, error): a row per page of the binary column `media`.
 
     Null media give no row; a file that cannot be read, or can be read in part, gives its good pages and then a row with
-    error and no pixels; so does an image of no size, of more than MOST bytes, or of more than its blocks can hold.
+    error and no pixels; so does an image of no size, of an unknown predictor, of more than MOST bytes, or of more than its
+    blocks, or with the pages before it all of the file, can hold. Pages go on one by one, so a task holds one at a time.
     Repeated rows repeat; other columns are not read; an empty table gives none."""
 
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string())
+    names = ["doc_id", "page", "width", "height", "samples", "pixels", "error"]
+
+    def row(*values):
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names)
+
     def read(batches):
         for b in sliced(batches, 256):
             for doc_id, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                got, page = [], -1
+                page = -1
                 try:
                     for page, img in pages(data) if data is not None else ():
-                        got.append((doc_id, page, img.shape[1], img.shape[0], img.shape[2], img.tobytes(), None))
+                        yield row(doc_id, page, img.shape[1], img.shape[0], img.shape[2], img.tobytes(), None)
                 except (BadTiff, struct.error, zlib.error, ArithmeticError, LookupError, MemoryError, ValueError) as x:
-                    got.append((doc_id, page + 1, None, None, None, None, str(x)[:200]))
-                if got:
-                    types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate(types)], ["doc_id", "page", "width", "height", "samples", "pixels", "error"])
+                    yield row(doc_id, page + 1, None, None, None, None, str(x)[:200])
 
     return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(read, "doc_id long, page int, width int, height int, samples int, pixels binary, error string")
 

@@ -36,9 +36,9 @@ LONG = 64
 class Counter1:
     """Pieces and score of a word, as the tokenizers library's Unigram model segments it.
 
-    An Aho-Corasick automaton lists every vocabulary match once. By end of match, the best score and its piece count
-    are carried; matches are tried in order of their start, and a later one wins only with a strictly greater score,
-    which is the library's tie rule. A character with no match of its own length counts as unknown at the least score
+    An Aho-Corasick automaton lists every vocabulary match once, by its end. The best score and its piece count are carried
+    for as many places back as the longest piece, so a word may have any length; matches are tried in order of their start,
+    and a later one wins only with a strictly greater score, which is the library's tie rule. A character with no match of its own length counts as unknown at the least score
     minus 10, and a run of unknown characters is one piece.
     """
 
@@ -51,27 +51,31 @@ class Counter1:
         self.unknown = min((s for _, s in vocabulary), default=0.0) - 10.0
         self.kept: dict[str, tuple[int, float]] = {}
         self.keep, self.any = keep, bool(vocabulary)
+        self.ring = 1 + max((len(p) for p, _ in vocabulary), default=1)
 
     def word(self, word: str) -> tuple[int, float]:
-        n = len(word)
-        by_start: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        if self.any:
-            for end, (size, score) in self.auto.iter(word):
-                by_start[end + 1 - size].append((size, score))
-        # (score, pieces, last piece unknown) of the best way to each place
-        best: list[tuple[float, int, bool] | None] = [None] * (n + 1)
-        best[0] = (0.0, 0, False)
-        for i in range(n):
-            score, pieces, was_unknown = best[i]
-            single = False
-            for size, s in sorted(by_start[i]):
+        ring, unknown = self.ring, self.unknown
+        matches = iter(self.auto.iter(word) if self.any else ())
+        end, match = next(matches, (-1, None))
+        # (score, pieces, last piece unknown) of the best way to each of the last places
+        best = [(0.0, 0, False)] * ring
+        for place in range(1, len(word) + 1):
+            here, single, own = None, False, []
+            while end == place - 1:
+                own.append(match)
+                end, match = next(matches, (-1, None))
+            for size, s in sorted(own, reverse=True):
                 single |= size == 1
-                there = best[i + size]
-                if there is None or score + s > there[0]:
-                    best[i + size] = (score + s, pieces + 1, False)
-            if not single and (best[i + 1] is None or score + self.unknown > best[i + 1][0]):
-                best[i + 1] = (score + self.unknown, pieces + (not was_unknown), True)
-        return best[n][1], best[n][0]
+                score, pieces, _ = best[(place - size) % ring]
+                if here is None or score + s > here[0]:
+                    here = (score + s, pieces + 1, False)
+            if not single:
+                score, pieces, was_unknown = best[(place - 1) % ring]
+                if here is None or score + unknown > here[0]:
+                    here = (score + unknown, pieces + (not was_unknown), True)
+            best[place % ring] = here
+        score, pieces, _ = best[len(word) % ring]
+        return pieces, score
 
     def text(self, text: str) -> tuple[int, float]:
         n, total = 0, 0.0

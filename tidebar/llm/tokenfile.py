@@ -8,6 +8,7 @@ a document by its place in the tables and decompresses that frame alone.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import struct
@@ -46,21 +47,21 @@ LONG = 64
 
 
 class Encoder:
-    """Ids of whole texts, equal to Tokenizer.encode(text, add_special_tokens=False).
+    """Ids of whole texts, equal to Tokenizer.encode(text, add_special_tokens=False); file is a tokenizer file's text.
 
     Where the file says what FAST says, words between white space encode independently, so each distinct word is encoded
     by the library's model once and kept in a bounded cache; texts with any character for which that is not certain go to
     the library whole, and so do all texts under any other file.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, file: str, keep: int = 400_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
 
-        self.tok, self.keep = Tokenizer.from_file(path), keep
+        self.tok, self.keep = Tokenizer.from_str(file), keep
         self.model = self.tok.model
         said = json.loads(self.tok.to_str())
         marks = [t["content"] for t in said["added_tokens"]]
@@ -109,10 +110,12 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(file: str) -> Encoder:
+    """One encoder a worker and file."""
+    name = hashlib.sha256(file.encode()).hexdigest()
+    if name not in _ENCODERS:
+        _ENCODERS[name] = Encoder(file)
+    return _ENCODERS[name]
 
 
 class Writer:
@@ -178,13 +181,15 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1)
     its document holds end_id alone. An empty table gives an empty manifest. Other columns are not read.
     """
     last = np.array([end_id], "<u4").tobytes()
+    with open(tokenizer, encoding="utf-8") as f:  # read here: a path of the driver is none of the executors'
+        file = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def write(batches):
         enc, w, tokens, no = None, None, 0, TaskContext.get().partitionId()
         for b in sliced(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if w is None:
-                    enc = encoder(tokenizer)
+                    enc = encoder(file.value)
                     uri = f"{folder}/{no:06d}-{uuid.uuid4().hex}.ids.zst"
                     fs, path = pafs.FileSystem.from_uri(uri)
                     fs.create_dir(path.rpartition("/")[0], recursive=True)
