@@ -2,36 +2,39 @@
 
 A vertex is named by (group, place): leaves are the rows of a source in order, and the vertex above places 3j to 3j+2 is j.
 Up, every vertex sends its digest to the one above; one whose children are all there hashes them and sends on. Down, every
-vertex sends each child the digests of that child's siblings, followed by its own path. The sources' tops form one more
-tree over themselves. No step sees more than FAN vertices of a group together, so a hot source is only more vertices.
+vertex sends each child the digests of that child's siblings, followed by its own path. Neighbours whose messages meet
+within HEIGHT levels share a block, so a superstep carries messages over HEIGHT levels and only then over the network.
+The sources' tops form one more tree over themselves. A block never holds more than FAN ** HEIGHT vertices, so a hot source
+is only more blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from binascii import hexlify
 
 from pyspark import RDD
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, table
 
-#: Vertices hashed into one; neighbours that messages keep in one partition; supersteps between checkpoints.
-FAN, NEAR, LINEAGE = 3, 3**6, 4
+#: Vertices hashed into one; levels that a superstep climbs: a block has at most FAN ** HEIGHT vertices.
+FAN, HEIGHT = 3, 6
 #: Columns of a leaf, in order.
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
-def leaf_hash(*values):
+def leaf_hash(*values) -> Column:
     """Hex digest over each value: `-` if null, else its UTF-8 byte count, `:` and the value."""
-    each = [F.coalesce(F.concat(F.octet_length(v.cast("string")).cast("string"), F.lit(":"), v.cast("string")), F.lit("-")) for v in values]
+    each = [F.coalesce(F.concat(F.octet_length(v.cast("string")).cast("string"), F.lit(":"), v.cast("string")), F.lit("-")) for v in (F.col(v) if isinstance(v, str) else v for v in values)]
     return F.sha2(F.concat(*each).cast("binary"), 256)
 
 
 def hashed(digests: list[bytes]) -> bytes:
     """H of digests, which go in as hex text."""
-    return hashlib.sha256("".join(d.hex() for d in digests).encode()).digest()
+    return hashlib.sha256(hexlify(b"".join(digests))).digest()
 
 
 def placed(rows: DataFrame, group: str, order: list) -> DataFrame:
@@ -50,61 +53,71 @@ def placed(rows: DataFrame, group: str, order: list) -> DataFrame:
     return d.select(*rows.columns, (F.col("_at") - F.col("_first") + F.col("_before")).alias("place"), "size")
 
 
-def _near(key) -> int:
-    return zlib.crc32(f"{key[0]}\0{key[1] // NEAR}".encode())
+def _dealt(key) -> int:
+    return zlib.crc32(repr(key).encode("utf-8", "surrogatepass"))
+
+
+def _layers(digests: list[bytes], size: int, height: int) -> list[list[bytes]]:
+    """The digests of a block and of the vertices above them, level by level, in a level of `size` vertices."""
+    layers = [digests]
+    while size > 1 and len(layers) <= height:
+        low = layers[-1]
+        layers.append([hashed(low[i : i + FAN]) for i in range(0, len(low), FAN)])
+        size = -(-size // FAN)
+    return layers
+
+
+def _paths(layers: list[list[bytes]], path: bytes) -> list[bytes]:
+    """The path of every vertex of the lowest layer, from that of the block's top."""
+    paths = [path]
+    for low in reversed(layers[:-1]):
+        paths = [b"".join([*low[i - i % FAN : i], *low[i + 1 : i - i % FAN + FAN], paths[i // FAN]]) for i in range(len(low))]
+    return paths
 
 
 class Forest:
     """A tree for each group of leaves ((group, place), (size, digest, extra)), where extra goes along to `paths`."""
 
-    def __init__(self, leaves: RDD, size: int, tasks: int):
-        self.tasks, self.levels = tasks, []
-        self.alone = leaves.filter(lambda v: v[1][0] == 1).map(lambda v: (v[0][0], v[1][1:]))
-        tops = [self.alone.mapValues(lambda v: (0, v[0]))]
-        while size > 1:  # one superstep a level
-            up = leaves.filter(lambda v: v[1][0] > 1).map(lambda v: ((v[0][0], v[0][1] // FAN), (v[0][1] % FAN, *v[1])))
-            state = up.groupByKey(self.tasks, _near).mapValues(lambda got: (-(-next(iter(got))[1] // FAN), [x[2:] for x in sorted(got, key=lambda x: x[0])]))
-            if len(self.levels) % LINEAGE == LINEAGE - 1:
-                state.checkpoint()
-            leaves = state.mapValues(lambda s: (s[0], hashed([d for d, _ in s[1]]), None))
-            self.levels.append(state)
-            tops.append(leaves.filter(lambda v: v[1][0] == 1).map(lambda v, h=len(self.levels): (v[0][0], (h, v[1][1]))))
-            size = -(-size // FAN)
-        #: (group, (height, digest)) of every group's top.
-        self.tops = leaves.context.union(tops)
+    def __init__(self, nodes: RDD, size: int, tasks: int, height: int = HEIGHT):
+        self.tasks, self.height, self.blocks, tops = tasks, height, [], []
+        most = FAN**height
+        while True:  # one superstep for `height` levels
+            sent = nodes.map(lambda v: ((v[0][0], v[0][1] // most), (v[0][1] % most, *v[1])))
+            block = sent.groupByKey(tasks, _dealt).mapValues(_gathered)
+            up = block.mapValues(lambda b: (b[0], _layers(b[1], b[0], height)[-1][0]))
+            self.blocks.append(block)
+            tops.append(up.filter(lambda v: v[1][0] <= most).map(lambda v, step=len(tops): (v[0][0], (step, v[1][1]))))
+            if size <= most:
+                break
+            nodes, size = up.filter(lambda v: v[1][0] > most).mapValues(lambda v: (-(-v[0] // most), v[1], None)), -(-size // most)
+        #: (group, (superstep, digest)) of every group's top.
+        self.tops = block.context.union(tops)
 
     def paths(self, above: RDD) -> RDD:
-        """(group, place, digest, extra, path, more) of every leaf, from above: (group, (height, path, more)).
+        """(group, place, size, digest, extra, path, more) of every leaf, from above: (group, (superstep, path, more)).
 
         path are the siblings' digests from the leaf's up to the group's top and on along `path` of above."""
-        flat = above.filter(lambda t: t[1][0] == 0).mapValues(lambda t: t[1:])
-        out, down = self.alone.join(flat, self.tasks).map(lambda v: (v[0], 0, *v[1][0], *v[1][1])), None
-        for height in range(len(self.levels), 0, -1):
-            begin = above.filter(lambda t, h=height: t[1][0] == h).map(lambda t: ((t[0], 0), t[1][1:]))
-            met = self._met(self.levels[height - 1], begin if down is None else begin.union(down))
-            if height == 1:
-                return out.union(met.flatMap(lambda v: _children(v, lambda key, child, path, more: (*key, *child, path, more))))
-            down = met.flatMap(lambda v: _children(v, lambda key, child, path, more: (key, (path, more))))
-            if height % LINEAGE == 0:
-                down.checkpoint()
-        return out
-
-    def _met(self, state: RDD, known: RDD) -> RDD:
-        """(key, (children, path, more)) of the vertices of a level that a path has reached."""
-        both = state.mapValues(lambda s: (True, s[1])).union(known.mapValues(lambda p: (False, p)))
+        known, height = None, self.height
+        for step in range(len(self.blocks) - 1, -1, -1):
+            begin = above.filter(lambda t, step=step: t[1][0] == step).map(lambda t: ((t[0], 0), (None, *t[1][1:])))
+            sent = begin if known is None else begin.union(known)
+            met = self.blocks[step].union(sent).groupByKey(self.tasks, _dealt).flatMap(lambda m: _delivered(m, height))
+            known = met.map(lambda v: ((v[0], v[1]), (None, *v[5:])))
+        return met
 
-        def meet(got):
-            got = dict(got)
-            return got.get(True), *got[False]
 
-        return both.groupByKey(self.tasks, _near).mapValues(meet)
+def _gathered(got):
+    """(size of the level, digests, extras) of the vertices of a block, in order."""
+    got = sorted(got, key=lambda v: v[0])
+    return got[0][1], [v[2] for v in got], [v[3] for v in got]
 
 
-def _children(vertex, message):
-    (group, place), (children, path, more) = vertex
-    digests = [c[0] for c in children]
-    for i, child in enumerate(children):
-        yield message((group, place * FAN + i), child, b"".join([*digests[:i], *digests[i + 1 :], path]), more)
+def _delivered(met, height: int):
+    """A block and the path of its top, in either order, as rows of `Forest.paths`."""
+    (group, place), got = met
+    (size, digests, extras), (_, path, more) = sorted(got, key=lambda x: x[0] is None)
+    for i, (digest, extra, own) in enumerate(zip(digests, extras, _paths(_layers(digests, size, height), path))):
+        yield group, place * FAN**height + i, size, digest, extra, own, more
 
 
 def fold(digest: bytes, path: bytes, *trees: tuple[int, int]) -> bytes:
@@ -121,9 +134,9 @@ def fold(digest: bytes, path: bytes, *trees: tuple[int, int]) -> bytes:
     return digest
 
 
-def manifest(rows: DataFrame) -> DataFrame:
+def manifest(rows: DataFrame, height: int = HEIGHT) -> DataFrame:
     """(id, leaf, subroot, root, proof, folded_root, verified) of rows (id, source, leaf, other): hex digests, and proof, the
-    siblings' digests in order as one hex text.
+    bytes of the siblings' digests in order.
 
     Leaves of a source are ordered by id (null first), then leaf, so rows that repeat have places of their own; sources by
     their bytes, null first. folded_root is what `other` (null: leaf) and the path give. An empty table gives no rows.
@@ -132,24 +145,24 @@ def manifest(rows: DataFrame) -> DataFrame:
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     leaves = placed(rows.select("id", "source", F.unhex("leaf").alias("leaf"), F.unhex("other").alias("other")), "source", [F.col("id").asc_nulls_first(), "leaf"])
     largest = leaves.agg(F.max("size")).first()[0]
-    kind = "id long, leaf string, subroot string, root string, proof string, folded_root string, verified boolean"
+    kind = "id long, leaf string, subroot string, root string, proof binary, folded_root string, verified boolean"
     if not largest:
         return spark.createDataFrame([], kind)
-    own = Forest(leaves.rdd.map(lambda r: ((r.source, r.place), (r.size, bytes(r.leaf), (r.id, r.size, r.other and bytes(r.other))))), largest, tasks)
-    tops = checkpointed(own.tops.map(lambda t: (t[0], *t[1])).toDF("source string, height int, subroot binary"))
+    own = Forest(leaves.rdd.map(lambda r: ((r[1], r[4]), (r[5], bytes(r[2]), (r[0], r[3] and bytes(r[3]))))), largest, tasks, height)
+    tops = checkpointed(own.tops.map(lambda t: (t[0], *t[1])).toDF("source string, step int, subroot binary"))
     ranked = placed(tops.withColumn("all", F.lit(0)), "all", [F.col("source").asc_nulls_first()])
     n = ranked.count()
-    whole = Forest(ranked.rdd.map(lambda r: ((0, r.place), (r.size, bytes(r.subroot), (r.source, r.height)))), n, tasks)
+    whole = Forest(ranked.rdd.map(lambda r: ((0, r.place), (r.size, bytes(r.subroot), (r.source, r.step)))), n, tasks, height)
     root = whole.tops.first()[1][1]  # one digest
     ends = whole.paths(whole.tops.mapValues(lambda t: (t[0], b"", None)))
     # A source's top goes on with what folding needs of the tree above it.
-    ends = checkpointed(ends.map(lambda e: (*e[3], e[4], e[2], e[1])).toDF("source string, height int, path binary, subroot binary, rank long"))
-    above = ends.rdd.map(lambda r: (r.source, (r.height, bytes(r.path), (bytes(r.subroot), r.rank))))
+    ends = checkpointed(ends.map(lambda e: (*e[4], e[5], e[3], e[1])).toDF("source string, step int, path binary, subroot binary, rank long"))
+    above = ends.rdd.map(lambda r: (r.source, (r.step, bytes(r.path), (bytes(r.subroot), r.rank))))
 
     def judged(v):
-        _, place, leaf, (key, size, other), path, (subroot, rank) = v
+        _, place, size, leaf, (key, other), path, (subroot, rank) = v
         got = fold(other or leaf, path, (place, size), (rank, n))
-        return key, leaf.hex(), subroot.hex(), root.hex(), path.hex(), got.hex(), got == root
+        return key, leaf.hex(), subroot.hex(), root.hex(), path, got.hex(), got == root
 
     return own.paths(above).map(judged).toDF(kind)
 
@@ -163,4 +176,4 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
     changed = F.when(even, leaf_hash(*[F.replace(F.col(c), F.lit("\n"), F.lit("")) if c == "text" else F.col(c) for c in FIELDS]))
     m = manifest(d.select(F.col("doc_id").alias("id"), "source", leaf_hash(*map(F.col, FIELDS)).alias("leaf"), changed.alias("other")))
-    return m.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified")
+    return m.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(F.lower(F.hex("proof")).cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified")
