@@ -161,9 +161,9 @@ def test_filters_only_spare_work(spark, monkeypatch):
 def test_letters_that_coincide_remove_nothing(monkeypatch):
     monkeypatch.setattr(phrases, "_LETTERS", 2)
     r = random.Random(0)
-    passage = [f"p{i}" for i in range(60)]
-    own = phrases.Phrases([" ".join(passage)])
-    other = [f"p{r.randrange(60)}" for _ in range(2000)]
+    passage = [b"p%d" % i for i in range(60)]
+    own = phrases.Phrases([b" ".join(passage).decode()])
+    other = [b"p%d" % r.randrange(60) for _ in range(2000)]
     assert not own.covered(other).any()
     assert own.covered(other + passage[5:50] + other).sum() >= 45
 
@@ -211,6 +211,15 @@ def test_manifest_query(spark):
     assert ordered(merkle.op13_merkle_manifest(spark, SF).collect()) == ordered(want)
 
 
+def test_manifest_of_many_supersteps(spark):
+    """Supersteps of one level and of two give the manifest that supersteps of six do."""
+    d = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("id"), "source", merkle.leaf_hash("doc_id", "text").alias("leaf"), F.lit(None).cast("string").alias("other"))
+    want = ordered(merkle.manifest(d).collect())
+    assert len(want) == 200 and all(w[-1] for w in want)
+    for height in (1, 2):
+        assert ordered(merkle.manifest(d, height).collect()) == want
+
+
 def test_manifest_of_odd_rows(spark, docs_of, tmp_path):
     """Null in any column, repeated rows and ids, one source of many rows and many of one, empty text, no rows at all."""
     rows = [(i, f"t{i}\n", "l", "hot", i) for i in range(245)] + [(i, "x", None, f"s{i:03d}", None) for i in range(29)]

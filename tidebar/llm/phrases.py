@@ -12,7 +12,7 @@ streams its documents through it; a hit is grown, word by word, as far as docume
 
 from __future__ import annotations
 
-import re
+from itertools import compress, repeat
 
 import ahocorasick
 import numpy as np
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BASE, WORD, filter_bits, filter_places, maybe, mix, packed, sliced, staged, table, word_hashes
+from .common import _BASE, filter_bits, filter_places, maybe, mix, packed, sliced, staged, table, word_hashes
 
 #: Words of a window and of the grams that anchors are chosen from (the hashing below is laid out for these two).
 SPAN, GRAM = 35, 8
@@ -32,11 +32,19 @@ ANCHOR_BITS, KEY_BITS = 27, 25
 #: Characters of the documents that share an automaton.
 BLOCK_CHARS = 8 << 20
 
-_WORDS = re.compile(WORD)
 #: Letters that automata tell apart: code points but 0, which is for unknown words, and the surrogates.
 _LETTERS = 0x110000 - 0x800 - 1
 
 
+def _words(text: str | None) -> list[bytes]:
+    """The words of a text in UTF-8: bytes split at ASCII white space alone, as the contract's words do."""
+    return (text or "").encode("utf-8", "surrogatepass").split()
+
+
+def _text(words: list[bytes]) -> str:
+    return b" ".join(words).decode("utf-8", "surrogatepass")
+
+
 def _joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return mix(x[: len(y)] * _BASE + y)
 
@@ -146,8 +154,8 @@ def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for b in sliced(batches, 200):
             cuts, singles = [], []
             for key, text, parts in zip(*[c.to_pylist() for c in b.columns]):
-                words = _WORDS.findall(text)
-                cuts += [(key, lo, " ".join(words[lo : hi + SPAN])) for lo, hi in _stretches([(p["lo"], p["lo"] + p["width"]) for p in parts])]
+                words = _words(text)
+                cuts += [(key, lo, _text(words[lo : hi + SPAN])) for lo, hi in _stretches([(p["lo"], p["lo"] + p["width"]) for p in parts])]
                 if parts := [p for p in parts if p["single"]]:
                     windows = window_hashes(word_hashes(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), fold=False))[1].view(np.int64)
                     size = np.array([p["width"] + 1 for p in parts])
@@ -193,13 +201,13 @@ def _passages(cuts: DataFrame, needs: DataFrame, blocks: int) -> DataFrame:
         for b in sliced(batches, 200):
             out = []
             for block, parts, cuts in zip(*[c.to_pylist() for c in b.columns]):
-                cuts = sorted((c["lo"], c["text"].split(" ")) for c in cuts)
+                cuts = sorted((c["lo"], _words(c["text"])) for c in cuts)
                 i = 0
                 for lo, hi in _stretches([(p["lo"], p["hi"]) for p in parts]):
                     while cuts[i][0] + len(cuts[i][1]) < hi + SPAN:
                         i += 1
                     begin, words = cuts[i]
-                    out.append((block, " ".join(words[lo - begin : hi + SPAN - begin])))
+                    out.append((block, _text(words[lo - begin : hi + SPAN - begin])))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.string())], ["block", "text"])
 
     return n.join(texts, "key").select("block", "parts", "cuts").mapInArrow(run, "block int, text string")
@@ -209,11 +217,11 @@ class Phrases:
     """An automaton over the pieces of passages (texts of SPAN words or more), which finds the windows of passages in a text."""
 
     def __init__(self, passages):
-        self.words: dict[str, int] = {}
+        self.words: dict[bytes, int] = {}
         ids, begin = [0], []  # passages lie one after another, a 0 between them
         for text in passages:
             begin.append(len(ids))
-            ids += [self.words.setdefault(w, len(self.words) + 1) for w in text.split(" ")]
+            ids += [self.words.setdefault(w, len(self.words) + 1) for w in _words(text)]
             ids.append(0)
         self.ids, self.found = np.array(ids, np.int64), ahocorasick.Automaton()
         letters = self._letters(self.ids)
@@ -231,7 +239,7 @@ class Phrases:
         code = np.where(ids > 0, (ids - 1) % _LETTERS + 1, 0)
         return (code + 0x800 * (code >= 0xD800)).astype("<u4").tobytes().decode("utf-32-le")
 
-    def covered(self, words: list[str]) -> np.ndarray:
+    def covered(self, words: list[bytes]) -> np.ndarray:
         """Which words lie in a window of a passage.
 
         A hit is grown on its diagonal as far as text and passage agree; what lies in a stretch already grown is not
@@ -239,7 +247,7 @@ class Phrases:
         edge = np.zeros(len(words) + 1, np.int64)
         if len(words) < SPAN or not len(self.found):
             return edge[:-1] > 0
-        own = np.fromiter((self.words.get(w, -1) for w in words), np.int64, len(words))
+        own = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
         done: dict[int, int] = {}
         for last, places in self.found.iter(self._letters(np.maximum(own, 0))):
             at = last + 1 - PIECE
@@ -266,14 +274,17 @@ def _agree(x: np.ndarray, y: np.ndarray) -> int:
     return n
 
 
+_NONE = np.empty(0, bool)
+
+
 def _stripped(batch: pa.RecordBatch, phrases: Phrases | None) -> pa.RecordBatch:
     size, gone, kept = [], [], []
     for text in batch.column(batch.schema.get_field_index("row")).field("text").to_pylist():
-        words = _WORDS.findall(text or "")
-        drop = phrases.covered(words) if phrases else np.zeros(len(words), bool)
+        words = _words(text)
+        drop = phrases.covered(words) if phrases else _NONE
         size.append(len(words))
         gone.append(int(drop.sum()))
-        kept.append(" ".join(words if not gone[-1] else [words[i] for i in np.flatnonzero(~drop)]))
+        kept.append(_text(words if not gone[-1] else list(compress(words, ~drop))))
     return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("row")), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["row", "n_words", "n_removed", "kept"])
 
 
