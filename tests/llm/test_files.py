@@ -174,7 +174,7 @@ def test_tokenizer_files_of_another_kind_are_encoded_whole(tmp_path):
     said = json.load(open(TOK))
     said["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = "[^ ]+ ?"
     (tmp_path / "other.json").write_text(json.dumps(said))
-    other = tokenfile.Encoder(open(str(tmp_path / "other.json").read()))
+    other = tokenfile.Encoder((tmp_path / "other.json").read_text())
     text = "Some words, it's 2 of them <|ENDOFTEXT|> é"
     assert not other.fast and tokenfile.Encoder(open(TOK).read()).fast
     for e in (other, tokenfile.Encoder(open(TOK).read())):
