@@ -57,11 +57,11 @@ def time_folds(panel: DataFrame, folds: int, horizon_ms: int) -> DataFrame:
     """panel rows once for each fold they serve: fold, part (train up to an edge, test from the edge plus the horizon to the next).
 
     Folds with fewer than LEAST_TRAIN training or LEAST_TEST test rows are left out."""
-    span = panel.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    span = panel.agg(F.min("ts").alias("_from"), F.max("ts").alias("_to"))
     p = panel.join(F.broadcast(span)).withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(folds))))
-    edge = lambda k: F.col("a") + (F.col("b") - F.col("a")) * k / (folds + 1.0)
+    edge = lambda k: F.col("_from") + (F.col("_to") - F.col("_from")) * k / (folds + 1.0)
     part = F.when(F.col("ts") <= edge(F.col("fold")), "train").when((F.col("ts") > edge(F.col("fold")) + horizon_ms) & (F.col("ts") <= edge(F.col("fold") + 1)), "test")
-    p = p.withColumn("part", part).where("part IS NOT NULL").drop("a", "b")
+    p = p.withColumn("part", part).where("part IS NOT NULL").drop("_from", "_to")
     enough = p.groupBy("fold").agg(F.count_if(F.col("part") == "train").alias("a"), F.count_if(F.col("part") == "test").alias("b")).where((F.col("a") >= LEAST_TRAIN) & (F.col("b") >= LEAST_TEST))
     return p.join(F.broadcast(enough.select("fold")), "fold", "left_semi")  # a row a fold
 
