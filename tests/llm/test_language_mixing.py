@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -134,6 +135,21 @@ def test_mix_meets_targets_with_repeats_long_rows_and_few_rows(spark, docs_of):
         assert sorted((str(r.doc_id), r.source) for r in mixing.mixed(d).collect()) == want, name
 
 
+def test_mix_comes_near_where_one_row_is_most_of_a_source(spark, docs_of):
+    """A seeded order that fills up with short rows passes the long one over; it must be taken first then."""
+    short = [100 + 7 * i for i in range(20)]
+    a = [(i, "w " * n, None, "a", 0) for i, n in enumerate([*short, 5670])]
+    b = [(100 + i, "w " * 10, None, "b", 0) for i in range(1200)]
+    tail = [(5000 + i, "w " * max(1, int(20 * 2.718 ** (1.5 * math.sin(i * 12.9898) * 2))), None, "c", 0) for i in range(40)]
+    for seed in range(2):
+        rows = mixing.mix_plan(mixing.sized(docs_of(a + b + tail)), seed=seed).collect()
+        sizes = {r.source: r.source_size for r in rows}
+        for source, (taken, target) in near_targets(rows).items():
+            assert abs(taken - target) <= 0.02 * sizes[source], (seed, source, taken, target)
+        again = mixing.mix_plan(mixing.sized(docs_of(a + b + tail).repartition(3)), seed=seed).collect()
+        assert sorted((r.doc_id, r.times) for r in again) == sorted((r.doc_id, r.times) for r in rows)
+
+
 def test_languages_are_bounded(spark, docs_of, monkeypatch):
     monkeypatch.setattr(language, "LANGUAGES", 3)
     d = docs_of([(i, f"text number {i}", f"l{i % 9 if i % 2 else i % 2}", "s", 0) for i in range(90)])

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .common import checkpointed, packed, table, word_count
 
 #: Weights of the sources in code-point order, repeated; the most epochs a source may give; hash buckets of a fractional
-#: epoch; parts that a source's rows are dealt to when they meet its figures; prefixes that fill it.
-WEIGHTS, MAX_EPOCHS, BUCKETS, SALT, PASSES = (5, 2, 1), 3, 1 << 14, 32, 4
+#: epoch; parts that a source's rows are dealt to when they meet its figures; how near a fractional epoch need come, as a share of
+#: it; a row above 1 / LONG of it is long.
+WEIGHTS, MAX_EPOCHS, BUCKETS, SALT, NEAR, LONG = (5, 2, 1), 3, 1 << 14, 32, 0.005, 8
 
 
 def water_fill(sources: DataFrame, weights=WEIGHTS, cap: float = MAX_EPOCHS) -> DataFrame:
@@ -69,26 +70,71 @@ def _prefix(rows: DataFrame, rooms: DataFrame) -> DataFrame:
     return within.unionByName(rest).select(*rows.columns, "take")
 
 
-def _filled(rows: DataFrame, rooms: DataFrame) -> DataFrame:
-    """(key, more): how many copies of which rows fill each source's room: the prefix of the seeded order; PASSES times or
-    until none fits, of what is left the prefix of the rows that still fit; then the one row that comes nearest, if
-    nearer than none."""
-    left, taken = rows.where("size > 0"), []
-    for turn in range(PASSES):
-        if turn:
-            left = checkpointed(_with_source(left, rooms).where("size <= room").drop("room"))
-            if left.isEmpty():
-                break
+def _left(rooms: DataFrame, taken: DataFrame) -> DataFrame:
+    """rooms less the words of taken (source, size, take)."""
+    spent = taken.groupBy(F.col("source").alias("_source")).agg(F.sum(F.col("take") * F.col("size")).alias("spent"))
+    return checkpointed(rooms.join(spent, F.col("source").eqNullSafe(F.col("_source")), "left").select("source", (F.col("room") - F.coalesce("spent", F.lit(0))).alias("room")))
+
+
+def _seeded(rows: DataFrame, rooms: DataFrame, first: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(source, h, key, take) and (source, gap) of filling each room in the seeded order, after what `first` took: its
+    prefix; of what is left the prefix of the rows that still fit, until none does or the room left is within NEAR of the
+    room; then the one row that comes nearest, if nearer than none. gap is how many words the source is off then."""
+    left, taken = rows, list(first)
+    full = rooms.select(F.col("source").alias("_whole"), (F.col("room") * NEAR).alias("_near"))
+    for got in first:
+        rooms = _left(rooms, got)
+    if first:
+        gone = reduce(DataFrame.unionByName, first).groupBy("key").agg(F.sum("take").alias("_gone"))
+        left = checkpointed(rows.join(gone, "key", "left").withColumn("n", F.col("n") - F.coalesce("_gone", F.lit(0))).drop("_gone").where("n > 0"))
+    turn = 0
+    while turn == 0 or not left.isEmpty():
         got = checkpointed(_prefix(left, rooms))
-        taken.append(got.select("key", "take").where("take > 0"))
-        spent = got.groupBy(F.col("source").alias("_source")).agg(F.sum(F.col("take") * F.col("size")).alias("spent"))
-        rooms = checkpointed(rooms.join(spent, F.col("source").eqNullSafe(F.col("_source")), "left").select("source", (F.col("room") - F.coalesce("spent", F.lit(0))).alias("room")))
+        taken.append(got.select("source", "h", "key", "size", "take").where("take > 0"))
+        rooms = _left(rooms, taken[-1])
         left = got.where("take < n").withColumn("n", F.col("n") - F.col("take")).drop("take")
-    every = reduce(DataFrame.unionByName, taken).groupBy("key").agg(F.sum("take").alias("take"))
-    free = rows.where("size > 0").join(every, "key", "left").where("n > coalesce(take, 0)").drop("take")
+        wide = rooms.join(full, F.col("source").eqNullSafe(F.col("_whole"))).where("room > _near").select("source", "room")
+        left = checkpointed(_with_source(left, wide).where("size <= room").drop("room"))
+        turn += 1
+    every = reduce(DataFrame.unionByName, taken).groupBy("source", "h", "key").agg(F.sum("take").alias("take"))
+    free = rows.join(every.select("key", "take"), "key", "left").where("n > coalesce(take, 0)").drop("take")
     away = F.abs(F.col("size") - F.col("room"))
-    last = _with_source(free, rooms).where(away < F.col("room")).groupBy("source").agg(F.min_by("key", F.struct(away, "h", "key")).alias("key")).select("key", F.lit(1).cast("long").alias("take"))
-    return every.unionByName(last).groupBy("key").agg(F.sum("take").alias("more"))
+    last = _with_source(free, rooms).where(away < F.col("room")).groupBy("source").agg(F.min_by(F.struct("h", "key", away.alias("gap")), F.struct(away, "h", "key")).alias("_"))
+    last = checkpointed(last.select("source", "_.*", F.lit(1).cast("long").alias("take")))
+    gaps = rooms.join(last.select(F.col("source").alias("_source"), "gap"), F.col("source").eqNullSafe(F.col("_source")), "left").select("source", F.coalesce("gap", "room").alias("gap"))
+    return checkpointed(every.unionByName(last.drop("gap")).groupBy("source", "h", "key").agg(F.sum("take").alias("take"))), checkpointed(gaps)
+
+
+def _longest(rows: DataFrame, rooms: DataFrame) -> list[DataFrame]:
+    """What filling each room longest row first takes of the rows above 1 / LONG of it: at most LONG rows a source, so at
+    most LONG turns, each one grouped sum."""
+    long = checkpointed(_with_source(rows, rooms).where((F.col("size") <= F.col("room")) & (F.col("size") * LONG > F.col("room"))).drop("room"))
+    taken = []
+    while not long.isEmpty():
+        fits = _with_source(long, rooms).where("size <= room")
+        best = fits.groupBy("source").agg(F.max_by(F.struct("h", "key", "size", F.least(F.col("n"), F.floor(F.col("room") / F.col("size"))).cast("long").alias("take")), F.struct("size", "h", "key")).alias("_"))
+        taken.append(checkpointed(best.select("source", "_.*")))
+        rooms = _left(rooms, taken[-1])
+        long = checkpointed(_with_source(long.join(taken[-1].select("key"), "key", "left_anti"), rooms).where("size <= room").drop("room"))
+    return taken
+
+
+def _filled(rows: DataFrame, rooms: DataFrame) -> DataFrame:
+    """(key, more): how many copies of which rows fill each source's room: in the seeded order; where that ends further
+    than NEAR of the room from it, as a long row may have been passed over, the longest rows first and the seeded order
+    for what is left, if that ends nearer."""
+    rows = rows.where("size > 0")
+    picks, gaps = _seeded(rows, rooms, [])
+    far = gaps.join(rooms.select(F.col("source").alias("_source"), "room"), F.col("source").eqNullSafe(F.col("_source"))).where(F.col("gap") > F.col("room") * NEAR).select("source", "room", "gap")
+    far = checkpointed(far)
+    if not far.isEmpty():
+        some = checkpointed(_with_source(rows, far).drop("room", "gap"))
+        again, ends = _seeded(some, far.select("source", "room"), _longest(some, far.select("source", "room")))
+        ends = ends.select(F.col("source").alias("_source"), F.col("gap").alias("_gap"))
+        better = checkpointed(far.join(ends, F.col("source").eqNullSafe(F.col("_source"))).where("_gap < gap").select("_source"))
+        same = F.col("source").eqNullSafe(F.col("_source"))
+        picks = picks.join(better, same, "left_anti").unionByName(_with_source(again, better.select(F.col("_source").alias("source"))))
+    return picks.groupBy("key").agg(F.sum("take").alias("more"))
 
 
 def mix_counts(docs: DataFrame, weights=WEIGHTS, cap: float = MAX_EPOCHS, seed: int = 0) -> DataFrame:
