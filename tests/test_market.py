@@ -70,10 +70,18 @@ def test_signals_do_not_look_ahead(twins):
     assert a == b and len({h.rule for r in a for h in r[1]}) >= 12 and len(signals.RULES) == 15
     for _, hits, score, direction in a:
         w = sum(h.weight for h in hits)
+        assert [h.strength * h.weight for h in hits] == sorted((h.strength * h.weight for h in hits), reverse=True)
         assert score == pytest.approx(sum(h.direction * h.strength * h.weight for h in hits) / w if w else 0.0, abs=1e-8)
         assert direction == (1 if score > 0.15 else -1 if score < -0.15 else 0)
 
 
+def test_distance_from_the_cloud_is_a_share_of_its_edge(spark):
+    """Flat at 100 and then one bar at 102, or 98: 2 % off the cloud, two thirds of full strength."""
+    for last, way in ((102.0, 1.0), (98.0, -1.0)):
+        hits = signals.hits(series(spark, [100.0] * 90 + [last])).orderBy(F.desc("ts")).first().hits
+        assert [(h.direction, round(h.strength, 9)) for h in hits if h.rule == "ichimoku_cloud"] == [(way, round(2 / 3, 9))]
+
+
 def test_short_and_empty_inputs(spark, twins):
     two = twins.where("ts < 2 * 86400000 AND symbol = 'A'")
     for key, spec in indicators.REGISTRY.items():

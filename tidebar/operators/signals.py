@@ -73,7 +73,7 @@ def _cloud():
     x = F.col("close")
     top, bottom = F.greatest("_span_a", "_span_b"), F.least("_span_a", "_span_b")
     known = c("span_a").isNotNull() & c("span_b").isNotNull()
-    return [(known & (x > top), F.lit(1.0), one(100 * ratio(x - top, x) / 3), 1.5), (known & (x < bottom), F.lit(-1.0), one(100 * ratio(bottom - x, x) / 3), 1.5), (known, F.lit(0.0), F.lit(0.2), 1.5)]
+    return [(known & (x > top), F.lit(1.0), one(100 * ratio(x - top, top) / 3), 1.5), (known & (x < bottom), F.lit(-1.0), one(100 * ratio(bottom - x, bottom) / 3), 1.5), (known, F.lit(0.0), F.lit(0.2), 1.5)]
 
 
 @rule("ichimoku_tk_cross")
@@ -172,10 +172,12 @@ def hits(bars: DataFrame, rules: list[str] | None = None) -> DataFrame:
 
 
 def evaluate(hit_rows: DataFrame) -> DataFrame:
-    """hits() with score (weighted mean of direction * strength), direction beyond EDGE, and confidence."""
+    """hits() with score (weighted mean of direction * strength), direction beyond EDGE, and confidence; the weightiest hits first."""
     top = F.aggregate("hits", F.lit(0.0), lambda a, x: a + x["direction"] * x["strength"] * x["weight"])
     score = F.coalesce(ratio(top, F.aggregate("hits", F.lit(0.0), lambda a, x: a + x["weight"])), F.lit(0.0))
-    df = hit_rows.withColumn("score", score)
+    says = lambda x: x["strength"] * x["weight"]
+    first = F.array_sort("hits", lambda a, b: F.when(says(a) > says(b), -1).when(says(a) < says(b), 1).otherwise(0))
+    df = hit_rows.withColumn("score", score).withColumn("hits", first)
     return df.withColumns({"direction": F.when(F.col("score") > EDGE, 1).when(F.col("score") < -EDGE, -1).otherwise(0), "confidence": one(1.6 * F.abs("score"))})
 
 

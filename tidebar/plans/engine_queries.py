@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import series as s
-from ..operators import analog, backtest, forecast, ledger, ranges, resampling, retrieval, signals
+from ..operators import analog, forecast, ledger, ranges, resampling, retrieval
 from ..sources.bars import UNITS, bars_daily, bars_hourly
 from ..sources.shared import kept, shared_dir
 from ..streaming import bars as streams
@@ -23,10 +23,6 @@ def add(name, f, sql=None):
         ORACLE[name] = sql
 
 
-add("rules_long", lambda spark, d: signals.hits(bars_daily(spark, d)).select("symbol", "ts", F.explode("hits").alias("h")).select("symbol", "ts", "h.rule", "h.direction", F.round("h.strength", 4).alias("strength"), "h.weight"))
-add("signal_eval", lambda spark, d: flat(signals.evaluate(signals.hits(bars_daily(spark, d))), ["symbol", "ts"], ["score", "direction", "confidence"], 4))
-add("signal_backtest", lambda spark, d: flat(backtest.metrics(backtest.positions(signals.decisions(bars_daily(spark, d)), "decision")), ["symbol"], ["total_return", "max_drawdown", "trades", "win_rate"], 4))
-
 BANDS = [f"{side}_{int(100 * p)}" for p in forecast.Z for side in ("low", "high")]
 _z = {f"{side}_{int(100 * p)}": f"c * exp(mu * 0.3::DOUBLE * step {sign} {z}::DOUBLE * sd * sqrt(step))" for p, z in forecast.Z.items() for side, sign in (("low", "-"), ("high", "+"))}
 LAST = f"rr AS (SELECT *, ln(close / {q.lag('close')}) AS ret FROM bars), ll AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM rr WHERE ret IS NOT NULL)"

@@ -224,27 +224,26 @@ for _kind in ("sma", "wma"):
     by_key(f"ma_{_kind}", "ma", q.query({"value": q.full("avg", "high", 12) if _kind == "sma" else q.wma("high", 12)}), kind=_kind, length=12, source="high")
 for _key in ("volume_profile", "support_resistance"):
     by_key(_key, _key)
-_hit = lambda *xs: "nullif(" + " + ".join(f"CAST(coalesce({x}, false) AS INT)" for x in xs) + ", 0)"
 _low, _high = "dn >= 2 * body AND up <= body AND NOT small", "up >= 2 * body AND dn <= body AND NOT small"
-by_key(
-    "candle_patterns",
-    "candle_patterns",
-    q.query(
-        {
-            "bullish": _hit(
-                "close > open AND body >= 0.95::DOUBLE * span", f"{_low} AND c1 < c5", f"{_high} AND c1 < c5", "close > open AND c1 < o1 AND close >= o1 AND open <= c1 AND body > b1", "close > open AND c1 < o1 AND open < c1 AND close > (o1 + c1) / 2 AND close < o1",
-                "c2 < o2 AND b1 <= 0.5::DOUBLE * b2 AND close > open AND close > (o2 + c2) / 2", "close > open AND c1 > o1 AND c2 > o2 AND close > c1 AND c1 > c2 AND big AND g1 AND g2",
-            ),
-            "bearish": _hit(
-                "close < open AND body >= 0.95::DOUBLE * span", f"{_low} AND c1 > c5", f"{_high} AND c1 > c5", "close < open AND c1 > o1 AND close <= o1 AND open >= c1 AND body > b1", "close < open AND c1 > o1 AND open > c1 AND close < (o1 + c1) / 2 AND close > o1",
-                "c2 > o2 AND b1 <= 0.5::DOUBLE * b2 AND close < open AND close < (o2 + c2) / 2", "close < open AND c1 < o1 AND c2 < o2 AND close < c1 AND c1 < c2 AND big AND g1 AND g2",
-            ),
-        },
-        "SELECT *, abs(close - open) AS body, nullif(high - low, 0.0::DOUBLE) AS span, high - greatest(open, close) AS up, least(open, close) - low AS dn FROM b",
-        "SELECT *, coalesce(body <= 0.1::DOUBLE * span, false) AS small, coalesce(body > 0.5::DOUBLE * span, false) AS big FROM b",
-        f"SELECT *, {', '.join(f'{q.lag(x, n)} AS {x[0]}{n}' for x in ('open', 'close', 'body') for n in (1, 2))}, {q.lag('big')} AS g1, {q.lag('big', 2)} AS g2, {q.lag('close', 5)} AS c5 FROM b",
-    ),
+#: The bullish and the bearish patterns, each in the order of their names in PATTERNS.
+BULL = {
+    "marubozu_bull": "close > open AND body >= 0.95::DOUBLE * span", "hammer": f"{_low} AND c1 < c5", "inverted_hammer": f"{_high} AND c1 < c5",
+    "bullish_engulfing": "close > open AND c1 < o1 AND close >= o1 AND open <= c1 AND body > b1", "piercing": "close > open AND c1 < o1 AND open < c1 AND close > (o1 + c1) / 2 AND close < o1",
+    "morning_star": "c2 < o2 AND b1 <= 0.5::DOUBLE * b2 AND close > open AND close > (o2 + c2) / 2", "three_white_soldiers": "close > open AND c1 > o1 AND c2 > o2 AND close > c1 AND c1 > c2 AND big AND g1 AND g2",
+}
+BEAR = {
+    "marubozu_bear": "close < open AND body >= 0.95::DOUBLE * span", "hanging_man": f"{_low} AND c1 > c5", "shooting_star": f"{_high} AND c1 > c5",
+    "bearish_engulfing": "close < open AND c1 > o1 AND close <= o1 AND open >= c1 AND body > b1", "dark_cloud": "close < open AND c1 > o1 AND open > c1 AND close < (o1 + c1) / 2 AND close > o1",
+    "evening_star": "c2 > o2 AND b1 <= 0.5::DOUBLE * b2 AND close < open AND close < (o2 + c2) / 2", "three_black_crows": "close < open AND c1 < o1 AND c2 < o2 AND close < c1 AND c1 < c2 AND big AND g1 AND g2",
+}
+#: Steps that name what the patterns compare.
+BODIES = (
+    "SELECT *, abs(close - open) AS body, nullif(high - low, 0.0::DOUBLE) AS span, high - greatest(open, close) AS up, least(open, close) - low AS dn FROM b",
+    "SELECT *, coalesce(body <= 0.1::DOUBLE * span, false) AS small, coalesce(body > 0.5::DOUBLE * span, false) AS big FROM b",
+    f"SELECT *, {', '.join(f'{q.lag(x, n)} AS {x[0]}{n}' for x in ('open', 'close', 'body') for n in (1, 2))}, {q.lag('big')} AS g1, {q.lag('big', 2)} AS g2, {q.lag('close', 5)} AS c5 FROM b",
 )
+_hit = lambda found: "nullif(" + " + ".join(f"CAST(coalesce({x}, false) AS INT)" for x in found.values()) + ", 0)"
+by_key("candle_patterns", "candle_patterns", q.query({"bullish": _hit(BULL), "bearish": _hit(BEAR)}, *BODIES))
 FISHER = f"""f0 AS (SELECT symbol, ts, (high + low) / 2 AS v FROM bars), f1 AS (SELECT symbol, ts, {q.ratio('v - (' + q.full('min', 'v', 9) + ')', '(' + q.full('max', 'v', 9) + ') - (' + q.full('min', 'v', 9) + ')')} AS raw FROM f0),
 f2 AS (SELECT symbol, ts, raw, row_number() OVER ({q.P}) AS k FROM f1 WHERE raw IS NOT NULL),
 f3(symbol, k, y, f) AS (

@@ -172,19 +172,28 @@ def _held(spark, d):
     return backtest.positions(df, "decision")
 
 
-HELD = f"""sm AS (SELECT *, {q.full('avg', 'close', 10)} AS f, {q.full('avg', 'close', 30)} AS g, row_number() OVER ({q.P}) - 1 AS n FROM bars),
-dd AS (SELECT *, CASE WHEN n < 120 THEN 0 WHEN f > g THEN 1 WHEN f < g THEN -1 ELSE 0 END AS d FROM sm),
-pp AS (SELECT *, coalesce({q.lag('d')}, 0) AS pos FROM dd),
+DECIDED = f"""sm AS (SELECT *, {q.full('avg', 'close', 10)} AS f, {q.full('avg', 'close', 30)} AS g, row_number() OVER ({q.P}) - 1 AS n FROM bars),
+dd AS (SELECT *, CASE WHEN n < 120 THEN 0 WHEN f > g THEN 1 WHEN f < g THEN -1 ELSE 0 END AS d FROM sm)"""
+#: CTEs from dd, a decision d and the number n of each bar, to holdings, trades and equity.
+HOLD = f"""pp AS (SELECT *, coalesce({q.lag('d')}, 0) AS pos FROM dd),
 hh AS (SELECT *, sum(CASE WHEN pos <> prev THEN 1 ELSE 0 END) OVER ({q.P} ROWS UNBOUNDED PRECEDING) AS trade, coalesce(pos * (close / {q.lag('close')} - 1), 0.0::DOUBLE) AS step, {q.lead('open')} AS no, {q.lead('ts')} AS nt FROM (SELECT *, coalesce({q.lag('pos')}, 0) AS prev FROM pp)),
 tr AS (SELECT symbol, trade, arg_min(pos, ts) AS direction, min(ts) AS entry_ts, arg_max(coalesce(nt, ts), ts) AS exit_ts, arg_min(open, ts) AS entry, arg_max(coalesce(no, close), ts) AS exit, max(n + CASE WHEN no IS NULL THEN 0 ELSE 1 END) - min(n) AS held FROM hh WHERE pos <> 0 GROUP BY symbol, trade),
 tt AS (SELECT *, direction * (exit / entry - 1) - 0.002::DOUBLE AS ret FROM tr)"""
+HELD = f"{DECIDED}, {HOLD}"
 add(
     "backtest_trades",
     lambda spark, d: flat(backtest.trades(_held(spark, d)), ["symbol", "entry_ts", "exit_ts"], ["direction", "entry", "exit", "ret", "bars"], 4),
     rows(["symbol", "entry_ts", "exit_ts"], {"direction": "direction", "entry": "entry", "exit": "exit", "ret": "ret", "bars": "held"}, f"{HELD}||tt").replace(", 6) + 0.0", ", 4) + 0.0"),
 )
-EQ = f"{HELD}, eq AS (SELECT *, product(1 + step) OVER ({q.P} ROWS UNBOUNDED PRECEDING) AS equity FROM hh)"
+EQUITY = f"eq AS (SELECT *, product(1 + step) OVER ({q.P} ROWS UNBOUNDED PRECEDING) AS equity FROM hh)"
+EQ = f"{HELD}, {EQUITY}"
 add("backtest_equity", lambda spark, d: flat(backtest.equity(_held(spark, d)), ["symbol", "ts"], ["step", "equity"], 6), rows(["symbol", "ts"], {"step": "step", "equity": "equity"}, f"{EQ}||eq"))
+#: CTEs from equity and trades to z, the measures of a symbol.
+METRICS = f"""pk AS (SELECT *, max(equity) OVER ({q.P} ROWS UNBOUNDED PRECEDING) AS peak FROM eq),
+x AS (SELECT symbol, count(*) > 122 AS l, arg_max(equity, ts) - 1 AS tr, min(equity / peak - 1) AS dd, avg(step) FILTER (WHERE n > 0) / nullif(stddev_samp(step) FILTER (WHERE n > 0), 0.0::DOUBLE) * sqrt(365.0::DOUBLE) AS sh, arg_max(close, ts) / max(close) FILTER (WHERE n = 120) - 1 AS bh FROM pk GROUP BY symbol),
+y AS (SELECT symbol, count(*) AS k, avg(CAST(ret > 0 AS DOUBLE)) AS wr, avg(ret) FILTER (WHERE ret > 0) AS aw, avg(ret) FILTER (WHERE ret <= 0) AS al, coalesce(sum(ret) FILTER (WHERE ret > 0), 0.0::DOUBLE) / nullif(abs(sum(ret) FILTER (WHERE ret <= 0)), 0.0::DOUBLE) AS pf FROM tt GROUP BY symbol),
+z AS (SELECT symbol, CASE WHEN l THEN tr ELSE 0 END AS total_return, CASE WHEN l THEN dd ELSE 0 END AS max_drawdown, CASE WHEN l THEN sh END AS sharpe, CASE WHEN l THEN coalesce(k, 0) ELSE 0 END AS trades, CASE WHEN l THEN coalesce(wr, 0) ELSE 0 END AS win_rate,
+CASE WHEN l THEN coalesce(aw, 0) ELSE 0 END AS avg_win, CASE WHEN l THEN coalesce(al, 0) ELSE 0 END AS avg_loss, CASE WHEN l THEN pf END AS profit_factor, CASE WHEN l THEN aw / nullif(abs(al), 0.0::DOUBLE) END AS payoff, CASE WHEN l THEN bh ELSE 0 END AS buy_hold FROM x LEFT JOIN y USING (symbol))"""
 _met = ["total_return", "max_drawdown", "sharpe", "trades", "win_rate", "avg_win", "avg_loss", "profit_factor", "payoff", "buy_hold"]
 add(
     "backtest_metrics",
@@ -192,11 +201,7 @@ add(
     rows(
         ["symbol"],
         {n: n for n in _met},
-        f"""{EQ}, pk AS (SELECT *, max(equity) OVER ({q.P} ROWS UNBOUNDED PRECEDING) AS peak FROM eq),
-            x AS (SELECT symbol, count(*) > 122 AS l, arg_max(equity, ts) - 1 AS tr, min(equity / peak - 1) AS dd, avg(step) FILTER (WHERE n > 0) / nullif(stddev_samp(step) FILTER (WHERE n > 0), 0.0::DOUBLE) * sqrt(365.0::DOUBLE) AS sh, arg_max(close, ts) / max(close) FILTER (WHERE n = 120) - 1 AS bh FROM pk GROUP BY symbol),
-            y AS (SELECT symbol, count(*) AS k, avg(CAST(ret > 0 AS DOUBLE)) AS wr, avg(ret) FILTER (WHERE ret > 0) AS aw, avg(ret) FILTER (WHERE ret <= 0) AS al, coalesce(sum(ret) FILTER (WHERE ret > 0), 0.0::DOUBLE) / nullif(abs(sum(ret) FILTER (WHERE ret <= 0)), 0.0::DOUBLE) AS pf FROM tt GROUP BY symbol),
-            z AS (SELECT symbol, CASE WHEN l THEN tr ELSE 0 END AS total_return, CASE WHEN l THEN dd ELSE 0 END AS max_drawdown, CASE WHEN l THEN sh END AS sharpe, CASE WHEN l THEN coalesce(k, 0) ELSE 0 END AS trades, CASE WHEN l THEN coalesce(wr, 0) ELSE 0 END AS win_rate,
-                    CASE WHEN l THEN coalesce(aw, 0) ELSE 0 END AS avg_win, CASE WHEN l THEN coalesce(al, 0) ELSE 0 END AS avg_loss, CASE WHEN l THEN pf END AS profit_factor, CASE WHEN l THEN aw / nullif(abs(al), 0.0::DOUBLE) END AS payoff, CASE WHEN l THEN bh ELSE 0 END AS buy_hold FROM x LEFT JOIN y USING (symbol))||z""",
+        f"{EQ}, {METRICS}||z",
     ),
 )
 
