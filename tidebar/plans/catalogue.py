@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import abstain_queries, engine_queries, factor_queries, indicator_queries, learning_queries, signal_queries, study_queries, table_queries
+from . import abstain_queries, engine_queries, factor_queries, indicator_queries, learning_queries, signal_queries, stream_queries, study_queries, table_queries
 
-MODULES = [indicator_queries, study_queries, factor_queries, signal_queries, engine_queries, learning_queries, table_queries, abstain_queries]
+MODULES = [indicator_queries, study_queries, factor_queries, signal_queries, engine_queries, learning_queries, table_queries, abstain_queries, stream_queries]
 
 
 def queries() -> dict:

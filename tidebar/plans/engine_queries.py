@@ -138,7 +138,8 @@ def _stream_ticks(spark, d):
     return e.select(F.col("event_type").alias("symbol"), ts.alias("ts"), (F.lit(1.0) + F.col("value")).alias("price"), F.lit(1.0).alias("volume"), struct("event_id").alias("seq"))
 
 
-add("stream_bars_tumbling", lambda spark, d: rounded(_drain(streams.tumbling(_stream_ticks(spark, d), UNITS["h"]), "tumbling", "complete"), *OHLCV), q.query(OHLCV, base="hours", with_=q.HOURLY))
+# A bar is told once the watermark, an hour behind the newest tick, has passed its end; then its state goes.
+add("stream_bars_tumbling", lambda spark, d: rounded(_drain(streams.tumbling(_stream_ticks(spark, d), UNITS["h"]), "tumbling", "append"), *OHLCV), q.query(OHLCV, base="hours", with_=q.HOURLY, where="WHERE ts + 3600000 <= (SELECT max(epoch_ms(ts)) - 3600000 FROM events)"))
 add(
     "stream_exact_updates",
     lambda spark, d: flat(_drain(streams.exact(_stream_ticks(spark, d).select("symbol", "ts", "price", "volume", F.col("seq.event_id").alias("seq")), UNITS["h"]), "exact", "append").withColumn("closed", F.col("closed").cast("double")), ["symbol", "ts"], [*OHLCV, "closed"]),
