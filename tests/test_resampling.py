@@ -148,3 +148,52 @@ def test_analog_features_do_not_look_ahead(spark):
     got = retrieval.analog_features(spark.createDataFrame(twins, CANDLE), 12, 6, 4).where(F.col("ts") <= 100 * 86_400_000)
     rows = {(r.symbol, r.ts): r[2:] for r in got.collect()}
     assert all(rows["A", t] == pytest.approx(v, nan_ok=True) if v[0] is not None else rows["A", t][0] is None for (s, t), v in rows.items() if s == "B")
+
+
+def test_set_of_the_best_models_against_numpy(spark):
+    rng = np.random.default_rng(11)
+    n, block, rounds = 400, 7, 200
+    noise = ar1(n, 0.5, 12)
+    losses = {"a": np.abs(noise), "b": np.abs(noise) + rng.normal(0, 0.05, n), "c": np.abs(noise) + 0.4 + rng.normal(0, 0.05, n), "d": np.abs(noise) - 0.3 + rng.normal(0, 0.05, n)}
+    rows = [(k, f"s{i % 2}", i // 2, float(v[i])) for k, v in losses.items() for i in range(n)]
+    # Rows that are not of all models count for none; one that comes twice counts once.
+    rows += [("a", "s9", 5, 100.0), ("b", "s9", 5, None), *rows[:3]]
+    got = {r.model: r for r in resampling.model_confidence(spark.createDataFrame(rows, "model string, symbol string, ts long, loss double"), "a", block, rounds, seed=5).collect()}
+    mean = {k: v.mean() for k, v in losses.items()}
+    draws = math.ceil(n / block)
+    sample = {k: [] for k in losses}
+    for r in range(1, rounds + 1):
+        at = []
+        for j in range(1, draws + 1):
+            start = int(hashlib.md5(f"5:all:{r}:{j}".encode()).hexdigest()[:12], 16) % n
+            at += [(start + o) % n for o in range(block if j < draws else n - (draws - 1) * block)]
+        for k, v in losses.items():
+            sample[k].append(v[at].mean())
+    names, p, want = sorted(losses), 0.0, {}
+    while len(names) > 1:
+        err = {k: np.array(sample[k]) - mean[k] for k in names}
+        middle, centre = sum(err.values()) / len(names), sum(mean[k] for k in names) / len(names)
+        sd = {k: math.sqrt(((err[k] - middle) ** 2).mean()) for k in names}
+        z = {k: (mean[k] - centre) / sd[k] for k in names}
+        worst = max(names, key=z.get)
+        p = max(p, float(np.mean([max((err[k][r] - middle[r]) / sd[k] for k in names) > z[worst] for r in range(rounds)])))
+        want[worst] = p
+        names.remove(worst)
+    want[names[0]] = 1.0
+    assert {k: r.n for k, r in got.items()} == dict.fromkeys(losses, n)
+    for k, r in got.items():
+        assert r.loss == pytest.approx(mean[k]) and r.p == pytest.approx(want[k], abs=1e-9) and r.included == (want[k] > 0.1)
+    assert [k for k, r in sorted(got.items()) if r.included] == ["d"] and got["a"].beaten_p == 0.0
+    worse = resampling.model_confidence(spark.createDataFrame([r for r in rows if r[0] != "d"], "model string, symbol string, ts long, loss double"), "a", block, rounds, seed=5).collect()
+    assert {r.model for r in worse if r.included} == {"a", "b"} and worse[0].beaten_p > 0.1
+    far = resampling.model_confidence(spark.createDataFrame([r for r in rows if r[0] in "ac"], "model string, symbol string, ts long, loss double"), "a", block, rounds, seed=5).collect()
+    assert {(r.model, r.included, r.beaten_p) for r in far} == {("a", True, 1.0), ("c", False, 1.0)}  # far worse than the base
+
+
+def test_models_without_common_rows_have_no_result(spark):
+    schema = "model string, symbol string, ts long, loss double"
+    apart = spark.createDataFrame([("a", "s", i, 1.0) for i in range(9)] + [("b", "s", 100 + i, 1.0) for i in range(9)], schema)
+    assert resampling.model_confidence(apart, "a", 2, 20).count() == 0
+    assert resampling.model_confidence(apart.limit(0), "a", 2, 20).count() == 0
+    alike = spark.createDataFrame([(m, "s", i, 1.0) for m in "ab" for i in range(9)], schema)
+    assert {(r.model, r.included, r.beaten_p) for r in resampling.model_confidence(alike, "a", 2, 20).collect()} == {("a", True, 1.0), ("b", True, 1.0)}

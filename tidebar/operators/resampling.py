@@ -116,11 +116,12 @@ def drawn(seed: int, n: Column, *parts: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("long"), n)
 
 
-def bootstrap_means(series: DataFrame, blocks: DataFrame, rounds: int = 2000, seed: int = 0) -> DataFrame:
+def bootstrap_means(series: DataFrame, blocks: DataFrame, rounds: int = 2000, seed: int = 0, alike: bool = False) -> DataFrame:
     """(key, n, replicate, mean) of every series (key, t, x): means of `rounds` samples made of circular blocks.
 
     blocks (key, block): a sample of n values is ceil(n / block) blocks from seeded places, the last one cut to what is
-    left. The sum of every block that a place can begin is one window, so a replicate is a join by place and a grouped sum."""
+    left. The sum of every block that a place can begin is one window, so a replicate is a join by place and a grouped sum.
+    alike: series of one length and block draw the same places, so that their differences are resampled too."""
     p = _numbered(series, ["key"], ["t"], "x").join(blocks.select("key", "block"), "key")
     size = F.least(F.greatest(F.col("block"), F.lit(1)), F.greatest(F.lit(1), F.floor(F.col("total") / 4))).cast("long")
     p = p.withColumn("size", size).withColumn("cut", F.col("total") - (F.ceil(F.col("total") / F.col("size")) - 1) * F.col("size"))
@@ -136,7 +137,7 @@ def bootstrap_means(series: DataFrame, blocks: DataFrame, rounds: int = 2000, se
     sums = b.select("key", "place", "whole", "part")
     tries = head.groupBy("key").agg(F.first("total").alias("n"), F.first("size").alias("size")).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
     tries = tries.withColumn("last", F.ceil(F.col("n") / F.col("size"))).withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("last"))))
-    tries = tries.withColumn("place", drawn(seed, F.col("n"), F.col("key"), F.col("replicate"), F.col("draw")))
+    tries = tries.withColumn("place", drawn(seed, F.col("n"), F.lit("all") if alike else F.col("key"), F.col("replicate"), F.col("draw")))
     # Places drawn twice by a replicate count as often: its multiplicities meet the sums, not its draws.
     often = tries.groupBy("key", "n", "replicate", "place").agg(F.count_if(F.col("draw") < F.col("last")).alias("wholes"), F.count_if(F.col("draw") == F.col("last")).alias("parts"))
     each = often.join(sums, ["key", "place"])
@@ -195,3 +196,65 @@ def _step(m: int, seed: int, s: int) -> tuple[int, int]:
         a = int(rng.integers(1, m))
         if math.gcd(a, m) == 1:
             return a, int(rng.integers(0, m))
+
+
+def eliminate(names: list[str], loss: np.ndarray, sample: np.ndarray) -> dict[str, float]:
+    """The p of every model in the set of the best (Hansen, Lunde and Nason 2011, the largest excess of a model over the mean of
+    those left): models go worst first, and none has a smaller p than one that went before. Models that go alike do not vary."""
+    left, out, p = list(range(len(names))), {}, 0.0
+    err = sample - loss
+    while len(left) > 1:
+        e = err[:, left] - err[:, left].mean(axis=1, keepdims=True)
+        excess, sd = loss[left] - loss[left].mean(), np.sqrt((e * e).mean(axis=0))
+        z = np.divide(excess, sd, out=np.where(excess > 0, np.inf, 0.0), where=sd > 0)
+        drawn_z = np.divide(e, sd, out=np.zeros_like(e), where=sd > 0).max(axis=1)
+        worst = int(np.argmax(z))
+        p = max(p, float((z[worst] < drawn_z).mean())) if z[worst] > 0 else 1.0
+        out[names[left.pop(worst)]] = p
+    return out | {names[i]: 1.0 for i in left}
+
+
+def superior(loss: np.ndarray, sample: np.ndarray, base: int, n: int) -> float:
+    """The p of `no model beats the base` (Hansen 2005, the consistent one): models far worse than the base do not weigh in."""
+    rest = [k for k in range(len(loss)) if k != base]
+    gain, drawn_gain = loss[base] - loss[rest], sample[:, [base]] - sample[:, rest]
+    sd = np.sqrt(((drawn_gain - gain) ** 2).mean(axis=0))
+    if not rest or not (sd > 0).any():
+        return 1.0
+    gain, drawn_gain, sd = gain[sd > 0], drawn_gain[:, sd > 0], sd[sd > 0]
+    near = np.where(gain >= -sd * math.sqrt(2 * math.log(math.log(max(n, 16)))), gain, 0.0)
+    stat = max(0.0, float((gain / sd).max()))
+    return float((np.maximum(0.0, ((drawn_gain - near) / sd).max(axis=1)) >= stat).mean())
+
+
+def model_confidence(losses: DataFrame, base: str, block: int | None = None, rounds: int = 1000, size: float = 0.1, seed: int = 0) -> DataFrame:
+    """(model, n, loss, p, included, beaten_p) of losses (model, symbol, ts, loss): mean loss on the rows that all models have, p in
+    the set of the best and whether it is above `size`, and for all the p of `no model beats the base`.
+
+    A row that a model lacks, or where its loss is null or not finite, counts for none; repeated rows are averaged. All models draw
+    the same circular blocks, their length by `pick_block` of the base unless given. Only the means of the replicates, rounds x
+    models numbers whatever the rows, meet in the task that eliminates. The work is rounds x models x rows / block, so short blocks
+    are dear. Fewer than 4 common rows give no result."""
+    x = F.col("loss").cast("double")
+    some = losses.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).groupBy("ts", "symbol", "model").agg(F.avg(x).alias("loss"))
+    models = sorted(r.model for r in losses.select("model").distinct().collect())  # a handful by what they are
+    met = some.groupBy("ts", "symbol").agg(F.collect_list(F.struct("model", "loss")).alias("m")).where(F.size("m") == len(models))
+    series = kept(met.select(F.struct("ts", "symbol").alias("t"), F.explode("m").alias("m")).select(F.col("m.model").alias("key"), "t", F.col("m.loss").alias("x")))
+    own = kept(series.groupBy("key").agg(F.count("*").alias("n"), F.avg("x").alias("loss")).where("n >= 4"))
+    if block is None:
+        blocks = pick_block(series.where(F.col("key") == base), ["key"], ["t"], "x").select("block")
+        blocks = own.select("key").join(F.broadcast(blocks), how="cross")  # one row
+    else:
+        blocks = own.select("key", F.lit(block).cast("long").alias("block"))
+    means = bootstrap_means(series.join(own.select("key"), "key", "left_semi"), kept(blocks), rounds, seed, alike=True)
+    per = means.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("replicate", "mean"))).alias("s")).join(own, "key").select("key", "n", "loss", F.transform("s", lambda v: v["mean"]).alias("sample"))
+
+    def judge(t: pa.Table) -> pa.Table:
+        rank = np.argsort(np.array(t.column("key").to_pylist()))
+        names, loss = [t.column("key")[int(i)].as_py() for i in rank], t.column("loss").to_numpy()[rank]
+        sample = np.array([t.column("sample")[int(i)].as_py() for i in rank]).T
+        n, p = t.column("n")[0].as_py(), eliminate(names, loss, sample)
+        beaten = superior(loss, sample, names.index(base), n)
+        return pa.table({"model": names, "n": [n] * len(names), "loss": loss, "p": [p[k] for k in names], "included": [p[k] > size for k in names], "beaten_p": [beaten] * len(names)})
+
+    return per.groupBy(F.lit(1).alias("_all")).applyInArrow(judge, "model string, n long, loss double, p double, included boolean, beaten_p double")

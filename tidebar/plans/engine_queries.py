@@ -237,3 +237,15 @@ def _null(spark, d):
 
 add("null_best", lambda spark, d: flat(_null(spark, d), ["round"], ["best"]))
 add("analog_features", lambda spark, d: flat(retrieval.analog_features(bars_daily(spark, d)), ["symbol", "ts"], list(retrieval.COLUMNS), 4))
+
+
+def _losses(spark, d):
+    """Absolute errors of five forecasts of tomorrow's return: none, and the mean of the last 1, 5, 20 and 60 days'."""
+    ret = F.log(F.col("close") / s.lag("close"))
+    b = bars_daily(spark, d).withColumn("ret", ret).withColumn("next", s.lead("ret"))
+    guess = {"none": F.lit(0.0)} | {f"last_{n:02d}": s.sma("ret", n) for n in (1, 5, 20, 60)}
+    each = F.array(*[F.struct(F.lit(k).alias("model"), F.abs(F.col("next") - v).alias("loss")) for k, v in guess.items()])
+    return b.withColumn("e", each).select("symbol", "ts", F.explode("e").alias("e")).select("symbol", "ts", "e.*")
+
+
+add("model_confidence", lambda spark, d: resampling.model_confidence(_losses(spark, d), "none", BLOCK, ROUNDS))
