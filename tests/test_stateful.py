@@ -134,3 +134,19 @@ def test_bars_go_on_from_history_at_any_tick(spark, tmp_path, cut):
     out = _drain(stateful.continued(live, HOUR, history), "continued", "append")
     got = [(r.symbol, *map(float, (r.ts, r.open, r.high, r.low, r.close, r.volume, r.closed))) for r in out.collect()]
     assert sorted(got) == sorted(want) and got
+
+
+def test_many_positions_take_no_call_of_python_each(spark, tmp_path):
+    """Spark's own aggregate keeps the events; of events that share an id one counts, the same in any order."""
+    n = 3000
+    opened = spark.range(n).selectExpr("cast(id AS string) AS position", "'o' AS event", "0L AS at", "'open' AS kind", "100.0D AS price", "10.0D AS shares", "int(null) AS target", "90.0D AS stop", "array(110.0D) AS targets", "string(null) AS reason")
+    sold = opened.selectExpr("position", "'s' AS event", "1L AS at", "'sold' AS kind", "101.0D AS price", "1.0D AS shares", "target", "double(null) AS stop", "cast(null AS array<double>) AS targets", "reason")
+    for i, part in enumerate([sold, opened, sold, sold.withColumn("price", F.lit(102.0))]):
+        part.coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    events = spark.readStream.schema(stateful.EVENT).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    df = stateful.positions(events)
+    assert "TransformWithState" not in df._jdf.queryExecution().logical().toString()
+    last = _drain(df, "positions", "update").groupBy("position").agg(F.max("version").alias("version"), F.max_by("realized", "version").alias("realized"))
+    assert [tuple(r) for r in last.groupBy("version").agg(F.count("*")).collect()] == [(2, n)]
+    whole = stateful.positions(opened.unionByName(sold).unionByName(sold.withColumn("price", F.lit(102.0))))
+    assert {r.realized for r in whole.collect()} == {1.0}

@@ -89,66 +89,47 @@ def fold(events: list[tuple]) -> dict | None:
     return p
 
 
-def _row(position: str, events: list[tuple]) -> pd.DataFrame | None:
-    p = fold(events)
-    if p is None:
-        return None
-    open_ = p["status"] == "open"
-    armed = [t["price"] for t in p["targets"] if open_ and not t["settled"]]
-    out = {"position": position, "version": len(events), **{k: p[k] for k in ("status", "entry", "shares_left", "realized", "stop")}, "stop_hit": p["stop_hit"], "armed": armed, "sales": p["sales"], "closed_at": p["closed_at"], "reason": p["reason"]}
-    return pd.DataFrame([out]).astype({"closed_at": "Int64"})
-
-
-def _tuples(frame: pd.DataFrame) -> list[tuple]:
-    """Rows of a frame as tuples that a state can hold: null for NaN, lists for arrays, ints for whole numbers."""
-    whole = {"at", "target"}
-    lists = {"targets"}
-
-    def value(c, v):
-        if c in lists:
-            return None if v is None else [float(x) for x in v]
-        if v is None or pd.isna(v):
-            return None
-        return int(v) if c in whole else v if isinstance(v, str) else float(v)
-
-    return [tuple(value(c, v) for c, v in zip(_STORED, r)) for r in frame[_STORED].itertuples(index=False, name=None)]
-
-
-class Positions(StatefulProcessor):
-    """The events of a position; one that comes twice counts once."""
-
-    def init(self, handle) -> None:
-        self.events = handle.getListState("events", EVENT.split(", ", 1)[1])
-
-    def handleInputRows(self, key, rows, timerValues):
-        known = [tuple(e) for e in self.events.get()]
-        seen, fresh = {e[0] for e in known}, []
-        for e in (e for frame in rows for e in _tuples(frame)):
-            if e[0] not in seen:
-                seen.add(e[0])
-                fresh.append(e)
-        if fresh:
-            self.events.appendList(fresh)
-            out = _row(key[0], known + fresh)
-            if out is not None:
-                yield out
+_FIELDS = [tuple(c.split(" ")) for c in POSITION.split(", ")]
+
+
+def _rows(batches):
+    """Record batches of (position, events) to POSITION rows. Of events with one id the least counts, whatever order they came in."""
+    import pyarrow as pa
+
+    shape = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}[t]) for n, t in _FIELDS])
+    for whole in batches:
+        for k in range(0, whole.num_rows, 2000):
+            b = whole.slice(k, 2000)
+            lists, out = b.column("events"), {n: [] for n, _ in _FIELDS}
+            flat = lists.flatten()  # the fields of all events, then cut by position
+            every = list(zip(*[flat.field(c).to_pylist() for c in _STORED]))
+            at = 0
+            for position, n in zip(b.column("position").to_pylist(), lists.value_lengths().to_pylist()):
+                events, at = every[at : at + n], at + n
+                if len({e[0] for e in events}) < n:
+                    events = list({e[0]: e for e in sorted(events, key=repr, reverse=True)}.values())
+                p = fold(events)
+                if p is not None:
+                    open_ = p["status"] == "open"
+                    p |= {"position": position, "version": len(events), "armed": [t["price"] for t in p["targets"] if open_ and not t["settled"]]}
+                    for c, values in out.items():
+                        values.append(p[c])
+            yield pa.RecordBatch.from_pydict(out, schema=shape)
 
 
 def positions(events: DataFrame) -> DataFrame:
-    """A stream of EVENT rows to the state of every position that a batch touches, version by version; keep the highest version.
+    """EVENT rows to the state of every position, None before it is open: of a table after all its events; of a stream (in
+    update mode) of every position that a batch touches, version by version; keep the highest version.
 
-    The last version of a position is the fold of all its events, whatever order they came in."""
-    return events.groupBy("position").transformWithStateInPandas(Positions(), POSITION, "Update", "None")
+    The state is the set of a position's events, kept by Spark's own aggregate; the last version is the fold of them all,
+    whatever order they came in and however often."""
+    g = events.groupBy("position").agg(F.collect_set(F.struct(*_STORED)).alias("events"))
+    return g.mapInArrow(_rows, POSITION)
 
 
 def positions_of(events: DataFrame) -> DataFrame:
     """The batch twin of positions(): the state of every position after all its events."""
-
-    def one(key, frame):
-        out = _row(key[0], _tuples(frame.drop_duplicates("event")))
-        return pd.DataFrame(columns=[c.split(" ")[0] for c in POSITION.split(", ")]) if out is None else out
-
-    return events.groupBy("position").applyInPandas(one, POSITION)
+    return positions(events)
 
 
 # Alerts at night
