@@ -150,3 +150,37 @@ def test_many_positions_take_no_call_of_python_each(spark, tmp_path):
     assert [tuple(r) for r in last.groupBy("version").agg(F.count("*")).collect()] == [(2, n)]
     whole = stateful.positions(opened.unionByName(sold).unionByName(sold.withColumn("price", F.lit(102.0))))
     assert {r.realized for r in whole.collect()} == {1.0}
+
+
+def test_the_column_of_mornings_is_morning(spark):
+    ats = [h * HOUR // 2 + x for h in range(96) for x in (-1, 0, 1)]
+    df = spark.createDataFrame([(k, at) for at in ats for k in ("buy_below", "stop_below")], "kind string, at long")
+    for r in df.withColumn("u", stateful.waits_until(F.col("kind"), F.col("at"))).collect():
+        assert r.u == (None if r.kind == "stop_below" else stateful.morning(r.at))
+
+
+def test_alerts_pass_through_batch_by_batch():
+    """The rows of a key are never held together: each frame is answered, or kept in the state, before the next is read."""
+    kept, timers, read = [], [], []
+
+    class Held:
+        def appendList(self, rows):
+            kept.append(len(rows))
+
+    class Handle:
+        def getListState(self, *_):
+            return Held()
+
+        def registerTimer(self, at):
+            timers.append(at)
+
+    def frames():
+        for i in range(3):
+            read.append(i)
+            yield pd.DataFrame({"id": [f"{i}a", f"{i}b"], "at": [i, i], "title": ["x", "y"]})
+
+    night = stateful.Night()
+    night.init(Handle())
+    for out in night.handleInputRows(("me", -1, 0), frames(), None):
+        assert len(out) == 2 and out["n"].tolist() == [1, 1] and len(read) == (int(out["ids"].iloc[0][0][0]) + 1)
+    assert list(night.handleInputRows(("me", DAY, 0), frames(), None)) == [] and kept == [2, 2, 2] and timers == [DAY]

@@ -5,7 +5,7 @@ They need the RocksDB state store: call `rocksdb(spark)` before the stream is st
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
@@ -148,48 +148,55 @@ def morning(at: int) -> int | None:
     return end if clock < UNTIL * 3_600_000 else end + DAY
 
 
+def waits_until(kind: Column, at: Column) -> Column:
+    """morning() of an alert's time as a column; null for stops, which never wait."""
+    clock = F.pmod(at + OFFSET, F.lit(DAY))
+    end = at - clock + UNTIL * 3_600_000
+    hours = lambda h: F.lit(h * 3_600_000)
+    return F.when((kind == "stop_below") | ((clock >= hours(UNTIL)) & (clock < hours(FROM))), None).when(clock < hours(UNTIL), end).otherwise(end + DAY)
+
+
+#: Parts that the alerts of an owner that do not wait are dealt to.
+LANES = 16
+
+
 class Night(StatefulProcessor):
-    """Alerts held back (list state) and a timer at the end of their night."""
+    """The alerts of an owner's night held back (list state) and a timer at its end; those that do not wait pass by. Rows go
+    through batch by batch: only a night that goes out is held in memory, as it is one row."""
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "until long, at long, id string, title string")
+        self.held = handle.getListState("held", "at long, id string, title string")
 
     def handleInputRows(self, key, rows, timerValues):
-        held, out = [], []
+        owner, until, _ = key
         for frame in rows:
-            for r in frame.itertuples(index=False):
-                until = None if r.kind == "stop_below" else morning(int(r.at))
-                if until is None:
-                    out.append({"owner": key[0], "at": int(r.at), "batch": False, "n": 1, "ids": [r.id], "title": r.title})
-                else:
-                    held.append((until, int(r.at), r.id, r.title))
-        for until in {h[0] for h in held}:
-            self.handle.registerTimer(until)
-        if held:
-            self.held.appendList(held)
-        if out:
-            yield pd.DataFrame(out)
+            at = frame["at"].astype("int64")
+            if until < 0:
+                yield pd.DataFrame({"owner": owner, "at": at, "batch": False, "n": 1, "ids": [[i] for i in frame["id"]], "title": frame["title"]}, columns=["owner", "at", "batch", "n", "ids", "title"])
+            elif len(frame):
+                self.held.appendList(list(zip(at.tolist(), frame["id"], frame["title"])))
+        if until >= 0:
+            self.handle.registerTimer(int(until))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        every = [tuple(h) for h in self.held.get()]
-        due, later = sorted(h[1:] for h in every if h[0] <= now), [h for h in every if h[0] > now]
+        due = sorted(tuple(h) for h in self.held.get())
         self.held.clear()
-        if later:
-            self.held.put(later)
         if due:
             title = due[0][2] if len(due) == 1 else " / ".join(d[2] for d in due[:4])
-            yield pd.DataFrame([{"owner": key[0], "at": now, "batch": len(due) > 1, "n": len(due), "ids": [d[1] for d in due], "title": title}])
+            yield pd.DataFrame([{"owner": key[0], "at": expiredTimerInfo.getExpiryTimeInMs(), "batch": len(due) > 1, "n": len(due), "ids": [d[1] for d in due], "title": title}])
 
 
 def delivered(alerts: DataFrame, late: str = "1 hour") -> DataFrame:
     """A stream of ALERT rows to what is sent: stops and daytime alerts at once, the others together when the night ends.
 
     Night ends by event time, once alerts `late` past seven have been seen, so a run again sends the same. A batch of alerts
-    names the first four titles and carries all ids; one alert alone goes out as itself."""
+    names the first four titles and carries all ids; one alert alone goes out as itself. A key is an owner's night, so
+    neither a task nor a state has all of an owner's alerts."""
     timed = alerts.withColumn("time", F.timestamp_millis("at")).withWatermark("time", late)
-    return timed.groupBy("owner").transformWithStateInPandas(Night(), DELIVERED, "Append", "EventTime")
+    until = F.coalesce(waits_until(F.col("kind"), F.col("at")), F.lit(-1).cast("long"))
+    keyed = timed.withColumn("until", until).withColumn("lane", F.when(F.col("until") < 0, F.pmod(F.hash("id"), F.lit(LANES))).otherwise(0))
+    return keyed.groupBy("owner", "until", "lane").transformWithStateInPandas(Night(), DELIVERED, "Append", "EventTime")
 
 
 # Bars that go on from history
