@@ -177,3 +177,13 @@ def test_em_finds_the_likelihood_maximum():
     w, value = language._em(p, c, np.array([0.5, 0.5]))
     grid = max(float(c @ np.log(p @ np.array([x, 1 - x]))) for x in np.linspace(1e-6, 1 - 1e-6, 20001))
     assert value == pytest.approx(grid, abs=1e-2) and w.sum() == pytest.approx(1)
+
+
+def test_a_turn_of_mixing_hands_on_no_plan(spark):
+    """Joins by source on what a turn left: the next turn reads files, so that nothing inferred of earlier turns grows."""
+    rooms = spark.createDataFrame([("a", 9.0), (None, 5.0)], "source string, room double")
+    taken = spark.createDataFrame([("a", 1, 2), (None, 1, 1)], "source string, size int, take long")
+    for _ in range(3):
+        rooms = mixing._left(rooms, taken)
+        assert rooms.inputFiles()
+    assert {r.source: r.room for r in rooms.collect()} == {"a": 3.0, None: 2.0}

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, packed, table, word_count
+from .common import packed, staged, table, word_count
 
 #: Weights of the sources in code-point order, repeated; the most epochs a source may give; hash buckets of a fractional
 #: epoch; parts that a source's rows are dealt to when they meet its figures; how near a fractional epoch need come, as a share of
@@ -15,6 +15,12 @@ from .common import checkpointed, packed, table, word_count
 WEIGHTS, MAX_EPOCHS, BUCKETS, SALT, NEAR, LONG = (5, 2, 1), 3, 1 << 14, 32, 0.005, 8
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written and read back. A checkpoint would hand on what is known of the plan that made it (order, equal columns), which
+    joins by source and renamed columns multiply turn by turn, until planning takes the driver's time and memory."""
+    return staged(df, "mix")
+
+
 def water_fill(sources: DataFrame, weights=WEIGHTS, cap: float = MAX_EPOCHS) -> DataFrame:
     """sources (source, source_size) with its target.
 
