@@ -195,3 +195,18 @@ def test_shuffled_and_broadcast_agree(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
     assert a == sorted(map(tuple, decontaminate.op3_spaced_seeds(spark, "/root/testdata/sf0.001").select("doc_id", "items").collect()))
     assert any(x[1] for x in a)
+
+
+def test_sets_that_cannot_link_are_told_by_a_share_of_their_shingles(spark, monkeypatch):
+    """A page of shared words in 40 texts of two pages each, and two texts that differ in a word: those alone go on."""
+    line = " ".join(f"all{i}" for i in range(120))
+    texts = [f"{line} " + " ".join(f"t{t}w{i}" for i in range(200)) for t in range(40)]
+    texts += [texts[0] + " end", texts[1] + " end"]
+    sets = spark.createDataFrame([(i, i, len(jaccard.text_shingles(t, 4)), t) for i, t in enumerate(texts)], "sid long, root long, n long, text string")
+    bits, met = jaccard.filter_bits, []
+    monkeypatch.setattr(jaccard, "filter_bits", lambda keys, *a: met.append(keys.count()) or bits(keys, *a))
+    hs = [set(jaccard.text_shingles(t, 4).tolist()) for t in texts]
+    want = [i for i, h in enumerate(hs) if 100 * sum(any(x in o for j, o in enumerate(hs) if j != i) for x in h) >= 85 * len(h)]
+    assert sorted(r.sid for r in jaccard._shareable(sets, 4, 85).collect()) == want == [0, 1, 40, 41]
+    first = {x for i, h in enumerate(hs) for x in h if x % jaccard.SHARE == 0 and any(x in o for j, o in enumerate(hs) if j != i)}
+    assert met[0] == len(first) and len(met) == 2

@@ -19,6 +19,8 @@ SMALL = 12
 CELLS, FILTER_BITS = 128, 24
 #: Bits of the filter that finds shared shingles before they are shuffled, as a power of 2: 16 MB, whatever the data.
 SHARED_BITS = 27
+#: A share of the shingles, one in so many, is looked at first to tell which sets can still link.
+SHARE = 3
 #: Most sets, and about the most shingles, of one side of a block comparison; shared shingles that it counts at a time.
 BLOCK, BLOCK_SHINGLES, COLUMNS, SALT = 2048, 1 << 20, 4096, 32
 #: Steps of size that a band spans (neighbours overlap in one of them); seeds tried before a set gives a signature of its band alone.
@@ -277,39 +279,60 @@ def _all_pairs(rows: DataFrame) -> DataFrame:
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """rows (sig, sid) of the buckets that lie in several components, with root, the component of sid."""
+    """rows (sig, sid) of the buckets that lie in several components, with root, the component of sid, and low."""
     rows = rows.select("sig", "sid").distinct().join(roots, F.col("sid") == F.col("node"), "left").select("sig", "sid", F.coalesce("root", "sid").alias("root"))
+    return _several(rows)
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """rows (sig, sid, root) of the buckets that lie in several components, with low, the bucket's least set."""
     several = rows.groupBy("sig").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min("sid").alias("low")).where("r1 <> r2")
     return rows.join(several.select("sig", "low"), "sig")
 
 
-def _shareable(sets: DataFrame, k: int, threshold: int) -> DataFrame:
-    """Those of sets (sid, root, n, text) that can still link with a set of another component.
+def _shared(sets: DataFrame, k: int, first: bool) -> DataFrame:
+    """(sid, size, c) of sets (sid, root, text): of one share of their shingles, chosen by hash, how many a set has and how many
+    of these another component has too. Sets without any in that share give no row.
 
-    Shingles held by one component alone are no common ones, so a set of n shingles, u of them such, has at most n - u in
-    common with a set elsewhere; a link takes threshold % of n. Shared shingles are found by a grouped minimum and maximum;
-    a filter of fixed size then keeps most others out of the join that counts them, which is exact."""
+    Shared shingles are found by a grouped minimum and maximum; a filter of fixed size then keeps most others out of the
+    join that counts them, which is exact."""
     mask = (1 << SHARED_BITS) - 1
 
     def shingles(bits=None):
         def run(batches):
+            low, share = np.uint64(mask), np.uint64(SHARE)
             for b in sliced(batches, 250):
-                hs = [text_shingles(t, k) for t in b.column(2).to_pylist()]
+                hs = [h[(h % share == 0) == first] for h in (text_shingles(t, k) for t in b.column(2).to_pylist())]
+                n = [len(h) for h in hs]
                 if bits is not None:
-                    low = np.uint64(mask)
-                    hs = [h[maybe(bits.value, (h & low).astype(np.int64), (h >> np.uint64(32) & low).astype(np.int64))] for h in hs]
+                    keep = [maybe(bits.value, (h & low).astype(np.int64), (h >> np.uint64(32) & low).astype(np.int64)) for h in hs]
+                    for m in keep:
+                        m[:1] = True  # so that a set is there even if it shares nothing
+                    hs = [h[m] for h, m in zip(hs, keep)]
                 size = [len(h) for h in hs]
-                own, root = (np.repeat(b.column(i).to_numpy(), size) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(own), pa.array(root)], ["h", "sid", "root"])
+                own, root, n = (np.repeat(x, size) for x in (b.column(0).to_numpy(), b.column(1).to_numpy(), np.array(n, np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(own), pa.array(root), pa.array(n)], ["h", "sid", "root", "size"])
 
-        return sets.select("sid", "root", "text").mapInArrow(run, "h long, sid long, root long")
+        return sets.select("sid", "root", "text").mapInArrow(run, "h long, sid long, root long, size long")
 
     w = F.struct(F.min("root").alias("r1"), F.max("root").alias("r2"))
     common = staged(shingles().groupBy("h").agg(w.alias("r")).where("r.r1 <> r.r2").select("h"), "common")
     places = [F.col("h").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(mask))]
     bits = sets.sparkSession.sparkContext.broadcast(filter_bits(common, places, SHARED_BITS))
-    known = shingles(bits).select("h", "sid").join(common, "h").groupBy("sid").agg(F.count("*").alias("c"))
-    return sets.join(known, "sid").where(F.col("c") * 100 >= F.col("n") * threshold).drop("c")
+    met = shingles(bits).select("h", "sid", "size").join(common.withColumn("met", F.lit(1)), "h", "left")
+    return met.groupBy("sid").agg(F.first("size").alias("size"), F.count("met").alias("c"))
+
+
+def _shareable(sets: DataFrame, k: int, threshold: int) -> DataFrame:
+    """Those of sets (sid, root, n, text) that can still link with a set of another component.
+
+    Shingles held by one component alone are no common ones, and of n shingles a link leaves out at most 100 - threshold %.
+    A first share of the shingles shows that of most sets; the rest is looked at for the others alone, and among them."""
+    spare = lambda c, size: (size - c) * 100 <= F.col("n") * (100 - threshold)
+    some = sets.join(_shared(sets, k, True).withColumnRenamed("c", "c1"), "sid", "left").where(F.col("size").isNull() | spare(F.col("c1"), F.col("size")))
+    some = staged(some.select("sid", "root", "n", "text", F.coalesce("c1", F.lit(0)).alias("c1")), "some")
+    rest = _shared(some, k, False).drop("size")
+    return some.join(rest, "sid", "left").where(spare(F.col("c1") + F.coalesce("c", F.lit(0)), F.col("n"))).drop("c", "c1")
 
 
 def _block_links(sets: DataFrame, k: int, threshold: int) -> DataFrame:
@@ -374,10 +397,10 @@ def links(rows: DataFrame, docs: DataFrame, sets: DataFrame, k: int, threshold:
     large = rows.where(F.col("many") > SMALL)
     pairs = _all_pairs(rows.where(F.col("many") <= SMALL)).unionByName(large.where("sid <> low").select(F.col("low").alias("a"), F.col("sid").alias("b")))
     roots = components(verified(pairs.distinct(), known, k, threshold))
-    left = _rooted(large, roots)
+    left = staged(_rooted(large, roots), "left")
     some = left.select("sid", "root").distinct().join(known.select("sid", "n", "text"), "sid")
     some = staged(_shareable(some, k, threshold), "open")
-    left = _rooted(large.join(some.select("sid"), "sid"), roots)
+    left = _several(staged(left.drop("low").join(some.select("sid"), "sid", "left_semi"), "left"))
     clouds = components(left.select(F.col("low").alias("a"), F.col("sid").alias("b")))
     new = _block_links(some.join(clouds.select(F.col("node").alias("sid"), F.col("root").alias("cloud")), "sid"), k, threshold)
     new = staged(new, "new")
