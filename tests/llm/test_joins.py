@@ -210,3 +210,16 @@ def test_sets_that_cannot_link_are_told_by_a_share_of_their_shingles(spark, monk
     assert sorted(r.sid for r in jaccard._shareable(sets, 4, 85).collect()) == want == [0, 1, 40, 41]
     first = {x for i, h in enumerate(hs) for x in h if x % jaccard.SHARE == 0 and any(x in o for j, o in enumerate(hs) if j != i)}
     assert met[0] == len(first) and len(met) == 2
+
+
+def test_no_text_moves_that_no_comparison_asks_for(spark, family, monkeypatch):
+    known = spark.createDataFrame([(i, 5, f"text {i}") for i in range(3000)], "sid long, n long, text string")
+    asked = spark.createDataFrame([(i,) for i in range(0, 3000, 150)], "sid long")
+    got = {r.sid: r.text for r in jaccard.texts_of(known, asked, 20).collect()}
+    assert {i: got.get(i) for i in range(0, 3000, 150)} == {i: f"text {i}" for i in range(0, 3000, 150)}
+    assert len(got) < 40
+    # A filter that tells nothing changes no result.
+    monkeypatch.setattr(jaccard, "FILTER_BITS", 6)
+    monkeypatch.setattr(jaccard, "SMALL", 2)
+    got = jaccard.classes(spark.createDataFrame(family, "doc_id long, text string"))
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == brute(family, 4, 85)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, filter_bits, filter_places, maybe, mix, sliced, staged, table, text_shingles
+from .common import checkpointed, filter_bits, filter_places, maybe, mix, sliced, staged, table, text_shingles, texts_of
 
 #: Buckets up to this many sets compare all their pairs; larger ones compare with a pivot first.
 SMALL = 12
@@ -218,8 +218,8 @@ def verified(pairs: DataFrame, known: DataFrame, k: int, threshold: int) -> Data
             ok = _possible(far, na, nb, threshold)
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
 
-    p = p.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(near, "a long, b long")
-    text = known.select("sid", "text")
+    p = staged(p.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(near, "a long, b long"), "near")
+    text = texts_of(known, p.select(F.explode(F.array("a", "b")).alias("sid")), FILTER_BITS)
     p = p.join(text.toDF("b", "tb"), "b").join(text.toDF("a", "ta"), "a")
 
     def run(batches):
@@ -324,15 +324,17 @@ def _shared(sets: DataFrame, k: int, first: bool) -> DataFrame:
 
 
 def _shareable(sets: DataFrame, k: int, threshold: int) -> DataFrame:
-    """Those of sets (sid, root, n, text) that can still link with a set of another component.
+    """Those of sets (sid, root, n, text; kept) that can still link with a set of another component.
 
     Shingles held by one component alone are no common ones, and of n shingles a link leaves out at most 100 - threshold %.
     A first share of the shingles shows that of most sets; the rest is looked at for the others alone, and among them."""
     spare = lambda c, size: (size - c) * 100 <= F.col("n") * (100 - threshold)
-    some = sets.join(_shared(sets, k, True).withColumnRenamed("c", "c1"), "sid", "left").where(F.col("size").isNull() | spare(F.col("c1"), F.col("size")))
-    some = staged(some.select("sid", "root", "n", "text", F.coalesce("c1", F.lit(0)).alias("c1")), "some")
-    rest = _shared(some, k, False).drop("size")
-    return some.join(rest, "sid", "left").where(spare(F.col("c1") + F.coalesce("c", F.lit(0)), F.col("n"))).drop("c", "c1")
+    brief = sets.select("sid", "root", "n")
+    some = brief.join(_shared(sets, k, True).withColumnRenamed("c", "c1"), "sid", "left").where(F.col("size").isNull() | spare(F.col("c1"), F.col("size")))
+    some = staged(some.select("sid", "root", "n", F.coalesce("c1", F.lit(0)).alias("c1")), "some")
+    rest = _shared(staged(some.join(texts_of(sets, some, FILTER_BITS), "sid"), "texts"), k, False).drop("size")
+    some = staged(some.join(rest, "sid", "left").where(spare(F.col("c1") + F.coalesce("c", F.lit(0)), F.col("n"))).select("sid", "root", "n"), "open")
+    return some.join(texts_of(sets, some, FILTER_BITS), "sid")
 
 
 def _block_links(sets: DataFrame, k: int, threshold: int) -> DataFrame:
@@ -398,7 +400,8 @@ def links(rows: DataFrame, docs: DataFrame, sets: DataFrame, k: int, threshold:
     pairs = _all_pairs(rows.where(F.col("many") <= SMALL)).unionByName(large.where("sid <> low").select(F.col("low").alias("a"), F.col("sid").alias("b")))
     roots = components(verified(pairs.distinct(), known, k, threshold))
     left = staged(_rooted(large, roots), "left")
-    some = left.select("sid", "root").distinct().join(known.select("sid", "n", "text"), "sid")
+    some = left.select("sid", "root").distinct()
+    some = staged(some.join(known.select("sid", "n"), "sid").join(texts_of(known, some, FILTER_BITS), "sid"), "clouds")
     some = staged(_shareable(some, k, threshold), "open")
     left = _several(staged(left.drop("low").join(some.select("sid"), "sid", "left_semi"), "left"))
     clouds = components(left.select(F.col("low").alias("a"), F.col("sid").alias("b")))
