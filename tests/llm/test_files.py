@@ -211,3 +211,17 @@ def test_tokenizer_goes_along_with_the_task(spark, tmp_path):
     want = Tokenizer.from_file(TOK).encode("some words", add_special_tokens=False).ids
     path.unlink()
     assert sorted((r.doc_id, r.n_tokens) for r in tokenfile.read_tokens(ordered).collect()) == [(1, len(want) + 1), (2, 1)]
+
+
+def test_latin_words_are_encoded_without_the_whole_pipeline(monkeypatch):
+    e, t = tokenfile.Encoder(open(TOK).read()), Tokenizer.from_file(TOK)
+    latin = "".join(chr(c) for c in range(0xA1, 0x100))
+    texts = ["Größe ÀÉÎ naïve straße", "l'été d'où", "a\xadb ¿Qué? 3½ µ ª º", " ".join(latin), latin, "x" * 70 + "é" * 70, "Été été ÉTÉ"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+    def whole(text):
+        raise AssertionError(f"{text!r} went through the whole pipeline")
+
+    monkeypatch.setattr(e, "whole", whole)
+    for _ in range(2):  # from the model, then from what is kept
+        assert [np.frombuffer(e.encode(x), "<u4").tolist() for x in texts] == want

@@ -44,6 +44,10 @@ FAST = {
 }
 #: Longer words are not kept, so that the caches' entries bound their bytes.
 LONG = 64
+#: Latin-1 letters, marks and digits with tab, newline and space: texts of these alone are encoded word by word.
+PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x100)])
+#: Of the byte-level alphabet, the bytes from 128 that do not stand for themselves (the first of them follow 33 below 128).
+BYTE_LEVEL = {b: 256 + 34 + i for i, b in enumerate([*range(0x80, 0xA1), 0xAD])} | {127: 256 + 33}
 
 
 class Encoder:
@@ -54,7 +58,7 @@ class Encoder:
     the library whole, and so do all texts under any other file.
     """
 
-    def __init__(self, file: str, keep: int = 400_000):
+    def __init__(self, file: str, keep: int = 800_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -69,42 +73,58 @@ class Encoder:
         self.fast = (
             (said["normalizer"], said["pre_tokenizer"], said["post_processor"]) == (FAST["normalizer"], FAST["pre_tokenizer"], None)
             and model["type"] == "BPE" and not model["dropout"] and not model["continuing_subword_prefix"]
-            and all(m.strip() and not any(c.isspace() for c in m) for m in marks)
+            and all(m.isascii() and m.strip() and not any(c.isspace() for c in m) for m in marks)
         )
-        # Latin-1 letters, marks and digits with tab, newline and space; none of the file's added tokens, in any case.
-        self.odd = regex.compile("|".join([r"[^\t\n\r\x20-\x7e\xa1-\xff]", *map(regex.escape, marks)]), regex.IGNORECASE)
+        self.marks = [m.lower() for m in marks]
         self.split = regex.compile(FAST["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def plain(self, text: str) -> str | None:
+        """The text in lower case if it holds PLAIN characters alone and none of the file's added tokens, in any case."""
+        try:
+            if text.encode("latin-1").translate(None, PLAIN):
+                return None
+        except UnicodeEncodeError:
+            return None
+        low = text.lower()  # letter by letter for these, as the normalizer does
+        return None if any(m in low for m in self.marks) else low
+
+    def part(self, part: str) -> bytes:
+        """Ids of a part of a word by the model itself, which takes UTF-8 bytes in the byte-level alphabet."""
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(BYTE_LEVEL)
+        ids = [t.id for t in self.model.tokenize(part)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def word(self, word: str) -> bytes:
-        out = b""
-        for part in self.split.findall(word.lower()):
-            ids = self.parts.get(part)
-            if ids is None:
-                if part.isascii():
-                    ids = np.array([t.id for t in self.model.tokenize(part)], "<u4").tobytes()
-                else:
-                    ids = self.whole(part)
-                if len(part) <= LONG:
-                    if len(self.parts) >= self.keep:
-                        self.parts.clear()
-                    self.parts[part] = ids
-            out += ids
+        if word.isalpha():  # one part
+            out = self.part(word)
+        else:
+            out = b""
+            for part in self.split.findall(word):
+                ids = self.words.get(part)
+                if ids is None:
+                    ids = self.part(part)
+                    if len(part) <= LONG and part.isalpha():  # as a word it has these ids too
+                        self._keep(part, ids)
+                out += ids
         if len(word) <= LONG:
-            if len(self.words) >= self.keep:
-                self.words.clear()
-            self.words[word] = out
+            self._keep(word, out)
         return out
 
+    def _keep(self, word: str, ids: bytes) -> None:
+        if len(self.words) >= self.keep:
+            self.words.clear()
+        self.words[word] = ids
+
     def encode(self, text: str) -> bytes:
-        if not self.fast or self.odd.search(text):
+        if not self.fast or (low := self.plain(text)) is None:
             return self.whole(text)
         get, word = self.words.get, self.word
-        return b"".join([v if (v := get(w)) is not None else word(w) for w in text.split()])
+        return b"".join([v if (v := get(w)) is not None else word(w) for w in low.split()])
 
 
 _ENCODERS: dict[str, Encoder] = {}
