@@ -232,3 +232,25 @@ def test_manifest_of_odd_rows(spark, docs_of, tmp_path):
     docs_of(rows[:1]).write.parquet(f"{tmp_path}/one/documents.parquet")
     (one,) = merkle.op13_merkle_manifest(spark, f"{tmp_path}/one").collect()
     assert one.leaf == one.subroot == one.root and one.proof_sha256 == sha("") and one.verified == (zlib.crc32(b"0") % 2 == 1)
+
+
+def test_automaton_reads_only_where_passages_may_stand():
+    passage = [f"w{i}" for i in range(60)]
+    p = phrases.Phrases([" ".join(passage), " ".join(passage[::-1])])
+    read, found = [], p.found
+
+    class Spy:
+        def __len__(self):
+            return len(found)
+
+        def iter(self, text, lo=0, hi=None):
+            hi = len(text) if hi is None else hi
+            read.append(hi - lo)
+            return found.iter(text, lo, hi)
+
+    p.found = Spy()
+    mixed = [w.encode() for k in range(40) for w in passage[k % 7 :: 7]]  # the same words, in another order
+    got = p.covered(mixed + [w.encode() for w in passage[3:50]] + mixed)
+    assert got.nonzero()[0].tolist() == list(range(len(mixed), len(mixed) + 47))
+    assert 47 <= sum(read) <= 60
+    assert not p.covered(mixed).any() and sum(read) <= 60

@@ -12,7 +12,7 @@ streams its documents through it; a hit is grown, word by word, as far as docume
 
 from __future__ import annotations
 
-from itertools import compress, repeat
+from itertools import chain, compress, repeat
 
 import ahocorasick
 import numpy as np
@@ -29,6 +29,8 @@ PIECE = SPAN // 2 + 1
 #: Bits, as powers of 2, of the filters over recurring anchors and over documents that hold them (16 and 4 MB, whatever
 #: the data); they spare shuffles and never decide a result.
 ANCHOR_BITS, KEY_BITS = 27, 25
+#: Places, as a power of 2, of an automaton's table of word pairs (4 MB); it spares steps of the automaton and decides no result.
+PAIR_BITS = 22
 #: Characters of the documents that share an automaton.
 BLOCK_CHARS = 8 << 20
 
@@ -233,6 +235,14 @@ class Phrases:
                 else:
                     places.append(at)
         self.found.make_automaton()
+        self.pairs = np.zeros(1 << PAIR_BITS, bool)
+        self.pairs[self._pairs(self.ids)] = True
+
+    @staticmethod
+    def _pairs(ids: np.ndarray) -> np.ndarray:
+        """Places of every two words in a row in the table."""
+        own = ids.astype(np.uint64)
+        return (mix(own[:-1] * _BASE + own[1:]) & np.uint64((1 << PAIR_BITS) - 1)).astype(np.int64)
 
     @staticmethod
     def _letters(ids: np.ndarray) -> str:
@@ -242,14 +252,20 @@ class Phrases:
     def covered(self, words: list[bytes]) -> np.ndarray:
         """Which words lie in a window of a passage.
 
-        A hit is grown on its diagonal as far as text and passage agree; what lies in a stretch already grown is not
-        looked at again."""
+        The automaton reads only stretches of PIECE words or more whose every two words in a row may stand in passages: at its
+        root a step looks through all first letters. A hit is grown on its diagonal as far as text and passage agree; what
+        lies in a stretch already grown is not looked at again."""
         edge = np.zeros(len(words) + 1, np.int64)
         if len(words) < SPAN or not len(self.found):
             return edge[:-1] > 0
         own = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        letters = np.maximum(own, 0)
+        met = self.pairs[self._pairs(letters)] & (own[:-1] > 0) & (own[1:] > 0)
+        ends = np.flatnonzero(np.diff(met, prepend=False, append=False)).reshape(-1, 2)
+        ends = ends[ends[:, 1] - ends[:, 0] >= PIECE - 1]
+        letters = self._letters(letters) if len(ends) else ""
         done: dict[int, int] = {}
-        for last, places in self.found.iter(self._letters(np.maximum(own, 0))):
+        for last, places in chain.from_iterable(self.found.iter(letters, lo, hi + 1) for lo, hi in ends.tolist()):
             at = last + 1 - PIECE
             for place in places:
                 if done.get(place - at, 0) > at:
