@@ -1,4 +1,5 @@
 import random
+import time
 from itertools import combinations
 
 import numpy as np
@@ -122,6 +123,37 @@ def test_components(spark):
     assert jaccard.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_")}
+
+
+def test_components_keep_no_shuffle(spark):
+    """Steps are kept as files, so what they shuffled goes at once, however many steps a long path takes."""
+    names = random.Random(8).sample(range(10**6), 60)
+    path = spark.createDataFrame(list(zip(names, names[1:])), "a long, b long")
+    before = shuffle_files(spark)
+    roots = jaccard.components(path)
+    for _ in range(40):  # files go in the background
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.25)
+    assert not left
+    assert {r.root for r in roots.collect()} == {min(names)}
+
+
+def test_stars_take_no_step(spark):
+    stars = [(c, c + i) for c in (0, 1000, 2000) for i in range(1, 30)]
+    spark.sparkContext.setJobGroup("stars", "stars")
+    try:
+        roots = jaccard.components(spark.createDataFrame(stars, "a long, b long"))
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("stars"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted((r.root, r.node) for r in roots.collect()) == stars
+    assert jobs <= 8
+
+
 def codes(text):
     import re
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -43,16 +44,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back. What the write shuffled is not needed again, so Spark
-    is asked to drop it then."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
+@contextmanager
+def dropping(spark: SparkSession):
+    """Spark is asked to drop what an action shuffled when the action ends; frames it runs on must be made in here."""
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        yield
     finally:
         spark.conf.set(CLEANUP, before)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written once as Parquet in the shared folder and read back. What the write shuffled is not needed again and is dropped."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
+    with dropping(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -78,7 +85,8 @@ def filter_bits(keys: DataFrame, places: list, bits: int) -> np.ndarray:
     """A Bloom filter of 2 ** bits bits over the rows of keys, summed by Spark; its size does not follow the data."""
     at = keys.select(F.explode(F.array(*places)).alias("b")).select(F.floor(F.col("b") / 64).cast("long").alias("w"), F.expr("shiftleft(1L, int(b % 64))").alias("m"))
     out = np.zeros(1 << bits - 6, np.int64)
-    words = at.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()  # one job; as many rows of 16 bytes as the filter has words
+    with dropping(keys.sparkSession):
+        words = at.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()  # one job; as many rows of 16 bytes as the filter has words
     out[words.column("w").to_numpy()] = words.column("m").to_numpy()
     return out
 

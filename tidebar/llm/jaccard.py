@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, filter_bits, filter_places, maybe, mix, sliced, staged, table, text_shingles, texts_of
+from .common import filter_bits, filter_places, maybe, mix, sliced, staged, table, text_shingles, texts_of
 
 #: Buckets up to this many sets compare all their pairs; larger ones compare with a pivot first.
 SMALL = 12
@@ -203,7 +203,9 @@ def involved(docs: DataFrame, sets: DataFrame, sids: DataFrame, k: int) -> DataF
 
     found = docs.select("key", "text", *filter_places("key", FILTER_BITS)).mapInArrow(run, "key long, sketch binary, text string")
     found = found.groupBy("key").agg(F.first("sketch").alias("sketch"), F.first("text").alias("text")).join(one, "key")
-    return staged(found.select("sid", "n", "sketch", "text"), "involved")
+    found = staged(found.select("sid", "n", "sketch", "text"), "involved")
+    bits.destroy()
+    return found
 
 
 def verified(pairs: DataFrame, known: DataFrame, k: int, threshold: int) -> DataFrame:
@@ -254,21 +256,18 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root): the least node reachable over links (a, b), for nodes that have links.
 
     Alternating large-star and small-star steps, each a grouped minimum and a join; a hub is a sum a task and a key that
-    the join can split. Every step is kept in the shared folder.
+    the join can split. Links go from a node u to a lesser one v. They end as stars, where whoever has a lesser neighbour
+    has no other; links that come as stars take no step. Every step is kept in the shared folder and its shuffle dropped.
     """
     e = staged(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    before = None
     while True:
-        mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before or mark[0] == 0:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).distinct()
-        before = mark
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpointed(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        both = e.withColumn("up", F.lit(1)).unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(0).alias("up")))
+        near = staged(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.sum("up").alias("up"), F.count("*").alias("every")), "near")
+        if near.where("up > 0 AND every > 1").isEmpty():
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        large = e.join(near.where("every > up").select(F.col("u").alias("v"), "m"), "v").select("u", F.col("m").alias("v"))
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")  # u goes to its least neighbour m, and so do its others
+        e = staged(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct(), "links")
 
 
 def _all_pairs(rows: DataFrame) -> DataFrame:
@@ -320,7 +319,9 @@ def _shared(sets: DataFrame, k: int, first: bool) -> DataFrame:
     places = [F.col("h").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(mask))]
     bits = sets.sparkSession.sparkContext.broadcast(filter_bits(common, places, SHARED_BITS))
     met = shingles(bits).select("h", "sid", "size").join(common.withColumn("met", F.lit(1)), "h", "left")
-    return met.groupBy("sid").agg(F.first("size").alias("size"), F.count("met").alias("c"))
+    met = staged(met.groupBy("sid").agg(F.first("size").alias("size"), F.count("met").alias("c")), "met")
+    bits.destroy()  # else every executor holds its 16 MB on disk until the driver happens to collect its garbage
+    return met
 
 
 def _shareable(sets: DataFrame, k: int, threshold: int) -> DataFrame:
@@ -338,8 +339,8 @@ def _shareable(sets: DataFrame, k: int, threshold: int) -> DataFrame:
 
 
 def _block_links(sets: DataFrame, k: int, threshold: int) -> DataFrame:
-    """(a, b): links between sets (cloud, sid, root, n, text) of different components of a cloud, enough of them to connect
-    whatever links connect, and no more than one a set and block.
+    """(a, b): roots of components that a link between sets (cloud, sid, root, n, text) of a cloud connects, enough of them to
+    connect whatever links connect, and no more than one a set and block.
 
     Sets outside a cloud's largest component meet all of the cloud; those inside it need not meet each other. Both sides
     come in blocks of bounded size, and a pair of blocks counts all its common shingles by products of 0/1 matrices."""
@@ -354,8 +355,7 @@ def _block_links(sets: DataFrame, k: int, threshold: int) -> DataFrame:
     probe = d.where("root <> top").withColumns({"x": F.pmod("own", F.col("deep")).cast("int"), "y": F.explode(F.sequence(F.lit(0), F.col("wide") - 1)), "probe": F.lit(True)})
 
     def compare(t: pa.Table) -> pa.Table:
-        names, place = np.unique(t.column("sid").to_numpy(), return_inverse=True)
-        first = np.unique(place, return_index=True)[1]
+        _, first, place = np.unique(t.column("sid").to_numpy(), return_index=True, return_inverse=True)
         text = t.column("text")
         hs = [text_shingles(text[int(i)].as_py(), k) for i in first]
         root, n = t.column("root").to_numpy()[first], np.array([len(h) for h in hs])
@@ -377,8 +377,8 @@ def _block_links(sets: DataFrame, k: int, threshold: int) -> DataFrame:
             ok = right[100 * c >= threshold * (n[i] + n[right] - c)]
             for j in ok[np.unique(label[ok], return_index=True)[1]]:
                 if label[i] != label[j]:
-                    a.append(names[i])
-                    b.append(names[j])
+                    a.append(root[i])
+                    b.append(root[j])
                     label[label == label[j]] = label[i]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -407,9 +407,10 @@ def links(rows: DataFrame, docs: DataFrame, sets: DataFrame, k: int, threshold:
     clouds = components(left.select(F.col("low").alias("a"), F.col("sid").alias("b")))
     new = _block_links(some.join(clouds.select(F.col("node").alias("sid"), F.col("root").alias("cloud")), "sid"), k, threshold)
     new = staged(new, "new")
-    if not new.isEmpty():  # what is known already goes on as stars, so these steps are few
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new))
-    return roots
+    if new.isEmpty():
+        return roots
+    met = components(new)  # among roots alone; what is known already need not go through it again
+    return roots.join(met.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(met)
 
 
 def classes(docs: DataFrame, k: int = 4, threshold: int = 85) -> DataFrame:
