@@ -1,6 +1,7 @@
 """Streams with typed state: positions from events, alerts at night, bars that go on from history."""
 
 import itertools
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -152,6 +153,40 @@ def test_many_positions_take_no_call_of_python_each(spark, tmp_path):
     assert {r.realized for r in whole.collect()} == {1.0}
 
 
+def test_the_ledger_keeps_rows_and_not_what_they_tell(spark, tmp_path, monkeypatch):
+    """State of sf0.01 (135,000 events) in bytes when the stream ends, and none afterwards."""
+    from tidebar.plans import engine_queries, stream_queries
+
+    kept, dropped = [], engine_queries.dropped
+
+    def seen(session, path):
+        kept.append(sum(f.stat().st_size for f in Path(path.removeprefix("file://")).rglob("*.sst")))
+        dropped(session, path)
+
+    monkeypatch.setattr(engine_queries, "dropped", seen)
+    monkeypatch.setattr(engine_queries, "shared_dir", lambda session, name: f"file://{tmp_path}/{name}")
+    assert stream_queries.QUERIES["position_ledger"](spark, "/root/testdata/sf0.01").count() == 15000
+    assert len(kept) == 1 and 0 < kept[0] < 25 * 135_000
+    assert not list(tmp_path.rglob("*.sst"))
+
+
+def test_events_of_rows_are_those_of_their_rows(spark):
+    """Rows that repeat, and rows that stand for events of one id, count as the events would."""
+    rows = spark.createDataFrame([(7, (True, 5)), (7, (False, 6)), (7, (False, 6)), (7, (False, 8)), (None, (True, 5)), (8, (False, 6))], "position long, row struct<opens: boolean, at: long>")
+    sale = "struct('s' AS event, {at} AS at, 'sold' AS kind, 101.0D AS price, 1.0D AS shares, int(null) AS target, double(null) AS stop, cast(null AS array<double>) AS targets, string(null) AS reason)"
+    opened = "struct('o' AS event, {at} AS at, 'open' AS kind, 100.0D AS price, 10.0D AS shares, int(null) AS target, 90.0D AS stop, array(110.0D) AS targets, string(null) AS reason)"
+    flat = rows.selectExpr("cast(position AS string) AS position", f"CASE WHEN row.opens THEN {opened.format(at='row.at')} ELSE {sale.format(at='row.at')} END AS e").select("position", "e.*")
+    made = lambda r: F.array(F.when(r["opens"], F.struct(*_fields("o", r["at"], "open", 100.0, 10.0, 90.0, [110.0]))).otherwise(F.struct(*_fields("s", r["at"], "sold", 101.0, 1.0, None, None))))
+    got = sorted(map(repr, stateful.positions_of_rows(rows, made).collect()))
+    assert got == sorted(map(repr, stateful.positions(flat).collect())) and len(got) == 2
+    assert "version=2" in got[0] and "sales=1" in got[0]
+
+
+def _fields(event, at, kind, price, shares, stop, targets):
+    values = {"event": F.lit(event), "at": at, "kind": F.lit(kind), "price": F.lit(price), "shares": F.lit(shares), "target": F.lit(None).cast("int"), "stop": F.lit(stop).cast("double"), "targets": F.array(*map(F.lit, targets)) if targets else F.lit(None).cast("array<double>"), "reason": F.lit(None).cast("string")}
+    return [v.alias(k) for k, v in values.items()]
+
+
 def test_the_column_of_mornings_is_morning(spark):
     ats = [h * HOUR // 2 + x for h in range(96) for x in (-1, 0, 1)]
     df = spark.createDataFrame([(k, at) for at in ats for k in ("buy_below", "stop_below")], "kind string, at long")

@@ -25,3 +25,9 @@ def kept(df: DataFrame) -> DataFrame:
     """df cut from its lineage and held in the shared folder: the same rows in the same partitions, whoever reads them again."""
     shared_dir(df.sparkSession, "unused")
     return df.checkpoint()
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """A folder of the shared folder goes, once nothing reads it any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

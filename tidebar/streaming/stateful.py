@@ -4,6 +4,9 @@ They need the RocksDB state store: call `rocksdb(spark)` before the stream is st
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextlib import contextmanager
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +22,21 @@ def rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
+@contextmanager
+def compact(spark: SparkSession):
+    """Streams started in here take little disk: their state is packed by zstd, and a task that has committed its part keeps no
+    copy of it beside the checkpoint."""
+    conf = {"spark.sql.streaming.stateStore.rocksdb.compression": "zstd", "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 # Positions
 #: kind: open (price, shares, stop, targets), hit (target: its number from 0, or -1 for the stop), sold (price, shares, reason), held,
 #: retarget (stop, targets; null leaves either), close (reason).
@@ -127,6 +145,15 @@ def positions(events: DataFrame) -> DataFrame:
     return g.mapInArrow(_rows, POSITION)
 
 
+def positions_of_rows(rows: DataFrame, made: Callable[[Column], Column]) -> DataFrame:
+    """positions() of the events that rows (position, row) stand for: `made` gives a row's, an array of EVENT's fields without position.
+
+    The state is the set of a position's rows, and events are made of it afterwards: neither the shuffle nor the state holds what
+    can be told from a row."""
+    g = rows.groupBy("position").agg(F.collect_set("row").alias("rows"))
+    return g.select(F.col("position").cast("string"), F.flatten(F.transform("rows", made)).alias("events")).mapInArrow(_rows, POSITION)
+
+
 def positions_of(events: DataFrame) -> DataFrame:
     """The batch twin of positions(): the state of every position after all its events."""
     return positions(events)
