@@ -1,3 +1,4 @@
+import os
 import random
 import time
 from itertools import combinations
@@ -128,6 +129,67 @@ def shuffle_files(spark):
     return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_")}
 
 
+def test_signatures_move_as_packs(spark):
+    """Every shared signature is met, and a signature takes half the bytes that a row of it took (24)."""
+    rng = np.random.default_rng(1)
+    sigs, sids = rng.integers(0, 2**64, 100_000, np.uint64), rng.integers(-(2**63), 2**63, 100_000)
+    packs = dict(jaccard.packs(sigs, sids, 64))
+    got = [jaccard.unpacked(packs[i]) for i in sorted(packs)]
+    order = np.argsort(sigs)
+    assert (np.concatenate([g[0] for g in got]) == sigs[order] >> np.uint64(16)).all() and (np.concatenate([g[1] for g in got]) == sids[order]).all()
+    assert [int(g[0].max()) * 64 >> 48 for g in got] == list(range(64))
+    docs = jaccard.keyed(spark.read.parquet(f"{SF}/documents.parquet"))
+    rule, by = jaccard.PartEnum(85), {}
+    sets = {r.key: text_shingles(r.text, 4) for r in docs.collect()}
+    for h in {jaccard.set_id(h): h for h in sets.values() if len(h)}.values():
+        for x in rule.signatures(h).tolist():
+            by.setdefault(x >> 16, set()).add(jaccard.set_id(h))
+    before, rows = shuffle_files(spark), jaccard.expanded(docs, 4, 85)
+    got = rows.collect()
+    shared = {x: s for x, s in by.items() if len(s) > 1}
+    assert sorted((r.at, r.sid, r.low, r.many) for r in got if r.n is None) == sorted((x, i, min(s), len(s)) for x, s in shared.items() for i in s)
+    assert {(r.at, r.sid, r.n) for r in got if r.n is not None} == {(k, jaccard.set_id(h) if len(h) else None, len(h)) for k, h in sets.items()}
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    moved = sum(f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().endswith(".data") and f.getName() in shuffle_files(spark) - before)
+    assert 0 < moved < 16 * sum(map(len, by.values()))
+
+
+def folders(spark):
+    from tidebar.llm.common import shared_dir
+
+    base = shared_dir(spark, "x").removeprefix("file://").rsplit("/", 1)[0]
+    return {f for f in os.listdir(base) if os.path.isdir(f"{base}/{f}")}
+
+
+def test_near_copies_leave_sets_and_roots_alone(spark, family):
+    before = folders(spark)
+    classes = jaccard.classes(spark.createDataFrame(family, "doc_id long, text string"))
+    assert {f.split("-")[0] for f in folders(spark) - before} == {"sets", "roots"}
+    assert classes.count() == len(family)
+
+
+def test_the_pipeline_keeps_its_last_documents_alone(spark):
+    import corpus_pipeline
+
+    before = folders(spark)
+    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    new = {f.split("-")[0] for f in folders(spark) - before}
+    assert "mixing" in new and not new & {"language", "near_duplicates", "decontamination", "mix", "signatures", "involved", "spare", "leaks"}
+    assert rows.count() > 0
+
+
+def test_one_of_each_group_stays_and_few_documents_move(spark, monkeypatch):
+    """Repeated rows, copies and texts without words, with a filter that tells nothing too."""
+    import corpus_pipeline
+
+    line = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, line), (3, line), (3, line), (9, line + " end"), (7, "alone at last here"), (7, "alone at last here"), (8, None), (8, None), (2, None), (None, line), (None, "no id")]
+    for bits in (jaccard.FILTER_BITS, 6):
+        monkeypatch.setattr(jaccard, "FILTER_BITS", bits)
+        got = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+        assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(3, line), (7, "alone at last here"), (8, None), (2, None), (None, "no id")], key=str)
+
+
 def test_components_keep_no_shuffle(spark):
     """Steps are kept as files, so what they shuffled goes at once, however many steps a long path takes."""
     names = random.Random(8).sample(range(10**6), 60)

@@ -55,14 +55,43 @@ def dropping(spark: SparkSession):
         spark.conf.set(CLEANUP, before)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back. What the write shuffled is not needed again and is dropped."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df written once as Parquet and read back. What the write shuffled is not needed again and is dropped."""
+    spark = df.sparkSession
     with dropping(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders of the scratches that are open, the innermost last.
+_SCRATCH: list[list[str]] = []
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written() to a folder of its own in the shared folder; it stays, or goes with the innermost scratch()."""
+    path = shared_dir(df.sparkSession, name)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return written(df, path)
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """A folder of the shared folder goes, once nothing reads it any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What is staged in here goes when it ends; what is read later must be written() to a folder of its own."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            dropped(spark, path)
+
+
 def sliced(batches, rows: int = 1000, size: int = 8 << 20):
     """The record batches cut into ones of at most `rows` rows and, as far as whole rows allow, about `size` bytes."""
     for b in batches:
@@ -112,6 +141,22 @@ def texts_of(known: DataFrame, sids: DataFrame, bits: int) -> DataFrame:
     return known.select("sid", "text", *filter_places("sid", bits)).mapInArrow(run, "sid long, text string")
 
 
+def parted(d: DataFrame, keys: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of d whose key is certainly not in keys (kept; both have a column key), and the others, told apart by a filter of
+    fixed size: only the others need a join, which is exact."""
+    held = d.sparkSession.sparkContext.broadcast(filter_bits(keys, filter_places("key", bits), bits))
+
+    def those(inside: bool):
+        def run(batches):
+            for b in batches:
+                wanted = maybe(held.value, b.column(b.num_columns - 2).to_numpy(), b.column(b.num_columns - 1).to_numpy())
+                yield b.filter(pa.array(wanted == inside)).select(range(b.num_columns - 2))
+
+        return d.select("*", *filter_places("key", bits)).mapInArrow(run, d.schema)
+
+    return those(False), those(True)
+
+
 def word_count(col):
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from bisect import bisect_right
 from itertools import combinations
 from math import exp, sqrt
+from struct import Struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filter_bits, filter_places, maybe, mix, sliced, staged, table, text_shingles, texts_of
+from .common import filter_bits, filter_places, maybe, mix, scratch, shared_dir, sliced, staged, table, text_shingles, texts_of, written
 
 #: Buckets up to this many sets compare all their pairs; larger ones compare with a pivot first.
 SMALL = 12
@@ -25,6 +26,9 @@ SHARE = 3
 BLOCK, BLOCK_SHINGLES, COLUMNS, SALT = 2048, 1 << 20, 4096, 32
 #: Steps of size that a band spans (neighbours overlap in one of them); seeds tried before a set gives a signature of its band alone.
 BAND, _SEEDS = 5, 6
+#: Bits of a signature that are kept (sets that agree in them by chance are compared, as all are); signatures that a task packs
+#: at a time, and into how many ranges of their values for each partition of a shuffle.
+SIG_BITS, PACK, RANGES = 48, 1 << 20, 16
 
 
 class PartEnum:
@@ -129,14 +133,57 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
+_HEAD = Struct("<QB")
+
+
+def packs(sigs: np.ndarray, sids: np.ndarray, ranges: int):
+    """(range, bytes) of signatures and the ids of their sets: of each range of values its least signature, then, in ascending
+    order, what each adds to the one before, in as few bytes as the largest needs, then the ids."""
+    sigs = sigs >> np.uint64(64 - SIG_BITS)
+    order = np.argsort(sigs)
+    sigs, sids = sigs[order], sids[order]
+    part = (sigs * np.uint64(ranges) >> np.uint64(SIG_BITS)).astype(np.int64)
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    more = np.diff(sigs, prepend=np.uint64(0))
+    more[first] = 0
+    for i, j in zip(first.tolist(), [*first[1:].tolist(), len(sigs)]):
+        width = max(1, (int(more[i:j].max()).bit_length() + 7) // 8)
+        yield int(part[i]), _HEAD.pack(int(sigs[i]), width) + more[i:j].view(np.uint8).reshape(-1, 8)[:, :width].tobytes() + sids[i:j].tobytes()
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, ids) of the bytes of a range."""
+    least, width = _HEAD.unpack_from(data)
+    n = (len(data) - _HEAD.size) // (width + 8)
+    more = np.zeros((n, 8), np.uint8)
+    more[:, :width] = np.frombuffer(data, np.uint8, n * width, _HEAD.size).reshape(n, width)
+    return np.uint64(least) + np.cumsum(more.view(np.uint64).ravel()), np.frombuffer(data, np.int64, n, _HEAD.size + n * width)
+
+
 def expanded(docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """(at, sid, n) by one pass over the texts. With n: a row of docs, at is its key, sid names its set of n shingles of
-    k words (null if empty). Without n: at is a signature of set sid, given once a task however many copies it holds."""
+    """(at, sid, n, low, many) by one pass over the texts. With n: a row of docs, at is its key, sid names its set of n shingles of
+    k words (null if empty). Without n: at is a signature that set sid shares with others, many with it, the least of them low.
+
+    Signatures move as packs, by ranges of their values: a fraction of the bytes that a row each would take, of which there
+    are some hundreds a text. A task of the shuffle looks at a range at a time."""
+    ranges = min(1 << 16, max(64, RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+    def rows(part, key=None, sid=None, n=None, pack=None):
+        none = [None] * len(part)
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(none if x is None else x, t) for x, t in zip((part, key, sid, n, pack), types)], ["part", "key", "sid", "n", "pack"])
 
     def run(batches):
-        rule, seen = PartEnum(threshold), set()
+        rule, seen, sigs, sids, held = PartEnum(threshold), set(), [], [], 0
+
+        def packed_rows():
+            both = list(packs(np.concatenate(sigs), np.concatenate(sids), ranges))
+            sigs.clear(), sids.clear()
+            for i in range(0, len(both), 1000):
+                yield rows([p for p, _ in both[i : i + 1000]], pack=[x for _, x in both[i : i + 1000]])
+
         for b in sliced(batches):
-            n, sid, sigs, sids = [], [], [], []
+            n, sid, key = [], [], b.column(0).to_numpy()
             for text in b.column(1).to_pylist():
                 h = text_shingles(text, k)
                 n.append(len(h))
@@ -145,14 +192,41 @@ def expanded(docs: DataFrame, k: int, threshold: int) -> DataFrame:
                     if len(seen) > 500_000:
                         seen.clear()
                     seen.add(sid[-1])
-                    sigs.append(rule.signatures(h).view(np.int64))
+                    sigs.append(rule.signatures(h))
                     sids.append(np.full(len(sigs[-1]), sid[-1], np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sid, pa.int64()), pa.array(n, pa.int64())], ["at", "sid", "n"])
-            if sigs:
-                at, own = np.concatenate(sigs), np.concatenate(sids)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own), pa.nulls(len(at), pa.int64())], ["at", "sid", "n"])
-
-    return docs.select("key", "text").mapInArrow(run, "at long, sid long, n long")
+                    held += len(sigs[-1])
+                    if held >= PACK:
+                        yield from packed_rows()
+                        held = 0
+            yield rows((key % ranges).astype(np.int32), key, sid, n)
+        if held:
+            yield from packed_rows()
+
+    def met(t: pa.Table) -> pa.Table:
+        known = t.filter(t.column("n").is_valid())
+        none = pa.nulls(known.num_rows, pa.int64())
+        both = [unpacked(x) for x in t.column("pack").drop_null().to_pylist()]
+        sig, sid = (np.concatenate([x[i] for x in both]) if both else np.empty(0, np.int64) for i in (0, 1))
+        order = np.argsort(sig)
+        again = sig[order[1:]] == sig[order[:-1]]
+        order = order[np.append(again, False) | np.insert(again, 0, False)] if len(order) else order
+        sig, sid = sig[order].astype(np.int64), sid[order]
+        order = np.lexsort((sid, sig))
+        sig, sid = sig[order], sid[order]
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])  # a set may come from several tasks
+        sig, sid = sig[new], sid[new]
+        first = np.flatnonzero(np.diff(sig, prepend=-1))
+        many = np.diff(first, append=len(sig))
+        low, many = np.repeat(sid[first], many), np.repeat(many, many)
+        ok = many > 1
+        out = [np.array(x[ok], np.int64) for x in (sig, sid, low, many)]
+        shared = [pa.array(out[0]), pa.array(out[1]), pa.nulls(int(ok.sum()), pa.int64()), pa.array(out[2]), pa.array(out[3])]
+        names = ["at", "sid", "n", "low", "many"]
+        return pa.concat_tables([pa.table([known.column("key"), known.column("sid"), known.column("n"), none, none], names), pa.table(shared, names)])
+
+    moved = docs.select("key", "text").mapInArrow(run, "part int, key long, sid long, n long, pack binary")
+    return moved.groupBy("part").applyInArrow(met, "at long, sid long, n long, low long, many long")
 
 
 def _sketch(h: np.ndarray) -> bytes:
@@ -421,24 +495,27 @@ def classes(docs: DataFrame, k: int = 4, threshold: int = 85) -> DataFrame:
     component whatever their doc_id; a null doc_id is never the least unless there is no other. Other columns of docs
     are not read; an empty table gives no rows.
     """
-    docs = keyed(docs)
-    w = Window.partitionBy("at")
-    sig = lambda f: f(F.when(F.col("n").isNull(), F.col("sid"))).over(w)
-    rows = expanded(docs, k, threshold).withColumns({"low": sig(F.min), "high": sig(F.max), "many": sig(F.count)})
-    rows = staged(rows.where("n IS NOT NULL OR low <> high").select("at", "sid", "n", "low", "many"), "signatures")
-    sets = rows.where("n IS NOT NULL").groupBy(F.col("at").alias("key")).agg(F.first("sid").alias("sid"), F.first("n").alias("n"))
-    roots = links(rows.where("n IS NULL").select(F.col("at").alias("sig"), "sid", "low", "many"), docs, sets, k, threshold)
+    docs, spark = keyed(docs), docs.sparkSession
+    with scratch(spark):  # texts and signatures are not needed once the components are known
+        rows = staged(expanded(docs, k, threshold), "signatures")
+        sets = rows.where("n IS NOT NULL").groupBy(F.col("at").alias("key")).agg(F.first("sid").alias("sid"), F.first("n").alias("n"))
+        sets = written(sets, shared_dir(spark, "sets"))
+        roots = links(rows.where("n IS NULL").select(F.col("at").alias("sig"), "sid", "low", "many"), docs, sets, k, threshold)
+        roots = written(roots, shared_dir(spark, "roots"))
     s = docs.select("doc_id", "key").join(sets, "key").join(roots, F.col("sid") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "sid"))
     least = s.where("comp IS NOT NULL").groupBy(F.col("comp").alias("c")).agg(F.min("doc_id").alias("least"))
     s = s.join(least, F.col("comp") == F.col("c"), "left")
     return s.select("doc_id", "key", F.col("n").alias("n_shingles"), "comp", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
-def representatives(docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """key of the row to keep of each component: least doc_id, then least key; rows without shingles all stay."""
-    c = classes(docs, k, threshold)
-    kept = c.where("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "key")).alias("m")).select(F.col("m.key").alias("key"))
-    return kept.unionByName(c.where("comp IS NULL").select("key")).distinct()
+def spare(docs: DataFrame, k: int, threshold: int) -> DataFrame:
+    """(key, dropped) of the keys whose rows do not all stay where one row of each component is kept, that of least doc_id, then
+    least key: dropped ones, and those of repeated rows, of which one stays. Rows without shingles are no copies of each other."""
+    c = classes(docs, k, threshold).groupBy("key").agg(F.count("*").alias("rows"), F.first("doc_id").alias("doc_id"), F.first("comp").alias("comp"))
+    c = written(c, shared_dir(docs.sparkSession, "classes"))
+    kept = c.where("comp IS NOT NULL").groupBy(F.col("comp").alias("c")).agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "key")).alias("m"))
+    c = c.join(kept.select("c", F.col("m.key").alias("_kept")), F.col("comp") == F.col("c"), "left").withColumn("dropped", F.coalesce(F.col("key") != F.col("_kept"), F.lit(False)))
+    return c.where("dropped OR rows > 1").select("key", "dropped")
 
 
 def op4_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
